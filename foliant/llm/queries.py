@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import counts, packing, pieces, urls
+from foliant.llm import counts, mixing, packing, pieces, topk, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -32,6 +32,26 @@ SELECT page_id, host, path, rule, coalesce(says, 'allow') AS verdict FROM rows L
 """
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"))
+
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(_read(spark, sf_dir, "documents"))
 
@@ -45,5 +65,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_url_filters": op3_url_filters, "op7_sentencepiece": op7_sentencepiece, "op8_packing": op8_packing, "op9_token_counts": op9_token_counts}
-ORACLES = {"op3_url_filters": OP3_SQL}
+QUERIES = {"op3_url_filters": op3_url_filters, "op5_mixing": op5_mixing, "op6_topk": op6_topk, "op7_sentencepiece": op7_sentencepiece, "op8_packing": op8_packing, "op9_token_counts": op9_token_counts}
+ORACLES = {"op3_url_filters": OP3_SQL, "op6_topk": OP6_SQL}
