@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import counts, mixing, packing, pieces, topk, urls
+from foliant.llm import counts, jaccard, mixing, packing, pieces, quality, topk, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages"), urls.rule_table(spark, urls.RULES))
 
@@ -65,5 +70,30 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_url_filters": op3_url_filters, "op5_mixing": op5_mixing, "op6_topk": op6_topk, "op7_sentencepiece": op7_sentencepiece, "op8_packing": op8_packing, "op9_token_counts": op9_token_counts}
-ORACLES = {"op3_url_filters": OP3_SQL, "op6_topk": OP6_SQL}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(_read(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS n, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT n, doc_id, list_sort(list_distinct(list_transform(range(1, CASE WHEN len(ws) = 0 THEN 1 WHEN len(ws) < 5 THEN 2 ELSE len(ws) - 3 END), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')))) AS g FROM w),
+k AS (SELECT n, doc_id, g, md5(array_to_string(g, chr(10))) AS h FROM s),
+c AS (SELECT h, min(doc_id) AS class_id, count(*) AS n_copies, any_value(g) AS g FROM k GROUP BY h),
+e AS (SELECT class_id, len(g) AS z, unnest(g) AS x FROM c),
+p AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS common, any_value(a.z) AS za, any_value(b.z) AS zb FROM e a JOIN e b ON a.x = b.x AND a.class_id <> b.class_id GROUP BY 1, 2),
+l AS (SELECT a AS class_id, count(*) AS n_links FROM p WHERE common >= 0.8 * (za + zb - common) GROUP BY 1)
+SELECT doc_id, class_id, n_copies, coalesce(n_links, 0) AS n_links FROM k JOIN c USING (h) LEFT JOIN l USING (class_id)
+"""
+
+
+QUERIES = {
+    "op1_quality": op1_quality,
+    "op3_url_filters": op3_url_filters,
+    "op5_mixing": op5_mixing,
+    "op6_topk": op6_topk,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_packing": op8_packing,
+    "op9_token_counts": op9_token_counts,
+    "op10_jaccard": op10_jaccard,
+}
+ORACLES = {"op3_url_filters": OP3_SQL, "op6_topk": OP6_SQL, "op10_jaccard": OP10_SQL}
