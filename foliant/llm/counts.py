@@ -59,7 +59,7 @@ _COUNTS: dict[str | None, dict[str, int]] = {}
 
 
 def count_text(text: str, model: PieceModel, known: dict[str, int]) -> int:
-    if len(known) > KEPT_WORDS:
+    if 2 * len(known) > KEPT_WORDS:
         known.clear()
     total = 0
     for w in model.split(text):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm._shared import arrow_batches
-from foliant.llm.pieces import cache, load
+from foliant.llm.pieces import as_bytes, cache, load
 
 #: Characters of a shard; shards, not their size, grow with the input.
 SHARD_CHARS = 4_000_000
@@ -89,7 +89,7 @@ def pack(docs: DataFrame, capacity: int = 4096, pad_id: int = 0, path: str | Non
     def encoded(batches):
         import pyarrow as pa
 
-        words = cache(path, wide, lambda x: x.astype(wide).tobytes())
+        words = cache(path, wide, as_bytes(wide))
         step = capacity * int(wide[-1])
         for b in batches:
             at, no, ids = [], [], []

@@ -23,8 +23,8 @@ from foliant.llm._shared import arrow_batches
 
 MARK = "▁"
 NONE = np.int64(1) << 40
-#: Words that a Python worker keeps; beyond it, it starts anew.
-KEPT_WORDS = 250_000
+#: Words that a Python worker keeps, at most.
+KEPT_WORDS = 500_000
 
 
 class PieceModel:
@@ -71,10 +71,28 @@ class PieceModel:
         self.keys = np.array(keys, np.int64)[sort]
         self.ranks = np.array(ranks, np.int64)[sort]
         self.merged = np.array(merged, np.int32)[sort]
+        self._index()
         self.pairs = {int(k): (int(r), int(m)) for k, r, m in zip(self.keys, self.ranks, self.merged, strict=True)}
         alone = "".join(re.escape(c) for c in "\n\t\r\v\f" if c not in inner)
         self.words = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else ""))
 
+    def _index(self) -> None:
+        """Two hash tables over the pairs: the second has those that another pair displaced from the first."""
+        mult, n = 0x9E3779B97F4A7C15, len(self.keys)
+        self.first, self.second = np.full(1 << 21, n, np.int32), np.full(1 << 18, n, np.int32)
+        at = (self.keys.astype(np.uint64) * np.uint64(mult)) >> np.uint64(43)
+        self.first[at] = np.arange(n)
+        rest = np.flatnonzero(self.first[at] != np.arange(n))
+        self.mult = np.uint64(mult)
+        while True:  # another factor, until none of the few is displaced again
+            mult = (mult * 0xD6E8FEB86659FD93 + 2) & 0xFFFFFFFFFFFFFFFF | 1
+            self.other = np.uint64(mult)
+            at = (self.keys[rest].astype(np.uint64) * self.other) >> np.uint64(46)
+            if len(np.unique(at)) == len(rest):
+                break
+        self.second[at] = rest
+        self.keys, self.ranks, self.merged = np.r_[self.keys, -1], np.r_[self.ranks, NONE], np.r_[self.merged, np.int32(0)]
+
     def split(self, text: str) -> list[str]:
         """The words of a text, with its word-start mark; none for an empty text."""
         return self.words.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -82,8 +100,11 @@ class PieceModel:
     def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE where there is no such pair) and merged symbol of pairs."""
         key = left.astype(np.int64) * (self.size + 1) + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], NONE), self.merged[at]
+        at = self.first[(key.view(np.uint64) * self.mult) >> np.uint64(43)]
+        if (miss := np.flatnonzero(self.keys[at] != key)).size:
+            again = self.second[(key[miss].view(np.uint64) * self.other) >> np.uint64(46)]
+            at[miss] = np.where(self.keys[again] == key[miss], again, len(self.keys) - 1)
+        return self.ranks[at], self.merged[at]
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of all words in order, the code point each begins with, and each word's first symbol."""
@@ -92,11 +113,11 @@ class PieceModel:
         sym, at = self.symbol[chars], np.arange(len(chars))
         word = np.repeat(np.arange(len(words)), lengths)
         done_at, done_sym = [], []
+        rank, new = np.full(len(sym), NONE), np.zeros(len(sym), np.int32)
+        fresh = np.flatnonzero(word[1:] == word[:-1])  # pairs, by their left symbol, that are not looked up yet
         while len(sym):
-            rank, new = np.full(len(sym), NONE), np.zeros(len(sym), np.int32)
-            if len(sym) > 1:
-                rank[:-1], new[:-1] = self._find(sym[:-1], sym[1:])
-                rank[:-1][word[1:] != word[:-1]] = NONE
+            if len(fresh):
+                rank[fresh], new[fresh] = self._find(sym[fresh], sym[fresh + 1])
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             least = np.minimum.reduceat(rank, first)
             seg = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(sym)]))
@@ -111,7 +132,16 @@ class PieceModel:
             sym[chosen] = new[chosen]
             keep = np.ones(len(sym), bool)
             keep[chosen + 1] = False
-            sym, at, word = sym[keep], at[keep], word[keep]
+            rank[chosen] = NONE
+            moved = np.cumsum(keep)[chosen] - 1
+            sym, at, word, rank, new = (x[keep] for x in (sym, at, word, rank, new))
+            left = moved[moved > 0] - 1
+            left = left[word[left] == word[left + 1]]
+            rank[left] = NONE
+            right = moved[moved < len(sym) - 1]
+            due = np.zeros(len(sym), bool)
+            due[left] = due[right[word[right] == word[right + 1]]] = True
+            fresh = np.flatnonzero(due)
         if not done_at:
             return np.zeros(0, np.int32), np.zeros(0, np.uint32), np.zeros(len(words) + 1, np.int64)
         at, sym = np.concatenate(done_at), np.concatenate(done_sym)
@@ -141,8 +171,8 @@ class PieceModel:
         unsafe = np.unique(seg[d][soon <= least[seg[d]]])
         return c[~(many & np.isin(s, unsafe))] if len(unsafe) else c
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Token ids of each word; a character without a piece becomes the ids of its bytes."""
+    def encode_flat(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Token ids of all words, and where each word's begin and the last ends; a character without a piece becomes the ids of its bytes."""
         sym, chars, first = self.merge(words)
         if (odd := np.flatnonzero(sym == self.unknown)).size:
             raw = [chr(x).encode("utf-8", "surrogatepass") for x in chars[odd]]
@@ -152,10 +182,10 @@ class PieceModel:
             ids = np.repeat(sym, count)
             ids[np.repeat(start[odd], count[odd]) + np.concatenate([np.arange(len(x)) for x in raw])] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
             sym, first = ids, start[first]
-        return np.split(sym, first[1:-1]) if len(words) > 1 else [sym] * len(words)
+        return sym, first.tolist()
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for x in self.encode_words(self.split(text)) for i in x]
+        return self.encode_flat(self.split(text))[0].tolist()
 
     def decode(self, ids) -> str:
         """The text of token ids; bytes that are no UTF-8 become U+FFFD."""
@@ -173,24 +203,51 @@ def load(path: str | None = None) -> PieceModel:
 
 
 class WordCache:
-    """What ``of(ids)`` makes of each word's ids, kept for frequent words."""
+    """What ``of(ids, bounds)`` makes of each word, kept for the words seen last."""
 
     def __init__(self, model: PieceModel, of, most: int = KEPT_WORDS):
-        self.model, self.of, self.most, self.known = model, of, most, {}
+        self.model, self.of, self.most, self.known, self.older = model, of, most, {}, {}
 
-    def texts(self, texts: list[str]) -> Iterator[list]:
+    def texts(self, texts: list[str], at_once: int = 512) -> Iterator[list]:
         """For each text, the values of its words."""
-        for lo in range(0, len(texts), 256):
-            split = [self.model.split(t) for t in texts[lo : lo + 256]]
-            if len(self.known) > self.most:
-                self.known.clear()
-            known = self.known
-            if new := list(set().union(*split).difference(known)):
-                known.update(zip(new, map(self.of, self.model.encode_words(new)), strict=True))
+        for lo in range(0, len(texts), at_once):
+            split = [self.model.split(t) for t in texts[lo : lo + at_once]]
+            if 2 * len(self.known) > self.most:
+                self.known, self.older = {}, self.known
+            known, older = self.known, self.older
+            missing = set().union(*split).difference(known)
+            if older:
+                known.update({w: older[w] for w in missing if w in older})
+                missing.difference_update(known)
+            if missing:
+                new = list(missing)
+                known.update(zip(new, self.of(*self.model.encode_flat(new)), strict=True))
             for words in split:
                 yield [known[w] for w in words]
 
 
+def as_bytes(kind: str):
+    """Each word's ids as little-endian numbers, for ``WordCache``."""
+    width = int(kind[-1])
+
+    def of(ids: np.ndarray, bounds: list[int]) -> list[bytes]:
+        raw = ids.astype(kind).tobytes()
+        return [raw[width * a : width * b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    return of
+
+
+def as_text(model: PieceModel):
+    """Each word's ids in decimal, their number, and what they decode to."""
+
+    def of(ids: np.ndarray, bounds: list[int]) -> list[tuple[str, int, bytes]]:
+        ids = ids.tolist()
+        names, surfaces = list(map(str, ids)), [model.surface[i] for i in ids]
+        return [(",".join(names[a:b]), b - a, b"".join(surfaces[a:b])) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    return of
+
+
 _CACHES: dict = {}
 
 
@@ -214,9 +271,9 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     def run(batches):
         import pyarrow as pa
 
-        words = cache(path, "ids", lambda x: x.astype(np.int32))
+        words = cache(path, "ids", as_bytes("<i4"))
         for b in batches:
-            ids = [np.concatenate(x) if x else np.zeros(0, np.int32) for x in words.texts([t or "" for t in b.column(1).to_pylist()])]
+            ids = [np.frombuffer(b"".join(x), np.int32) for x in words.texts([t or "" for t in b.column(1).to_pylist()])]
             offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array([words.model.decode(x) for x in ids], pa.string())], ["id", "ids", "decoded"])
@@ -235,7 +292,7 @@ def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_
         import pyarrow as pa
 
         model = load(path)
-        words = cache(path, "text", lambda x: (",".join(map(str, x.tolist())), len(x), b"".join([model.surface[i] for i in x.tolist()])))
+        words = cache(path, "text", as_text(model))
         for b in batches:
             n, ids, back = [], [], []
             for x in words.texts([t or "" for t in b.column(1).to_pylist()]):
