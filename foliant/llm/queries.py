@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import counts, jaccard, mixing, packing, pieces, quality, topk, urls
+from foliant.llm import counts, jaccard, mixing, packing, pieces, quality, substrings, topk, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.judge(_read(spark, sf_dir, "documents"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages"), urls.rule_table(spark, urls.RULES))
 
@@ -88,6 +92,7 @@ SELECT doc_id, class_id, n_copies, coalesce(n_links, 0) AS n_links FROM k JOIN c
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_substrings": op2_substrings,
     "op3_url_filters": op3_url_filters,
     "op5_mixing": op5_mixing,
     "op6_topk": op6_topk,
