@@ -95,13 +95,13 @@ def targets(sizes: DataFrame, weights=(1, 2, 3), most: float = 3.0) -> DataFrame
 
 
 def mix(docs: DataFrame, seed: int = 7, weights=(1, 2, 3), most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """Rows (id, size, source_size, target, taken) for each row of ``docs``.
+    """Rows (id, size, source_size, target, taken, copies) for each row of ``docs``.
 
     ``size`` is the number of words of the text (null and empty: 0), ``taken``
     the words that the mix takes of the row: its size times 0 to ``most``. A
     null source is a source of its own, the last. Ties of the hash are settled
     by id; rows that are equal in id and text are taken one by one, and which
-    of them is taken makes no difference. An empty table gives no rows.
+    of them is taken makes no difference; ``copies`` is how often. An empty table gives no rows.
     ``keep`` names further columns to carry along.
     """
     keep = keep or []
@@ -129,6 +129,15 @@ def mix(docs: DataFrame, seed: int = 7, weights=(1, 2, 3), most: int = 3, id_col
     before = F.coalesce(F.sum("n").over(W.partitionBy("key", "size").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     quotas = parts.select("key", "size", "bucket", before.alias("before")).join(plans.hint("merge"), ["key", "size"])
     nth = F.row_number().over(W.partitionBy("key", "size", "bucket").orderBy("h", "id"))
-    taken = F.col("size") * (F.col("whole") + (F.col("before") + nth <= F.col("extra")).cast("int"))
+    copies = F.col("whole") + (F.col("before") + nth <= F.col("extra")).cast("int")
     out = sized.join(quotas.hint("merge"), ["key", "size", "bucket"])
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), *[F.col(f"kept.{c}").alias(c) for c in keep])
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), *[F.col(f"kept.{c}").alias(c) for c in keep])
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as the mix takes it; see ``mix``."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    held = docs.select("*", *[F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    rows = mix(held, keep=names, **how).filter("copies > 0")
+    again = rows.select(*names, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return again.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

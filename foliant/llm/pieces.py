@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from foliant.llm._shared import arrow_batches
 
@@ -258,27 +259,27 @@ def cache(path: str | None, kind: str, of) -> WordCache:
     return _CACHES[path, kind]
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, ids array<int>, decoded string) for each row of ``docs``.
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (id, ids array<int>, decoded string) for each row of ``docs``, and its columns ``keep``.
 
     Null texts count as empty; an empty text has no ids and decodes to an empty
     text. Repeated rows stay. Other columns of ``docs`` are not read. Rows are
     encoded where they are read: no shuffle.
     """
     arrow_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, *keep)}
 
     def run(batches):
         import pyarrow as pa
 
         words = cache(path, "ids", as_bytes("<i4"))
         for b in batches:
-            ids = [np.frombuffer(b"".join(x), np.int32) for x in words.texts([t or "" for t in b.column(1).to_pylist()])]
+            ids = [np.frombuffer(b"".join(x), np.int32) for x in words.texts([t or "" for t in b.column(0).to_pylist()])]
             offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
             flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array([words.model.decode(x) for x in ids], pa.string())], ["id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array([words.model.decode(x.tolist()) for x in ids], pa.string())], [*kinds, "ids", "decoded"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+    return docs.select(F.col(text_col).alias("_text"), *kinds).mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

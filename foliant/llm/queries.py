@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import counts, jaccard, mixing, packing, pieces, quality, substrings, topk, urls
+from foliant.llm import counts, fingerprints, jaccard, mixing, packing, pieces, quality, substrings, topk, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,6 +41,10 @@ SELECT page_id, host, path, rule, coalesce(says, 'allow') AS verdict FROM rows L
 """
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(_read(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
@@ -94,6 +98,7 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_substrings": op2_substrings,
     "op3_url_filters": op3_url_filters,
+    "op4_fingerprints": op4_fingerprints,
     "op5_mixing": op5_mixing,
     "op6_topk": op6_topk,
     "op7_sentencepiece": op7_sentencepiece,

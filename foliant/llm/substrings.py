@@ -153,15 +153,16 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[new], reach[np.r_[new[1:], len(start)] - 1]
 
 
-def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(texts, gone): texts (id, mark, text) of ``docs``; gone (id, mark, start, n), byte spans that are repeated.
+def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(texts, gone): texts (id, mark, text, kept) of ``docs``, with ``keep`` in a struct; gone (id, mark, start, n), byte spans that are repeated.
 
     ``mark`` is a hash of the text. Documents are ordered by id (null last), those
     of one id by mark; rows that are equal in both are one document.
     """
     spark = docs.sparkSession
     arrow_batches(spark, 1024)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text_col).alias("mark"), F.coalesce(text_col, F.lit("")).alias("text"))
+    known = [F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text_col).alias("mark"), F.coalesce(text_col, F.lit("")).alias("text")]
+    texts = docs.select(*known)
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
     buckets = max(1, -(-chars // BUCKET_CHARS))
     place = "id long, mark long, start long, n int"
@@ -295,12 +296,12 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int
             firsts = strings.groupBy("one", "two").agg(F.min(F.struct("id", "mark", "start")).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
             late = strings.join(firsts.hint("merge"), ["one", "two"]).filter(F.struct("id", "mark", "start") != F.col("first"))
             gone = gone.unionByName(late.select("id", "mark", "start", F.lit(length).alias("n")))
-    return texts, gone
+    return docs.select(*known, F.struct(*keep).alias("kept")) if keep else texts, gone
 
 
-def _finish(docs: DataFrame, rest, schema: str, length: int, anchor: int, hot: int, id_col: str, text_col: str) -> DataFrame:
-    """Applies ``rest(bytes, covered)`` to each document, with what of it is repeated."""
-    texts, gone = spans(docs, length, anchor, hot, id_col, text_col)
+def _finish(docs: DataFrame, rest, schema: str, length: int, anchor: int, hot: int, id_col: str, text_col: str, keep: list[str] | None = None) -> DataFrame:
+    """Applies ``rest(bytes, covered)`` to each document, with what of it is repeated; ``keep`` are columns to carry along."""
+    texts, gone = spans(docs, length, anchor, hot, id_col, text_col, keep)
     listed = gone.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
     both = texts.join(listed.hint("merge"), ["id", "mark"], "left")
 
@@ -324,9 +325,12 @@ def _finish(docs: DataFrame, rest, schema: str, length: int, anchor: int, hot: i
                     np.add.at(turn, s + e, -1)
                 for name, v in zip(out, (i, *rest(raw, np.cumsum(turn[:-1]) > 0)), strict=True):
                     out[name].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=kinds)
+            done = pa.RecordBatch.from_pydict(out, schema=kinds)
+            yield pa.RecordBatch.from_arrays([*done.columns, b.column(3)], [*done.schema.names, "kept"]) if keep else done
 
-    return both.select("id", "text", "gone").mapInArrow(run, schema)
+    if not keep:
+        return both.select("id", "text", "gone").mapInArrow(run, schema)
+    return both.select("id", "text", "gone", "kept").mapInArrow(run, f"{schema}, kept {both.schema['kept'].dataType.simpleString()}")
 
 
 def judge(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,11 +353,18 @@ def judge(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int
     return out.withColumn("id", F.nullif("id", F.lit(_LAST))).withColumnRenamed("id", id_col)
 
 
-def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, text) for each row of ``docs``, repeated strings taken out; see ``judge``. Bytes of a character that was cut go as well."""
+def removed(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """The rows of ``docs`` with repeated strings taken out of their texts; see ``judge``.
+
+    Bytes of a character that was cut go as well. ``chars_col``, if there is such
+    a column, gets the length of the new text. Other columns stay as they are.
+    """
+    keep = [c for c in docs.columns if c not in (id_col, text_col)]
 
     def rest(raw: np.ndarray, covered: np.ndarray):
         return (raw[~covered].tobytes().decode("utf-8", "ignore"),)
 
-    out = _finish(docs, rest, "id long, text string", length, anchor, hot, id_col, text_col)
-    return out.select(F.nullif("id", F.lit(_LAST)).alias(id_col), F.col("text").alias(text_col))
+    out = _finish(docs, rest, "id long, text string", length, anchor, hot, id_col, text_col, keep)
+    new = {id_col: F.nullif("id", F.lit(_LAST)).cast(docs.schema[id_col].dataType), text_col: F.col("text")}
+    kept = {c: F.length("text").cast(docs.schema[c].dataType) if c == chars_col else F.col(f"kept.{c}") for c in keep}
+    return out.select(*[(new | kept)[c].alias(c) for c in docs.columns])
