@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from foliant.plans import claim_queries, parse_queries
+
+MODULES = [parse_queries, claim_queries]
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}
