@@ -69,8 +69,9 @@ def hits(text, pattern: str) -> Column:
     t = col(text)
     found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
     between = F.split(t, pattern, -1)
-    at = starts(F.flatten(F.zip_with(between, found, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))))
-    return F.transform(found, lambda x, i: F.struct(F.get(at, 2 * i + 1).alias("start"), x.alias("text")))
+    at = F.filter(starts(F.flatten(F.zip_with(between, found, lambda a, b: F.array(a, F.coalesce(b, F.lit("")))))), lambda x, i: i % 2 == 1)
+    # arrays are made once and zipped; inside a lambda they would be made for every match
+    return F.filter(F.zip_with(found, at, lambda x, s: F.struct(s.alias("start"), x.alias("text"))), lambda h: h["text"].isNotNull())
 
 
 def count(text, pattern: str) -> Column:

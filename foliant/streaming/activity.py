@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 TOKEN_CAP, REQUEST_CAP, IDLE, REUSE = 50_000, 40, "10 minutes", "6 hours"
 
 
+def timed(rows: DataFrame) -> DataFrame:
+    """Watermarks need an instant; times without a zone are taken in the session's."""
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def daily_usage(events: DataFrame, token_cap: int = TOKEN_CAP, request_cap: int = REQUEST_CAP) -> DataFrame:
     """(user_id, day, tokens, requests, over): each request counts once; days are UTC."""
     return events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("requests")).withColumn("over", (F.col("tokens") >= token_cap) | (F.col("requests") >= request_cap))
@@ -27,7 +32,7 @@ def admitted(events: DataFrame, token_cap: int = TOKEN_CAP, request_cap: int = R
 
 def daily_usage_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Tumbling days with a watermark; write it in update mode, as an upsert by user and day."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "user_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("requests")).select("user_id", F.to_date("window.start").alias("day"), "tokens", "requests")
+    return timed(events).withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "user_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("requests")).select("user_id", F.to_date("window.start").alias("day"), "tokens", "requests")
 
 
 def sessions(events: DataFrame, idle: str = IDLE) -> DataFrame:
@@ -37,7 +42,7 @@ def sessions(events: DataFrame, idle: str = IDLE) -> DataFrame:
 
 def sessions_stream(events: DataFrame, idle: str = IDLE, late: str = "10 minutes") -> DataFrame:
     """A closed session gives one row, in append mode."""
-    return sessions(events.withWatermark("ts", late), idle)
+    return sessions(timed(events).withWatermark("ts", late), idle)
 
 
 def latest(updates: DataFrame, key: str = "finding_id") -> DataFrame:
@@ -59,7 +64,7 @@ def first_requests(requests: DataFrame, key: str = "request") -> DataFrame:
 
 def first_requests_stream(requests: DataFrame, key: str = "request") -> DataFrame:
     """Each key once within the watermark of the reuse time."""
-    return requests.withWatermark("ts", REUSE).dropDuplicatesWithinWatermark([key])
+    return timed(requests).withWatermark("ts", REUSE).dropDuplicatesWithinWatermark([key])
 
 
 def upsert(target: str, keys: list[str]):
