@@ -6,8 +6,7 @@ and orders it there; the least of each part is selected. Of the ``PARTS`` parts
 of a tuple the selected k-mers are put in the order in which the text has them
 and hashed together. Two texts agree in a tuple if they select the same k-mers in
 the same order, which words that are moved upset as much as words that are
-replaced. (One hash for each k-mer, not one for each tuple: each k-mer is hashed
-once, however many tuples there are.)
+replaced. Each k-mer is hashed once, however many tuples there are.
 """
 
 from __future__ import annotations
@@ -23,34 +22,44 @@ K, TUPLES, PARTS = 2, 32, 2
 PLACE_BITS = 24
 
 
-def _kmers(texts: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Rows (keys, at, kmer): each k-mer's hash and place; a text with fewer words than k has one k-mer of all its words, an empty text one of none."""
-    words = F.filter(F.split("text", r"[\x09-\x0D\x20]+"), lambda w: w != "")
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - k, F.lit(0))), lambda i: F.xxhash64(*[F.try_element_at("words", i + 1 + j) for j in range(k)]))
-    return texts.select(*keys, words.alias("words")).select(*keys, F.posexplode(runs).alias("at", "kmer"))
+def with_signature(texts: DataFrame, text: str, name: str, k: int = K, tuples: int = TUPLES, parts: int = PARTS) -> DataFrame:
+    """Adds ``name``, array<long>: the hashes of a text's tuples, null where a tuple has no k-mer; equal texts have equal signatures.
 
-
-def signatures(texts: DataFrame, keys: list[str], k: int = K, tuples: int = TUPLES, parts: int = PARTS) -> DataFrame:
-    """Rows (keys, signature array<long>): ``tuples`` hashes for each row (keys, text); equal texts have equal signatures.
-
-    ``keys`` must tell rows apart. A tuple of which no part has a k-mer is null.
-    ``texts`` should be dealt out by a subset of ``keys``: nothing here moves then.
+    A text of fewer words than k has one k-mer, of all its words; an empty text
+    has one of none. All is done on arrays of packed numbers, row by row: k-mers
+    sorted by hash and place give each its occurrence number by binary search for
+    the first of its equals, and numbered k-mers sorted by part and hash have the
+    least of each part first. Nothing is exploded, shuffled or spilled.
     """
-    nth = F.row_number().over(W.partitionBy(*keys, "kmer").orderBy("at"))
-    dealt = _kmers(texts, keys, k).select(*keys, "at", F.xxhash64("kmer", nth).alias("h"))
-    part = F.pmod("h", F.lit(tuples * parts)).cast("int").alias("part")
-    high = F.shiftleft(F.shiftright(F.xxhash64("h"), PLACE_BITS), PLACE_BITS)
-    value = high.bitwiseOR(F.least("at", F.lit((1 << PLACE_BITS) - 1)).cast("long")).alias("value")
-    least = dealt.select(*keys, part, value).groupBy(*keys, "part").agg(F.min("value").alias("value"))
-    picked = F.collect_list(F.struct(F.col("value").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("at"), F.shiftright("value", PLACE_BITS).alias("h"), "part"))
-    merged = least.groupBy(*keys).agg(F.array_sort(picked).alias("picked"))
+    low = (1 << PLACE_BITS) - 1
+    words, first, second, least = (f"_{name}_{x}" for x in ("words", "first", "second", "least"))
+    place = lambda i: F.least(i, F.lit(low)).cast("long")
+    kmer = lambda i: F.xxhash64(*[F.try_element_at(words, i + 1 + j) for j in range(k)])
+    packed = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0))), lambda i: F.shiftleft(F.shiftright(kmer(i), PLACE_BITS), PLACE_BITS).bitwiseOR(place(i)))
+    rows = texts.withColumn(words, F.filter(F.split(text, r"[\x09-\x0D\x20]+"), lambda w: w != "")).withColumn(first, F.sort_array(packed)).drop(words)
+    of = lambda x: F.shiftright(x, PLACE_BITS)
+    steps = F.array(*[F.lit(1 << b) for b in range(PLACE_BITS - 1, -1, -1)])
+
+    def nth(x, j):
+        begin = F.aggregate(steps, j, lambda at, d: F.when((at >= d) & (of(F.get(first, at - d)) == of(x)), at - d).otherwise(at))
+        return F.when((j > 0) & (of(F.get(first, j - 1)) == of(x)), j - begin).otherwise(F.lit(0))
+
+    def value(x, j):
+        h = F.xxhash64(of(x), nth(x, j))
+        part = F.shiftleft(F.pmod(h, F.lit(tuples * parts)).cast("long"), 56)
+        return part.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.xxhash64(h), 32), PLACE_BITS)).bitwiseOR(x.bitwiseAND(F.lit(low).cast("long")))
+
+    part = lambda v: F.shiftright(v, 56)
+    rows = rows.withColumn(second, F.sort_array(F.transform(first, value))).drop(first)
+    rows = rows.withColumn(least, F.filter(second, lambda v, j: (j == 0) | (part(F.get(second, j - 1)) != part(v)))).drop(second)
 
     def one(t):
-        mine = F.filter("picked", lambda x: F.floor(x["part"] / parts) == t)
-        text = F.array_join(F.transform(mine, lambda x: F.concat_ws(":", x["part"].cast("string"), x["h"].cast("string"))), ",")
-        return F.when(F.size(mine) > 0, F.xxhash64(text))
+        # the column is named twice, which keeps the planner from moving its making into this lambda
+        mine = F.filter(least, lambda v: F.floor(part(v) / parts) == t)
+        in_order = F.array_sort(F.transform(mine, lambda v: F.struct(v.bitwiseAND(F.lit(low).cast("long")).alias("at"), of(v).alias("h"))))
+        return F.when(F.size(mine) > 0, F.xxhash64(F.transform(in_order, lambda y: y["h"])))
 
-    return merged.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(tuples - 1)), one).alias("signature"))
+    return rows.withColumn(name, F.transform(F.sequence(F.lit(0), F.lit(tuples - 1)), one)).drop(least)
 
 
 def likeness(a, b):
@@ -88,30 +97,27 @@ def compare(docs: DataFrame, k: int = K, tuples: int = TUPLES, parts: int = PART
     id has no next document: nothing replaces what it loses, and near_next is 0.
     Repeated rows stay; other columns are not read; an empty table gives no rows.
     """
-    spark = docs.sparkSession
-    tasks = shuffle_tasks(spark)
-    key = ["known", "id", "row"]
-    known, there = F.col(id_col).isNotNull().alias("known"), F.coalesce(F.col(id_col), F.lit(0)).alias("id")
-    base = docs.select(known, there, F.coalesce(text_col, F.lit("")).alias("text"))
-    base = base.repartition(tasks, "known", "id").withColumn("row", F.row_number().over(W.partitionBy("known", "id").orderBy("text")))
-    ring = following(docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct(), tasks)
+    tasks = shuffle_tasks(docs.sparkSession)
+    known, text = F.col(id_col).isNotNull(), F.coalesce(text_col, F.lit(""))
+    quarter = lambda t: F.floor(F.length(t) / 4).cast("int")
     # how much of the next document is wanted depends on the longest row of the id
-    wanted = base.filter("known").groupBy("id").agg(F.max(F.floor(F.length("text") / 4)).cast("int").alias("quarter"))
-    pairs = ring.join(wanted.hint("merge"), "id").select("id", "quarter", "next_id", F.lit(True).alias("known"))
-    firsts = base.filter("known AND row = 1").select("known", F.col("id").alias("next_id"), "text")
-    heads = pairs.join(firsts.hint("merge"), ["known", "next_id"]).select("known", "id", F.substring("text", F.lit(1), F.col("quarter")).alias("head"), "next_id")
+    ids = docs.filter(known).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(quarter(text)).alias("quarter"))
+    ids = stored(ids, "quarters")
+    pairs = following(ids.select("id"), tasks).join(ids.hint("merge"), "id").select(F.col("id").alias("for_id"), "quarter", F.col("next_id").alias("id"))
+    # rows without id are spread by their text; texts are dealt out by id once, for both joins
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("id"), known.alias("known"), text.alias("text")).repartition(tasks, "id")
+    base = base.withColumn("row", F.row_number().over(W.partitionBy("id").orderBy(F.desc("known"), "text")))
+    heads = base.join(pairs.hint("merge"), "id").filter("known AND row = 1").select(F.col("for_id").alias("id"), F.substring("text", F.lit(1), F.col("quarter")).alias("head"), F.col("id").alias("next_id"))
     n = F.length("text")
-    quarter = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - quarter), F.substring(F.coalesce("head", F.lit("")), F.lit(1), quarter))
-    both = base.join(heads.hint("merge"), ["known", "id"], "left").select(*key, "next_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    facts = both.select(*key, "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    sided = both.select(*key, F.posexplode(F.array("text", "edited")).alias("side", "text"))
-    prints = stored(signatures(sided, [*key, "side"], k, tuples, parts), "prints")
-    side = lambda s, name: prints.filter(F.col("side") == s).select(*key, F.col("signature").alias(name))
-    shown = lambda c: F.array_join(F.transform(c, lambda x: F.lpad(F.hex(x), 16, "0")), "-", "-")
-    following_print = side(0, "following").filter("known AND row = 1").select(F.col("id").alias("next_id"), "following")
-    joined = facts.join(side(0, "mine").hint("merge"), key).join(side(1, "other").hint("merge"), key).join(following_print.hint("merge"), "next_id", "left")
+    head = F.when(F.col("known"), F.col("head"))
+    edited = F.concat(F.substring("text", F.lit(1), n - quarter("text")), F.substring(F.coalesce(head, F.lit("")), F.lit(1), quarter("text")))
+    both = base.join(heads.hint("merge"), "id", "left").select("id", "known", "row", F.when(F.col("known"), F.col("next_id")).alias("next_id"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    both = with_signature(both.withColumn("edited_sha256", F.sha2("edited", 256)), "text", "mine", k, tuples, parts).drop("text")
+    prints = stored(with_signature(both, "edited", "other", k, tuples, parts).drop("edited"), "prints")
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.lpad(F.hex(x), 16, "0")), "-", "none")
+    neighbour = prints.filter("known AND row = 1").select(F.col("id").alias("next_id"), F.col("mine").alias("following"))
+    joined = prints.join(neighbour.hint("merge"), "next_id", "left")
     return joined.select(
-        F.when(F.col("known"), F.col("id")).alias(id_col), "n_chars", "edited_sha256", shown("mine").alias("fingerprint"), shown("other").alias("edited_fingerprint"),
+        F.when(F.col("known"), F.col("id")).cast(docs.schema[id_col].dataType).alias(id_col), "n_chars", "edited_sha256", shown("mine").alias("fingerprint"), shown("other").alias("edited_fingerprint"),
         likeness("mine", "other").alias("near_edited"), F.when(F.col("following").isNull(), 0.0).otherwise(likeness("mine", "following")).alias("near_next"),
     )
