@@ -99,7 +99,7 @@ def dice(a, b) -> Column:
     of = lambda arr, g: F.size(F.filter(arr, lambda v: v == g))
     common = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, g: s + F.least(of(x, g), of(y, g)))
     total = F.size(x) + F.size(y)
-    return F.when(col(a) == col(b), 1.0).when((F.length(col(a)) < 2) | (F.length(col(b)) < 2), 0.0).otherwise(2.0 * common / total)
+    return F.when(col(a) == col(b), 1.0).when((F.length(col(a)) < 2) | (F.length(col(b)) < 2), 0.0).otherwise(2.0 * common / F.nullif(total, F.lit(0)))
 
 
 def levenshtein_ratio(a, b) -> Column:
