@@ -54,7 +54,10 @@ def test_signature_feels_order(spark):
     swapped = words[200:] + words[:200]
     replaced = words[:380] + [f"v{k}" for k in range(20)]
     rows = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(swapped)), (3, " ".join(replaced))], "id long, text string").repartition("id")
-    sig = {r.id: r.signature for r in fingerprints.signatures(rows, ["id"]).collect()}
+    sig = {r.id: r.signature for r in fingerprints.with_signature(rows, "text", "signature").collect()}
+    # the same from the words, numbered by occurrence one after another
+    again = spark.createDataFrame([(4, "a b a b a b c"), (5, " a\tb a b\na b c ")], "id long, text string")
+    assert len({tuple(r.signature) for r in fingerprints.with_signature(again, "text", "signature").collect()}) == 1
     like = lambda a, b: sum(x == y for x, y in zip(sig[a], sig[b])) / len(sig[a])
     assert like(1, 3) > like(1, 2) and like(1, 2) < 0.8
 
