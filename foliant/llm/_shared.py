@@ -37,8 +37,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows of an Arrow batch, so that long texts fit a Python worker."""
+    """Bound the rows and bytes of an Arrow batch, so that long texts fit a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def shuffle_tasks(spark: SparkSession) -> int:

@@ -30,6 +30,8 @@ from foliant.llm.jaccard import _powers, mix
 LENGTH, ANCHOR, HOT = 100, 40, 20_000
 #: Characters of the input for each bucket of digests, and of fragments for each bucket of suffixes.
 BUCKET_CHARS, SORT_BYTES = 16_000_000, 1_000_000
+#: Bytes of text that are hashed at once.
+CHUNK_BYTES = 1 << 20
 
 _BYTES = [mix(np.arange(1, 257, dtype=np.uint64), s) for s in (11, 13)]
 _LAST = np.iinfo(np.int64).max
@@ -74,6 +76,31 @@ def fragments(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     return doc[new], a, b, h[m[new]], _hash(other, a, b + length) ^ (m[new] - a).astype(np.uint64)
 
 
+def _in_chunks(raw: list[bytes], starts: np.ndarray, length: int, anchor: int):
+    """``fragments`` of documents, by chunks of bounded size; places count into the concatenation of all.
+
+    A long document is cut into pieces that overlap by less than a string, so every
+    string is in one piece; its anchor is the same there.
+    """
+    pieces = [(k, p, x[p : p + CHUNK_BYTES + length - 1]) for k, x in enumerate(raw) for p in range(0, max(len(x) - length + 1, 0), CHUNK_BYTES)]
+    out, lo = [], 0
+    while lo < len(pieces):
+        hi, size = lo, 0
+        while hi < len(pieces) and (hi == lo or size + len(pieces[hi][2]) <= CHUNK_BYTES):
+            size += len(pieces[hi][2])
+            hi += 1
+        ends = np.cumsum([len(x) for _, _, x in pieces[lo:hi]], dtype=np.int64)
+        begins = np.r_[0, ends[:-1]]
+        piece, first, last, h, digest = fragments(np.frombuffer(b"".join([x for _, _, x in pieces[lo:hi]]), np.uint8), begins, ends, length, anchor)
+        doc, at = (np.array([x[k] for x in pieces[lo:hi]], np.int64) for k in (0, 1))
+        move = (starts[doc] + at - begins)[piece]
+        out.append((doc[piece], first + move, last + move, h, digest))
+        lo = hi
+    if not out:
+        return fragments(np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), length, anchor)
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
     """Positions sorted by their first ``depth`` symbols at least, by doubling."""
     _, rank = np.unique(symbols, return_inverse=True)
@@ -179,7 +206,7 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int
             raw = texts.to_pylist()
             ends = np.cumsum([len(x) for x in raw], dtype=np.int64)
             starts = np.r_[0, ends[:-1]] if len(ends) else ends
-            doc, first, last, h, digest = fragments(np.frombuffer(b"".join(raw), np.uint8), starts, ends, length, anchor)
+            doc, first, last, h, digest = _in_chunks(raw, starts, length, anchor)
             by = np.lexsort((digest, h))
             again = np.zeros(len(by), bool)
             again[by[1:]] = (h[by[1:]] == h[by[:-1]]) & (digest[by[1:]] == digest[by[:-1]])

@@ -45,6 +45,22 @@ def test_all_paths_against_brute_force(spark):
             assert got == brute(rows, length), (hot, length)
 
 
+def test_chunks_give_the_same_strings():
+    import numpy as np
+
+    r = random.Random(8)
+    raw = [bytes(r.choice(b"abc") for _ in range(n)) for n in (0, 10, 300, 1000, 99, 250)]
+    starts = np.r_[0, np.cumsum([len(x) for x in raw])][:-1]
+    strings = lambda f: sorted((int(d), p, int(a)) for d, lo, hi, a in zip(*f[:4]) for p in range(int(lo), int(hi) + 1))
+    whole = strings(substrings._in_chunks(raw, starts, 20, 8))
+    assert len(whole) == sum(max(len(x) - 19, 0) for x in raw)
+    old, substrings.CHUNK_BYTES = substrings.CHUNK_BYTES, 64
+    try:
+        assert strings(substrings._in_chunks(raw, starts, 20, 8)) == whole
+    finally:
+        substrings.CHUNK_BYTES = old
+
+
 def test_odd_rows(spark, odd_docs):
     got = substrings.judge(odd_docs)
     assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] and got.count() == 9
