@@ -247,6 +247,8 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int
                 to.append(v)
         h, digest, ids, marks, start, more = (np.concatenate(x) for x in (h, digest, ids, marks, start, more))
         order = np.lexsort((start, marks, ids, digest, h))
+        same = np.all([x[order[1:]] == x[order[:-1]] for x in (h, digest, ids, marks, start)], axis=0)
+        order = order[np.r_[True, ~same]]  # repeated rows of a document, from different batches
         h, digest, ids, marks, start, more = (x[order] for x in (h, digest, ids, marks, start, more))
         anew = np.r_[True, h[1:] != h[:-1]]
         dnew = anew | np.r_[True, digest[1:] != digest[:-1]]

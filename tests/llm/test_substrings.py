@@ -68,3 +68,21 @@ def test_odd_rows(spark, odd_docs):
     out = substrings.removed(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == 9
     assert all(r.n_chars == len(r.text) for r in out.collect())
+
+
+def test_repeated_rows_in_different_partitions(spark):
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    shared = word(150)
+    docs = [(1, word(400)), (2, word(120) + shared), (3, shared + word(200)), (4, word(50)), (None, word(300))]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(docs + docs[::-1] + docs[:1] + docs[2:], 14), "doc_id long, text string")
+    assert df.rdd.getNumPartitions() == 14
+    want = {row[0]: row for row in brute(docs, 100)}
+    assert want[1][2] == 0 and want[3][2] >= 150
+    texts = dict(docs)
+    for hot in (20_000, 1):
+        got = sorted(map(tuple, substrings.judge(df, hot=hot).collect()), key=repr)
+        assert got == sorted((want[x.doc_id] for x in df.collect()), key=repr), hot
+        out = substrings.removed(df, hot=hot).collect()
+        assert len(out) == 14 and all(len(x.text) == want[x.doc_id][1] - want[x.doc_id][2] for x in out), hot
+        assert all(x.text == texts[x.doc_id] for x in out if x.doc_id in (1, 2, 4, None)), hot
