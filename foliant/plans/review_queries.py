@@ -111,6 +111,15 @@ def p10_source_types(spark, sf_dir):
     return pages.select("page_id", review.source_type(F.substring("html", 1, 200), F.when(F.col("page_id") % 4 != 0, F.col("url"))).alias("source_type"))
 
 
+_TITLE = "(?is)<title[^>]*>(.*?)</title>"
+
+
+@query(rf"SELECT page_id, CASE WHEN regexp_matches(t, 'student paper|submitted to') THEN 'student_paper' WHEN regexp_matches(t, 'journal|proceedings|conference|press|publication') OR regexp_matches(u, 'doi\.org|/article|pubmed') THEN 'publication' WHEN u <> '' OR regexp_matches(t, 'https?://|www\.') THEN 'internet' ELSE 'unknown' END AS source_type FROM (SELECT page_id, lower(coalesce(regexp_extract(html, {q(_TITLE)}, 1), '')) AS t, lower(coalesce(url, '')) AS u FROM pages)")
+def p10_source_types_whole(spark, sf_dir):
+    """The title of the whole page, and every page's address."""
+    return read(spark, sf_dir, "pages").select("page_id", review.source_type(F.regexp_extract("html", _TITLE, 1), "url").alias("source_type"))
+
+
 def _has(p: str) -> str:
     return f"regexp_matches(full_text, {q(T.words_like(p))})"
 
