@@ -26,9 +26,10 @@ def query(sql: str | None = None):
     return add
 
 
-def flags(spark, sf_dir):
-    """A similarity report's flags: every fifth sentence of each manuscript, some with a text that it doesn't hold."""
-    s = parse.sentences(manuscripts(spark, sf_dir)).filter("pmod(sentence_index + doc_id, 5) = 0")
+def flags(spark, sf_dir, whole: bool = False):
+    """A similarity report's flags: every fifth sentence of each manuscript, or every one; some with a text that it doesn't hold."""
+    s = parse.sentences(manuscripts(spark, sf_dir))
+    s = s if whole else s.filter("pmod(sentence_index + doc_id, 5) = 0")
     k = F.col("sentence_index")
     pick = lambda xs: F.get(F.array(*[F.lit(x) for x in xs]), F.pmod(k, F.lit(len(xs))).cast("int"))
     return s.select("doc_id", k.alias("flag_id"), F.when(k % 11 == 7, F.concat(F.lit("zz "), "text")).otherwise(F.col("text")).alias("text"), (F.pmod(F.col("doc_id") * 7 + k * 3, F.lit(60)) / 10.0).alias("match_pct"), pick([*TITLES, None]).alias("source_title"), pick(TYPES).alias("source_type"), F.when(k % 2 == 0, "https://example.org/x").alias("source_url"))
@@ -40,6 +41,19 @@ FLAGS = f"""flags AS (SELECT doc_id, sentence_index AS flag_id, CASE WHEN senten
 aligned AS (SELECT f.*, CASE WHEN length(text) >= 15 AND contains(lower(full_text), lower(text)) THEN instr(lower(full_text), lower(text)) - 1 ELSE -1 END AS paper_start FROM flags f JOIN manuscripts USING (doc_id)),
 ends AS (SELECT *, CASE WHEN paper_start >= 0 THEN paper_start + length(text) ELSE -1 END AS paper_end, CASE WHEN paper_start >= 0 THEN 1.0 ELSE 0.0 END AS score FROM aligned)"""
 
+FIFTH = "FROM sentences WHERE (sentence_index + doc_id) % 5 = 0"
+
+
+def whole(of: str):
+    """Registers f as ``of`` with every sentence as a flag; the oracle is that of ``of`` without its filter."""
+
+    def add(f):
+        assert FIFTH in ORACLES[of]
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, ORACLES[of].replace(FIFTH, "FROM sentences")
+        return f
+
+    return add
+
 
 @query(f"WITH {MANUSCRIPTS}, {SENTENCES}, {FLAGS} SELECT doc_id, flag_id, CAST(paper_start AS INTEGER) AS paper_start, CAST(paper_end AS INTEGER) AS paper_end, CAST(score AS DOUBLE) AS score FROM ends")
 def j1_aligned_flags(spark, sf_dir):
@@ -47,11 +61,21 @@ def j1_aligned_flags(spark, sf_dir):
     return review.align(flags(spark, sf_dir), manuscripts(spark, sf_dir)).select("doc_id", "flag_id", "paper_start", "paper_end", "score")
 
 
+@whole("j1_aligned_flags")
+def j1_aligned_flags_whole(spark, sf_dir):
+    return review.align(flags(spark, sf_dir, whole=True), manuscripts(spark, sf_dir)).select("doc_id", "flag_id", "paper_start", "paper_end", "score")
+
+
 @query(f"WITH {MANUSCRIPTS}, {SENTENCES}, {FLAGS} SELECT doc_id, count(*) AS flags, avg(score) AS match_rate FROM ends GROUP BY doc_id")
 def a1_match_rate(spark, sf_dir):
     return review.match_rate(review.align(flags(spark, sf_dir), manuscripts(spark, sf_dir)))
 
 
+@whole("a1_match_rate")
+def a1_match_rate_whole(spark, sf_dir):
+    return review.match_rate(review.align(flags(spark, sf_dir, whole=True), manuscripts(spark, sf_dir)))
+
+
 def _norm(c: str) -> str:
     return MATCH_SQL.replace("lower(text)", f"lower({c})")
 
@@ -77,6 +101,11 @@ def j5_sources_in_references(spark, sf_dir):
     return review.references_of(flags(spark, sf_dir), parse.reference_fields(parse.references(m)))
 
 
+@whole("j5_sources_in_references")
+def j5_sources_in_references_whole(spark, sf_dir):
+    return review.references_of(flags(spark, sf_dir, whole=True), parse.reference_fields(parse.references(manuscripts(spark, sf_dir))))
+
+
 def _any(phrases) -> str:
     return "(" + " OR ".join(f"contains(norm, {q(p)})" for p in phrases) + ")"
 
@@ -100,8 +129,15 @@ cascade AS (SELECT doc_id, flag_id, paper_start, CASE
 @query(f"WITH {MANUSCRIPTS}, {SENTENCES}, {_heads(True)}, {FLAGS}, {REFERENCES}, {FIELDS}, {SOURCES}, {CASCADE} SELECT doc_id, flag_id, category, category IN ('reference_entry', 'properly_quoted', 'common_phrase', 'methods_boilerplate', 'already_cited', 'trivial_match') OR (category = 'review_manually' AND paper_start < 0) AS informational FROM cascade")
 def q2_review_similarity(spark, sf_dir):
     """Flags aligned, matched to references and sorted by the ordered cascade."""
-    m = manuscripts(spark, sf_dir)
-    f = flags(spark, sf_dir)
+    return _categorized(manuscripts(spark, sf_dir), flags(spark, sf_dir))
+
+
+@whole("q2_review_similarity")
+def q2_review_similarity_whole(spark, sf_dir):
+    return _categorized(manuscripts(spark, sf_dir), flags(spark, sf_dir, whole=True))
+
+
+def _categorized(m, f):
     return review.categorize(review.align(f, m), m, parse.sections(m), review.references_of(f, parse.reference_fields(parse.references(m))))
 
 

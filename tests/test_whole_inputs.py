@@ -1,6 +1,8 @@
 """Queries that read all of their input: what stands late in a text counts too."""
 
+from foliant.operators import parse
 from foliant.plans import registry
+from foliant.sources.manuscripts import manuscripts
 
 
 def test_late_marks_of_reports_count(spark, tmp_path):
@@ -20,3 +22,13 @@ def test_titles_and_addresses_of_pages(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: r.source_type for r in registry.QUERIES["p10_source_types_whole"](spark, str(tmp_path)).collect()}
     assert got == {4: "publication", 5: "student_paper", 6: "unknown", 8: "internet"}
+
+
+def test_every_sentence_is_a_flag_and_a_badge(spark, sf):
+    s = parse.sentences(manuscripts(spark, sf))
+    sentences, numbered = s.count(), s.filter("sentence_index % 230 < 200").count()
+    assert registry.QUERIES["j1_aligned_flags_whole"](spark, sf).count() == sentences
+    assert registry.QUERIES["q2_review_similarity_whole"](spark, sf).count() == sentences
+    assert registry.QUERIES["a1_match_rate_whole"](spark, sf).agg({"flags": "sum"}).first()[0] == sentences
+    assert registry.QUERIES["p14_badges_whole"](spark, sf).count() == numbered
+    assert {r.badge_style for r in registry.QUERIES["p13_badge_style_whole"](spark, sf).collect()} == {True, False}
