@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm._shared import arrow_batches
-from foliant.llm.pieces import KEPT_WORDS, PieceModel, load
+from foliant.llm.pieces import KEPT_WORDS, PieceModel, cache, load, utf8
 
 
 def count_word(word: str, model: PieceModel) -> int:
@@ -55,7 +56,13 @@ def count_word(word: str, model: PieceModel) -> int:
     return count
 
 
-_COUNTS: dict[str | None, dict[str, int]] = {}
+def as_counts(model: PieceModel):
+    """The tokens of each word, for a ``WordCache`` that only splits."""
+
+    def of(words: list[str]) -> list[int]:
+        return [count_word(w, model) for w in words]
+
+    return of
 
 
 def count_text(text: str, model: PieceModel, known: dict[str, int]) -> int:
@@ -82,10 +89,12 @@ def count_tokens(docs: DataFrame, limit: int = 4096, path: str | None = None, id
     def run(batches):
         import pyarrow as pa
 
-        model, known = load(path), _COUNTS.setdefault(path, {})
+        words = cache(path, "counts", as_counts(load(path)), split_only=True)
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([count_text(t, model, known) for t in texts], pa.int64())], ["id", "n_bytes", "n_tokens"])
+            raws = utf8(b.column(1))
+            values, place, bounds = words.batch(raws)
+            total = np.r_[0, np.cumsum(np.array(values, np.int64)[place])] if len(place) else np.zeros(1, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raws], pa.int64()), pa.array(np.diff(total[bounds]))], ["id", "n_bytes", "n_tokens"])
 
     out = docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

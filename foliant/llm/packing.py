@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm._shared import arrow_batches
-from foliant.llm.pieces import as_bytes, cache, load
+from foliant.llm.pieces import as_bytes, cache, gathered, load, utf8
 
 #: Characters of a shard; shards, not their size, grow with the input.
 SHARD_CHARS = 4_000_000
@@ -90,15 +90,15 @@ def pack(docs: DataFrame, capacity: int = 4096, pad_id: int = 0, path: str | Non
         import pyarrow as pa
 
         words = cache(path, wide, as_bytes(wide))
-        step = capacity * int(wide[-1])
         for b in batches:
             at, no, ids = [], [], []
-            for k, x in enumerate(words.texts([t or "" for t in b.column(2).to_pylist()])):
-                flat = b"".join(x)
-                for p in range(0, len(flat), step):
+            values, place, bounds = words.batch(utf8(b.column(2)))
+            flat, ends = gathered(values, place, wide)
+            for k, (lo, hi) in enumerate(zip(ends[bounds].tolist(), ends[bounds[1:]].tolist(), strict=False)):
+                for p in range(lo, hi, capacity):
                     at.append(k)
-                    no.append(p // step)
-                    ids.append(flat[p : p + step])
+                    no.append((p - lo) // capacity)
+                    ids.append(flat[p : min(p + capacity, hi)].tobytes())
             at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(no, pa.int32()), pa.array(ids, pa.binary())], ["shard", "id", "piece_no", "ids"])
 

@@ -23,9 +23,12 @@ from pyspark.sql import functions as F
 from foliant.llm._shared import arrow_batches
 
 MARK = "▁"
+MARK_BYTES = MARK.encode()
 NONE = np.int64(1) << 40
 #: Words that a Python worker keeps, at most.
 KEPT_WORDS = 500_000
+#: Longer words are not kept.
+KEPT_BYTES = 64
 
 
 class PieceModel:
@@ -74,7 +77,8 @@ class PieceModel:
         self.merged = np.array(merged, np.int32)[sort]
         self._index()
         self.pairs = {int(k): (int(r), int(m)) for k, r, m in zip(self.keys, self.ranks, self.merged, strict=True)}
-        alone = "".join(re.escape(c) for c in "\n\t\r\v\f" if c not in inner)
+        self.alone = "".join(c for c in "\n\t\r\v\f" if c not in inner)
+        alone = re.escape(self.alone)
         self.words = re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else ""))
 
     def _index(self) -> None:
@@ -190,8 +194,13 @@ class PieceModel:
 
     def decode(self, ids) -> str:
         """The text of token ids; bytes that are no UTF-8 become U+FFFD."""
-        out = b"".join([self.surface[i] for i in ids])
-        return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
+        return decoded([self.surface[i] for i in ids])
+
+
+def decoded(surfaces: list[bytes]) -> str:
+    """The text of what tokens stand for: without the blank put before the first word; bytes that are no UTF-8 become U+FFFD."""
+    out = b"".join(surfaces)
+    return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -204,27 +213,95 @@ def load(path: str | None = None) -> PieceModel:
 
 
 class WordCache:
-    """What ``of(ids, bounds)`` makes of each word, kept for the words seen last."""
+    """What ``of(ids, bounds)`` makes of each word's ids, or ``of(words)`` of the words themselves, kept for the words seen last.
 
-    def __init__(self, model: PieceModel, of, most: int = KEPT_WORDS):
-        self.model, self.of, self.most, self.known, self.older = model, of, most, {}, {}
+    Texts are cut into words by a few passes over their bytes, and the words of a
+    batch are made distinct by Arrow's dictionary encoding, so that Python meets
+    a word once a batch, however often it occurs there.
+    """
+
+    def __init__(self, model: PieceModel, of, most: int = KEPT_WORDS, split_only: bool = False):
+        self.model, self.most, self.known, self.older = model, most, {}, {}
+        self.of = of if split_only else lambda words: of(*model.encode_flat(words))
+        self.alone = np.zeros(256, bool)
+        self.alone[[ord(c) for c in model.alone]] = True
+
+    def _words(self, raws: list[bytes]):
+        """(distinct words, the place among them of each word, where each text's words begin and the last's end)."""
+        import pyarrow as pa
+
+        some = [k for k, x in enumerate(raws) if x]
+        data = b"".join([b" " + (x.replace(MARK_BYTES, b" ") if MARK_BYTES in x else x) for x in (raws[k] for k in some)])
+        raw = np.frombuffer(data, np.uint8)
+        gap, lone = raw == 32, self.alone[raw]
+        begin = lone.copy()
+        begin[1:] |= lone[:-1] | (gap[1:] & ~gap[:-1])
+        extra = np.array([raws[k].count(MARK_BYTES) for k in some], np.int64) * (len(MARK_BYTES) - 1)
+        sizes = np.array([len(raws[k]) + 1 for k in some], np.int64) - extra
+        at = np.cumsum(sizes) - sizes
+        begin[at] = True
+        starts = np.flatnonzero(begin)
+        offsets = np.r_[starts, len(raw)].astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        bounds = np.zeros(len(raws) + 1, np.int64)
+        bounds[np.array(some, np.int64) + 1] = np.diff(np.r_[np.searchsorted(starts, at), len(starts)])
+        distinct = words.dictionary
+        kept, cuts = distinct.buffers()[2].to_pybytes(), np.frombuffer(distinct.buffers()[1], np.int64)[: len(distinct) + 1].tolist()
+        return [kept[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], words.indices.to_numpy(), np.cumsum(bounds)
+
+    def batch(self, raws: list[bytes]) -> tuple[list, np.ndarray, np.ndarray]:
+        """(values, place, bounds): text k's words have the values at place[bounds[k] : bounds[k + 1]]."""
+        words, place, bounds = self._words(raws)
+        if 2 * len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        values = list(map(known.get, words))
+        missing = [k for k, v in enumerate(values) if v is None]
+        if older:
+            for k in missing:
+                if (v := older.get(words[k])) is not None:
+                    values[k] = known[words[k]] = v
+            missing = [k for k in missing if values[k] is None]
+        lo = 0
+        while lo < len(missing):  # by as many words as the processor's caches hold
+            hi, size = lo, 0
+            while hi < len(missing) and (hi == lo or size < 400_000):
+                size += sum([len(words[k]) for k in missing[hi : hi + 1000]])
+                hi += 1000
+            some = missing[lo:hi]
+            new = [words[k] for k in some]
+            joined = b"\0".join(new)
+            if joined.count(0) == len(new) - 1:
+                texts = joined.decode("utf-8", "surrogatepass").replace(" ", MARK).split("\0")
+            else:  # a text holds the separator
+                texts = [w.decode("utf-8", "surrogatepass").replace(" ", MARK) for w in new]
+            for k, w, v in zip(some, new, self.of(texts), strict=True):
+                values[k] = v
+                if len(w) <= KEPT_BYTES:
+                    known[w] = v
+            lo = hi
+        return values, place, bounds
 
     def texts(self, texts: list[str], at_once: int = 512) -> Iterator[list]:
         """For each text, the values of its words."""
         for lo in range(0, len(texts), at_once):
-            split = [self.model.split(t) for t in texts[lo : lo + at_once]]
-            if 2 * len(self.known) > self.most:
-                self.known, self.older = {}, self.known
-            known, older = self.known, self.older
-            missing = set().union(*split).difference(known)
-            if older:
-                known.update({w: older[w] for w in missing if w in older})
-                missing.difference_update(known)
-            if missing:
-                new = list(missing)
-                known.update(zip(new, self.of(*self.model.encode_flat(new)), strict=True))
-            for words in split:
-                yield [known[w] for w in words]
+            values, place, bounds = self.batch([t.encode("utf-8", "surrogatepass") for t in texts[lo : lo + at_once]])
+            place = place.tolist()
+            for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+                yield [values[k] for k in place[a:b]]
+
+
+def gathered(values: list[bytes], place: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the values at ``place``, one after another, and where each value's begin and the last's end."""
+    flat = np.frombuffer(b"".join(values), kind)
+    size = np.fromiter(map(len, values), np.int64, len(values)) // int(kind[-1])
+    start, n = np.cumsum(size) - size, size[place]
+    ends, out = np.cumsum(n), []
+    for lo in range(0, len(place), 1 << 19):
+        m = n[lo : lo + (1 << 19)]
+        move = start[place[lo : lo + (1 << 19)]] - (np.cumsum(m) - m)
+        out.append(flat[np.repeat(move, m) + np.arange(int(m.sum()))])
+    return np.concatenate(out) if out else flat[:0], np.r_[0, ends]
 
 
 def as_bytes(kind: str):
@@ -249,13 +326,30 @@ def as_text(model: PieceModel):
     return of
 
 
+def as_both(model: PieceModel):
+    """Each word's ids as little-endian numbers of 4 bytes, and what they decode to."""
+
+    def of(ids: np.ndarray, bounds: list[int]) -> list[tuple[bytes, bytes]]:
+        raw, surfaces = ids.astype("<i4").tobytes(), [model.surface[i] for i in ids.tolist()]
+        return [(raw[4 * a : 4 * b], b"".join(surfaces[a:b])) for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    return of
+
+
+def utf8(column) -> list[bytes]:
+    """The texts of an Arrow column as UTF-8; nulls are empty."""
+    import pyarrow as pa
+
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
 _CACHES: dict = {}
 
 
-def cache(path: str | None, kind: str, of) -> WordCache:
+def cache(path: str | None, kind: str, of, split_only: bool = False) -> WordCache:
     """A Python worker keeps its caches from task to task."""
     if (path, kind) not in _CACHES:
-        _CACHES[path, kind] = WordCache(load(path), of)
+        _CACHES[path, kind] = WordCache(load(path), of, split_only=split_only)
     return _CACHES[path, kind]
 
 
@@ -268,16 +362,18 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     """
     arrow_batches(docs.sparkSession)
     kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, *keep)}
+    names = list(kinds)
 
     def run(batches):
         import pyarrow as pa
 
-        words = cache(path, "ids", as_bytes("<i4"))
+        words = cache(path, "both", as_both(load(path)))
         for b in batches:
-            ids = [np.frombuffer(b"".join(x), np.int32) for x in words.texts([t or "" for t in b.column(0).to_pylist()])]
-            offsets = np.r_[0, np.cumsum([len(x) for x in ids])].astype(np.int32)
-            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array([words.model.decode(x.tolist()) for x in ids], pa.string())], [*kinds, "ids", "decoded"])
+            values, place, bounds = words.batch(utf8(b.column(0)))
+            ids, at = gathered([v[0] for v in values], place, "<i4")
+            surface, spots = [v[1] for v in values], place.tolist()
+            back = [decoded([surface[k] for k in spots[lo:hi]]) for lo, hi in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.ListArray.from_arrays(pa.array(at[bounds].astype(np.int32)), pa.array(ids, pa.int32())), pa.array(back, pa.string())], [*names, "ids", "decoded"])
 
     return docs.select(F.col(text_col).alias("_text"), *kinds).mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", ids array<int>, decoded string")
 
@@ -296,11 +392,14 @@ def encode_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_
         words = cache(path, "text", as_text(model))
         for b in batches:
             n, ids, back = [], [], []
-            for x in words.texts([t or "" for t in b.column(1).to_pylist()]):
-                n.append(sum([w[1] for w in x]))
-                ids.append(hashlib.sha256(",".join([w[0] for w in x]).encode()).hexdigest())
-                out = b"".join([w[2] for w in x])
-                back.append(hashlib.sha256((out[1:] if out[:1] == b" " else out).decode("utf-8", "replace").encode()).hexdigest())
+            values, place, bounds = words.batch(utf8(b.column(1)))
+            names, counts, surface = ([v[k] for v in values] for k in range(3))
+            total = np.r_[0, np.cumsum(np.array(counts, np.int64)[place])] if len(place) else np.zeros(1, np.int64)
+            n, spots = np.diff(total[bounds]), place.tolist()
+            for lo, hi in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+                mine = spots[lo:hi]
+                ids.append(hashlib.sha256(",".join([names[k] for k in mine]).encode()).hexdigest())
+                back.append(hashlib.sha256(decoded([surface[k] for k in mine]).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
