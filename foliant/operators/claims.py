@@ -62,26 +62,35 @@ def any_of(patterns) -> Column:
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """Sentences with section, page, and whether a citation lies within ``CITATION_WINDOW`` characters.
+    """Sentences with section, page, and whether a citation lies within ``CITATION_WINDOW`` characters."""
+    return parse.located_sentences(docs, CITATION_WINDOW)
+
+
+def need_score(rows: DataFrame) -> DataFrame:
+    """Adds ``need``, the score of a sentence that attributes a claim without a citation nearby (null if it doesn't), and ``need_reason``."""
+    eligible = (F.col("section") != "References") & (F.length(F.trim("text")) >= 40) & ~F.col("cited") & any_of(ATTRIBUTION.values()) & ~has(OWN_WORK)
+    score = 0.2 + F.lit(0.65) + F.when(any_of(CLAIM.values()), 0.25).otherwise(0.0)
+    score = score - F.when(F.col("section").isin(CLAIM_SECTIONS), 0.0).otherwise(0.25) - F.when(T.word_count("text") < 8, 0.3).otherwise(0.0)
+    reasons = F.array_compact(F.array(*[F.when(has(p), F.lit(label)) for label, p in [*ATTRIBUTION.items(), *CLAIM.items()]]))
+    rows = rows.withColumn("need", F.when(eligible, F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 6)))
+    return rows.withColumn("need_reason", F.when(F.col("need").isNotNull(), F.array_join(F.slice(reasons, 1, 2), " and ")))
 
-    The neighbourhood is cut from the text itself, so no citation has to be joined.
-    """
-    rows = parse.at_page(parse.at_section(parse.sentences(docs), parse.sections(docs)))
-    near = F.substring("full_text", F.greatest(F.lit(1), F.col("start_offset") - CITATION_WINDOW + 1), F.col("end_offset") - F.greatest(F.lit(0), F.col("start_offset") - CITATION_WINDOW) + CITATION_WINDOW)
-    marked = near.rlike(parse.BRACKET) | near.rlike(parse.AUTHOR_YEAR) | near.rlike(parse.YEAR_ALONE)
-    return rows.join(docs.select("doc_id", "full_text"), "doc_id").withColumn("cited", marked).drop("full_text")
+
+def quality_score(rows: DataFrame) -> DataFrame:
+    """Adds ``label`` (novelty without proof, weak reporting, vague numbers, in this order of precedence; null if none) and ``quality``, its score."""
+    eligible = (F.col("section") != "References") & (F.length(F.trim("text")) >= 40)
+    novelty, vague, weak = has(NOVELTY) & ~has(NOVELTY_SHOWN), has(VAGUE_NUMBER) & ~F.col("text").rlike(PRECISE_NUMBER), has(WEAK_REPORT)
+    label = F.when(novelty, "novelty_issue").when(weak, "publication_issue").when(vague, "numerical_ambiguity")
+    rows = rows.withColumn("label", F.when(eligible, label))
+    base = F.when(F.col("label") == "novelty_issue", 0.82).when(F.col("label") == "publication_issue", 0.78).when(F.col("label") == "numerical_ambiguity", 0.76)
+    score = base - F.when(T.word_count("text") < 8, 0.25).otherwise(0.0) + F.when((F.col("section") == "Methods") & weak, 0.05).otherwise(0.0)
+    return rows.withColumn("quality", F.round(score, 6))
 
 
 def citation_need(rows: DataFrame, threshold: float = 0.78, most: int = 20) -> DataFrame:
     """Rows (doc_id, sentence_index, score, reason): sentences that attribute a claim without a citation nearby, at most ``most`` a document."""
-    own = has(OWN_WORK)
-    eligible = rows.filter((F.col("section") != "References") & (F.length(F.trim("text")) >= 40) & ~F.col("cited") & ~own)
-    score = 0.2 + F.when(any_of(ATTRIBUTION.values()), 0.65).otherwise(0.0) + F.when(any_of(CLAIM.values()), 0.25).otherwise(0.0)
-    score = score - F.when(F.col("section").isin(CLAIM_SECTIONS), 0.0).otherwise(0.25) - F.when(T.word_count("text") < 8, 0.3).otherwise(0.0)
-    reasons = F.array_compact(F.array(*[F.when(has(p), F.lit(label)) for label, p in [*ATTRIBUTION.items(), *CLAIM.items()]]))
-    scored = eligible.filter(any_of(ATTRIBUTION.values())).withColumn("score", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 6))
-    found = scored.filter(F.col("score") >= threshold).withColumn("reason", F.array_join(F.slice(reasons, 1, 2), " and "))
-    return capped(found, most).select("doc_id", "sentence_index", "score", "reason")
+    found = need_score(rows).filter(F.col("need") >= threshold)
+    return capped(found, most).select("doc_id", "sentence_index", F.col("need").alias("score"), F.col("need_reason").alias("reason"))
 
 
 def capped(found: DataFrame, most: int) -> DataFrame:
@@ -91,12 +100,7 @@ def capped(found: DataFrame, most: int) -> DataFrame:
 
 def quality(rows: DataFrame, threshold: float = 0.72, most: int = 24) -> DataFrame:
     """Rows (doc_id, sentence_index, label, score): novelty without proof, weak reporting, vague numbers, in this order of precedence."""
-    novelty, vague, weak = has(NOVELTY) & ~has(NOVELTY_SHOWN), has(VAGUE_NUMBER) & ~F.col("text").rlike(PRECISE_NUMBER), has(WEAK_REPORT)
-    label = F.when(novelty, "novelty_issue").when(weak, "publication_issue").when(vague, "numerical_ambiguity")
-    base = F.when(novelty, 0.82).when(weak, 0.78).when(vague, 0.76).otherwise(0.0)
-    score = base - F.when(T.word_count("text") < 8, 0.25).otherwise(0.0) + F.when((F.col("section") == "Methods") & weak, 0.05).otherwise(0.0)
-    found = rows.filter((F.col("section") != "References") & (F.length(F.trim("text")) >= 40)).withColumn("label", label).withColumn("score", F.round(score, 6))
-    return capped(found.filter(F.col("label").isNotNull() & (F.col("score") >= threshold)), most).select("doc_id", "sentence_index", "label", "score")
+    return capped(quality_score(rows).filter(F.col("quality") >= threshold), most).select("doc_id", "sentence_index", "label", F.col("quality").alias("score"))
 
 
 def prose_features(rows: DataFrame) -> DataFrame:
@@ -115,21 +119,42 @@ def prose_features(rows: DataFrame) -> DataFrame:
     }).drop("_lengths", "_mean")
 
 
-def formulaic_prose(rows: DataFrame, least: float = 3.5, most: int = 12) -> DataFrame:
-    """Rows (doc_id, sentence_index, score, confidence): stock phrases or dense hedging, to which structural traits only add."""
+def prose_score(rows: DataFrame) -> DataFrame:
+    """Adds ``prose``: stock phrases or dense hedging, to which structural traits only add; null where nothing of it is there."""
     own = has(r"we|our|this (?:work|study|paper)") & ~has(FORMULAIC)
-    # cheap rules first: features are computed for what is left
-    rows = rows.filter((F.length("text") >= 110) & ~F.col("text").rlike(r"(?i)^(?:abstract|introduction|conclusion|references|acknowledg)") & ~own)
-    rows = prose_features(rows)
+    eligible = (F.length("text") >= 110) & ~F.col("text").rlike(r"(?i)^(?:abstract|introduction|conclusion|references|acknowledg)") & ~own
+    # features of other sentences are those of an empty text, which cost nothing
+    kept = rows.withColumn("_text", F.col("text")).withColumn("text", F.when(eligible, F.col("text")).otherwise(""))
+    kept = prose_features(kept)
     strong = F.when(has(FORMULAIC), 2.5).otherwise(0.0) + F.when(F.col("hedging_density") > 0.08, 1.5).otherwise(0.0)
     extra = (
         F.when((F.col("sentence_length_variance") < 10) & (F.col("avg_sentence_length") > 20), 0.75).otherwise(0.0) + F.when((F.col("entity_count") < 1) & (F.length("text") > 160), 0.75).otherwise(0.0)
         + F.when(F.col("avg_sentence_length") > 32, 0.5).otherwise(0.0) + F.when(~F.col("cited") & (F.length("text") > 220), 0.25).otherwise(0.0)
     )
-    found = rows.withColumn("score", F.when(strong > 0, strong + extra).otherwise(0.0)).filter(F.col("score") >= least)
+    kept = kept.withColumn("prose", F.when(strong > 0, strong + extra)).withColumn("text", F.col("_text"))
+    return kept.drop("_text", "sentence_length_variance", "hedging_density", "entity_count", "avg_sentence_length")
+
+
+def formulaic_prose(rows: DataFrame, least: float = 3.5, most: int = 12) -> DataFrame:
+    """Rows (doc_id, sentence_index, score, confidence) of formulaic or hedged sentences."""
+    found = prose_score(rows).filter(F.col("prose") >= least).withColumn("score", F.col("prose"))
     return capped(found, most).select("doc_id", "sentence_index", "score", F.round(F.least(F.lit(0.9), 0.5 + F.col("score") * 0.07), 6).alias("confidence"))
 
 
+def prose_findings(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, kind, category, start_offset, page, score): all three kinds of finding on sentences, in one pass over them, each kind capped a document."""
+    scored = prose_score(quality_score(need_score(rows)))
+    one = lambda kind, category, ok, score: F.when(ok, F.struct(F.lit(kind).alias("kind"), category.alias("category"), score.alias("score")))
+    kinds = F.array_compact(F.array(
+        one("citation_need", F.lit("needs_citation_claim"), F.col("need") >= 0.78, F.col("need")), one("quality", F.col("label"), F.col("quality") >= 0.72, F.col("quality")),
+        one("ai", F.lit("formulaic_prose"), F.col("prose") >= 3.5, F.round(F.least(F.lit(0.9), 0.5 + F.col("prose") * 0.07), 6)),
+    ))
+    each = scored.select("doc_id", "start_offset", "page", F.explode(kinds).alias("x")).select("doc_id", "start_offset", "page", "x.*")
+    most = F.when(F.col("kind") == "citation_need", 20).when(F.col("kind") == "quality", 24).otherwise(12)
+    nth = F.row_number().over(W.partitionBy("doc_id", "kind").orderBy("start_offset"))
+    return each.withColumn("_n", nth).filter(F.col("_n") <= most).select("doc_id", "kind", "category", "start_offset", "page", "score")
+
+
 # Metric names and what they stand for.
 METRICS = {"accuracy": "accuracy", "precision": "precision", "recall": "recall", "sensitivity": "sensitivity", "specificity": "specificity", "f1": "f1", "f1-score": "f1", "f1 score": "f1", "auc": "auc", "auroc": "auc", "n": "sample_size", "sample size": "sample_size"}
 SIZE_CLAIM = r"(?:sample\s+size\s*(?:of|=|:)?\s*|[nN]\s*=\s*)\d{1,7}"
@@ -158,11 +183,17 @@ def numeric_claims(rows: DataFrame) -> DataFrame:
 def numeric_conflicts(claims: DataFrame) -> DataFrame:
     """Rows (doc_id, metric, a_start, b_start, a_value, b_value, cross_page): claims of one metric in one document that differ by more than the family's tolerance.
 
-    Claims under different qualifiers, of one sentence, or in a sentence of contrast are no conflict.
+    Claims under different qualifiers, of one sentence, or in a sentence of contrast
+    are no conflict. A document's claims of a metric meet in one sorted array; each
+    is paired with those that follow it, and only conflicts are emitted.
     """
     tolerance = F.when(F.col("family") == "count", 1.0).when(F.col("family") == "ratio", 0.015).otherwise(1.0)
-    side = lambda p: claims.filter(~F.col("text").rlike(T.words_like(CONTRAST))).select("doc_id", "metric", "family", *[F.col(c).alias(f"{p}_{c}") for c in ("claim_start", "value", "qualifiers", "page", "sentence_index")])
-    pairs = side("a").join(side("b"), ["doc_id", "metric", "family"]).filter((F.col("a_claim_start") < F.col("b_claim_start")) & (F.col("a_sentence_index") != F.col("b_sentence_index")))
-    clash = (F.size("a_qualifiers") > 0) & (F.size("b_qualifiers") > 0) & ~F.arrays_overlap("a_qualifiers", "b_qualifiers")
-    differ = pairs.filter((F.abs(F.col("a_value") - F.col("b_value")) >= tolerance) & ~clash)
-    return differ.select("doc_id", "metric", F.col("a_claim_start").alias("a_start"), F.col("b_claim_start").alias("b_start"), "a_value", "b_value", (F.col("a_page") != F.col("b_page")).alias("cross_page"))
+    fields = ("claim_start", "value", "qualifiers", "page", "sentence_index")
+    calm = claims.filter(~F.col("text").rlike(T.words_like(CONTRAST)))
+    lists = calm.groupBy("doc_id", "metric", "family").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("c")).filter(F.size("c") > 1)
+    each = lists.select("doc_id", "metric", tolerance.alias("tolerance"), "c", F.posexplode("c").alias("k", "a"))
+    clash = lambda a, b: (F.size(a["qualifiers"]) > 0) & (F.size(b["qualifiers"]) > 0) & ~F.arrays_overlap(a["qualifiers"], b["qualifiers"])
+    a = F.col("a")
+    differ = lambda b: (b["claim_start"] > a["claim_start"]) & (a["sentence_index"] != b["sentence_index"]) & (F.abs(a["value"] - b["value"]) >= F.col("tolerance")) & ~clash(a, b)
+    pairs = each.select("doc_id", "metric", "a", F.explode(F.filter(F.slice("c", F.col("k") + 2, F.size("c")), differ)).alias("b"))
+    return pairs.select("doc_id", "metric", F.col("a.claim_start").alias("a_start"), F.col("b.claim_start").alias("b_start"), F.col("a.value").alias("a_value"), F.col("b.value").alias("b_value"), (F.col("a.page") != F.col("b.page")).alias("cross_page"))

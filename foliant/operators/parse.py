@@ -37,17 +37,41 @@ def heading(name: str, strict: bool) -> str:
     return rf"(?is)^((?:.*?\s)??)(?:\d{{1,2}}\.?\s*)?(?:{words})(?:\s|$)"
 
 
-def sections(docs: DataFrame, strict: bool = True, text: str = "full_text") -> DataFrame:
-    """Rows (doc_id, name, start_offset, end_offset): from each section's first heading to the next; before the first, and without any, ``Other``."""
+def with_sections(docs: DataFrame, strict: bool = True, text: str = "full_text") -> DataFrame:
+    """Adds ``_sections``, array of (name, start_offset, end_offset): from each section's first heading to the next; before the first, and without any, ``Other``."""
     found = [
         F.when(F.col(text).rlike(heading(n, strict)), F.struct(F.length(F.regexp_extract(text, heading(n, strict), 1)).alias("start"), F.lit(k).alias("order"), F.lit(n).alias("name")))
         for k, n in enumerate(SECTIONS)
     ]
     other = F.struct(F.lit(0).alias("start"), F.lit(-1).alias("order"), F.lit("Other").alias("name"))
-    listed = docs.select("doc_id", F.length(text).alias("n"), F.array_sort(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("s"))
-    listed = listed.withColumn("s", F.when((F.size("s") == 0) | (F.get("s", F.lit(0))["start"] > 0), F.concat(F.array(other), "s")).otherwise(F.col("s")))
-    ends = F.transform("s", lambda x, i: F.struct(x["name"].alias("name"), x["start"].alias("start_offset"), F.coalesce(F.get("s", i + 1)["start"], F.col("n")).alias("end_offset")))
-    return listed.select("doc_id", F.explode(ends).alias("x")).select("doc_id", "x.*").filter("end_offset > start_offset OR name = 'Other'")
+    listed = docs.withColumn("_s", F.array_sort(F.filter(F.array(*found), lambda x: x.isNotNull())))
+    listed = listed.withColumn("_s", F.when((F.size("_s") == 0) | (F.get("_s", F.lit(0))["start"] > 0), F.concat(F.array(other), "_s")).otherwise(F.col("_s")))
+    ends = F.transform("_s", lambda x, i: F.struct(x["name"].alias("name"), x["start"].alias("start_offset"), F.coalesce(F.get("_s", i + 1)["start"], F.length(text)).alias("end_offset")))
+    return listed.withColumn("_sections", ends).drop("_s")
+
+
+def sections(docs: DataFrame, strict: bool = True, text: str = "full_text") -> DataFrame:
+    """Rows (doc_id, name, start_offset, end_offset), see ``with_sections``."""
+    rows = with_sections(docs.select("doc_id", text), strict, text)
+    return rows.select("doc_id", F.explode("_sections").alias("x")).select("doc_id", "x.*").filter("end_offset > start_offset OR name = 'Other'")
+
+
+def located_sentences(docs: DataFrame, window: int, text: str = "full_text") -> DataFrame:
+    """Sentences with section, page, and whether a citation stands within ``window`` characters.
+
+    All of it comes from arrays of the document's own row before they are exploded: no join, no shuffle.
+    """
+    rows = with_sections(docs.select("doc_id", text), True, text)
+    rows = rows.withColumn("_p", T.sentence_pieces(text)).withColumn("_at", T.starts("_p"))
+
+    def one(x, s):
+        end = s + F.length(F.rtrim(x))
+        near = F.substring(text, F.greatest(F.lit(1), s - window + 1), end - F.greatest(F.lit(0), s - window) + window)
+        return F.struct(F.rtrim(x).alias("text"), s.alias("start_offset"), end.alias("end_offset"), (near.rlike(BRACKET) | near.rlike(AUTHOR_YEAR) | near.rlike(YEAR_ALONE)).alias("cited"))
+
+    each = rows.select("doc_id", "_sections", F.posexplode(F.zip_with("_p", "_at", one)).alias("sentence_index", "x")).select("doc_id", "_sections", "sentence_index", "x.*").filter("text <> ''")
+    inside = F.filter("_sections", lambda x: (x["start_offset"] <= F.col("start_offset")) & (F.col("start_offset") < x["end_offset"]))
+    return at_page(each.withColumn("section", F.coalesce(F.get(inside, F.lit(0))["name"], F.lit("Other"))).drop("_sections"))
 
 
 def sentences(docs: DataFrame, text: str = "full_text") -> DataFrame:

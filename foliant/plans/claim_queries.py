@@ -125,12 +125,7 @@ def j15_numeric_conflicts(spark, sf_dir):
 
 def _findings(spark, sf_dir):
     """All kinds of findings (U1): rows (doc_id, kind, category, start_offset, page, score)."""
-    rows = claims.located(manuscripts(spark, sf_dir))
-    place = rows.select("doc_id", "sentence_index", "start_offset", "page")
-    need = claims.citation_need(rows).select("doc_id", "sentence_index", F.lit("citation_need").alias("kind"), F.lit("needs_citation_claim").alias("category"), "score")
-    wording = claims.quality(rows).select("doc_id", "sentence_index", F.lit("quality").alias("kind"), F.col("label").alias("category"), "score")
-    prose = claims.formulaic_prose(rows).select("doc_id", "sentence_index", F.lit("ai").alias("kind"), F.lit("formulaic_prose").alias("category"), F.col("confidence").alias("score"))
-    return need.unionByName(wording).unionByName(prose).join(place, ["doc_id", "sentence_index"]).select("doc_id", "kind", "category", "start_offset", "page", "score")
+    return claims.prose_findings(claims.located(manuscripts(spark, sf_dir)))
 
 
 FINDINGS = f"""{LOCATED}, {NEED}, {QUALITY}, {PROSE},

@@ -39,7 +39,7 @@ def test_hits_are_the_matches(spark):
 
 
 def test_strict_and_loose_headings(spark):
-    text = "Abstract A short text on methods. Methods We did it. References [1] Smith J (2015) A."
+    text = "Abstract A short text on methods here. Methods We did it. References [1] Smith J (2015) A."
     df = spark.createDataFrame([(1, text), (2, "no heading at all")], "doc_id long, full_text string")
     strict = {(r.doc_id, r.name): r.start_offset for r in parse.sections(df).collect()}
     loose = {(r.doc_id, r.name): r.start_offset for r in parse.sections(df, strict=False).collect()}
