@@ -141,18 +141,18 @@ def formulaic_prose(rows: DataFrame, least: float = 3.5, most: int = 12) -> Data
     return capped(found, most).select("doc_id", "sentence_index", "score", F.round(F.least(F.lit(0.9), 0.5 + F.col("score") * 0.07), 6).alias("confidence"))
 
 
-def prose_findings(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, kind, category, start_offset, page, score): all three kinds of finding on sentences, in one pass over them, each kind capped a document."""
+def prose_findings(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, kind, category, start_offset, page, score, and the columns ``keep``): all three kinds of finding on sentences, in one pass over them, each kind capped a document."""
     scored = prose_score(quality_score(need_score(rows)))
     one = lambda kind, category, ok, score: F.when(ok, F.struct(F.lit(kind).alias("kind"), category.alias("category"), score.alias("score")))
     kinds = F.array_compact(F.array(
         one("citation_need", F.lit("needs_citation_claim"), F.col("need") >= 0.78, F.col("need")), one("quality", F.col("label"), F.col("quality") >= 0.72, F.col("quality")),
         one("ai", F.lit("formulaic_prose"), F.col("prose") >= 3.5, F.round(F.least(F.lit(0.9), 0.5 + F.col("prose") * 0.07), 6)),
     ))
-    each = scored.select("doc_id", "start_offset", "page", F.explode(kinds).alias("x")).select("doc_id", "start_offset", "page", "x.*")
+    each = scored.select("doc_id", "start_offset", "page", *keep, F.explode(kinds).alias("x")).select("doc_id", "start_offset", "page", *keep, "x.*")
     most = F.when(F.col("kind") == "citation_need", 20).when(F.col("kind") == "quality", 24).otherwise(12)
     nth = F.row_number().over(W.partitionBy("doc_id", "kind").orderBy("start_offset"))
-    return each.withColumn("_n", nth).filter(F.col("_n") <= most).select("doc_id", "kind", "category", "start_offset", "page", "score")
+    return each.withColumn("_n", nth).filter(F.col("_n") <= most).select("doc_id", "kind", "category", "start_offset", "page", "score", *keep)
 
 
 # Metric names and what they stand for.
