@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm._shared import stored
+from foliant.llm._shared import salted, stored
 
 
 def _toward_least(edges: DataFrame, both: bool) -> DataFrame:
@@ -13,18 +13,18 @@ def _toward_least(edges: DataFrame, both: bool) -> DataFrame:
     if both:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        moved = near.filter("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = salted(near.filter("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
-        moved = edges.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
+        moved = salted(edges, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b"))
     return moved.filter("a > b").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Rows (node, component): the least node that each node of ``edges`` (a, b) reaches.
 
-    Minima are pre-aggregated before each shuffle and the joins that follow can
-    be split, so a node with very many edges is no bottleneck. Every round is
+    Minima are pre-aggregated before each shuffle and the joins that follow are
+    salted, so a node with very many edges is no bottleneck. Every round is
     written to the shared folder. Nodes without an edge to another have no row.
     """
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

@@ -1,13 +1,15 @@
 """N-gram Jaccard join with a MinHash LSH forest and exact verification.
 
 Texts with the same set of word shingles form a class, and only one text of a
-class is compared. A class's MinHash values are the labels of its path in each
-of the forest's tries; classes whose paths agree down to a prefix are
-candidates. The prefix is shortened from the full depth until the share of pairs
-at the threshold that agree in some trie reaches the target recall. Candidates
-are gathered into clusters through the least class of each trie node (never as
-all pairs of a node), and inside a cluster exact shingle sets are compared, in
-blocks of bounded size.
+class is compared. A class's MinHash labels are its path in each of the forest's
+prefix tries. Classes that agree in the shortest prefix allowed meet in a node of
+a trie; there the paths are sorted and prefixes shortened from the full depth,
+label by label, until the recall estimated from the matches found reaches the
+target. The shortest prefix is the one at which a pair at the threshold is found
+with the target recall, so whatever is found nowhere was not lost by more.
+Matches of a node (never its pairs) tie classes into clusters; within a cluster,
+in blocks of bounded size, the pairs that all labels leave plausible are verified
+on exact shingle sets.
 """
 
 from __future__ import annotations
@@ -16,12 +18,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm._shared import arrow_batches, stored
+from foliant.llm._shared import arrow_batches, salted, stored
 from foliant.llm.components import components
 
-WORDS, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 20, 4, 0.999999
+WORDS, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 20, 6, 0.999999
 #: Classes of a block, shingle columns of a multiplication, and classes of small clusters in a task.
 BLOCK, COLUMNS, UNIT = 512, 4096, 1024
+#: Rows of nodes in a task, and classes of a node whose labels are compared; those of larger nodes are tied together as they are.
+NODE_ROWS, NODE = 8192, 1024
+#: The chance that all labels together dismiss a pair at the threshold.
+MISS = 1e-10
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -73,83 +79,152 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(mix(total, k))
 
 
+def found_at(similarity, depth: int, trees: int):
+    """The chance that a pair shares a prefix of ``depth`` labels in some trie."""
+    return 1 - (1 - np.asarray(similarity, float) ** depth) ** trees
+
+
 def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair at the threshold is found with the target recall."""
-    for d in range(depth, 1, -1):
-        if 1 - (1 - threshold**d) ** trees >= recall:
+    """The longest prefix at which a pair at the threshold is found with the target recall; an error if there is none."""
+    for d in range(depth, 0, -1):
+        if found_at(threshold, d, trees) >= recall:
             return d
-    return 1
+    raise ValueError(f"{trees} tries find a pair of similarity {threshold} with less than the target recall; take more")
+
+
+def plausible(threshold: float, labels: int, miss: float = MISS) -> int:
+    """So many of ``labels`` agree at least, but for a chance of ``miss`` (Chernoff's bound), where the similarity is at the threshold."""
+    for c in range(int(threshold * labels), 0, -1):
+        p = c / labels
+        spread = p * np.log(p / threshold) + ((1 - p) * np.log((1 - p) / (1 - threshold)) if p < 1 and threshold < 1 else 0.0)
+        if np.exp(-labels * spread) <= miss:
+            return c
+    return 0
 
 
 def _factors(n: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64), 7) | np.uint64(1)
 
 
-def paths(s: np.ndarray, trees: int, depth: int, factors: np.ndarray) -> np.ndarray:
-    """For each trie, the hash of the first ``depth`` MinHash labels."""
-    least = np.full(trees * depth, np.uint64(0xFFFFFFFFFFFFFFFF))
+def signature(s: np.ndarray, factors: np.ndarray) -> bytes:
+    """The MinHash labels of a set, of 2 bytes each, those of one trie side by side."""
+    least = np.full(len(factors), np.uint64(0xFFFFFFFFFFFFFFFF))
     for lo in range(0, len(s), 2048):
-        np.minimum(least, (s[lo : lo + 2048, None] * factors[None, : trees * depth]).min(0), out=least)
-    out = np.arange(trees, dtype=np.uint64)
-    for column in least.reshape(trees, depth).T:
-        out = mix(out * np.uint64(0xD6E8FEB86659FD93) + column)
-    return out
+        np.minimum(least, (s[lo : lo + 2048, None] * factors[None, :]).min(0), out=least)
+    return (mix(least, 9) & np.uint64(0xFFFF)).astype(">u2").tobytes()
+
 
+def agreeing(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """How many labels agree, for each row of ``one`` with each of ``other``."""
+    out = np.zeros((len(one), len(other)), np.int16)
+    for a, b in zip(one.T, other.T, strict=True):
+        out += a[:, None] == b[None, :]
+    return out
 
-def _key(s: np.ndarray) -> tuple[int, int]:
-    """A hash of 128 bits of a shingle set, as two signed numbers."""
-    return tuple(int(mix(s, salt).sum(dtype=np.uint64).astype(np.int64)) for salt in (3, 5))
 
+def matches(labels: np.ndarray, tree: int, trees: int, depth: int, shortest: int, threshold: float, recall: float, least: int) -> np.ndarray:
+    """Which members of a node, which share ``shortest`` labels in ``tree``, are worth verifying, as a matrix.
 
-def verified(sizes: np.ndarray, sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which rows' sets have that Jaccard similarity; exact. Shingles of one row alone cannot add to an intersection."""
-    row = np.repeat(np.arange(len(sets)), sizes)
+    Paths are sorted; members are compared whose paths share a prefix, first the
+    whole path, then one label less. After each step the matches so far (by their
+    labels at or above the threshold), each weighed by the inverse of the chance to
+    be found at this depth, and one more supposed at the threshold, estimate the
+    recall; where it reaches the target, the prefix is shortened no further.
+    """
+    n = len(labels)
+    path = labels[:, tree * depth : (tree + 1) * depth]
+    order = np.lexsort(path.T[::-1])
+    path = path[order]
+    same = np.cumprod(path[1:] == path[:-1], axis=1).sum(1)  # labels shared with the one before
+    near = np.zeros((n, n), bool)
+    most = n * (n - 1) / 2
+    runs: set[tuple[int, int]] = set()
+    for d in range(depth, shortest - 1, -1):
+        worst = 1 / float(found_at(threshold, d, trees))
+        if d > shortest and (most + 1) / (most + worst) < recall:
+            continue  # so few members cannot reach the target at this depth
+        first = np.flatnonzero(np.r_[True, same < d])
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), n], strict=True):
+            if hi - lo > 1 and (lo, hi) not in runs:
+                runs.add((lo, hi))
+                at = order[lo:hi]
+                near[np.ix_(at, at)] = agreeing(labels[at], labels[at]) >= least
+        if d == shortest:
+            break
+        i, j = np.nonzero(np.triu(near, 1))
+        likely = np.zeros(len(i))
+        for lo in range(0, len(i), 1 << 14):
+            likely[lo : lo + (1 << 14)] = (labels[i[lo : lo + (1 << 14)]] == labels[j[lo : lo + (1 << 14)]]).mean(1)
+        likely = likely[likely >= threshold]
+        if (len(likely) + 1) / ((1 / found_at(likely, d, trees)).sum() + worst) >= recall:
+            break
+    np.fill_diagonal(near, False)
+    return near
+
+
+def _key(s: np.ndarray) -> bytes:
+    """A hash of 128 bits of a shingle set."""
+    return b"".join([mix(s, salt).sum(dtype=np.uint64).tobytes() for salt in (3, 5)])
+
+
+def verified(sizes: np.ndarray, sets: list[np.ndarray], threshold: float, worth: np.ndarray) -> np.ndarray:
+    """Which of the pairs ``worth`` verifying have that Jaccard similarity; exact. Shingles of one row alone cannot add to an intersection."""
+    n = len(sets)
+    i, j = np.nonzero(np.triu(worth, 1))
+    linked = np.zeros((n, n), bool)
+    if len(i) <= 4 * n:  # few: pair by pair
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            x, y = (sets[a], sets[b]) if sizes[a] <= sizes[b] else (sets[b], sets[a])
+            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+            linked[a, b] = linked[b, a] = both > 0 and both >= threshold * (sizes[a] + sizes[b] - both) - 1e-6
+        return linked
+    row = np.repeat(np.arange(n), sizes)
     _, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count[col] > 1
     row, col = row[shared], col[shared]
     col = (np.cumsum(count > 1) - 1)[col]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
+    both = np.zeros((n, n), np.float32)
     for lo in range(0, int(col[-1]) + 1 if len(col) else 0, COLUMNS):
         a, b = np.searchsorted(col, [lo, lo + COLUMNS])
-        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m = np.zeros((n, COLUMNS), np.float32)
         m[row[a:b], col[a:b] - lo] = 1
         both += m @ m.T
     union = sizes[:, None] + sizes[None, :] - both
-    linked = (both > 0) & (both >= threshold * union - 1e-6)
-    np.fill_diagonal(linked, False)
-    return linked
+    return worth & (both > 0) & (both >= threshold * union - 1e-6)
 
 
-def _clusters(rep: np.ndarray, linked: np.ndarray) -> np.ndarray:
-    """The least class that each can reach through links."""
-    least = rep.copy()
+def _least(linked: np.ndarray) -> np.ndarray:
+    """For each row the first row that it reaches through links."""
+    least = np.arange(len(linked))
     while True:
-        new = np.minimum(least, np.where(linked, least[None, :], np.iinfo(np.int64).max).min(1))
+        new = np.minimum(least, np.where(linked, least[None, :], len(linked)).min(1, initial=len(linked)))
+        new = np.minimum(new, new[new])
         if (new == least).all():
             return least
         least = new
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(members, links) of a self-join on Jaccard similarity of word shingles.
+    """(members, classes) of a self-join on Jaccard similarity of word shingles.
 
-    members: (id, class_id, n_copies), a row for each row of ``docs``; class_id
-    is the least id with the same shingle set, n_copies the rows of the class.
-    links: (class_id, n_links, root), several rows for a class that is linked;
-    the sum of n_links is the number of other classes that it is similar to, and
-    root a class with a smaller id or itself that it is connected to.
+    members: (id, key), a row for each row of ``docs``; key names the class of
+    rows with the same shingle set. classes: (key, same_id, n_copies, n_links,
+    class_id), a row a class: the least id in it, its rows, the number of other
+    classes that it is similar to, and the least id of all classes that it is
+    connected to by such links, itself included.
 
     Null texts count as empty. Texts without words form one class, without links.
-    Ids must be whole numbers; rows with a null id belong to the class of their
-    text, which is null if it has no row with an id, and make no links. Repeated
-    rows are copies. Other columns are not read; an empty table gives no rows.
+    Ids must be whole numbers; a class without any id has null ids and makes no
+    links. An id may occur with several texts: each belongs to its own class.
+    Repeated rows are copies. Other columns are not read; an empty table gives no
+    rows.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    cut = prefix_depth(threshold, trees, depth, recall)
-    factors = _factors(trees * cut)
+    cut, least = prefix_depth(threshold, trees, depth, recall), plausible(threshold, trees * depth)
+    factors = _factors(trees * depth)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
 
     def signed(batches):
@@ -157,87 +232,114 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tree
 
         for b in batches:
             sets = [shingles(t, words) for t in b.column(1).to_pylist()]
-            keys = np.array([_key(s) for s in sets], np.int64).reshape(-1, 2)
-            trie = pa.array([paths(s, trees, cut, factors).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys[:, 0]), pa.array(keys[:, 1]), trie], ["id", "k1", "k2", "paths"])
-
-    seen = stored(base.mapInArrow(signed, "id long, k1 long, k2 long, paths array<long>"), "signatures")
-    classes = stored(seen.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n_copies"), F.first("paths").alias("paths")).select("k1", "k2", "rep", "n_copies", "paths"), "classes")
-    nodes = classes.filter(F.col("rep").isNotNull()).select("rep", F.explode("paths").alias("node"))
-    shared = nodes.groupBy("node").agg(F.min("rep").alias("least"), F.count("*").alias("n")).filter("n > 1")
-    edges = nodes.join(shared.hint("merge"), "node").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+            paths = pa.array([signature(s, factors) if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_key(s) for s in sets], pa.binary()), paths], ["id", "key", "labels"])
+
+    seen = stored(base.mapInArrow(signed, "id long, key binary, labels binary"), "signatures")
+    classes = stored(seen.groupBy("key").agg(F.min("id").alias("same_id"), F.count("*").alias("n_copies"), F.first("labels").alias("labels")), "classes")
+    prefix = lambda t: F.xxhash64(t, F.col("labels").substr(t * (2 * depth) + 1, F.lit(2 * cut)))
+    node = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(prefix(t).alias("node"), t.alias("tree")))
+    nodes = classes.filter("same_id IS NOT NULL AND labels IS NOT NULL").select("key", F.explode(node).alias("at")).select("key", "at.node", "at.tree")
+    shared = nodes.groupBy("node").agg(F.min("key").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    met = stored(salted(nodes, shared, "node"), "nodes")
+    rows = met.filter(F.col("n") <= NODE)
+    units = max(1, rows.count() // NODE_ROWS)
+
+    def tied(table):
+        import pyarrow as pa
+
+        node, tree = table["node"].to_numpy(), table["tree"].to_numpy()
+        order = np.argsort(node, kind="stable")
+        keys = table["key"].take(pa.array(order)).to_pylist()
+        labels = np.frombuffer(b"".join(table["labels"].take(pa.array(order)).to_pylist()), ">u2").astype(np.uint16).reshape(len(order), -1)
+        node, tree = node[order], tree[order]
+        first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        size = np.diff(np.r_[first, len(node)])
+        two = first[size == 2]
+        two = two[(labels[two] == labels[two + 1]).sum(1) >= least]
+        edges = {(keys[k], keys[k + 1]) for k in two.tolist()}
+        for lo, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            to = _least(matches(labels[lo : lo + n], int(tree[lo]), trees, depth, cut, threshold, recall, least))
+            edges.update((keys[lo + k], keys[lo + m]) for k, m in enumerate(to.tolist()) if k != m)
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.binary()), "b": pa.array([e[1] for e in edges], pa.binary())})
+
+    held = rows.select("key", "node", "tree").join(classes.select("key", "labels").hint("merge"), "key").withColumn("unit", F.pmod(F.xxhash64("node"), F.lit(units)))
+    edges = held.groupBy("unit").applyInArrow(tied, "a binary, b binary").unionByName(met.filter(F.col("n") > NODE).select(F.col("key").alias("a"), F.col("least").alias("b")))
     found = components(edges)
     sized = found.groupBy("component").agg(F.count("*").alias("size"))
-    near = found.join(sized.hint("merge"), "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    near = stored(near.join(classes.select(F.col("rep").alias("node"), "k1", "k2").hint("merge"), "node"), "clusters")
-    units = max(1, near.count() // UNIT)
+    near = salted(found, sized, "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    near = near.select(F.col("node").alias("key"), F.xxhash64("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    near = stored(near.join(classes.select("key", "same_id", "labels").hint("merge"), "key"), "clusters")
+    groups = max(1, near.count() // UNIT)
 
     def exact(batches):
         import pyarrow as pa
 
         for b in batches:
-            keys = zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)
             sets, keep = [], []
-            for i, (t, key) in enumerate(zip(b.column(6).to_pylist(), keys, strict=True)):
+            for i, (t, key) in enumerate(zip(b.column(5).to_pylist(), b.column(0).to_pylist(), strict=True)):
                 if _key(s := shingles(t, words)) == key:  # another text may have the same id
-                    sets.append(s.view(np.int64))
+                    sets.append(s.tobytes())
                     keep.append(i)
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(4)), pa.array(sets, pa.list_(pa.int64()))], ["class_id", "component", "blocks", "block", "set"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(5)), pa.array(sets, pa.binary())], ["key", "cluster", "blocks", "block", "labels", "set"])
 
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    texts = near.select(F.col("node").alias("id"), "component", "blocks", block.alias("block"), "k1", "k2").join(base.hint("merge"), "id")
-    sets = texts.select("id", "component", "blocks", "block", "k1", "k2", "text").mapInArrow(exact, "class_id long, component long, blocks int, block int, set array<long>")
+    texts = near.withColumnRenamed("same_id", "id").join(base.hint("merge"), "id")
+    sets = texts.select("key", "cluster", "blocks", "block", "labels", "text").mapInArrow(exact, "key binary, cluster long, blocks int, block int, labels binary, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tasks = sets.withColumn("other", other).select(
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(units))).otherwise(F.col("component")).alias("unit"), "blocks",
-        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "component", "class_id", "block", "set",
+        F.when(F.col("blocks") == 1, F.pmod("cluster", F.lit(groups))).otherwise(F.col("cluster")).alias("unit"), "blocks",
+        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", "cluster", "block", "labels", "set",
     )
 
     def compared(table):
         import pyarrow as pa
 
-        rep, cluster, block = (table[c].to_numpy() for c in ("class_id", "component", "block"))
-        values = table["set"].combine_chunks()
-        flat, ends = values.flatten().to_numpy().view(np.uint64), values.offsets.to_numpy()
-        ends = ends - ends[0]
+        keys, cluster, block = table["key"].to_pylist(), table["cluster"].to_numpy(), table["block"].to_numpy()
+        held = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+        labels = np.frombuffer(b"".join(table["labels"].to_pylist()), ">u2").astype(np.uint16).reshape(len(keys), -1)
         cross = table["low"][0].as_py() != table["high"][0].as_py()
-        order = np.lexsort((rep, cluster))
-        out_rep, out_n, out_root = [], [], []
+        by_key = sorted(range(len(keys)), key=lambda k: keys[k])
+        order = np.array(by_key)[np.argsort(cluster[by_key], kind="stable")]
+        out = [], [], []
         for rows in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
-            rows = rows[np.r_[True, np.diff(rep[rows]) != 0]]  # repeated rows of an id
+            rows = rows[[k == 0 or keys[r] != keys[rows[k - 1]] for k, r in enumerate(rows.tolist())]]  # repeated rows of an id
             if len(rows) < 2:
                 continue
-            linked = verified(ends[rows + 1] - ends[rows], [flat[ends[r] : ends[r + 1]] for r in rows], threshold)
+            worth = agreeing(labels[rows], labels[rows]) >= least
+            np.fill_diagonal(worth, False)
             if cross:
-                linked &= block[rows][:, None] != block[rows][None, :]
-            degree = linked.sum(1)
-            some = degree > 0
-            out_rep.append(rep[rows][some])
-            out_n.append(degree[some])
-            out_root.append(_clusters(rep[rows], linked)[some])
-        join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-        return pa.table({"class_id": join(out_rep), "n_links": join(out_n), "root": join(out_root)})
-
-    links = tasks.groupBy("unit", "blocks", "low", "high").applyInArrow(compared, "class_id long, n_links long, root long")
-    members = seen.join(classes.select("k1", "k2", F.col("rep").alias("class_id"), "n_copies").hint("merge"), ["k1", "k2"]).select(F.col("id").alias(id_col), "class_id", "n_copies")
-    return members, stored(links, "links")
-
-
-def linked(docs: DataFrame, **how) -> DataFrame:
-    """Rows (id, class_id, n_copies, n_links) for each row of ``docs``: n_links counts other classes, see ``join``."""
-    members, links = join(docs, **how)
-    degree = links.groupBy("class_id").agg(F.sum("n_links").alias("n_links"))
-    return members.join(degree.hint("merge"), "class_id", "left").select(*members.columns, F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+                worth &= block[rows][:, None] != block[rows][None, :]
+            linked = verified(np.array([len(held[r]) for r in rows]), [held[r] for r in rows], threshold, worth)
+            degree, to = linked.sum(1), _least(linked)
+            for k in np.flatnonzero(degree).tolist():
+                for v, x in zip(out, (keys[rows[k]], int(degree[k]), keys[rows[to[k]]]), strict=True):
+                    v.append(x)
+        return pa.table({"key": pa.array(out[0], pa.binary()), "n_links": pa.array(out[1], pa.int64()), "root": pa.array(out[2], pa.binary())})
+
+    links = stored(tasks.groupBy("unit", "blocks", "low", "high").applyInArrow(compared, "key binary, n_links long, root binary"), "links")
+    degree = links.groupBy("key").agg(F.sum("n_links").alias("n_links"))
+    groups_of = components(links.select(F.col("key").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("key"), "component")
+    known = degree.join(groups_of.hint("merge"), "key").join(classes.select("key", "same_id").hint("merge"), "key")
+    firsts = known.groupBy("component").agg(F.min("same_id").alias("class_id"))
+    known = stored(salted(known, firsts, "component").select("key", "n_links", "class_id"), "groups")
+    full = classes.select("key", "same_id", "n_copies").join(known.hint("merge"), "key", "left")
+    full = full.select("key", "same_id", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("class_id", "same_id").alias("class_id"))
+    return seen.select(F.col("id").alias(id_col), "key"), full
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """Rows (id, class_id, n_copies, n_links, same_id) for each row of ``docs``; see ``join``."""
+    members, classes = join(docs, id_col=id_col, **how)
+    return salted(members, classes, "key").select(id_col, "class_id", "n_copies", "n_links", "same_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs`` with the least id of each group of texts that links connect.
 
-    Rows with the same id stay or go together; rows without id stay.
+    Rows with the same id stay or go together: they stay if the id is the least
+    of a group of one of their texts. Rows without id stay.
     """
-    members, links = join(docs, id_col=id_col, **how)
-    groups = components(links.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
-    gone = groups.filter("node <> component").select(F.col("node").alias("class_id"))
-    stay = members.filter(F.col(id_col) == F.col("class_id")).join(gone.hint("merge"), "class_id", "left_anti").select(id_col).distinct()
+    _, classes = join(docs, id_col=id_col, **how)
+    stay = classes.filter("class_id IS NOT NULL").select(F.col("class_id").alias(id_col)).distinct()
     return docs.join(stay.hint("merge"), id_col, "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))

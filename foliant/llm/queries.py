@@ -83,14 +83,17 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-WITH w AS (SELECT row_number() OVER () AS n, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS n, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT n, doc_id, list_sort(list_distinct(list_transform(range(1, CASE WHEN len(ws) = 0 THEN 1 WHEN len(ws) < 5 THEN 2 ELSE len(ws) - 3 END), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')))) AS g FROM w),
 k AS (SELECT n, doc_id, g, md5(array_to_string(g, chr(10))) AS h FROM s),
-c AS (SELECT h, min(doc_id) AS class_id, count(*) AS n_copies, any_value(g) AS g FROM k GROUP BY h),
-e AS (SELECT class_id, len(g) AS z, unnest(g) AS x FROM c),
-p AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS common, any_value(a.z) AS za, any_value(b.z) AS zb FROM e a JOIN e b ON a.x = b.x AND a.class_id <> b.class_id GROUP BY 1, 2),
-l AS (SELECT a AS class_id, count(*) AS n_links FROM p WHERE common >= 0.8 * (za + zb - common) GROUP BY 1)
-SELECT doc_id, class_id, n_copies, coalesce(n_links, 0) AS n_links FROM k JOIN c USING (h) LEFT JOIN l USING (class_id)
+c AS (SELECT h, min(doc_id) AS same_id, count(*) AS n_copies, any_value(g) AS g FROM k GROUP BY h),
+e AS (SELECT same_id, len(g) AS z, unnest(g) AS x FROM c),
+p AS (SELECT a.same_id AS a, b.same_id AS b, count(*) AS common, any_value(a.z) AS za, any_value(b.z) AS zb FROM e a JOIN e b ON a.x = b.x AND a.same_id <> b.same_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE common >= 0.8 * (za + zb - common)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a AS same_id, count(*) AS n_links FROM l GROUP BY 1),
+m AS (SELECT a AS same_id, min(b) AS least FROM r GROUP BY 1)
+SELECT doc_id, least(same_id, coalesce(least, same_id)) AS class_id, n_copies, coalesce(n_links, 0) AS n_links, same_id FROM k JOIN c USING (h) LEFT JOIN n USING (same_id) LEFT JOIN m USING (same_id)
 """
 
 

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from foliant.llm import jaccard
 from foliant.llm.components import components
 
@@ -13,8 +15,16 @@ def brute(rows, threshold=0.8, words=5):
     for i, s in sets:
         classes.setdefault(s, []).append(i)
     rep = {s: min((i for i in ids if i is not None), default=None) for s, ids in classes.items()}
-    links = {s: sum(1 for t in classes if t != s and rep[t] is not None and s and t and len(s & t) >= threshold * len(s | t)) if rep[s] is not None else 0 for s in classes}
-    return sorted(((i, rep[s], len(classes[s]), links[s]) for i, s in sets), key=repr)
+    near = {s: [t for t in classes if t != s and rep[t] is not None and s and t and len(s & t) >= threshold * len(s | t)] if rep[s] is not None else [] for s in classes}
+    group = {}
+    for s in classes:
+        seen, todo = {s}, [s]
+        while todo:
+            new = set(near[todo.pop()]) - seen
+            seen |= new
+            todo += new
+        group[s] = min((rep[t] for t in seen if rep[t] is not None), default=None)
+    return sorted(((i, group[s], len(classes[s]), len(near[s]), rep[s]) for i, s in sets), key=repr)
 
 
 def texts(n, r):
@@ -36,10 +46,50 @@ def test_links_against_brute_force(spark, monkeypatch):
     want = brute(rows)
     assert sum(x[3] for x in want) > 500
     assert sorted(map(tuple, jaccard.linked(df).collect()), key=repr) == want
+    assert any(x[1] != x[4] for x in want)
     monkeypatch.setattr(jaccard, "BLOCK", 16)  # clusters over several blocks
+    monkeypatch.setattr(jaccard, "NODE", 20)  # nodes that are tied without comparison
     assert sorted(map(tuple, jaccard.linked(df).collect()), key=repr) == want
 
 
+def test_an_id_with_several_texts(spark):
+    one, two = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    rows = [(1, one), (1, two), (2, one + " more"), (3, two + " more"), (4, two + " more"), (1, one)]
+    got = sorted(map(tuple, jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()))
+    assert got == [(1, 1, 1, 1, 1), (1, 1, 2, 1, 1), (1, 1, 2, 1, 1), (2, 1, 1, 1, 2), (3, 1, 2, 1, 3), (4, 1, 2, 1, 3)]
+
+
+def test_prefixes_in_a_node():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    base = r.integers(0, 1 << 16, 120)
+    labels = np.tile(base, (300, 1))
+    for k in range(300):  # very near copies: 2 labels in 100 differ
+        at = r.choice(np.arange(6, 120), 2, replace=False)
+        labels[k, at] = r.integers(0, 1 << 16, 2)
+    labels[299, 4:] = r.integers(0, 1 << 16, 116)  # shares the shortest prefix and nothing else
+    near = jaccard.matches(labels.astype(np.uint16), 0, 20, 6, 3, 0.8, 0.999, 60)
+    assert near[:299, :299].sum() == 299 * 298 and not near[299].any()
+    assert jaccard.matches(labels[:2].astype(np.uint16), 0, 20, 6, 3, 0.8, 0.999, 60).all() == False  # noqa: E712
+    assert (jaccard.matches(labels.astype(np.uint16), 0, 20, 6, 3, 0.8, 0.999999, 60) == near).all()
+
+
+def test_recall_of_the_labels_and_prefixes():
+    import numpy as np
+
+    least, r = jaccard.plausible(0.8, 120), random.Random(3)
+    assert 50 <= least <= 70
+    factors, found = jaccard._factors(120), 0
+    for _ in range(300):
+        common = {r.getrandbits(64) for _ in range(160)}
+        a, b = (np.array(sorted(common | {r.getrandbits(64) for _ in range(20)}), np.uint64) for _ in range(2))
+        x, y = (np.frombuffer(jaccard.signature(s, factors), ">u2").reshape(20, 6) for s in (a, b))
+        assert (x == y).sum() >= least
+        found += bool((x[:, :3] == y[:, :3]).all(1).any())
+    assert found == 300
+
+
 def test_one_of_each_group_stays(spark):
     r = random.Random(6)
     rows = list(enumerate(texts(150, r)))
@@ -69,6 +119,8 @@ def test_components(spark):
 
 def test_prefix_is_shortened_to_the_target():
     assert jaccard.prefix_depth(0.8, 20, 4, 0.999999) == 3 and jaccard.prefix_depth(0.8, 20, 4, 0.99) == 4
+    with pytest.raises(ValueError):
+        jaccard.prefix_depth(0.1, 2, 4, 0.99)
 
 
 def test_odd_rows(spark, odd_docs):
