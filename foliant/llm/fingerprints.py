@@ -1,12 +1,12 @@
 """Order MinHash fingerprints, in DataFrame functions only.
 
 A text's k-mers are runs of ``K`` words, numbered by occurrence, so that each is
-distinct. A hash of k-mer and number deals it to one of ``TUPLES * PARTS`` parts
-and orders it there; the least of each part is selected. Of the ``PARTS`` parts
-of a tuple the selected k-mers are put in the order in which the text has them
-and hashed together. Two texts agree in a tuple if they select the same k-mers in
-the same order, which words that are moved upset as much as words that are
-replaced. Each k-mer is hashed once, however many tuples there are.
+distinct, and hashed onto a ring. Each tuple has an ordering of its own: the ring
+read from the tuple's starting point. The ``PARTS`` minimal k-mers of that
+ordering are selected, put in the order in which the text has them and hashed
+together. Two texts agree in a tuple if they select the same k-mers in the same
+order, which words that are moved upset as much as words that are replaced. Each
+k-mer is hashed once and the ring sorted once, however many tuples there are.
 """
 
 from __future__ import annotations
@@ -18,55 +18,61 @@ from pyspark.sql import functions as F
 from foliant.llm._shared import shuffle_tasks, stored
 
 K, TUPLES, PARTS = 2, 32, 2
-#: Bits of a packed value that hold a k-mer's place; the others hold its hash.
-PLACE_BITS = 24
+#: Bits of a packed value that hold a k-mer's place; no Spark array has more entries. The others hold its hash.
+PLACE_BITS = 31
+
+
+def starting_points(tuples: int = TUPLES) -> list[int]:
+    """Where each tuple's ordering begins: packed values without a place, spread by a golden-ratio sequence."""
+    return [(((t + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) - (1 << 63) >> PLACE_BITS << PLACE_BITS for t in range(tuples)]
 
 
 def with_signature(texts: DataFrame, text: str, name: str, k: int = K, tuples: int = TUPLES, parts: int = PARTS) -> DataFrame:
-    """Adds ``name``, array<long>: the hashes of a text's tuples, null where a tuple has no k-mer; equal texts have equal signatures.
+    """Adds ``name``, array<long>: the hashes of a text's tuples; equal texts have equal signatures.
 
     A text of fewer words than k has one k-mer, of all its words; an empty text
-    has one of none. All is done on arrays of packed numbers, row by row: k-mers
-    sorted by hash and place give each its occurrence number by binary search for
-    the first of its equals, and numbered k-mers sorted by part and hash have the
-    least of each part first. Nothing is exploded, shuffled or spilled.
+    has one of none; where there are fewer k-mers than ``parts``, tuples have all.
+    Very long texts are treated alike: places have as many bits as an array can
+    have entries. All is done on arrays of packed numbers, row by row: k-mers
+    sorted by hash and place give each its occurrence number (that of its equals
+    before it), numbered k-mers sorted by hash are the ring, and a tuple's
+    starting point is found in it by binary search. Nothing is exploded, shuffled
+    or spilled. Hashes are of 33 bits; two k-mers of one text that share one count
+    as the same k-mer.
     """
-    low = (1 << PLACE_BITS) - 1
-    words, first, second, least = (f"_{name}_{x}" for x in ("words", "first", "second", "least"))
-    place = lambda i: F.least(i, F.lit(low)).cast("long")
+    places = (1 << PLACE_BITS) - 1
+    words, first, ring, powers = (f"_{name}_{x}" for x in ("words", "first", "ring", "powers"))
+    top = lambda h: F.shiftleft(F.shiftright(h, PLACE_BITS), PLACE_BITS)
+    of = lambda x: F.shiftright(x, PLACE_BITS)
     kmer = lambda i: F.xxhash64(*[F.try_element_at(words, i + 1 + j) for j in range(k)])
-    packed = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0))), lambda i: F.shiftleft(F.shiftright(kmer(i), PLACE_BITS), PLACE_BITS).bitwiseOR(place(i)))
+    packed = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - k, F.lit(0))), lambda i: top(kmer(i)).bitwiseOR(i.cast("long")))
     rows = texts.withColumn(words, F.filter(F.split(text, r"[\x09-\x0D\x20]+"), lambda w: w != "")).withColumn(first, F.sort_array(packed)).drop(words)
-    of = lambda x: F.shiftright(x, PLACE_BITS)
-    steps = F.array(*[F.lit(1 << b) for b in range(PLACE_BITS - 1, -1, -1)])
+    # the powers of two up to the number of k-mers, falling, for binary searches
+    all_powers = F.array(*[F.lit(1 << b) for b in range(PLACE_BITS - 1, -1, -1)])
+    rows = rows.withColumn(powers, F.filter(all_powers, lambda d: d <= F.size(first)))
+    # columns that lambdas use are named several times, which keeps the planner from moving their making into the lambda
+    search = lambda begin, step: F.when(F.size(powers) > 0, F.aggregate(powers, begin, step))
 
     def nth(x, j):
-        begin = F.aggregate(steps, j, lambda at, d: F.when((at >= d) & (of(F.get(first, at - d)) == of(x)), at - d).otherwise(at))
-        return F.when((j > 0) & (of(F.get(first, j - 1)) == of(x)), j - begin).otherwise(F.lit(0))
-
-    def value(x, j):
-        h = F.xxhash64(of(x), nth(x, j))
-        part = F.shiftleft(F.pmod(h, F.lit(tuples * parts)).cast("long"), 56)
-        return part.bitwiseOR(F.shiftleft(F.shiftrightunsigned(F.xxhash64(h), 32), PLACE_BITS)).bitwiseOR(x.bitwiseAND(F.lit(low).cast("long")))
+        equal = lambda at: of(F.get(first, at)) == of(x)
+        begin = search(j, lambda at, d: F.when((at >= d) & equal(at - d), at - d).otherwise(at))
+        return F.when((j > 0) & equal(j - 1), j - begin).otherwise(F.lit(0))
 
-    part = lambda v: F.shiftright(v, 56)
-    rows = rows.withColumn(second, F.sort_array(F.transform(first, value))).drop(first)
-    rows = rows.withColumn(least, F.filter(second, lambda v, j: (j == 0) | (part(F.get(second, j - 1)) != part(v)))).drop(second)
+    rows = rows.withColumn(ring, F.sort_array(F.transform(first, lambda x, j: top(F.xxhash64(of(x), nth(x, j))).bitwiseOR(x.bitwiseAND(F.lit(places)))))).drop(first)
+    n = F.size(ring)
 
-    def one(t):
-        # the column is named twice, which keeps the planner from moving its making into this lambda
-        mine = F.filter(least, lambda v: F.floor(part(v) / parts) == t)
-        in_order = F.array_sort(F.transform(mine, lambda v: F.struct(v.bitwiseAND(F.lit(low).cast("long")).alias("at"), of(v).alias("h"))))
-        return F.when(F.size(mine) > 0, F.xxhash64(F.transform(in_order, lambda y: y["h"])))
+    def one(start):
+        at = search(F.lit(0), lambda at, d: F.when((at + d <= n) & (F.get(ring, at + d - 1) < start), at + d).otherwise(at))
+        chosen = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(parts)) - 1), lambda j: F.get(ring, F.pmod(at + j, n)))
+        in_order = F.sort_array(F.transform(chosen, lambda v: F.shiftleft(v, 64 - PLACE_BITS).bitwiseOR(F.shiftrightunsigned(v, PLACE_BITS))))
+        return F.xxhash64(F.transform(in_order, lambda v: v.bitwiseAND(F.lit((1 << (64 - PLACE_BITS)) - 1))))
 
-    return rows.withColumn(name, F.transform(F.sequence(F.lit(0), F.lit(tuples - 1)), one)).drop(least)
+    return rows.withColumn(name, F.transform(F.array(*[F.lit(x) for x in starting_points(tuples)]), one)).drop(ring, powers)
 
 
 def likeness(a, b):
-    """The share of equal tuples among those that either signature has."""
-    pairs = F.zip_with(a, b, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    known = F.size(F.filter(pairs, lambda p: p["x"].isNotNull() | p["y"].isNotNull()))
-    return F.when(known > 0, F.size(F.filter(pairs, lambda p: p["x"] == p["y"])) / known).otherwise(F.lit(0.0))
+    """The share of tuples that agree."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x) / F.size(a)
 
 
 def following(ids: DataFrame, tasks: int) -> DataFrame:
@@ -114,7 +120,7 @@ def compare(docs: DataFrame, k: int = K, tuples: int = TUPLES, parts: int = PART
     both = base.join(heads.hint("merge"), "id", "left").select("id", "known", "row", F.when(F.col("known"), F.col("next_id")).alias("next_id"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     both = with_signature(both.withColumn("edited_sha256", F.sha2("edited", 256)), "text", "mine", k, tuples, parts).drop("text")
     prints = stored(with_signature(both, "edited", "other", k, tuples, parts).drop("edited"), "prints")
-    shown = lambda c: F.array_join(F.transform(c, lambda x: F.lpad(F.hex(x), 16, "0")), "-", "none")
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.lpad(F.hex(x), 16, "0")), "-")
     neighbour = prints.filter("known AND row = 1").select(F.col("id").alias("next_id"), F.col("mine").alias("following"))
     joined = prints.join(neighbour.hint("merge"), "next_id", "left")
     return joined.select(

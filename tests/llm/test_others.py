@@ -62,6 +62,50 @@ def test_signature_feels_order(spark):
     assert like(1, 3) > like(1, 2) and like(1, 2) < 0.8
 
 
+def _signature(text):
+    """The same by brute force: for each tuple, all k-mers in its ordering, the first ones in the order of the text."""
+    import xxhash
+
+    def chain(values, seed=42):
+        for v in values:
+            if v is not None:
+                seed = xxhash.xxh64(v.encode() if isinstance(v, str) else (v % 2**64).to_bytes(8, "little"), seed=seed).intdigest()
+        return seed
+
+    words, bits = text.split(), fingerprints.PLACE_BITS
+    words += [None] * (fingerprints.K - len(words))
+    seen, marks = {}, []
+    signed = lambda h: (h + 2**63) % 2**64 - 2**63 >> bits
+    for i in range(len(words) - fingerprints.K + 1):
+        h = signed(chain(words[i : i + fingerprints.K]))
+        nth = seen[h] = seen.get(h, -1) + 1
+        import xxhash as x
+
+        marks.append((signed(x.xxh64(nth.to_bytes(4, "little"), seed=chain([h])).intdigest()), i))
+    out = []
+    for start in fingerprints.starting_points():
+        order = sorted(marks, key=lambda m: ((m[0] - (start >> bits)) % 2 ** (64 - bits), m[1]))[: fingerprints.PARTS]
+        h = chain([m[0] % 2 ** (64 - bits) for m in sorted(order, key=lambda m: m[1])])
+        out.append((h + 2**63) % 2**64 - 2**63)
+    return out
+
+
+def test_signature_against_brute_force(spark):
+    r = random.Random(8)
+    texts = ["", "one", "two words", "a b a b a b a b", "x " * 50] + [" ".join(r.choice("abcdefgh") * r.randrange(1, 3) for _ in range(r.randrange(1, 120))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {x.id: x.signature for x in fingerprints.with_signature(df, "text", "signature").collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == _signature(t), t
+    near = {x.doc_id: x for x in fingerprints.compare(df.withColumnRenamed("id", "doc_id")).collect()}
+    for i, t in enumerate(texts):
+        n = texts[(i + 1) % len(texts)]
+        q = len(t) // 4
+        a, b, c = _signature(t), _signature(t[: len(t) - q] + n[:q]), _signature(n)
+        assert near[i].near_edited == sum(x == y for x, y in zip(a, b)) / 32 and near[i].near_next == sum(x == y for x, y in zip(a, c)) / 32
+        assert near[i].fingerprint == "-".join(f"{x % 2**64:016X}" for x in a)
+
+
 def test_fingerprint_odd_rows(spark, odd_docs):
     rows = fingerprints.compare(odd_docs).collect()
     assert len(rows) == 9 and len({r.fingerprint for r in rows if r.doc_id in (1, 2)}) == 1
