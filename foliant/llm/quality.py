@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from foliant.llm._shared import arrow_batches, stored
 
-#: Bounds of the fit: labelled rows of a class, blocks of a class, bytes of a block and of a dictionary.
-SAMPLE_ROWS, SAMPLE_BLOCKS, BLOCK, DICTIONARY = 3000, 4000, 1024, 110_000
+#: Defaults of the bounds of the fit (labelled rows of a class, blocks of a class), bytes of a block and of a dictionary.
+SAMPLE_ROWS, SAMPLE_BLOCKS, BLOCK, DICTIONARY = 6000, 10_000, 512, 110_000
 LEVEL = 1
 
 
@@ -47,16 +47,16 @@ def _compressors(good: bytes, bad: bytes):
 
 
 def features(texts: list[str], good: bytes, bad: bytes) -> np.ndarray:
-    """For each text: 1, the difference of its compressed sizes over their sum, the same times the logarithm of its length, that logarithm, and the two sizes a byte."""
+    """For each text: 1, the difference of its compressed sizes over their sum, and the same times the logarithm of its length (the same difference is surer of a longer text)."""
     g, b = _compressors(good, bad)
-    out = np.zeros((len(texts), 6))
+    out = np.ones((len(texts), 3))
     for i, t in enumerate(texts):
         raw = t.encode("utf-8", "surrogatepass")
         blocks = [raw[k : k + BLOCK] for k in range(0, len(raw), BLOCK)]
         x = sum([len(g.compress(k)) for k in blocks])
         y = sum([len(b.compress(k)) for k in blocks])
-        d, n = (y - x) / max(x + y, 1), len(raw)
-        out[i] = 1, d, d * np.log1p(n), np.log1p(n), x / max(n, 1), y / max(n, 1)
+        d = (y - x) / max(x + y, 1)
+        out[i, 1:] = d, d * np.log1p(len(raw))
     return out
 
 
@@ -65,8 +65,8 @@ def _dictionary(blocks: list[bytes]) -> bytes:
 
     try:
         return zstandard.train_dictionary(DICTIONARY, blocks).as_bytes()
-    except zstandard.ZstdError:  # too few blocks to choose from: take them as they are
-        return b"".join(blocks)[-DICTIONARY:]
+    except zstandard.ZstdError:  # too few blocks to choose from: an equal part of each
+        return b"".join([x[: DICTIONARY // len(blocks)] for x in blocks])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3) -> tuple[float, ...]:
@@ -92,13 +92,14 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_blocks: int = SAMPLE_BLOCKS, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learn from labelled rows outside the held-out third.
 
-    At most ``SAMPLE_ROWS`` rows of each class are used, chosen by a hash of the
-    id; one half (by hash of the text, so copies stay together) gives blocks to
-    the dictionaries, the other calibrates, weighted to the share of the classes
-    among all labels. Labels that are neither 0 nor 1 are left out; of several
+    The fit, and nothing but the fit, is on a sample: at most ``sample_rows``
+    labelled rows of each class, chosen by a hash of the id; one half (by hash of
+    the text, so copies stay together) gives at most ``sample_blocks`` blocks of a
+    class, chosen by a hash, to the dictionaries, the other calibrates, weighted
+    to the share of the classes among all labels. Labels that are neither 0 nor 1 are left out; of several
     labels of an id the least holds. Without rows of both classes the score is
     the share of good labels, 0.5 if there are none.
     """
@@ -108,12 +109,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     known = stored(known, "labels")
     shares = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     share = shares.get(1, 0) / sum(shares.values()) if shares else 0.5
-    constant = Model(b"", b"", (float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))), 0.0, 0.0, 0.0, 0.0, 0.0))
+    constant = Model(b"", b"", (float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))), 0.0, 0.0))
     if len(shares) < 2:
         return constant
     order = [F.xxhash64(F.lit(1), "id"), "id"]
-    chosen = known.filter("label = 0").orderBy(*order).limit(SAMPLE_ROWS).unionByName(known.filter("label = 1").orderBy(*order).limit(SAMPLE_ROWS))
-    # at most 2 * SAMPLE_ROWS pairs of numbers are broadcast
+    chosen = known.filter("label = 0").orderBy(*order).limit(sample_rows).unionByName(known.filter("label = 1").orderBy(*order).limit(sample_rows))
+    # at most 2 * sample_rows pairs of numbers are broadcast
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(chosen), "id").select("label", "text")
     texts = stored(texts, "labelled")
     half = F.pmod(F.xxhash64("text"), F.lit(2))
@@ -131,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(cut, pa.binary())], ["label", "block"])
 
     cut = texts.filter(half == 0).mapInArrow(blocks, "label int, block binary")
-    bad, good = ([bytes(r[0]) for r in cut.filter(F.col("label") == y).orderBy(F.xxhash64("block"), "block").limit(SAMPLE_BLOCKS).select("block").collect()] for y in (0, 1))
+    bad, good = ([bytes(r[0]) for r in cut.filter(F.col("label") == y).orderBy(F.xxhash64("block"), "block").limit(sample_blocks).select("block").collect()] for y in (0, 1))
     good, bad = _dictionary(good), _dictionary(bad)
 
     def measure(batches):
@@ -141,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
             x = features(b.column(1).to_pylist(), good, bad)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
 
-    rows = texts.filter(half == 1).orderBy(F.xxhash64("text", F.lit(2))).limit(2 * SAMPLE_ROWS).mapInArrow(measure, "label int, x array<double>").collect()
+    rows = texts.filter(half == 1).orderBy(F.xxhash64("text", F.lit(2))).limit(2 * sample_rows).mapInArrow(measure, "label int, x array<double>").collect()
     y = np.array([r[0] for r in rows], float)
     if not 0 < y.sum() < len(y):
         return constant

@@ -62,7 +62,7 @@ def distinct_vectors(rows: DataFrame, copies: int) -> DataFrame:
                     keep.append(i)
             yield b.take(pa.array(keep, pa.int64()))
 
-    arrow_batches(rows.sparkSession, 4096)
+    arrow_batches(rows.sparkSession)
     rows = rows.mapInArrow(fewest, "vec_id long, vector array<long>").withColumn("digest", F.sha2(F.to_json("vector"), 256))
     return rows.dropDuplicates(["digest", "vec_id"]).withColumn("nth", F.row_number().over(W.partitionBy("digest").orderBy("vec_id"))).filter(F.col("nth") <= copies).select("vec_id", "vector")
 
@@ -173,7 +173,6 @@ def top_k(table: DataFrame, k: int = 20, query_filter=None, id_col: str = "vec_i
         q, c = np.nonzero(best_s > low)
         return pa.table({"query_id": qid[q], "vec_id": best_v[q, c], "score": best_s[q, c]})
 
-    arrow_batches(spark, 4096)
     block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
     sent = queries.repartition(max(2, blocks)).mapInArrow(routed, "cell int, query_id long, query array<long>, floor long").select("*", block)
     held = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))

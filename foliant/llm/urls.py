@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the registered query: host and path, and what they say.
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
-#: Up to so many rules (each a short string) are broadcast; more are shuffled.
-BROADCAST_RULES = 20_000
+#: Up to so many rules, of so many bytes in all, are broadcast; more are shuffled.
+BROADCAST_RULES, BROADCAST_BYTES = 20_000, 8_000_000
 PREFIX = 8  # hexadecimal digits of the short hash
 
 
@@ -51,7 +51,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     """
     rules = rules.groupBy("rule").agg(F.min("verdict").alias("verdict")).filter(F.col("rule").like("%/"))
     slash = F.instr("rule", "/")
-    bound = rules.agg(F.count("*"), F.max(slash), F.max(F.length("rule") - slash)).first()
+    bound = rules.agg(F.count("*"), F.max(slash), F.max(F.length("rule") - slash), F.sum(F.octet_length("rule") + F.octet_length("verdict"))).first()
     count, longest_host, longest_path = bound[0], (bound[1] or 1) - 1, (bound[2] or 0) + 1
     digest = F.sha2("rule", 256)
     rules = rules.select("rule", "verdict", digest.alias("full"), F.substring(digest, 1, PREFIX).alias("short"))
@@ -66,19 +66,19 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     head = F.substring("path", 1, longest_path)
     prefixes = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(head), F.lit(1))), lambda k: F.substring(head, F.lit(1), k)), lambda x: F.endswith(x, F.lit("/")))
     expressions = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, p))))
-    if count <= BROADCAST_RULES:
+    confirmed = F.col("digest") == F.col("full")  # kept out of the joins, which meet on the short hashes alone
+    best = F.max(F.when(confirmed, F.struct(F.length("rule").alias("n"), "rule", "verdict"))).alias("best")
+    if count <= BROADCAST_RULES and (bound[3] or 0) <= BROADCAST_BYTES:
         each = base.withColumn("expression", F.explode_outer(expressions)).withColumn("digest", F.sha2("expression", 256))
-        matched = each.join(F.broadcast(rules), (F.substring("digest", 1, PREFIX) == F.col("short")) & (F.col("digest") == F.col("full")), "left")
-        best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "rule", "verdict")))
-        out = matched.groupBy("row").agg(F.first("id").alias("id"), F.first("host").alias("host"), F.first("path").alias("path"), best.alias("best"))
+        matched = each.withColumn("short", F.substring("digest", 1, PREFIX)).join(F.broadcast(rules), "short", "left")
+        out = matched.groupBy("row").agg(F.first("id").alias("id"), F.first("host").alias("host"), F.first("path").alias("path"), best)
     else:
         # one row for each distinct host and head of a path, judged once
         keyed = base.withColumn("head", F.regexp_extract(head, r"(?s)^(.*/)?", 0))
         keys = keyed.select("host", "head").distinct().withColumn("path", F.col("head"))
         each = keys.withColumn("expression", F.explode(expressions))
         hits = each.select("expression").distinct().withColumn("digest", F.sha2("expression", 256))
-        hits = hits.join(rules.hint("merge"), (F.substring("digest", 1, PREFIX) == F.col("short")) & (F.col("digest") == F.col("full"))).select("expression", "rule", "verdict")
-        best = F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict"))
-        judged = each.join(hits.hint("merge"), "expression").groupBy("host", "head").agg(best.alias("best"))
+        hits = hits.withColumn("short", F.substring("digest", 1, PREFIX)).join(rules.hint("merge"), "short").groupBy("expression").agg(best).filter("best IS NOT NULL")
+        judged = each.join(hits.hint("merge"), "expression").groupBy("host", "head").agg(F.max("best").alias("best"))
         out = keyed.join(judged.hint("merge"), ["host", "head"], "left")
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
