@@ -6,7 +6,7 @@ ASCII word characters, so that they mean the same in every engine.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Before and after a word: an end of the text or a character that is no ASCII word character.
@@ -19,6 +19,16 @@ def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def each(rows: DataFrame, array, *keep, name: str = "x", place: str | None = None) -> DataFrame:
+    """A row for each element of an array, with the columns ``keep``; ``place`` names its position, if wanted.
+
+    The planner tests an array for emptiness before it explodes it, and makes it
+    twice for that; exploded as outer, and its nulls dropped, it is made once.
+    """
+    made = F.explode_outer(array).alias(name) if place is None else F.posexplode_outer(array).alias(place, name)
+    return rows.select(*keep, made).filter(F.col(name).isNotNull())
+
+
 def words_like(pattern: str) -> str:
     """A case-blind pattern for whole words."""
     return f"(?i){B}(?:{pattern}){E}"

@@ -149,7 +149,7 @@ def prose_findings(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         one("citation_need", F.lit("needs_citation_claim"), F.col("need") >= 0.78, F.col("need")), one("quality", F.col("label"), F.col("quality") >= 0.72, F.col("quality")),
         one("ai", F.lit("formulaic_prose"), F.col("prose") >= 3.5, F.round(F.least(F.lit(0.9), 0.5 + F.col("prose") * 0.07), 6)),
     ))
-    each = scored.select("doc_id", "start_offset", "page", *keep, F.explode(kinds).alias("x")).select("doc_id", "start_offset", "page", *keep, "x.*")
+    each = T.each(scored, kinds, "doc_id", "start_offset", "page", *keep).select("doc_id", "start_offset", "page", *keep, "x.*")
     most = F.when(F.col("kind") == "citation_need", 20).when(F.col("kind") == "quality", 24).otherwise(12)
     nth = F.row_number().over(W.partitionBy("doc_id", "kind").orderBy("start_offset"))
     return each.withColumn("_n", nth).filter(F.col("_n") <= most).select("doc_id", "kind", "category", "start_offset", "page", "score", *keep)
@@ -168,7 +168,7 @@ def numeric_claims(rows: DataFrame) -> DataFrame:
     rows = rows.filter((F.col("section") != "References") & (F.length(F.trim("text")) >= 12))
 
     def of(pattern: str, size: bool):
-        found = rows.select("doc_id", "sentence_index", "page", "start_offset", "text", F.explode(T.hits("text", pattern)).alias("h"))
+        found = T.each(rows, T.hits("text", pattern), "doc_id", "sentence_index", "page", "start_offset", "text", name="h")
         value = T.number(F.regexp_extract("h.text", r"(\d+(?:\.\d+)?)$", 1))
         token = F.trim(F.lower(F.regexp_extract("h.text", r"(?i)^(sample size|n|accuracy|precision|recall|sensitivity|specificity|f1(?:-?\s*score)?|auroc|auc)", 1)))
         metric = F.coalesce(F.create_map(*[F.lit(x) for kv in METRICS.items() for x in kv])[token], token)

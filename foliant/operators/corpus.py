@@ -35,7 +35,7 @@ def sentence_chunks(docs: DataFrame, size: int = 3, least: int = 80, most: int =
     s = docs.select("doc_id", F.filter(T.sentences(text), lambda x: x != "").alias("s"))
     groups = F.transform(F.sequence(F.lit(0), F.ceil(F.size("s") / size).cast("int") - 1), lambda k: F.struct(k.alias("chunk"), F.array_join(F.slice("s", k * size + 1, size), " ").alias("text")))
     kept = F.slice(F.filter(groups, lambda g: (F.length(g["text"]) >= least) & (F.length(g["text"]) <= most)), 1, per_doc)
-    return s.filter(F.size("s") > 0).select("doc_id", F.explode(kept).alias("x")).select("doc_id", "x.*")
+    return T.each(s.filter(F.size("s") > 0), kept, "doc_id").select("doc_id", "x.*")
 
 
 def packed_passages(docs: DataFrame, target: int = 550, least: int = 180, most: int = 900, text: str = "body") -> DataFrame:
@@ -50,7 +50,7 @@ def packed_passages(docs: DataFrame, target: int = 550, least: int = 180, most:
 
     folded = s.select("doc_id", F.aggregate("s", zero, step).alias("f"))
     every = F.when(F.col("f.open") != "", F.array_append("f.out", F.col("f.open"))).otherwise(F.col("f.out"))
-    return folded.select("doc_id", F.posexplode(F.filter(every, lambda x: (F.length(x) >= least) & (F.length(x) <= most))).alias("passage", "text"))
+    return T.each(folded, F.filter(every, lambda x: (F.length(x) >= least) & (F.length(x) <= most)), "doc_id", name="text", place="passage")
 
 
 def weak_label(text: str = "text") -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant.functions import text as T
+
 #: Ranges of a score over which running sums are split, so that no window holds all rows.
 PARTS = 256
 
@@ -108,8 +110,9 @@ def slices(rows: DataFrame, *by: str, threshold: float = 0.5) -> DataFrame:
 
 def ship_gate(model: DataFrame, rules: DataFrame, margin: float = 0.03, least: int = 300) -> DataFrame:
     """(n, model_auc, rules_auc, ships): whether the model beats the rules by the margin on enough labels."""
-    a, b = roc_auc(model).withColumnRenamed("auc", "model_auc"), roc_auc(rules).select(F.col("auc").alias("rules_auc"))
-    one = a.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k").drop("k")
+    both = roc_auc(model).select("n", "auc", F.lit(True).alias("m")).unionByName(roc_auc(rules).select("n", "auc", F.lit(False).alias("m")))
+    of = lambda c, m: F.max(F.when(F.col("m") == m, F.col(c))).alias
+    one = both.agg(of("n", True)("n"), of("auc", True)("model_auc"), of("auc", False)("rules_auc"))
     return one.withColumn("ships", F.coalesce((F.col("n") >= least) & (F.col("model_auc") > F.col("rules_auc") + margin), F.lit(False)))
 
 
@@ -122,6 +125,6 @@ def missing_rates(rows: DataFrame, columns: list[str]) -> DataFrame:
 def distinct_bigrams(texts: DataFrame, by: str, text: str = "text") -> DataFrame:
     """(by, bigrams, distinct_2): word pairs, and the share of them that differ; exact, from counts of each pair."""
     w = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
-    pairs = texts.select(by, w.alias("w")).filter(F.size("w") > 1).select(by, F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1)))).alias("pair"))
+    pairs = T.each(texts.select(by, w.alias("w")).filter(F.size("w") > 1), F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1))), by, name="pair")
     counts = pairs.groupBy(by, "pair").agg(F.count("*").alias("n"))
     return counts.groupBy(by).agg(F.sum("n").alias("bigrams"), (F.count("*") / F.sum("n")).alias("distinct_2"))

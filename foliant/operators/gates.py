@@ -92,5 +92,5 @@ def passages(docs: DataFrame, target: int = PASSAGE, least: int = SHORTEST, page
 
     zero = F.struct(F.lit(False).alias("open"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit(0).alias("last"), F.lit("").alias("t"), F.lit(0).alias("size"), F.array().cast(f"array<{kind}>").alias("out"))
     packed = F.aggregate(spans, zero, step, lambda a: F.when(a["open"], close(a)).otherwise(a["out"]))
-    each = rows.select("doc_id", F.explode(packed).alias("x")).select("doc_id", F.col("x.s").alias("start_offset"), F.col("x.e").alias("end_offset"), F.col("x.t").alias("text"))
+    each = T.each(rows, packed, "doc_id").select("doc_id", F.col("x.s").alias("start_offset"), F.col("x.e").alias("end_offset"), F.col("x.t").alias("text"))
     return parse.at_page(each, page_chars)

@@ -74,7 +74,7 @@ def review(matches: DataFrame, docs: DataFrame, text: str = "full_text") -> Data
             F.concat(x["category_name"], F.lit(": "), x["message"]).alias("explanation"), F.when(~wide, F.get(x["replacements"], F.lit(0))).alias("replacement"), x["rule_id"].alias("rule_id"), F.lit(CONFIDENCE).alias("confidence"), start.alias("match_start"),
         ))
 
-    found = rows.select("doc_id", F.explode(F.array_compact(F.transform("m", one))).alias("x")).select("doc_id", "x.*")
+    found = T.each(rows, F.transform("m", one), "doc_id").select("doc_id", "x.*")
     return parse.at_page(found)
 
 
@@ -121,4 +121,4 @@ def chunks(docs: DataFrame, target: int = CHUNK, text: str = "full_text") -> Dat
 
     start = F.struct(F.lit(None).cast("int").alias("s"), F.lit(0).alias("e"), none.alias("out"))
     done = F.aggregate(spans, start, step, lambda a: F.when(a["s"].isNotNull(), F.array_append(a["out"], F.struct(a["s"].alias("s"), a["e"].alias("e")))).otherwise(a["out"]))
-    return rows.select("doc_id", F.explode(done).alias("x")).select("doc_id", F.col("x.s").alias("start_offset"), F.col("x.e").alias("end_offset"))
+    return T.each(rows, done, "doc_id").select("doc_id", F.col("x.s").alias("start_offset"), F.col("x.e").alias("end_offset"))

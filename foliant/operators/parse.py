@@ -53,7 +53,7 @@ def with_sections(docs: DataFrame, strict: bool = True, text: str = "full_text")
 def sections(docs: DataFrame, strict: bool = True, text: str = "full_text") -> DataFrame:
     """Rows (doc_id, name, start_offset, end_offset), see ``with_sections``."""
     rows = with_sections(docs.select("doc_id", text), strict, text)
-    return rows.select("doc_id", F.explode("_sections").alias("x")).select("doc_id", "x.*").filter("end_offset > start_offset OR name = 'Other'")
+    return T.each(rows, "_sections", "doc_id").select("doc_id", "x.*").filter("end_offset > start_offset OR name = 'Other'")
 
 
 def located_sentences(docs: DataFrame, window: int, text: str = "full_text") -> DataFrame:
@@ -69,7 +69,7 @@ def located_sentences(docs: DataFrame, window: int, text: str = "full_text") ->
         near = F.substring(text, F.greatest(F.lit(1), s - window + 1), end - F.greatest(F.lit(0), s - window) + window)
         return F.struct(F.rtrim(x).alias("text"), s.alias("start_offset"), end.alias("end_offset"), (near.rlike(BRACKET) | near.rlike(AUTHOR_YEAR) | near.rlike(YEAR_ALONE)).alias("cited"))
 
-    each = rows.select("doc_id", "_sections", F.posexplode(F.zip_with("_p", "_at", one)).alias("sentence_index", "x")).select("doc_id", "_sections", "sentence_index", "x.*").filter("text <> ''")
+    each = T.each(rows, F.zip_with("_p", "_at", one), "doc_id", "_sections", place="sentence_index").select("doc_id", "_sections", "sentence_index", "x.*").filter("text <> ''")
     inside = F.filter("_sections", lambda x: (x["start_offset"] <= F.col("start_offset")) & (F.col("start_offset") < x["end_offset"]))
     return at_page(each.withColumn("section", F.coalesce(F.get(inside, F.lit(0))["name"], F.lit("Other"))).drop("_sections"))
 
@@ -78,7 +78,7 @@ def sentences(docs: DataFrame, text: str = "full_text") -> DataFrame:
     """Rows (doc_id, sentence_index, text, start_offset, end_offset), found without a shuffle."""
     pieces = docs.select("doc_id", T.sentence_pieces(text).alias("p"))
     rows = F.zip_with("p", T.starts("p"), lambda x, s: F.struct(F.rtrim(x).alias("text"), s.alias("start_offset"), (s + F.length(F.rtrim(x))).alias("end_offset")))
-    return pieces.select("doc_id", F.posexplode(rows).alias("sentence_index", "x")).select("doc_id", "sentence_index", "x.*").filter("text <> ''")
+    return T.each(pieces, rows, "doc_id", place="sentence_index").select("doc_id", "sentence_index", "x.*").filter("text <> ''")
 
 
 def at_section(spans: DataFrame, secs: DataFrame, offset: str = "start_offset") -> DataFrame:
@@ -97,7 +97,7 @@ def citations(docs: DataFrame, text: str = "full_text") -> DataFrame:
     """Rows (doc_id, marker, style, start_offset, end_offset, keys), of bracketed numbers and of authors with years."""
 
     def of(pattern: str, style: str, at: str):
-        found = docs.select("doc_id", F.explode(T.hits(text, pattern)).alias("h"))
+        found = T.each(docs, T.hits(text, pattern), "doc_id", name="h")
         inner = F.substring("h.text", F.lit(2), F.length("h.text") - 2)
         keys = F.filter(F.transform(F.split(inner, at), lambda k: F.trim(k)), lambda k: k != "")
         return found.select("doc_id", F.col("h.text").alias("marker"), F.lit(style).alias("style"), F.col("h.start").alias("start_offset"), (F.col("h.start") + F.length("h.text")).alias("end_offset"), keys.alias("keys"))
@@ -130,7 +130,7 @@ def references(docs: DataFrame, text: str = "full_text") -> DataFrame:
     """
     found = docs.filter(F.col(text).rlike(heading("References", True))).select("doc_id", text, F.length(F.regexp_extract(text, heading("References", True), 1)).alias("at"))
     found = found.withColumn("body", F.expr(f"substring({text}, at + 1)"))
-    marks = found.select("doc_id", "at", "body", F.explode(T.hits("body", r"\[\d{1,3}\]\s+[A-Z\"“]")).alias("h"))
+    marks = T.each(found, T.hits("body", r"\[\d{1,3}\]\s+[A-Z\"“]"), "doc_id", "at", "body", name="h")
     doc = W.partitionBy("doc_id")
     order = doc.orderBy("h.start")
     marks = marks.withColumn("num", F.regexp_extract("h.text", r"\d+", 0).cast("int"))

@@ -111,31 +111,40 @@ VENUE_CAUTION = (
 )
 NEEDS = {
     "human": r"participants?|patients?|volunteers?|respondents?|human subjects?|questionnaires?|surveyed|interviews?|focus groups?|cohort|clinical trial",
-    "animal": r"mice|rats?|murine|zebrafish|rabbits?|in vivo|animal (?:model|stud|experiment)|c57bl",
-    "data": r"datasets?|data set|corpus|corpora|benchmark|database|collected data|raw data|measurement data|source code|github|gitlab",
+    "animal": r"mice|rats?|murine|zebrafish|rabbits?|in vivo|animal (?:model|stud|experiment)|c57bl|sprague.?dawley",
+    "data": r"datasets?|data set|corpus|corpora|benchmark|database|collected data|raw data|measurement data",
+    "code": r"source code|github|gitlab|open.?source (?:code|implementation)|our (?:code|implementation)|scripts? (?:are|is) available",
 }
 PRESENT = {
-    "ethics": r"ethic(?:s|al)?\s+(?:approval|committee|review board|clearance)|institutional review board|IRB|declaration of helsinki|IACUC",
+    "ethics": r"ethic(?:s|al)?\s+(?:approval|committee|review board|clearance)|institutional review board|IRB|declaration of helsinki|animal care and use committee|IACUC",
     "consent": r"informed consent|written consent|consent (?:was|were) obtained|consent form",
-    "data": r"data availability|data (?:are|is|will be) (?:openly |publicly |freely )?available",
-    "conflict": r"conflicts? of interest|competing interests?|declare no",
-    "funding": r"this (?:work|research|study) (?:was|is) (?:partially |partly )?(?:supported|funded)|grant (?:no|number|agreement)|financial support",
+    "data": r"data availability|data (?:are|is|will be) (?:openly |publicly |freely )?available|available (?:at|from|upon|on) (?:https|request|reasonable request|zenodo|figshare|github|osf)",
+    "conflict": r"conflicts? of interest|competing interests?|no (?:known )?(?:conflict|competing)|declare no",
+    "funding": r"this (?:work|research|study) (?:was|is) (?:partially |partly )?(?:supported|funded)|funding:?\s|grant (?:no|number|agreement)|financial support",
 }
 
 
 def statements(docs: DataFrame, text: str = "full_text") -> DataFrame:
-    """(doc_id, statement, status): ok, missing, not_needed or check for each required statement, from what the text says it involves."""
+    """(doc_id, statement, status): ok, missing, not_needed or check for each required statement.
+
+    What a study involves is read from its methods (the whole text where it has no
+    such section), data and code from the whole text. Consent is asked for only
+    where there are human subjects.
+    """
+    rows = parse.with_sections(docs.select("doc_id", text), True, text)
+    methods = F.get(F.filter("_sections", lambda s: s["name"] == "Methods"), F.lit(0))
+    rows = rows.withColumn("_m", F.coalesce(F.substring(text, methods["start_offset"] + 1, methods["end_offset"] - methods["start_offset"]), F.col(text)))
     has = lambda p: F.col(text).rlike(T.words_like(p))
-    human, animal, data = (has(NEEDS[k]) for k in ("human", "animal", "data"))
+    human, animal, data = F.col("_m").rlike(T.words_like(NEEDS["human"])), F.col("_m").rlike(T.words_like(NEEDS["animal"])), has(NEEDS["data"]) | has(NEEDS["code"])
     status = {
         "ethics": F.when(has(PRESENT["ethics"]), "ok").when(human | animal, "missing").otherwise("not_needed"),
-        "consent": F.when(has(PRESENT["consent"]), "ok").when(human, "missing").otherwise("not_needed"),
+        "consent": F.when(human, F.when(has(PRESENT["consent"]), "ok").otherwise("missing")),
         "data": F.when(has(PRESENT["data"]), "ok").when(data, "missing").otherwise("check"),
         "conflict": F.when(has(PRESENT["conflict"]), "ok").otherwise("missing"),
         "funding": F.when(has(PRESENT["funding"]), "ok").otherwise("check"),
     }
     listed = F.array(*[F.struct(F.lit(k).alias("statement"), v.alias("status")) for k, v in status.items()])
-    return docs.select("doc_id", F.explode(listed).alias("x")).select("doc_id", "x.*")
+    return rows.select("doc_id", F.explode(listed).alias("x")).select("doc_id", "x.*").filter(F.col("status").isNotNull())
 
 
 def hygiene(refs: DataFrame, year: int) -> DataFrame:
@@ -174,25 +183,38 @@ def callouts(docs: DataFrame, text: str = "full_text") -> DataFrame:
     return rows.select("doc_id", "kind", F.size("n").alias("count"), most.alias("max_number"), F.array_except(F.sequence(F.lit(1), most), "n").alias("missing"))
 
 
-def fields(docs: DataFrame, lexicon: DataFrame, most: int = 3) -> DataFrame:
-    """(doc_id, field, hits, place): the fields with most terms of the lexicon (field, term) in a lead text, ``general`` if none.
+def small(table: DataFrame, most: int = 2000) -> list:
+    """The rows of a dimension table; an error if it has over ``most``, as it is no dimension then."""
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows: join this table instead")
+    return rows
 
-    The lexicon is small by nature and read as one array, so each document is
-    looked at once, where it is.
-    """
-    terms = lexicon.groupBy("field").agg(F.sort_array(F.collect_set("term")).alias("terms")).agg(F.sort_array(F.collect_list(F.struct("field", "terms"))).alias("lexicon"))
-    rows = docs.select("doc_id", "lead").join(F.broadcast(terms))
-    hits = F.transform("lexicon", lambda f: F.struct((-F.size(F.filter(f["terms"], lambda t: F.contains("lead", t)))).alias("h"), f["field"].alias("field")))
+
+def fields_of(docs: DataFrame, lexicon: dict[str, list[str]], most: int = 3) -> DataFrame:
+    """(doc_id, field, hits, place): the fields with most terms in a lead text, ``general`` if none. The lexicon is a literal of the plan: no join."""
+    terms = F.array(*[F.struct(F.lit(f).alias("field"), F.array(*[F.lit(t) for t in sorted(set(ts))]).alias("terms")) for f, ts in sorted(lexicon.items())])
+    hits = F.transform(terms, lambda f: F.struct((-F.size(F.filter(f["terms"], lambda t: F.contains("lead", t)))).alias("h"), f["field"].alias("field")))
     best = F.slice(F.array_sort(F.filter(hits, lambda x: x["h"] < 0)), 1, most)
     none = F.array(F.struct(F.lit(0).alias("h"), F.lit("general").alias("field")))
-    return rows.select("doc_id", F.posexplode(F.when(F.size(best) > 0, best).otherwise(none)).alias("place", "x")).select("doc_id", "x.field", (-F.col("x.h")).alias("hits"), (F.col("place") + 1).alias("place"))
+    rows = docs.select("doc_id", best.alias("best"))
+    return rows.select("doc_id", F.posexplode(F.when(F.size("best") > 0, F.col("best")).otherwise(none)).alias("place", "x")).select("doc_id", "x.field", (-F.col("x.h")).alias("hits"), (F.col("place") + 1).alias("place"))
+
+
+def fields(docs: DataFrame, lexicon: DataFrame, most: int = 3) -> DataFrame:
+    """``fields_of`` for a lexicon that is a small table (field, term)."""
+    terms: dict[str, list[str]] = {}
+    for r in small(lexicon):
+        terms.setdefault(r["field"], []).append(r["term"])
+    return fields_of(docs, terms, most)
 
 
 def venues(docs: DataFrame, found: DataFrame, catalog: DataFrame, most: int = 5) -> DataFrame:
-    """(doc_id, venue, score, position): venues (venue, keywords, fields) by 2 a keyword, 3 a shared field and 1; ties by name."""
+    """(doc_id, venue, score, position): venues (venue, keywords, fields), a small table, by 2 a keyword, 3 a shared field and 1; ties by name."""
     mine = found.groupBy("doc_id").agg(F.collect_set("field").alias("mine"))
-    listed = catalog.agg(F.sort_array(F.collect_list(F.struct("venue", "keywords", "fields"))).alias("catalog"))
-    rows = docs.select("doc_id", "lead").join(mine.hint("merge"), "doc_id").join(F.broadcast(listed))
+    texts = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    listed = F.array(*[F.struct(F.lit(r["venue"]).alias("venue"), texts(r["keywords"]).alias("keywords"), texts(r["fields"]).alias("fields")) for r in small(catalog)])
+    rows = docs.select("doc_id", "lead").join(mine.hint("merge"), "doc_id").withColumn("catalog", listed)
     score = lambda v: 1 + 2 * F.size(F.filter(v["keywords"], lambda k: F.contains("lead", k))) + 3 * F.size(F.array_intersect(v["fields"], "mine"))
     ranked = F.slice(F.array_sort(F.transform("catalog", lambda v: F.struct((-score(v)).alias("s"), v["venue"].alias("venue")))), 1, most)
     return rows.select("doc_id", F.posexplode(ranked).alias("p", "x")).select("doc_id", "x.venue", (-F.col("x.s")).alias("score"), (F.col("p") + 1).alias("position"))

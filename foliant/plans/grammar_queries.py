@@ -36,7 +36,7 @@ def query(sql: str | None = None):
 def matches(docs):
     out = None
     for pattern, rule, category, name, message, size in RULES:
-        found = docs.select("doc_id", F.explode(T.hits("full_text", pattern)).alias("h"))
+        found = T.each(docs, T.hits("full_text", pattern), "doc_id", name="h")
         offered = F.array(F.substring("h.text", 1, size)) if size else F.array().cast("array<string>")
         rows = found.select("doc_id", F.col("h.start").alias("start_offset"), F.length("h.text").alias("length"), F.lit(rule).alias("rule_id"), F.lit(category).alias("category_id"), F.lit(name).alias("category_name"), F.lit(message).alias("message"), offered.alias("replacements"))
         out = rows if out is None else out.unionByName(rows)

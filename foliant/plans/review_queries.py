@@ -156,21 +156,22 @@ def p10_source_types_whole(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", review.source_type(F.regexp_extract("html", _TITLE, 1), "url").alias("source_type"))
 
 
-def _has(p: str) -> str:
-    return f"regexp_matches(full_text, {q(T.words_like(p))})"
+def _has(p: str, c: str = "full_text") -> str:
+    return f"regexp_matches({c}, {q(T.words_like(p))})"
 
 
 _STATES = {
-    "ethics": f"CASE WHEN {_has(review.PRESENT['ethics'])} THEN 'ok' WHEN {_has(review.NEEDS['human'])} OR {_has(review.NEEDS['animal'])} THEN 'missing' ELSE 'not_needed' END",
-    "consent": f"CASE WHEN {_has(review.PRESENT['consent'])} THEN 'ok' WHEN {_has(review.NEEDS['human'])} THEN 'missing' ELSE 'not_needed' END",
-    "data": f"CASE WHEN {_has(review.PRESENT['data'])} THEN 'ok' WHEN {_has(review.NEEDS['data'])} THEN 'missing' ELSE 'check' END",
+    "ethics": f"CASE WHEN {_has(review.PRESENT['ethics'])} THEN 'ok' WHEN {_has(review.NEEDS['human'], 'methods')} OR {_has(review.NEEDS['animal'], 'methods')} THEN 'missing' ELSE 'not_needed' END",
+    "consent": f"CASE WHEN NOT {_has(review.NEEDS['human'], 'methods')} THEN NULL WHEN {_has(review.PRESENT['consent'])} THEN 'ok' ELSE 'missing' END",
+    "data": f"CASE WHEN {_has(review.PRESENT['data'])} THEN 'ok' WHEN {_has(review.NEEDS['data'])} OR {_has(review.NEEDS['code'])} THEN 'missing' ELSE 'check' END",
     "conflict": f"CASE WHEN {_has(review.PRESENT['conflict'])} THEN 'ok' ELSE 'missing' END",
     "funding": f"CASE WHEN {_has(review.PRESENT['funding'])} THEN 'ok' ELSE 'check' END",
 }
 
 
-@query(f"WITH {MANUSCRIPTS} " + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS statement, {v} AS status FROM manuscripts" for k, v in _STATES.items()))
+@query(f"WITH {MANUSCRIPTS}, {_heads(True)}, stated AS (SELECT m.doc_id, full_text, coalesce(substr(full_text, s.start_offset + 1, s.end_offset - s.start_offset), full_text) AS methods FROM manuscripts m LEFT JOIN sections s ON s.doc_id = m.doc_id AND s.name = 'Methods') SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS statement, {v} AS status FROM stated" for k, v in _STATES.items()) + ") WHERE status IS NOT NULL")
 def p34_statements(spark, sf_dir):
+    """Required statements by the full lists of signals and wordings."""
     return review.statements(manuscripts(spark, sf_dir))
 
 
