@@ -45,23 +45,29 @@ def likeness(a: str, b: str, floor: float = 0.0) -> float:
     if a in b or b in a:
         return 0.85 + 0.15 * min(len(a), len(b)) / max(len(a), len(b))
     x, y = (Counter(s[k : k + 2] for k in range(len(s) - 1)) for s in (a, b))
-    total = len(a) + len(b) - 2
-    dice = 2 * sum((x & y).values()) / total if min(len(a), len(b)) > 1 else 0.0
+    total, both = len(a) + len(b) - 2, sum((x & y).values())
+    dice = 2 * both / total if min(len(a), len(b)) > 1 else 0.0
     longest = max(len(a), len(b))
-    if longest < 120 and 1 - abs(len(a) - len(b)) / longest > max(dice, floor):
+    # an edit changes two pairs of characters at most, so those that differ bound the distance from below
+    least = max(abs(len(a) - len(b)), (longest - 1 - both) / 2)
+    if longest < 120 and 1 - least / longest > max(dice, floor):
         return max(dice, _edit_ratio(a, b))
     return dice
 
 
-def best_span(passage: str, text: str, spans: list[tuple[int, int]]) -> tuple[int, int, float]:
-    """(start, end, score) in ``text``: the span most like the passage, of ``spans`` and of windows of its length; the first of equals."""
+def best_span(passage: str, text: str, spans: list[tuple[int, int]], floor: float = 0.0) -> tuple[int, int, float]:
+    """(start, end, score) in ``text``: the span most like the passage, of ``spans`` and of windows of its length; the first of equals; score 0 where none is above ``floor``."""
     wanted, best = normal(passage), (-1, -1, 0.0)
     size = min(len(text), max(len(passage), MARGIN))
     step = max(5, size // 8)
-    windows = [(k, k + size) for k in range(0, len(text) - min(20, size) + 1, step)]
+    windows = [(k, k + size) for k in range(0, len(text) - size + 1, step)]
+    around, pairs = normal(text), len(wanted) - 1
+    both = sum((Counter(wanted[k : k + 2] for k in range(pairs)) & Counter(around[k : k + 2] for k in range(len(around) - 1))).values())
+    if both < min(floor * pairs / (2 - floor), pairs - 2 * (1 - floor) * max(size, len(wanted))):
+        windows = []  # none has enough pairs of characters in common
     for start, end in [*spans, *windows]:
-        score = likeness(wanted, normal(text[start:end]), best[2])
-        if score > best[2]:
+        score = likeness(wanted, normal(text[start:end]), max(best[2], floor))
+        if score > max(best[2], floor):
             best = (start, min(end, len(text)), score)
     return best
 
@@ -107,7 +113,7 @@ def align(flags: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, text:
                 for c in found:
                     lo, hi = max(0, c["start_offset"] - MARGIN), min(len(whole), c["next_end"] + MARGIN)
                     spans = [(c["start_offset"] - lo, c["end_offset"] - lo), (c["start_offset"] - lo, c["next_end"] - lo)]
-                    start, end, value = best_span(c["text"].strip(), whole[lo:hi], spans)
+                    start, end, value = best_span(c["text"].strip(), whole[lo:hi], spans, threshold - 1e-9)
                     if value >= threshold:
                         for k, v in zip(out, (doc, c["flag_id"], lo + start, lo + end, round(value, 9)), strict=True):
                             out[k].append(v)

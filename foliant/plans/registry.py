@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foliant.plans import activity_queries, alignment_queries, biblio_queries, claim_queries, corpus_queries, finding_queries, grammar_queries, loader_queries, parse_queries, readiness_queries, report_queries, review_queries
+from foliant.plans import activity_queries, alignment_queries, biblio_queries, build_queries, claim_queries, corpus_queries, finding_queries, grammar_queries, loader_queries, parse_queries, readiness_queries, report_queries, review_queries
 
-MODULES = [parse_queries, claim_queries, corpus_queries, activity_queries, review_queries, biblio_queries, loader_queries, report_queries, finding_queries, grammar_queries, readiness_queries, alignment_queries]
+MODULES = [parse_queries, claim_queries, corpus_queries, activity_queries, review_queries, biblio_queries, loader_queries, report_queries, finding_queries, grammar_queries, readiness_queries, alignment_queries, build_queries]
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant.functions import text as T
+
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a JSON-lines file; blank and corrupt lines are left out."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path).cache()
-    return rows.filter("_corrupt IS NULL").drop("_corrupt")
+    rows = spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    # Spark refuses a query that reads the corrupt column alone, so a field of the schema is named with it
+    return rows.filter("_corrupt IS NULL").select(*[c for c in rows.columns if c != "_corrupt"])
 
 
 def first_present(rows: DataFrame, name: str, candidates: list[str]) -> DataFrame:
@@ -60,3 +63,33 @@ def write_splits(rows: DataFrame, path: str, split: str = "split") -> None:
 def append_history(rows: DataFrame, path: str, run_id: str) -> None:
     """Adds a run's rows to a history; a run that is written again replaces itself."""
     rows.write.mode("overwrite").json(f"{path}/run={run_id}")
+
+
+def labelled_csv(spark: SparkSession, path: str, text: str, label: str, source: str) -> DataFrame:
+    """(text, label, source) of CSV files with a header, fields over several lines allowed; labels are turned round (1 - label)."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return rows.select(F.col(text).alias("text"), (1 - F.col(label).cast("int")).alias("label"), F.lit(source).alias("source"))
+
+
+def csv_folder(spark: SparkSession, path: str, text: str, label: str, test_share: int = 15) -> DataFrame:
+    """(text, label, split) of a folder of CSV files: test where a file's name says so, train where another does; if no name says test, a share by hash of the text."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    named = rows.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.lower(F.col("_metadata.file_name")).alias("_f"))
+    has_test = named.filter(F.contains("_f", F.lit("test"))).limit(1).count() > 0
+    by_hash = F.pmod(F.xxhash64("text"), F.lit(100)) < test_share
+    test = F.contains("_f", F.lit("test")) if has_test else by_hash
+    return named.select("text", "label", F.when(test, "test").otherwise("train").alias("split"))
+
+
+def answer_rows(records: DataFrame, key: str, arrays: dict[str, int]) -> DataFrame:
+    """(key, place, label, text): the elements of several arrays of texts as rows, each array with its label."""
+    out = None
+    for name, label in arrays.items():
+        rows = T.each(records, name, key, name="text", place="place").select(key, "place", F.lit(label).alias("label"), "text")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def strided(rows: DataFrame, key: str, stride: int) -> DataFrame:
+    """Every so many-th row, by a hash of its key: the same rows in every order and run."""
+    return rows.filter(F.pmod(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(stride)) == 0)
