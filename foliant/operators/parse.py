@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,6 +23,9 @@ BRACKET = r"\[\d+(?:\s*[,–-]\s*\d+)*\]"
 AUTHOR_YEAR = r"\([A-Z][a-zA-Z'-]+(?:\s+et\s+al\.)?(?:\s*&\s*[A-Z][a-zA-Z'-]+)?,?\s*\d{4}[a-z]?(?:\s*;\s*[A-Z][a-zA-Z'-]+(?:\s+et\s+al\.)?,?\s*\d{4}[a-z]?)*\)"
 YEAR_ALONE = r"[A-Z][a-zA-Z-]+\s+\(\d{4}[a-z]?\)"
 
+#: Characters of the slices that surroundings are cut from.
+SLICE = 1000
+
 
 def heading(name: str, strict: bool) -> str:
     """A pattern for what stands before a heading (group 1) and the heading.
@@ -56,18 +59,28 @@ def sections(docs: DataFrame, strict: bool = True, text: str = "full_text") -> D
     return T.each(rows, "_sections", "doc_id").select("doc_id", "x.*").filter("end_offset > start_offset OR name = 'Other'")
 
 
+def cites(text) -> Column:
+    """Whether a text holds a citation marker; every marker has a bracket, which is looked for first."""
+    return (F.contains(text, F.lit("[")) | F.contains(text, F.lit("("))) & (text.rlike(BRACKET) | text.rlike(AUTHOR_YEAR) | text.rlike(YEAR_ALONE))
+
+
 def located_sentences(docs: DataFrame, window: int, text: str = "full_text") -> DataFrame:
     """Sentences with section, page, and whether a citation stands within ``window`` characters.
 
     All of it comes from arrays of the document's own row before they are exploded: no join, no shuffle.
     """
     rows = with_sections(docs.select("doc_id", text), True, text)
-    rows = rows.withColumn("_p", T.sentence_pieces(text)).withColumn("_at", T.starts("_p"))
+    # finding a place in a long text means to count its characters, so surroundings are cut from slices of it
+    n = F.length(text)
+    slices = F.transform(F.sequence(F.lit(0), F.ceil(F.greatest(n, F.lit(1)) / SLICE).cast("int") - 1), lambda k: F.substring(text, k * SLICE + 1, F.lit(SLICE)))
+    rows = rows.withColumn("_p", T.sentence_pieces(text)).withColumn("_at", T.starts("_p")).withColumn("_slices", slices)
 
     def one(x, s):
         end = s + F.length(F.rtrim(x))
-        near = F.substring(text, F.greatest(F.lit(1), s - window + 1), end - F.greatest(F.lit(0), s - window) + window)
-        return F.struct(F.rtrim(x).alias("text"), s.alias("start_offset"), end.alias("end_offset"), (near.rlike(BRACKET) | near.rlike(AUTHOR_YEAR) | near.rlike(YEAR_ALONE)).alias("cited"))
+        low = F.greatest(F.lit(0), s - window)
+        first = F.floor(low / SLICE).cast("int")
+        near = F.substring(F.array_join(F.slice("_slices", first + 1, F.ceil((end + window) / SLICE).cast("int") - first), ""), low - first * SLICE + 1, end - low + window)
+        return F.struct(F.rtrim(x).alias("text"), s.alias("start_offset"), end.alias("end_offset"), cites(near).alias("cited"))
 
     each = T.each(rows, F.zip_with("_p", "_at", one), "doc_id", "_sections", place="sentence_index").select("doc_id", "_sections", "sentence_index", "x.*").filter("text <> ''")
     inside = F.filter("_sections", lambda x: (x["start_offset"] <= F.col("start_offset")) & (F.col("start_offset") < x["end_offset"]))

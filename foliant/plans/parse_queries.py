@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 from foliant.operators import overlap, parse
 from foliant.sources.manuscripts import SQL as MANUSCRIPTS
-from foliant.sources.manuscripts import manuscripts
+from foliant.sources.manuscripts import manuscripts, spread
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -29,7 +29,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bodies(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", T.normalize_layout("text").alias("body"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", T.normalize_layout("text").alias("body"))
 
 
 def q(pattern: str) -> str:
