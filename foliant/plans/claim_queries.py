@@ -123,6 +123,16 @@ def j15_numeric_conflicts(spark, sf_dir):
     return claims.numeric_conflicts(claims.numeric_claims(claims.located(manuscripts(spark, sf_dir))))
 
 
+@query(f"WITH {LOCATED}, {NUMERIC}, {CONFLICTS} SELECT doc_id, metric, a_start, b_start, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY cross_page DESC, a_start, b_start, metric) AS INTEGER) AS position FROM conflicts")
+def l3_conflict_order(spark, sf_dir):
+    """Conflicts across pages first, then by place."""
+    from pyspark.sql import Window as W
+
+    rows = claims.numeric_conflicts(claims.numeric_claims(claims.located(manuscripts(spark, sf_dir))))
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("cross_page"), "a_start", "b_start", "metric"))
+    return rows.select("doc_id", "metric", "a_start", "b_start", place.alias("position"))
+
+
 def _findings(spark, sf_dir):
     """All kinds of findings (U1): rows (doc_id, kind, category, start_offset, page, score)."""
     return claims.prose_findings(claims.located(manuscripts(spark, sf_dir)))

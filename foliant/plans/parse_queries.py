@@ -29,7 +29,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bodies(spark, sf_dir):
-    return spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", T.normalize_layout("text").alias("body"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.normalize_layout("text").alias("body"))
 
 
 def q(pattern: str) -> str:

@@ -37,15 +37,15 @@ def _choice(options: list[str], shift: int = 0) -> Column:
     return F.element_at(F.array(*[F.lit(x) for x in options]), (F.pmod(F.col("doc_id") + shift, F.lit(len(options))) + 1).cast("int"))
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Rows dealt to all cores where the input has fewer parts than there are cores (a small file of one row group); larger inputs stay as they are read."""
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores in turn where the input has fewer parts than there are cores (a small file of one row group); larger inputs stay as they are read."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows (doc_id, body, full_text), offsets of everything else counting into full_text."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id").select("doc_id", normalize_layout("text").alias("body"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", normalize_layout("text").alias("body"))
     size = F.concat(F.lit("In total n = "), (40 + F.pmod("doc_id", F.lit(50))).cast("string"), F.lit(" patients were seen, with an accuracy of 91.5 in each."))
     again = F.concat(F.lit("At the end n = "), (40 + F.pmod("doc_id", F.lit(50)) + F.pmod("doc_id", F.lit(3))).cast("string"), F.lit(" patients remained, with an accuracy of "), F.when(F.pmod("doc_id", F.lit(5)) == 0, "88.0").otherwise("91.5"), F.lit(" in each."))
     refs = F.replace(_choice(REFERENCES), F.lit("{n}"), F.col("doc_id").cast("string"))
