@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import counts, fingerprints, jaccard, mixing, packing, pieces, quality, substrings, topk, urls
+from foliant.llm import counts, fingerprints, jaccard, mixing, negatives, packing, pieces, quality, simhash, substrings, topk, urls, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -97,6 +97,36 @@ SELECT doc_id, least(same_id, coalesce(least, same_id)) AS class_id, n_copies, c
 """
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.linked(_read(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(_read(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS l, a.e AS of, r.vec_id, r.label, CAST(list_inner_product(a.e, r.e) AS BIGINT) AS score
+  FROM v a JOIN v r ON a.vec_id <> r.vec_id OR a.label <> r.label WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor_id, l, of ORDER BY score DESC, vec_id) AS n FROM s WHERE label = l),
+w AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor_id, p.l, p.of, p.n ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND p.l = s.l AND p.of = s.of AND s.label <> s.l AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+  WHERE p.n <= 5)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM w WHERE rank <= 3
+"""
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_substrings": op2_substrings,
@@ -108,5 +138,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_token_counts": op9_token_counts,
     "op10_jaccard": op10_jaccard,
+    "op11_simhash": op11_simhash,
+    "op12_whitening": op12_whitening,
+    "op13_negatives": op13_negatives,
 }
-ORACLES = {"op3_url_filters": OP3_SQL, "op6_topk": OP6_SQL, "op10_jaccard": OP10_SQL}
+ORACLES = {"op3_url_filters": OP3_SQL, "op6_topk": OP6_SQL, "op10_jaccard": OP10_SQL, "op13_negatives": OP13_SQL}

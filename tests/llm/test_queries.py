@@ -16,8 +16,11 @@ COLUMNS = {
     "op8_packing": ["shard", "pack", "n_tokens", "n_segments", "doc_ids"],
     "op9_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
     "op10_jaccard": ["doc_id", "class_id", "n_copies", "n_links"],
+    "op11_simhash": ["doc_id", "fingerprint", "component_id"],
+    "op12_whitening": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
+    "op13_negatives": ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"],
 }
-ROWS = {"op3_url_filters": "pages", "op6_topk": None, "op8_packing": None}
+ROWS = {"op3_url_filters": "pages", "op6_topk": None, "op8_packing": None, "op12_whitening": None, "op13_negatives": None}
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
