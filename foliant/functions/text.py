@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 #: Before and after a word: an end of the text or a character that is no ASCII word character.
 B, E = r"(?:^|[^A-Za-z0-9_])", r"(?:$|[^A-Za-z0-9_])"
-#: Marks a cut; it occurs in no text.
-CUT = "␞"
+#: Marks a cut, and hides that mark where a text has it.
+CUT, HIDE = "␞", "␛"
+#: Elements of an array that are summed one after the other.
+PART = 512
 
 
 def col(x) -> Column:
@@ -29,6 +31,11 @@ def each(rows: DataFrame, array, *keep, name: str = "x", place: str | None = Non
     return rows.select(*keep, made).filter(F.col(name).isNotNull())
 
 
+def let(value, use) -> Column:
+    """``use(value)``, with the value made once however often it is used; expressions within lambdas are not shared by the engine."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words_like(pattern: str) -> str:
     """A case-blind pattern for whole words."""
     return f"(?i){B}(?:{pattern}){E}"
@@ -50,38 +57,74 @@ def normalize_match(text) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9\s']", " "), r"\s+", " "))
 
 
+def cut(text, *places: tuple[str, str, str]) -> Column:
+    """The text cut where patterns match, one after the other; joined the pieces give the text.
+
+    A place is a pattern and its parts before and after the cut. Where the mark of a
+    cut, or the mark that hides it, occurs in the text itself, both are written with
+    letters while the text is cut.
+    """
+    t = col(text)
+
+    def pieces(x):
+        for pattern, before, after in places:
+            x = F.regexp_replace(x, pattern, f"{before}{CUT}{after}")
+        return F.split(x, CUT)
+
+    hidden = F.replace(F.replace(t, F.lit(HIDE), F.lit(f"{HIDE}h")), F.lit(CUT), F.lit(f"{HIDE}c"))
+    shown = lambda x: F.replace(F.replace(x, F.lit(f"{HIDE}c"), F.lit(CUT)), F.lit(f"{HIDE}h"), F.lit(HIDE))
+    return F.when(F.contains(t, F.lit(CUT)) | F.contains(t, F.lit(HIDE)), F.transform(pieces(hidden), shown)).otherwise(pieces(t))
+
+
 def sentence_pieces(text) -> Column:
     """The sentences of a text, each with the white space that follows it: joined they give the text."""
-    t = F.regexp_replace(col(text), r"([.!?])(\s+)([A-Z\[(\"'])", f"$1$2{CUT}$3")
-    return F.split(F.regexp_replace(t, r"([.!?]\")(\s+)", f"$1$2{CUT}"), CUT)
+    return cut(text, (r"([.!?])(\s+)([A-Z\[(\"'])", "$1$2", "$3"), (r"([.!?]\")(\s+)", "$1$2", ""))
 
 
 def sentences(text) -> Column:
     return F.transform(sentence_pieces(text), lambda x: F.rtrim(x))
 
 
+def running(lengths) -> Column:
+    """The sum of the elements before each of an array of integers.
+
+    An array that is appended to is copied each time, so sums are made by parts of
+    ``PART`` elements, and each part from the sum of those before it.
+    """
+    empty = F.array().cast("array<int>")
+
+    def sums(array, first):
+        start = F.struct(first.alias("at"), empty.alias("out"))
+        return F.aggregate(array, start, lambda s, x: F.struct((s["at"] + x).alias("at"), F.array_append(s["out"], s["at"]).alias("out")))["out"]
+
+    def by_parts(all_):
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / PART).cast("int")), lambda k: F.slice(all_, k * PART + 1, PART))
+        total = lambda part: F.aggregate(part, F.lit(0), lambda s, x: s + x)
+        return F.when(F.size(all_) <= PART, sums(all_, F.lit(0))).otherwise(let(parts, lambda p: F.flatten(F.zip_with(p, sums(F.transform(p, total), F.lit(0)), sums))))
+
+    return let(lengths, by_parts)
+
+
 def starts(pieces) -> Column:
     """The offset at which each piece of an array begins in their concatenation."""
-    empty = F.array().cast("array<int>")
-    fold = F.aggregate(
-        pieces, F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.array_append(s["out"], s["at"]).alias("out")),
-    )
-    return fold["out"]
+    return running(F.transform(pieces, lambda x: F.length(x)))
 
 
 def hits(text, pattern: str) -> Column:
-    """Matches of a pattern without look-around, as array of (start, text).
+    """Matches of a pattern, as array of (start, text).
 
     The text is split at the matches; lengths of what lies between and of the
     matches themselves add up to the offsets.
     """
     t = col(text)
-    found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    between = F.split(t, pattern, -1)
-    at = F.filter(starts(F.flatten(F.zip_with(between, found, lambda a, b: F.array(a, F.coalesce(b, F.lit("")))))), lambda x, i: i % 2 == 1)
-    # arrays are made once and zipped; inside a lambda they would be made for every match
-    return F.filter(F.zip_with(found, at, lambda x, s: F.struct(s.alias("start"), x.alias("text"))), lambda h: h["text"].isNotNull())
+    both = F.struct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("found"), F.split(t, pattern, -1).alias("between"))
+
+    def located(x):
+        parts = F.flatten(F.zip_with(x["between"], x["found"], lambda a, b: F.array(F.length(a), F.coalesce(F.length(b), F.lit(0)))))
+        at = F.filter(running(parts), lambda s, i: i % 2 == 1)
+        return let(at, lambda y: F.transform(x["found"], lambda h, i: F.struct(F.get(y, i).alias("start"), h.alias("text"))))
+
+    return let(both, located)
 
 
 def count(text, pattern: str) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import parse
+from foliant.operators import numbers, parse
+from foliant.sources.shared import stored
 
 # Cues of sentences that attribute, claim, or report the authors' own work.
 ATTRIBUTION = {
@@ -155,45 +156,15 @@ def prose_findings(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return each.withColumn("_n", nth).filter(F.col("_n") <= most).select("doc_id", "kind", "category", "start_offset", "page", "score", *keep)
 
 
-# Metric names and what they stand for.
-METRICS = {"accuracy": "accuracy", "precision": "precision", "recall": "recall", "sensitivity": "sensitivity", "specificity": "specificity", "f1": "f1", "f1-score": "f1", "f1 score": "f1", "auc": "auc", "auroc": "auc", "n": "sample_size", "sample size": "sample_size"}
-SIZE_CLAIM = r"(?:sample\s+size\s*(?:of|=|:)?\s*|[nN]\s*=\s*)\d{1,7}"
-METRIC_CLAIM = r"(?i)(?:accuracy|precision|recall|sensitivity|specificity|F1(?:-?\s*score)?|AUROC|AUC)\s*(?:score\s*)?(?:of|was|were|=|:)?\s*\d{1,3}(?:\.\d+)?"
-QUALIFIERS = ["train", "test", "val", "baseline", "proposed", "control", "treatment", "before", "after"]
-CONTRAST = r"respectively|whereas|while|compared\s+to|versus|vs"
+def review(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, kind, category, start_offset, page, score): the review of prose in full.
 
-
-def numeric_claims(rows: DataFrame) -> DataFrame:
-    """Rows (doc_id, sentence_index, page, claim_start, metric, family, value, qualifiers, text) of sample sizes and metric values in sentences."""
-    rows = rows.filter((F.col("section") != "References") & (F.length(F.trim("text")) >= 12))
-
-    def of(pattern: str, size: bool):
-        found = T.each(rows, T.hits("text", pattern), "doc_id", "sentence_index", "page", "start_offset", "text", name="h")
-        value = T.number(F.regexp_extract("h.text", r"(\d+(?:\.\d+)?)$", 1))
-        token = F.trim(F.lower(F.regexp_extract("h.text", r"(?i)^(sample size|n|accuracy|precision|recall|sensitivity|specificity|f1(?:-?\s*score)?|auroc|auc)", 1)))
-        metric = F.coalesce(F.create_map(*[F.lit(x) for kv in METRICS.items() for x in kv])[token], token)
-        return found.withColumns({"value": value, "metric": metric, "family": F.lit("count") if size else F.when(value <= 1.5, "ratio").otherwise("percent")})
-
-    claims = of(SIZE_CLAIM, True).unionByName(of(METRIC_CLAIM, False))
-    around = F.lower(F.substring("text", F.greatest(F.lit(1), F.col("h.start") - 39), F.length("h.text") + 80))
-    quals = F.array_compact(F.array(*[F.when(around.rlike(f"{T.B}{x}"), F.lit(x)) for x in QUALIFIERS]))
-    return claims.select("doc_id", "sentence_index", "page", (F.col("start_offset") + F.col("h.start")).alias("claim_start"), "metric", "family", "value", quals.alias("qualifiers"), "text")
-
-
-def numeric_conflicts(claims: DataFrame) -> DataFrame:
-    """Rows (doc_id, metric, a_start, b_start, a_value, b_value, cross_page): claims of one metric in one document that differ by more than the family's tolerance.
-
-    Claims under different qualifiers, of one sentence, or in a sentence of contrast
-    are no conflict. A document's claims of a metric meet in one sorted array; each
-    is paired with those that follow it, and only conflicts are emitted.
+    Uncited claims, wording and formulaic prose, numbers that contradict each other,
+    citations without an entry and entries without a citation. Sentences are located
+    once for the first four.
     """
-    tolerance = F.when(F.col("family") == "count", 1.0).when(F.col("family") == "ratio", 0.015).otherwise(1.0)
-    fields = ("claim_start", "value", "qualifiers", "page", "sentence_index")
-    calm = claims.filter(~F.col("text").rlike(T.words_like(CONTRAST)))
-    lists = calm.groupBy("doc_id", "metric", "family").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("c")).filter(F.size("c") > 1)
-    each = lists.select("doc_id", "metric", tolerance.alias("tolerance"), "c", F.posexplode("c").alias("k", "a"))
-    clash = lambda a, b: (F.size(a["qualifiers"]) > 0) & (F.size(b["qualifiers"]) > 0) & ~F.arrays_overlap(a["qualifiers"], b["qualifiers"])
-    a = F.col("a")
-    differ = lambda b: (b["claim_start"] > a["claim_start"]) & (a["sentence_index"] != b["sentence_index"]) & (F.abs(a["value"] - b["value"]) >= F.col("tolerance")) & ~clash(a, b)
-    pairs = each.select("doc_id", "metric", "a", F.explode(F.filter(F.slice("c", F.col("k") + 2, F.size("c")), differ)).alias("b"))
-    return pairs.select("doc_id", "metric", F.col("a.claim_start").alias("a_start"), F.col("b.claim_start").alias("b_start"), F.col("a.value").alias("a_value"), F.col("b.value").alias("b_value"), (F.col("a.page") != F.col("b.page")).alias("cross_page"))
+    rows = stored(located(docs), "located")
+    conflicts = numbers.numeric_conflicts(numbers.numeric_claims(rows))
+    numeric = conflicts.select("doc_id", F.lit("manuscript_quality").alias("kind"), F.lit("numerical_inconsistency").alias("category"), "start_offset", "page", F.lit(0.88).alias("score"))
+    broken = parse.integrity(docs).select("doc_id", "kind", "category", "start_offset", F.lit(1).alias("page"), F.col("confidence").alias("score"))
+    return prose_findings(rows).unionByName(numeric).unionByName(broken)

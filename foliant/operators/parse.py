@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
@@ -106,25 +105,39 @@ def at_page(spans: DataFrame, page_chars: int = 3000, offset: str = "start_offse
     return spans.withColumn("page", (F.floor(F.col(offset) / page_chars) + 1).cast("int"))
 
 
-def citations(docs: DataFrame, text: str = "full_text") -> DataFrame:
-    """Rows (doc_id, marker, style, start_offset, end_offset, keys), of bracketed numbers and of authors with years."""
+def _keyed(text: str, pattern: str, style: str, at: str) -> Column:
+    """Array of (start_offset, end_offset, marker, style, keys) of the markers of one style."""
 
-    def of(pattern: str, style: str, at: str):
-        found = T.each(docs, T.hits(text, pattern), "doc_id", name="h")
-        inner = F.substring("h.text", F.lit(2), F.length("h.text") - 2)
+    def one(h):
+        inner = F.substring(h["text"], F.lit(2), F.length(h["text"]) - 2)
         keys = F.filter(F.transform(F.split(inner, at), lambda k: F.trim(k)), lambda k: k != "")
-        return found.select("doc_id", F.col("h.text").alias("marker"), F.lit(style).alias("style"), F.col("h.start").alias("start_offset"), (F.col("h.start") + F.length("h.text")).alias("end_offset"), keys.alias("keys"))
+        return F.struct(h["start"].alias("start_offset"), (h["start"] + F.length(h["text"])).alias("end_offset"), h["text"].alias("marker"), F.lit(style).alias("style"), keys.alias("keys"))
 
-    return of(BRACKET, "IEEE", "[,–-]").unionByName(of(AUTHOR_YEAR, "APA", ";"))
+    return F.transform(T.hits(text, pattern), one)
 
 
-def citation_style(docs: DataFrame, text: str = "full_text") -> DataFrame:
-    """Rows (doc_id, ieee, apa, harvard, numbered, style): weighted counts of marker shapes, the greatest naming the style."""
+def with_citations(docs: DataFrame, text: str = "full_text") -> DataFrame:
+    """Adds ``_citations``: array of (start_offset, end_offset, marker, style, keys) of bracketed numbers and of authors with years, by place."""
+    return docs.withColumn("_citations", F.array_sort(F.concat(_keyed(text, BRACKET, "IEEE", "[,–-]"), _keyed(text, AUTHOR_YEAR, "APA", ";"))))
+
+
+def citations(docs: DataFrame, text: str = "full_text") -> DataFrame:
+    """Rows (doc_id, marker, style, start_offset, end_offset, keys), see ``with_citations``."""
+    rows = with_citations(docs.select("doc_id", text), text)
+    return T.each(rows, "_citations", "doc_id").select("doc_id", "x.marker", "x.style", "x.start_offset", "x.end_offset", "x.keys")
+
+
+def style_counts(text: str) -> list[Column]:
+    """Counts of marker shapes: ieee, apa, harvard, and numbered entries in the list of references."""
     refs = F.regexp_extract(text, heading("References", True).replace("(?s)^((?:", "(?s)^(?:(?:", 1) + "(.*)$", 1)
-    counts = docs.select(
-        "doc_id", T.count(text, r"\[\d{1,3}\]").alias("ieee"), T.count(text, r"\([A-Z][a-zA-Z-]+(?:\s+et\s+al\.)?,?\s*\d{4}[a-z]?\)").alias("apa"),
+    return [
+        T.count(text, r"\[\d{1,3}\]").alias("ieee"), T.count(text, r"\([A-Z][a-zA-Z-]+(?:\s+et\s+al\.)?,?\s*\d{4}[a-z]?\)").alias("apa"),
         T.count(text, r"[A-Z][a-zA-Z-]+\s+\(\d{4}\)").alias("harvard"), T.count(refs, r"\[\d+\]\s+[A-Z]").alias("numbered"),
-    )
+    ]
+
+
+def with_style(counts: DataFrame) -> DataFrame:
+    """Adds ``style`` to counts of marker shapes: the greatest weighted count, ``unknown`` below 2."""
     scores = F.array(
         F.struct((F.col("ieee") * 2.0 + F.when(F.col("numbered") > 3, 5.0).otherwise(0.0)).alias("score"), F.lit(0).alias("rank"), F.lit("IEEE").alias("style")),
         F.struct((F.col("apa") * 3.0).alias("score"), F.lit(-1).alias("rank"), F.lit("APA").alias("style")),
@@ -135,38 +148,72 @@ def citation_style(docs: DataFrame, text: str = "full_text") -> DataFrame:
     return counts.withColumn("style", F.when(best["score"] < 2, "unknown").otherwise(best["style"]))
 
 
-def references(docs: DataFrame, text: str = "full_text") -> DataFrame:
-    """Rows (doc_id, ref_index, raw, start_offset) of numbered reference lists in brackets.
+def citation_style(docs: DataFrame, text: str = "full_text") -> DataFrame:
+    """Rows (doc_id, ieee, apa, harvard, numbered, style): weighted counts of marker shapes, the greatest naming the style."""
+    return with_style(docs.select("doc_id", *style_counts(text)))
+
 
-    Numbers count as a list where there are two or more, the first at most 3, and
-    85 of 100 greater than the one before; entries of up to 10 characters go.
+# What numbers an entry of a reference list.
+LISTED = {"bracket": r"\[\d{1,3}\]\s+[A-Z\"“]", "dot": r"(?:^|\s)\d{1,3}\.\s+[A-Z\"“]"}
+LEAST_ENTRY, LEAST_LOOSE = 10, 20
+
+
+def with_references(docs: DataFrame, text: str = "full_text") -> DataFrame:
+    """Adds ``_references``: array of (ref_index, raw, start_offset) of the entries of the reference list; empty without one.
+
+    Entries are numbered in brackets, or else with dots: numbers count as a list
+    where there are two or more, the first at most 3, and 85 of 100 greater than the
+    one before; entries of up to 10 characters go. A list without such numbers is
+    cut after full stops; pieces of over 20 characters are entries, in order. All of
+    it is made from arrays of the document's own row.
     """
-    found = docs.filter(F.col(text).rlike(heading("References", True))).select("doc_id", text, F.length(F.regexp_extract(text, heading("References", True), 1)).alias("at"))
-    found = found.withColumn("body", F.expr(f"substring({text}, at + 1)"))
-    marks = T.each(found, T.hits("body", r"\[\d{1,3}\]\s+[A-Z\"“]"), "doc_id", "at", "body", name="h")
-    doc = W.partitionBy("doc_id")
-    order = doc.orderBy("h.start")
-    marks = marks.withColumn("num", F.regexp_extract("h.text", r"\d+", 0).cast("int"))
-    rises = F.coalesce((F.col("num") > F.lag("num").over(order)).cast("int"), F.lit(0))
-    marks = marks.withColumns({"rises": rises, "end": F.coalesce(F.lead("h.start").over(order), F.length("body"))})
-    marks = marks.withColumns({"entries": F.count("*").over(doc), "risen": F.sum("rises").over(doc), "first": F.min_by("num", "h.start").over(doc)})
-    good = marks.filter((F.col("entries") >= 2) & (F.col("risen") >= 0.85 * (F.col("entries") - 1)) & (F.col("first") <= 3))
-    raw = F.trim(F.expr("substring(body, h.start + 1, end - h.start)"))
-    return good.select("doc_id", F.col("num").alias("ref_index"), raw.alias("raw"), (F.col("at") + F.col("h.start")).alias("start_offset")).filter(F.length("raw") > 10)
+    head = heading("References", True)
+    rows = docs.withColumn("_at", F.when(F.col(text).rlike(head), F.length(F.regexp_extract(text, head, 0))))
+    rows = rows.withColumn("_body", F.coalesce(F.expr(f"substring({text}, _at + 1)"), F.lit("")))
+    number = lambda h: F.regexp_extract(h["text"], r"\d+", 0).cast("int")
+    for how, pattern in LISTED.items():
+        rows = rows.withColumn(f"_{how}", F.transform(T.hits("_body", pattern), lambda h: F.struct(h["start"].alias("start"), number(h).alias("num"))))
+        marks = F.col(f"_{how}")
+        rises = F.size(F.filter(marks, lambda m, i: (i > 0) & (m["num"] > F.get(marks, i - 1)["num"])))  # noqa: B023
+        good = (F.size(marks) >= 2) & (rises >= 0.85 * (F.size(marks) - 1)) & (F.get(marks, F.lit(0))["num"] <= 3)
+        rows = rows.withColumn(f"_{how}", F.when(good, marks))
+    rows = rows.withColumn("_marks", F.coalesce("_bracket", "_dot"))
+    end = lambda i: F.coalesce(F.get("_marks", i + 1)["start"], F.length("_body"))
+    entry = lambda num, raw, at: F.struct(num.cast("int").alias("ref_index"), raw.alias("raw"), (F.col("_at") + at).alias("start_offset"))
+    numbered = F.filter(F.transform("_marks", lambda m, i: entry(m["num"], F.trim(F.substring("_body", m["start"] + 1, end(i) - m["start"])), m["start"])), lambda r: F.length(r["raw"]) > LEAST_ENTRY)
+    rows = rows.withColumn("_loose", F.when(F.col("_marks").isNull() & (F.col("_body") != ""), T.cut("_body", (r"(\.)(\s+)([A-Z\[])", "$1$2", "$3"))))
+    loose = F.filter(F.zip_with("_loose", T.starts("_loose"), lambda x, at: F.struct(at.alias("at"), F.trim(x).alias("raw"))), lambda r: F.length(r["raw"]) > LEAST_LOOSE)
+    unmarked = F.transform(loose, lambda r, i: entry(i + 1, r["raw"], r["at"]))
+    none = F.array().cast("array<struct<ref_index:int,raw:string,start_offset:int>>")
+    return rows.withColumn("_references", F.coalesce(numbered, unmarked, none)).drop("_at", "_body", "_bracket", "_dot", "_marks", "_loose")
+
+
+def references(docs: DataFrame, text: str = "full_text") -> DataFrame:
+    """Rows (doc_id, ref_index, raw, start_offset), see ``with_references``."""
+    return T.each(with_references(docs.select("doc_id", text), text), "_references", "doc_id").select("doc_id", "x.*")
+
+
+def entry_year(raw) -> Column:
+    """The first year of an entry; empty if none."""
+    return F.regexp_extract(raw, rf"{T.B}((?:19|20)\d{{2}}[a-z]?){T.E}", 1)
+
+
+def entry_authors(raw, year) -> Column:
+    """Names before the year, or in the first 80 characters without one."""
+    head = F.when(year != "", F.regexp_replace(F.substring(raw, F.lit(1), F.position(year, raw) - 1), r"^(?:\[\d+\]|\d+\.)\s*", "")).otherwise(F.substring(raw, 1, 80))
+    return F.filter(F.transform(F.split(head, r",|&|;| and "), lambda a: F.trim(a)), lambda a: (F.length(a) > 1) & (F.length(a) < 60) & a.rlike("[A-Za-z]"))
 
 
 def reference_fields(refs: DataFrame) -> DataFrame:
     """Adds authors (at most six), year, title (quoted, else what follows the year), doi to rows with ``raw``."""
-    year = F.regexp_extract("raw", rf"{T.B}((?:19|20)\d{{2}}[a-z]?){T.E}", 1)
-    head = F.when(F.col("year") != "", F.regexp_replace(F.expr("substring(raw, 1, instr(raw, year) - 1)"), r"^\[\d+\]\s*", "")).otherwise(F.substring("raw", 1, 80))
-    names = F.filter(F.transform(F.split(head, r",|&|;| and "), lambda a: F.trim(a)), lambda a: (F.length(a) > 1) & (F.length(a) < 60) & a.rlike("[A-Za-z]"))
+    rows = refs.withColumn("year", entry_year(F.col("raw")))
     quoted = F.regexp_extract("raw", r"\"(.+?)\"", 1)
     after = F.regexp_replace(F.expr("substring(raw, instr(raw, year) + length(year))"), r"^[\s.,:;)\]}]+", "")
     plain = F.trim(F.regexp_extract(after, r"^([^.?]*)", 1))
-    rows = refs.withColumn("year", year)
     title = F.when(quoted != "", quoted).when((F.col("year") != "") & (F.length(plain) > 8), plain)
     doi = F.nullif(F.regexp_replace(F.regexp_extract("raw", r"(10\.\d{4,9}/[^\s\"<>]+)", 1), r"[.,;)]+$", ""), F.lit(""))
-    return rows.withColumn("title", title).withColumn("authors", F.slice(names, 1, 6)).withColumn("doi", doi).withColumn("year", F.nullif("year", F.lit("")))
+    rows = rows.withColumn("title", title).withColumn("authors", F.slice(entry_authors(F.col("raw"), F.col("year")), 1, 6))
+    return rows.withColumn("doi", doi).withColumn("year", F.nullif("year", F.lit("")))
 
 
 def main_text(docs: DataFrame, text: str = "full_text") -> DataFrame:
@@ -174,19 +221,44 @@ def main_text(docs: DataFrame, text: str = "full_text") -> DataFrame:
     return docs.withColumn("main", F.when(F.col(text).rlike(heading("References", True)), F.regexp_extract(text, heading("References", True), 1)).otherwise(F.col(text)))
 
 
-def broken_citations(cites: DataFrame, refs: DataFrame) -> DataFrame:
-    """Rows (doc_id, key): cited numbers without a reference, in documents that have references."""
-    keys = cites.filter("style = 'IEEE'").select("doc_id", F.explode("keys").alias("key")).select("doc_id", F.col("key").cast("int").alias("key"))
-    have = refs.select("doc_id").distinct()
-    return keys.join(have, "doc_id", "left_semi").join(refs.select("doc_id", F.col("ref_index").alias("key")), ["doc_id", "key"], "left_anti")
+def integrity(docs: DataFrame, text: str = "full_text") -> DataFrame:
+    """Rows (doc_id, kind, category, start_offset, key, confidence): numbers cited in the text without an entry in the list, and entries that nothing cites.
 
-
-def orphan_references(cites: DataFrame, refs: DataFrame) -> DataFrame:
-    """Rows (doc_id, ref_index) of references that no number cites, nor an author and year, in documents that cite anything."""
-    keys = cites.select("doc_id", "style", F.explode("keys").alias("key"))
-    numbers = keys.filter("style = 'IEEE'").select("doc_id", F.col("key").cast("int").alias("ref_index"))
-    named = keys.filter("style = 'APA'").groupBy("doc_id").agg(F.collect_set(F.lower("key")).alias("names"))
-    rest = refs.join(cites.select("doc_id").distinct(), "doc_id", "left_semi").join(numbers, ["doc_id", "ref_index"], "left_anti").join(named, "doc_id", "left")
-    surname = F.lower(F.regexp_extract(F.get("authors", F.lit(0)), r"^(\S+)", 1))
-    by_name = F.exists("names", lambda k: F.contains(k, surname)) & (F.length(surname) > 2)
-    return rest.filter(~F.coalesce(by_name, F.lit(False))).select("doc_id", "ref_index")
+    Numbers are only missing where there is a list; entries are only left over
+    where anything is cited, and not if an author-year marker holds their first
+    author's name. A document's markers and entries meet in its own row.
+    """
+    rows = with_citations(with_references(main_text(docs.select("doc_id", text), text), text), "main")
+    flat = lambda style: F.flatten(F.transform(F.filter("_citations", lambda c: c["style"] == style), lambda c: c["keys"]))
+    rows = rows.withColumns({"_numbers": F.transform("_references", lambda r: r["ref_index"]), "_cited": F.transform(flat("IEEE"), lambda k: k.cast("int")), "_names": F.transform(flat("APA"), lambda k: F.lower(k))})
+    finding = lambda kind, category, at, key, sure: F.struct(F.lit(kind).alias("kind"), F.lit(category).alias("category"), at.alias("start_offset"), key.cast("int").alias("key"), F.lit(sure).alias("confidence"))
+    missing = lambda c: F.transform(F.filter(c["keys"], lambda k: ~F.array_contains("_numbers", k.cast("int"))), lambda k: finding("broken_citation", "broken_citation", c["start_offset"], k, 0.85))
+    broken = F.flatten(F.transform(F.filter("_citations", lambda c: c["style"] == "IEEE"), missing))
+
+    def named(r):
+        surname = F.lower(F.regexp_extract(F.get(entry_authors(r["raw"], entry_year(r["raw"])), F.lit(0)), r"^(\S+)", 1))
+        return F.coalesce(F.exists("_names", lambda n: F.contains(n, surname)) & (F.length(surname) > 2), F.lit(False))
+
+    left = F.filter("_references", lambda r: ~F.array_contains("_cited", r["ref_index"]) & ~named(r))
+    orphans = F.transform(left, lambda r: finding("orphan_ref", "orphan_reference", r["start_offset"], r["ref_index"], 0.7))
+    kind = "array<struct<kind:string,category:string,start_offset:int,key:int,confidence:double>>"
+    none = F.array().cast(kind)
+    found = F.concat(F.when(F.size("_references") > 0, broken.cast(kind)).otherwise(none), F.when(F.size("_citations") > 0, orphans.cast(kind)).otherwise(none))
+    return T.each(rows, found, "doc_id").select("doc_id", "x.*")
+
+
+def parsed(docs: DataFrame, page_chars: int = 3000, text: str = "full_text") -> DataFrame:
+    """A row for each document with all that parsing finds, in arrays: (doc_id, style_counts, pages, sections, sentences, citations, references).
+
+    style_counts as in ``style_counts``, pages (page, start_offset, end_offset), sections (name, start_offset,
+    end_offset), sentences (sentence_index, text, start_offset, end_offset, page,
+    section), citations and references as in ``with_citations`` and
+    ``with_references``. One scan, no shuffle; written once, it feeds a table for each.
+    """
+    rows = with_references(with_citations(with_sections(docs.select("doc_id", text), True, text), text), text)
+    rows = rows.withColumn("_p", T.sentence_pieces(text)).withColumn("_starts", T.starts("_p"))
+    within = lambda s: F.coalesce(F.get(F.filter("_sections", lambda x: (x["start_offset"] <= s) & (s < x["end_offset"])), F.lit(0))["name"], F.lit("Other"))
+    whole = F.transform(F.zip_with("_p", "_starts", lambda x, s: F.struct(F.rtrim(x).alias("t"), s.alias("s"))), lambda y, i: F.struct(i.alias("sentence_index"), y["t"].alias("text"), y["s"].alias("start_offset"), (y["s"] + F.length(y["t"])).alias("end_offset"), (F.floor(y["s"] / page_chars) + 1).cast("int").alias("page"), within(y["s"]).alias("section")))
+    pages = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / page_chars).cast("int"), F.lit(1)) - 1), lambda k: F.struct((k + 1).alias("page"), (k * page_chars).alias("start_offset"), F.least((k + 1) * page_chars, F.length(text)).alias("end_offset")))
+    sections = F.filter("_sections", lambda x: (x["end_offset"] > x["start_offset"]) | (x["name"] == "Other"))
+    return rows.select("doc_id", F.struct(*style_counts(text)).alias("style_counts"), pages.alias("pages"), sections.alias("sections"), F.filter(whole, lambda x: x["text"] != "").alias("sentences"), F.col("_citations").alias("citations"), F.col("_references").alias("references"))

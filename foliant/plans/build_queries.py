@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import biblio, builds, claims, corpus, evaluate
+from foliant.operators import biblio, builds, claims, corpus, evaluate, numbers
 from foliant.plans import biblio_queries
 from foliant.plans.activity_queries import _TOK
 from foliant.plans.claim_queries import LOCATED, NUMERIC
@@ -168,11 +168,11 @@ def f4_raw_ranges(spark, sf_dir):
     return m.select("doc_id", found["start"].alias("start_offset"))
 
 
-@query(f"WITH {LOCATED}, {NUMERIC} SELECT doc_id, claim_start, regexp_replace(printf('%.3f', value), '\\.?0+$', '') || CASE WHEN family = 'percent' THEN '%' ELSE '' END AS shown, CAST(CASE WHEN family = 'ratio' THEN 0.015 ELSE 1.0 END AS DOUBLE) AS tolerance FROM numeric")
+@query(f"WITH {LOCATED}, {NUMERIC} SELECT doc_id, claim_start, regexp_replace(printf('%.3f', value), '\\.?0+$', '') || CASE WHEN family = 'percent' THEN '%' ELSE '' END AS shown, CAST(CASE WHEN family IN ('percent', 'count') THEN 1.0 WHEN family = 'ratio' THEN 0.015 WHEN family = 'temperature' THEN 0.5 WHEN family IN ('voltage', 'current') THEN greatest(0.05, 0.01 * greatest(abs(value), 1.0)) ELSE greatest(1.0, 0.05 * greatest(abs(value), 1.0)) END AS DOUBLE) AS tolerance FROM numeric")
 def f14_shown_values(spark, sf_dir):
     """Values with their units (F14) and the tolerance of their family (F16)."""
-    rows = claims.numeric_claims(claims.located(manuscripts(spark, sf_dir)))
-    return rows.select("doc_id", "claim_start", builds.shown_value(F.col("value"), F.col("family")).alias("shown"), builds.tolerance(F.col("family")).alias("tolerance"))
+    rows = numbers.numeric_claims(claims.located(manuscripts(spark, sf_dir)))
+    return rows.select("doc_id", "claim_start", builds.shown_value(F.col("value"), F.col("family")).alias("shown"), numbers.tolerance(F.col("value"), F.col("value"), F.col("family")).alias("tolerance"))
 
 
 @query("SELECT doc_id, 'f' || k AS id, CASE WHEN k = 1 THEN TRUE ELSE doc_id % 2 = 0 END AS keep, CASE WHEN k = 1 THEN '' ELSE 'why ' || doc_id END AS reason, CASE WHEN k = 1 THEN 0.5 ELSE doc_id % 10 / 10.0 END AS confidence FROM documents, (VALUES (1), (2)) AS t(k) WHERE doc_id % 5 <> 0")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import claims, parse
-from foliant.plans.parse_queries import MANUSCRIPTS, SENTENCES, HITS, _heads, q
+from foliant.operators import claims, numbers, parse
+from foliant.plans.parse_queries import FIELDS, HITS, IN_TEXT, MANUSCRIPTS, REFERENCES, SENTENCES, _heads, q
 from foliant.sources.manuscripts import manuscripts
 
 QUERIES: dict = {}
@@ -71,23 +71,38 @@ def _hits(name: str, pattern: str) -> str:
     return HITS.format(name=name, text="text", pattern=q(pattern), table="claimrows")
 
 
-_QUALS = ", ".join(f"CASE WHEN regexp_matches(around, {q(T.B + x)}) THEN '{x}' END" for x in claims.QUALIFIERS)
+_NAMED = "regexp_replace(lower(regexp_extract(h, {p}, 1)), '\\s+', ' ', 'g')"
+_VOLTS = f"ends_with(lower(regexp_extract(h, {q(numbers.UNIT['electric'])}, 1)), 'v')"
+_PERCENT = "regexp_matches(h, '[%％]$')"
+_KINDS = {
+    "size": ("'sample size'", "'count'", "'n'"), "metric": (_NAMED.format(p=q(numbers.NAME["metric"])), f"CASE WHEN {_PERCENT} OR value > 1.5 THEN 'percent' ELSE 'ratio' END", f"CASE WHEN {_PERCENT} THEN '%' ELSE '' END"),
+    "share": (_NAMED.format(p=q(numbers.NAME["share"])), "'percent'", "'%'"), "temperature": ("'temperature'", "'temperature'", f"upper(regexp_extract(h, {q(numbers.UNIT['temperature'])}, 1))"),
+    "electric": (f"CASE WHEN {_NAMED.format(p=q(numbers.NAME['electric']))} <> '' THEN {_NAMED.format(p=q(numbers.NAME['electric']))} WHEN {_VOLTS} THEN 'voltage' ELSE 'current' END", f"CASE WHEN {_VOLTS} THEN 'voltage' ELSE 'current' END", f"regexp_extract(h, {q(numbers.UNIT['electric'])}, 1)"),
+    "setting": (_NAMED.format(p=q(numbers.NAME["setting"])), "'generic'", "''"),
+}
+_METRIC = "CASE name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in numbers.METRICS.items()) + " ELSE replace(name, ' ', '_') END"
+_ROLE = "CASE WHEN starts_with(x, 'train') THEN 'train' WHEN starts_with(x, 'test') THEN 'test' WHEN starts_with(x, 'val') OR starts_with(x, 'dev') THEN 'val' WHEN x = 'baseline' THEN x WHEN starts_with(x, 'propos') OR starts_with(x, 'our') THEN 'proposed' WHEN starts_with(x, 'their') OR starts_with(x, 'control') THEN 'control' ELSE regexp_replace(x, '^(pre|post)[- ]?', '\\1') END"
+#: Hits of every kind; then those of a sentence that overlap no kept one, one after the other.
 NUMERIC = rf"""
-claimrows AS (SELECT doc_id AS d, doc_id * 1000000 + sentence_index AS doc_id, sentence_index AS i, page AS pg, start_offset AS so, text FROM located WHERE section <> 'References' AND length(trim(text)) >= 12),
-{_hits('sizes', claims.SIZE_CLAIM)}, {_hits('metrics', claims.METRIC_CLAIM)},
-allhits AS (SELECT *, TRUE AS size FROM sizes UNION ALL SELECT *, FALSE FROM metrics),
-valued AS (
-  SELECT r.*, s, h, size, CAST(regexp_extract(h, '(\d+(?:\.\d+)?)$', 1) AS DOUBLE) AS value, trim(lower(regexp_extract(h, '(?i)^(sample size|n|accuracy|precision|recall|sensitivity|specificity|f1(?:-?\s*score)?|auroc|auc)', 1))) AS token,
-    lower(substr(text, greatest(1, s - 39), length(h) + 80)) AS around FROM allhits JOIN claimrows r USING (doc_id)),
+claimrows AS (SELECT doc_id AS d, doc_id * 1000000 + sentence_index AS doc_id, sentence_index AS i, section AS sec, page AS pg, start_offset AS so, end_offset AS eo, text FROM located WHERE section <> 'References' AND length(trim(text)) >= {numbers.LEAST_CHARS}),
+{', '.join(_hits(f'n_{k}', p) for k, p in numbers.CLAIMS.items())},
+valued AS ({' UNION ALL '.join(f"SELECT doc_id, s, h, {i} AS o, value, raw, {n} AS name, {f} AS family, {u} AS unit FROM (SELECT *, regexp_extract(h, {q(numbers.VALUE[k])}, 1) AS raw, TRY_CAST(regexp_extract(h, {q(numbers.VALUE[k])}, 1) AS DOUBLE) AS value FROM n_{k})" for i, (k, (n, f, u)) in enumerate(_KINDS.items()))}),
+wanted AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, length(h) DESC, o) AS k FROM valued WHERE NOT (family = 'generic' AND value = floor(value) AND (value <= 20 OR value BETWEEN 1900 AND 2100))),
+chosen AS (SELECT doc_id, unnest(kept) AS k FROM (SELECT doc_id, list_reduce(list_prepend({{'stop': CAST(0 AS BIGINT), 'kept': CAST([] AS BIGINT[])}}, list({{'stop': s + length(h), 'kept': [CAST(s AS BIGINT), CAST(k AS BIGINT)]}} ORDER BY k)), lambda a, b: CASE WHEN b.kept[1] >= a.stop THEN {{'stop': b.stop, 'kept': list_append(a.kept, b.kept[2])}} ELSE a END).kept AS kept FROM wanted GROUP BY doc_id)),
 numeric AS (
-  SELECT d AS doc_id, i AS sentence_index, pg AS page, so + s AS claim_start, CASE token WHEN 'n' THEN 'sample_size' WHEN 'sample size' THEN 'sample_size' WHEN 'auroc' THEN 'auc' WHEN 'f1-score' THEN 'f1' WHEN 'f1 score' THEN 'f1' ELSE token END AS metric,
-    CASE WHEN size THEN 'count' WHEN value <= 1.5 THEN 'ratio' ELSE 'percent' END AS family, value, list_filter([{_QUALS}], lambda x: x IS NOT NULL) AS qualifiers, text FROM valued)"""
+  SELECT d AS doc_id, i AS sentence_index, sec AS section, pg AS page, so AS start_offset, eo AS end_offset, so + s AS claim_start, so + s + length(h) AS claim_end, {_METRIC} AS metric, family, value, raw, unit,
+    list_sort(list_distinct(list_transform(list_transform(regexp_extract_all(substr(text, greatest(0, s - {numbers.AROUND}) + 1, s - greatest(0, s - {numbers.AROUND}) + length(h) + {numbers.AROUND}), {q(numbers.QUALIFIER)}, 1), lambda x: lower(x)), lambda x: {_ROLE}))) AS qualifiers, text
+  FROM wanted JOIN chosen USING (doc_id, k) JOIN claimrows USING (doc_id))"""
+_MOST = "greatest(abs(a.value), abs(b.value), 1.0)"
+_CLASH = "(" + " OR ".join(f"(list_contains(a.qualifiers, '{x}') AND list_contains(b.qualifiers, '{y}')) OR (list_contains(a.qualifiers, '{y}') AND list_contains(b.qualifiers, '{x}'))" for x, y in numbers.ROLES) + " OR NOT list_has_any(a.qualifiers, b.qualifiers))"
 CONFLICTS = rf"""
-calm AS (SELECT * FROM numeric WHERE NOT {has(claims.CONTRAST)}),
-conflicts AS (
-  SELECT a.doc_id, a.metric, a.claim_start AS a_start, b.claim_start AS b_start, a.value AS a_value, b.value AS b_value, a.page <> b.page AS cross_page
-  FROM calm a JOIN calm b ON a.doc_id = b.doc_id AND a.metric = b.metric AND a.family = b.family AND a.claim_start < b.claim_start AND a.sentence_index <> b.sentence_index
-  WHERE abs(a.value - b.value) >= CASE a.family WHEN 'ratio' THEN 0.015 ELSE 1.0 END AND NOT (len(a.qualifiers) > 0 AND len(b.qualifiers) > 0 AND NOT list_has_any(a.qualifiers, b.qualifiers)))"""
+calm AS (SELECT *, raw || CASE WHEN family = 'percent' THEN '%' WHEN unit <> '' THEN ' ' || unit ELSE '' END AS shown FROM numeric WHERE NOT regexp_matches(text, {q(numbers.CONTRAST)})),
+clashing AS (
+  SELECT a.doc_id, a.metric, a.family, a.claim_start AS a_start, b.claim_start AS b_start, a.value AS a_value, b.value AS b_value, a.shown AS a_shown, b.shown AS b_shown, a.start_offset, a.page, a.page <> b.page AS cross_page
+  FROM calm a JOIN calm b ON a.doc_id = b.doc_id AND a.metric = b.metric AND a.family = b.family AND a.claim_start < b.claim_start AND abs(a.start_offset - b.start_offset) >= 8
+  WHERE abs(a.value - b.value) >= CASE WHEN a.family IN ('percent', 'count') THEN 1.0 WHEN a.family = 'ratio' THEN 0.015 WHEN a.family = 'temperature' THEN 0.5 WHEN a.family IN ('voltage', 'current') THEN greatest(0.05, 0.01 * {_MOST}) ELSE greatest(1.0, 0.05 * {_MOST}) END
+    AND NOT (len(a.qualifiers) > 0 AND len(b.qualifiers) > 0 AND {_CLASH})),
+conflicts AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY cross_page DESC, a_start, b_start) AS INTEGER) AS position FROM clashing) WHERE position <= 12)"""
 
 
 @query(f"WITH {LOCATED}, {NEED} SELECT * FROM need")
@@ -113,28 +128,25 @@ def p26_formulaic_prose(spark, sf_dir):
     return claims.formulaic_prose(claims.located(manuscripts(spark, sf_dir)))
 
 
-@query(f"WITH {LOCATED}, {NUMERIC} SELECT doc_id, sentence_index, page, claim_start, metric, family, value, qualifiers FROM numeric")
+@query(f"WITH {LOCATED}, {NUMERIC} SELECT * EXCLUDE (text) FROM numeric")
 def p31_numeric_claims(spark, sf_dir):
-    return claims.numeric_claims(claims.located(manuscripts(spark, sf_dir))).drop("text")
+    """Claims of all six kinds without overlaps."""
+    return numbers.numeric_claims(claims.located(manuscripts(spark, sf_dir))).drop("text")
 
 
-@query(f"WITH {LOCATED}, {NUMERIC}, {CONFLICTS} SELECT * FROM conflicts")
+@query(f"WITH {LOCATED}, {NUMERIC}, {CONFLICTS} SELECT * EXCLUDE (position) FROM conflicts")
 def j15_numeric_conflicts(spark, sf_dir):
-    return claims.numeric_conflicts(claims.numeric_claims(claims.located(manuscripts(spark, sf_dir))))
+    return numbers.numeric_conflicts(numbers.numeric_claims(claims.located(manuscripts(spark, sf_dir)))).drop("position")
 
 
-@query(f"WITH {LOCATED}, {NUMERIC}, {CONFLICTS} SELECT doc_id, metric, a_start, b_start, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY cross_page DESC, a_start, b_start, metric) AS INTEGER) AS position FROM conflicts")
+@query(f"WITH {LOCATED}, {NUMERIC}, {CONFLICTS} SELECT doc_id, metric, a_start, b_start, position FROM conflicts")
 def l3_conflict_order(spark, sf_dir):
     """Conflicts across pages first, then by place."""
-    from pyspark.sql import Window as W
-
-    rows = claims.numeric_conflicts(claims.numeric_claims(claims.located(manuscripts(spark, sf_dir))))
-    place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("cross_page"), "a_start", "b_start", "metric"))
-    return rows.select("doc_id", "metric", "a_start", "b_start", place.alias("position"))
+    return numbers.numeric_conflicts(numbers.numeric_claims(claims.located(manuscripts(spark, sf_dir)))).select("doc_id", "metric", "a_start", "b_start", "position")
 
 
 def _findings(spark, sf_dir):
-    """All kinds of findings (U1): rows (doc_id, kind, category, start_offset, page, score)."""
+    """Findings on single sentences: rows (doc_id, kind, category, start_offset, page, score)."""
     return claims.prose_findings(claims.located(manuscripts(spark, sf_dir)))
 
 
@@ -143,21 +155,19 @@ allfindings AS (SELECT doc_id, sentence_index, 'citation_need' AS kind, 'needs_c
 findings AS (SELECT doc_id, kind, category, start_offset, page, score FROM allfindings JOIN located USING (doc_id, sentence_index))"""
 
 
-@query(f"WITH {FINDINGS} SELECT * FROM findings")
-def q3_review_prose(spark, sf_dir):
-    return _findings(spark, sf_dir)
-
-
-RANKS = {"needs_citation_claim": 1, "novelty_issue": 2, "publication_issue": 3, "numerical_ambiguity": 4, "formulaic_prose": 5}
-
+_INTEGRITY = """
+ks AS (SELECT doc_id, style, start_offset, unnest(keys) AS key FROM citations), surnamed AS (SELECT *, lower(regexp_extract(authors[1], '^(\\S+)', 1)) AS surname FROM fields),
+integrity AS (
+  SELECT doc_id, 'broken_citation' AS kind, 'broken_citation' AS category, start_offset, CAST(key AS INTEGER) AS key, 0.85 AS confidence FROM ks WHERE style = 'IEEE' AND doc_id IN (SELECT doc_id FROM refs) AND NOT EXISTS (SELECT 1 FROM refs r WHERE r.doc_id = ks.doc_id AND r.ref_index = CAST(ks.key AS INTEGER))
+  UNION ALL SELECT doc_id, 'orphan_ref', 'orphan_reference', start_offset, ref_index, 0.7 FROM surnamed f WHERE doc_id IN (SELECT doc_id FROM citations) AND NOT EXISTS (SELECT 1 FROM ks WHERE ks.doc_id = f.doc_id AND style = 'IEEE' AND CAST(key AS INTEGER) = f.ref_index)
+    AND NOT EXISTS (SELECT 1 FROM ks WHERE ks.doc_id = f.doc_id AND style = 'APA' AND length(surname) > 2 AND contains(lower(key), surname)))"""
 
-@query(f"WITH {FINDINGS} SELECT doc_id, category, start_offset, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE category {' '.join(f'WHEN {q(c)} THEN {k}' for c, k in RANKS.items())} END, page, start_offset) AS INTEGER) AS position FROM findings")
-def l1_triage_order(spark, sf_dir):
-    """Findings of a document by rank of category, page and place (L1, L2)."""
-    from pyspark.sql import Window as W
 
-    rank = F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv])[F.col("category")]
-    return _findings(spark, sf_dir).select("doc_id", "category", "start_offset", F.row_number().over(W.partitionBy("doc_id").orderBy(rank, "page", "start_offset")).alias("position"))
+@query(f"""WITH {FINDINGS}, {NUMERIC}, {CONFLICTS}, {IN_TEXT}, {REFERENCES}, {FIELDS}, {_INTEGRITY}
+SELECT * FROM findings UNION ALL SELECT doc_id, 'manuscript_quality', 'numerical_inconsistency', start_offset, page, 0.88 FROM conflicts UNION ALL SELECT doc_id, kind, category, start_offset, 1, confidence FROM integrity""")
+def q3_review_prose(spark, sf_dir):
+    """The review of prose, five kinds of finding in one table."""
+    return claims.review(manuscripts(spark, sf_dir))
 
 
 @query(f"WITH {FINDINGS} SELECT doc_id, count(*) AS total, count(*) FILTER (kind = 'citation_need') AS need, count(*) FILTER (kind = 'quality') AS wording, count(*) FILTER (kind = 'ai') AS prose, count(DISTINCT page) AS pages FROM findings GROUP BY doc_id")

@@ -9,6 +9,7 @@ from foliant.functions import text as T
 from foliant.operators import overlap, parse
 from foliant.sources.manuscripts import SQL as MANUSCRIPTS
 from foliant.sources.manuscripts import manuscripts, spread
+from foliant.sources.shared import stored_once
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -68,21 +69,25 @@ citations AS (
   UNION ALL
   SELECT doc_id, h, 'APA', s, s + length(h), list_filter(list_transform(string_split(h[2:-2], ';'), lambda x: trim(x)), lambda x: x <> '') FROM named)"""
 _REF = q(parse.heading("References", True))
-REFERENCES = f"""
-refbodies AS (SELECT doc_id, length(regexp_extract(full_text, {_REF}, 1)) AS body_at, substr(full_text, length(regexp_extract(full_text, {_REF}, 1)) + 1) AS body FROM manuscripts WHERE regexp_matches(full_text, {_REF})),
-{HITS.format(name='marks', text='body', pattern=q(r'\[\d{1,3}\]\s+[A-Z"“]'), table='refbodies')},
-nums AS (SELECT doc_id, s, CAST(regexp_extract(h, '\\d+') AS INTEGER) AS num FROM marks),
-steps AS (SELECT *, lag(num) OVER w AS before, lead(s) OVER w AS nxt FROM nums WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
-good AS (SELECT doc_id FROM steps GROUP BY doc_id HAVING count(*) >= 2 AND count(*) FILTER (num > before) >= 0.85 * (count(*) - 1) AND arg_min(num, s) <= 3),
+REFERENCES = rf"""
+refbodies AS (SELECT doc_id, length(regexp_extract(full_text, {_REF}, 0)) AS body_at, substr(full_text, length(regexp_extract(full_text, {_REF}, 0)) + 1) AS body FROM manuscripts WHERE regexp_matches(full_text, {_REF})),
+{HITS.format(name='brackets_', text='body', pattern=q(parse.LISTED['bracket']), table='refbodies')},
+{HITS.format(name='dots_', text='body', pattern=q(parse.LISTED['dot']), table='refbodies')},
+nums AS (SELECT doc_id, 0 AS how, s, CAST(regexp_extract(h, '\d+') AS INTEGER) AS num FROM brackets_ UNION ALL SELECT doc_id, 1, s, CAST(regexp_extract(h, '\d+') AS INTEGER) FROM dots_),
+steps AS (SELECT *, lag(num) OVER w AS before, lead(s) OVER w AS nxt FROM nums WINDOW w AS (PARTITION BY doc_id, how ORDER BY s)),
+good AS (SELECT doc_id, min(how) AS how FROM (SELECT doc_id, how FROM steps GROUP BY doc_id, how HAVING count(*) >= 2 AND count(*) FILTER (num > before) >= 0.85 * (count(*) - 1) AND arg_min(num, s) <= 3) GROUP BY doc_id),
+loosecut AS (SELECT doc_id, body_at, unnest(a) AS x, generate_subscripts(a, 1) AS k FROM (SELECT *, string_split(regexp_replace(body, '(\.)(\s+)([A-Z\[])', '\1\2␞\3', 'g'), '␞') AS a FROM refbodies WHERE doc_id NOT IN (SELECT doc_id FROM good))),
+loose AS (SELECT *, coalesce(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM loosecut),
 refs AS (
-  SELECT doc_id, num AS ref_index, trim(substr(body, s + 1, coalesce(nxt, length(body)) - s)) AS raw, body_at + s AS start_offset
-  FROM steps JOIN good USING (doc_id) JOIN refbodies USING (doc_id) WHERE length(trim(substr(body, s + 1, coalesce(nxt, length(body)) - s))) > 10)"""
+  SELECT doc_id, num AS ref_index, trim(substr(body, s + 1, coalesce(nxt, length(body)) - s)) AS raw, CAST(body_at + s AS INTEGER) AS start_offset
+  FROM steps JOIN good USING (doc_id, how) JOIN refbodies USING (doc_id) WHERE length(trim(substr(body, s + 1, coalesce(nxt, length(body)) - s))) > {parse.LEAST_ENTRY}
+  UNION ALL SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) AS INTEGER), trim(x), CAST(body_at + s AS INTEGER) FROM loose WHERE length(trim(x)) > {parse.LEAST_LOOSE})"""
 _YEAR = q(rf"{T.B}((?:19|20)\d{{2}}[a-z]?){T.E}")
 FIELDS = f"""
 years AS (SELECT *, nullif(regexp_extract(raw, {_YEAR}, 1), '') AS year, nullif(regexp_extract(raw, '\\x22(.+?)\\x22', 1), '') AS quoted FROM refs),
 afters AS (
   SELECT *, trim(regexp_extract(regexp_replace(substr(raw, instr(raw, coalesce(year, '')) + length(coalesce(year, ''))), '^[\\s.,:;)\\]}}]+', ''), '^([^.?]*)', 1)) AS plain,
-    CASE WHEN year IS NULL THEN raw[1:80] ELSE regexp_replace(raw[1:instr(raw, year) - 1], '^\\[\\d+\\]\\s*', '') END AS head FROM years),
+    CASE WHEN year IS NULL THEN raw[1:80] ELSE regexp_replace(raw[1:instr(raw, year) - 1], '^(?:\\[\\d+\\]|\\d+\\.)\\s*', '') END AS head FROM years),
 fields AS (
   SELECT doc_id, ref_index, raw, start_offset, year, coalesce(quoted, CASE WHEN year IS NOT NULL AND length(plain) > 8 THEN plain END) AS title,
     list_filter(list_transform(string_split_regex(head, ',|&|;| and '), lambda x: trim(x)), lambda a: length(a) > 1 AND length(a) < 60 AND regexp_matches(a, '[A-Za-z]'))[1:6] AS authors,
@@ -177,8 +182,7 @@ IN_TEXT = f"{MAIN}, {CITATIONS.replace('FROM manuscripts', 'FROM mains')}"
 
 @query(f"WITH {MANUSCRIPTS}, {IN_TEXT}, {REFERENCES}, k AS (SELECT doc_id, CAST(unnest(keys) AS INTEGER) AS key FROM citations WHERE style = 'IEEE') SELECT doc_id, key FROM k WHERE doc_id IN (SELECT doc_id FROM refs) AND NOT EXISTS (SELECT 1 FROM refs r WHERE r.doc_id = k.doc_id AND r.ref_index = k.key)")
 def j6_broken_citations(spark, sf_dir):
-    m = manuscripts(spark, sf_dir)
-    return parse.broken_citations(parse.citations(parse.main_text(m), 'main'), parse.references(m))
+    return parse.integrity(manuscripts(spark, sf_dir)).filter("kind = 'broken_citation'").select("doc_id", "key")
 
 
 @query(rf"""WITH {MANUSCRIPTS}, {IN_TEXT}, {REFERENCES}, {FIELDS},
@@ -186,8 +190,47 @@ k AS (SELECT doc_id, style, unnest(keys) AS key FROM citations), f AS (SELECT *,
 SELECT doc_id, ref_index FROM f WHERE doc_id IN (SELECT doc_id FROM citations) AND NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = f.doc_id AND style = 'IEEE' AND CAST(key AS INTEGER) = f.ref_index)
   AND NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = f.doc_id AND style = 'APA' AND length(surname) > 2 AND contains(lower(key), surname))""")
 def j7_orphan_references(spark, sf_dir):
-    m = manuscripts(spark, sf_dir)
-    return parse.orphan_references(parse.citations(parse.main_text(m), 'main'), parse.reference_fields(parse.references(m)))
+    return parse.integrity(manuscripts(spark, sf_dir)).filter("kind = 'orphan_ref'").select("doc_id", F.col("key").alias("ref_index"))
+
+
+def _parsed(spark, sf_dir):
+    """All that parsing finds, in one row a document, written once for each application and folder."""
+    return stored_once(f"parsed:{sf_dir}", lambda: parse.parsed(manuscripts(spark, sf_dir)), spark)
+
+
+def _table(spark, sf_dir, name):
+    return T.each(_parsed(spark, sf_dir), name, "doc_id").select("doc_id", "x.*")
+
+
+@query(f"WITH {MANUSCRIPTS}, p AS (SELECT doc_id, length(full_text) AS n, unnest(range(0, greatest(1, CAST(ceil(length(full_text) / 3000.0) AS BIGINT)))) AS k FROM manuscripts) SELECT doc_id, CAST(k + 1 AS INTEGER) AS page, CAST(k * 3000 AS INTEGER) AS start_offset, CAST(least((k + 1) * 3000, n) AS INTEGER) AS end_offset FROM p")
+def q1_pages(spark, sf_dir):
+    """Pages, from the one parse of the corpus that all queries q1 read."""
+    return _table(spark, sf_dir, "pages")
+
+
+@query(f"WITH {MANUSCRIPTS}, {_heads(True)} SELECT doc_id, name, start_offset, end_offset FROM sections")
+def q1_sections(spark, sf_dir):
+    return _table(spark, sf_dir, "sections")
+
+
+@query(f"WITH {MANUSCRIPTS}, {SENTENCES}, {_heads(True)} SELECT t.doc_id, CAST(t.sentence_index AS INTEGER) AS sentence_index, t.text, t.start_offset, t.end_offset, CAST(floor(t.start_offset / 3000.0) + 1 AS INTEGER) AS page, coalesce(s.name, 'Other') AS section FROM sentences t LEFT JOIN sections s ON t.doc_id = s.doc_id AND s.start_offset <= t.start_offset AND t.start_offset < s.end_offset")
+def q1_sentences(spark, sf_dir):
+    return _table(spark, sf_dir, "sentences")
+
+
+@query(f"WITH {MANUSCRIPTS}, {CITATIONS} SELECT doc_id, marker, style, start_offset, end_offset, keys FROM citations")
+def q1_citations(spark, sf_dir):
+    return _table(spark, sf_dir, "citations")
+
+
+@query(f"WITH {MANUSCRIPTS}, {REFERENCES}, {FIELDS} SELECT doc_id, ref_index, raw, start_offset, authors, year, title, doi FROM fields")
+def q1_references(spark, sf_dir):
+    return parse.reference_fields(_table(spark, sf_dir, "references"))
+
+
+@query(ORACLES["p3_citation_style"])
+def q1_styles(spark, sf_dir):
+    return parse.with_style(_parsed(spark, sf_dir).select("doc_id", "style_counts.*"))
 
 
 PASSAGES = rf"""passages AS (SELECT item_id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([A-Za-z0-9_])-\n([A-Za-z0-9_])', '\1\2', 'g'), '\n+', ' ', 'g'), '[ \t\x{{00a0}}]+', ' ', 'g'), '^[\s\x{{00a0}}]+|[\s\x{{00a0}}]+$', '', 'g')) AS p FROM benchmark),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import bars, claims, grammar, parse, review
+from foliant.operators import bars, claims, grammar, numbers, parse, review
 from foliant.plans import grammar_queries, parse_queries, review_queries
 from foliant.plans.claim_queries import CONFLICTS, LOCATED, NUMERIC
 from foliant.plans.finding_queries import WIDE, wide
@@ -50,7 +50,7 @@ def found(spark, sf_dir):
     m = manuscripts(spark, sf_dir)
     columns = ("doc_id", "kind", "category", "status", "is_informational")
     made = lambda df, kind, category: df.select("doc_id", F.lit(kind).alias("kind"), F.lit(category).alias("category"), F.lit("open").alias("status"), F.lit(False).alias("is_informational"))
-    conflicts = claims.numeric_conflicts(claims.numeric_claims(claims.located(m)))
+    conflicts = numbers.numeric_conflicts(numbers.numeric_claims(claims.located(m)))
     return wide(spark, sf_dir).select(*columns).unionByName(made(grammar.merged(grammar_queries.reviewed(spark, sf_dir)), "grammar", "grammar_error")).unionByName(made(conflicts, "manuscript_quality", "numerical_inconsistency"))
 
 

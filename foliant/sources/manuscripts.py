@@ -30,6 +30,17 @@ FIGURES = ["Figure 1 and Figure 3 give the yields, and Table II the sizes.", "Fi
 REFERENCES = [
     '[1] Smith J, Lee K (2015) A study of small things. Journal of Things, 12, doi:10.1000/abc.{n}. [2] Jones K (2018) "Another study of matters". Annals of Matters, 7. [3] Brown L (2004) A third study of stuff. Letters of Stuff, 3.',
     '[1] Smith J (2015) A study of small things. Journal of Things, 12. [2] Jones K (2021) "A study of small things". Annals of Matters, 7. [4] Green M A fourth study without any date. Predatory Open Access Letters, 3.',
+    '1. Smith J, Lee K (2015) A study of small things. Journal of Things, 12, doi:10.1000/abc.{n}. 2. Jones K (2018) "Another study of matters". Annals of Matters, 7. 3. Green M, 4th study without any date. Letters of Stuff, 3.',
+    'Smith J, Lee K (2015) A study of small things, Journal of Things, 12. Jones K (2018) Another study of matters, Annals of Matters, 7, doi:10.1000/abc.{n}. Green M and others, a study without any date.',
+]
+#: Sentences with numbers, for the methods and for the results.
+METHODS = [
+    "Samples were heated to 37 °C and the voltage was 5 V at a learning rate of 0.001.", "Training accuracy reached a value near the end, and a test accuracy of 91% was seen over 50 epochs.",
+    "The cohort size of 1200 gave 92% precision and an F1-score of 0.88 for the baseline, at 300 K.", "The temperature of 25 °C was kept (accuracy 91.5 throughout) at -3.5 mV.", "No more is known of it.",
+]
+RESULTS = [
+    "A temperature of 25 °C was kept while the current was 2 mA.", "Our accuracy was 91% and the batch size of 64 was kept, with a learning rate = 1e-4.",
+    "We saw 88.5% precision and an F1-score of 0.81 for the proposed model, at 310 K.", "The number of subjects: 40 were left, and the learning rate of 0.01 had an error rate of 3.5%.",
 ]
 
 
@@ -49,7 +60,7 @@ def manuscripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.concat(F.lit("In total n = "), (40 + F.pmod("doc_id", F.lit(50))).cast("string"), F.lit(" patients were seen, with an accuracy of 91.5 in each."))
     again = F.concat(F.lit("At the end n = "), (40 + F.pmod("doc_id", F.lit(50)) + F.pmod("doc_id", F.lit(3))).cast("string"), F.lit(" patients remained, with an accuracy of "), F.when(F.pmod("doc_id", F.lit(5)) == 0, "88.0").otherwise("91.5"), F.lit(" in each."))
     refs = F.replace(_choice(REFERENCES), F.lit("{n}"), F.col("doc_id").cast("string"))
-    parts = [F.lit("Abstract"), _choice(INTRO), F.lit("Introduction"), F.col("body"), F.lit("Methods"), size, F.lit("Results"), again, _choice(FIGURES), F.lit("Discussion"), _choice(CLOSE), F.lit("References"), refs]
+    parts = [F.lit("Abstract"), _choice(INTRO), F.lit("Introduction"), F.col("body"), F.lit("Methods"), size, _choice(METHODS), F.lit("Results"), again, _choice(RESULTS, 1), _choice(FIGURES), F.lit("Discussion"), _choice(CLOSE), F.lit("References"), refs]
     return docs.select("doc_id", "body", F.concat_ws(" ", *parts).alias("full_text"))
 
 
@@ -57,8 +68,8 @@ def _sql(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _sql_choice(options: list[str]) -> str:
-    return f"list_extract([{', '.join(map(_sql, options))}], CAST(doc_id % {len(options)} + 1 AS BIGINT))"
+def _sql_choice(options: list[str], shift: int = 0) -> str:
+    return f"list_extract([{', '.join(map(_sql, options))}], CAST((doc_id + {shift}) % {len(options)} + 1 AS BIGINT))"
 
 
 #: The same in SQL: common table expressions docs (doc_id, body) and manuscripts (doc_id, body, full_text).
@@ -68,7 +79,7 @@ docs AS (
   FROM documents),
 manuscripts AS (
   SELECT doc_id, body, concat_ws(' ', 'Abstract', {_sql_choice(INTRO)}, 'Introduction', body, 'Methods',
-    'In total n = ' || (40 + doc_id % 50) || ' patients were seen, with an accuracy of 91.5 in each.', 'Results',
+    'In total n = ' || (40 + doc_id % 50) || ' patients were seen, with an accuracy of 91.5 in each.', {_sql_choice(METHODS)}, 'Results',
     'At the end n = ' || (40 + doc_id % 50 + doc_id % 3) || ' patients remained, with an accuracy of ' || CASE WHEN doc_id % 5 = 0 THEN '88.0' ELSE '91.5' END || ' in each.',
-    {_sql_choice(FIGURES)}, 'Discussion', {_sql_choice(CLOSE)}, 'References', replace({_sql_choice(REFERENCES)}, '{{n}}', CAST(doc_id AS VARCHAR))) AS full_text
+    {_sql_choice(RESULTS, 1)}, {_sql_choice(FIGURES)}, 'Discussion', {_sql_choice(CLOSE)}, 'References', replace({_sql_choice(REFERENCES)}, '{{n}}', CAST(doc_id AS VARCHAR))) AS full_text
   FROM docs)"""
