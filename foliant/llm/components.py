@@ -25,7 +25,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
     Minima are pre-aggregated before each shuffle and the joins that follow are
     salted, so a node with very many edges is no bottleneck. Every round is
-    written to the shared folder. Nodes without an edge to another have no row.
+    written to the shared folder. Nodes without an edge to another have no row. If
+    ``rounds`` rounds are not enough an error is raised; their number grows with the
+    logarithm of the nodes.
     """
     now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, before = stored(now, "edges"), None
@@ -35,4 +37,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

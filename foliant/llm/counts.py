@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm._shared import arrow_batches
-from foliant.llm.pieces import KEPT_WORDS, PieceModel, cache, load, utf8
+from foliant.llm.pieces import PieceModel, cache, load, utf8
 
 
 def count_word(word: str, model: PieceModel) -> int:
@@ -65,23 +65,11 @@ def as_counts(model: PieceModel):
     return of
 
 
-def count_text(text: str, model: PieceModel, known: dict[str, int]) -> int:
-    if 2 * len(known) > KEPT_WORDS:
-        known.clear()
-    total = 0
-    for w in model.split(text):
-        n = known.get(w)
-        if n is None:
-            n = known[w] = count_word(w, model)
-        total += n
-    return total
-
-
 def count_tokens(docs: DataFrame, limit: int = 4096, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_bytes, n_tokens, over_limit) for each row of ``docs``.
 
-    Null and empty texts have 0 bytes and 0 tokens. Repeated rows stay; other
-    columns are not read. Rows are counted where they are read: no shuffle.
+    Null and empty texts have 0 bytes and 0 tokens; long texts are counted whole.
+    Repeated rows stay, an empty table gives none; other columns are not read. Rows are counted where they are read: no shuffle.
     """
     arrow_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

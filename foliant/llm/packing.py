@@ -76,7 +76,9 @@ def pack(docs: DataFrame, capacity: int = 4096, pad_id: int = 0, path: str | Non
     has over 65536 ids; what is beyond n_tokens holds ``pad_id`` and 0).
 
     Every token of every row of ``docs`` is in exactly one segment. Null and
-    empty texts have no tokens and so no segment. Repeated rows are packed as
+    empty texts have no tokens and so no segment; long ones are cut into pieces of
+    ``capacity`` tokens. Of equally tight rows the earlier is filled, and equally
+    long pieces go by id and number. Repeated rows are packed as
     often as they occur. An empty table gives no rows. A document's pieces
     carry its id and their number, so that joining them gives its ids again.
     """
@@ -129,5 +131,5 @@ def pack(docs: DataFrame, capacity: int = 4096, pad_id: int = 0, path: str | Non
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
-    """Write packed rows as Parquet, shard by shard, for loaders that read binary columns."""
-    packed.write.mode("overwrite").partitionBy("shard").parquet(path)
+    """Write packed rows as Parquet, in the order of shard and pack within each file, for loaders that read binary columns."""
+    packed.sortWithinPartitions("shard", "pack").write.mode("overwrite").parquet(path)

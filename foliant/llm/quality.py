@@ -101,7 +101,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     class, chosen by a hash, to the dictionaries, the other calibrates, weighted
     to the share of the classes among all labels. Labels that are neither 0 nor 1 are left out; of several
     labels of an id the least holds. Without rows of both classes the score is
-    the share of good labels, 0.5 if there are none.
+    the share of good labels, 0.5 if there are none. Where there are too few blocks
+    to train a dictionary from, it is made of the beginnings of the blocks, an equal
+    part of each; that bounds the fit alone, texts are scored whole. The score comes
+    from the size difference only, but it is surer of a longer text, as the
+    difference also counts times the logarithm of the length.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -174,7 +178,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def rejected_removed(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose texts score 0.5 or more."""
+    """The rows of ``docs``, with all their columns, whose texts score 0.5 or more.
+
+    Null texts count as empty, long ones are read whole, and repeated rows are kept
+    or go alike; an empty table gives none.
+    """
     arrow_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 

@@ -186,6 +186,8 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int
     ``mark`` is a hash of the text. Documents are ordered by id (null last), those
     of one id by mark; rows that are equal in both are one document.
     """
+    if not 1 <= anchor <= length <= CHUNK_BYTES:
+        raise ValueError(f"1 <= anchor <= length <= {CHUNK_BYTES} must hold: {anchor}, {length}")
     spark = docs.sparkSession
     arrow_batches(spark)
     known = [F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"), F.xxhash64(text_col).alias("mark"), F.coalesce(text_col, F.lit("")).alias("text")]
@@ -228,7 +230,7 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int
             for rows in np.split(np.arange(len(keep)), np.flatnonzero(np.diff(bucket)) + 1) if len(keep) else []:
                 f = keep[rows]
                 used, ref = np.unique(doc[f], return_inverse=True)
-                blob = b"".join([np.array([len(f), len(used)], "<u4").tobytes(), h[f].tobytes(), digest[f].tobytes(), ids[used].tobytes(), marks[used].tobytes(), ref.astype("<u4").tobytes(), (first[f] - starts[doc[f]]).astype("<u4").tobytes(), (last[f] - first[f]).astype("<u1").tobytes()])
+                blob = b"".join([np.array([len(f), len(used)], "<u4").tobytes(), h[f].tobytes(), digest[f].tobytes(), ids[used].tobytes(), marks[used].tobytes(), ref.astype("<u4").tobytes(), (first[f] - starts[doc[f]]).astype("<u4").tobytes(), (last[f] - first[f]).astype("<u4").tobytes()])
                 for name, v in zip(out, (int(bucket[rows[0]]), None, None, None, None, blob), strict=True):
                     out[name].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int64()), ("id", pa.int64()), ("mark", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("frags", pa.binary())]))
@@ -240,7 +242,7 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int
         for blob in table["frags"].to_pylist():
             n, d = np.frombuffer(blob, "<u4", 2)
             at, got = 8, []
-            for kind, k in (("<u8", n), ("<u8", n), ("<i8", d), ("<i8", d), ("<u4", n), ("<u4", n), ("<u1", n)):
+            for kind, k in (("<u8", n), ("<u8", n), ("<i8", d), ("<i8", d), ("<u4", n), ("<u4", n), ("<u4", n)):
                 got.append(np.frombuffer(blob, kind, k, at))
                 at += int(k) * int(kind[-1])
             for to, v in zip((h, digest, ids, marks, start, more), (got[0], got[1], got[2][got[4]], got[3][got[4]], got[5], got[6]), strict=True):
@@ -256,7 +258,7 @@ def spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int
         different = np.bincount(group[dnew])[group]
         keep = ~dnew | (different > 1)
         kind = np.where(~dnew, 0, np.where(different > hot, 2, 1))
-        return pa.table({"anchor": h[keep].view(np.int64), "id": ids[keep], "mark": marks[keep], "start": start[keep].astype(np.int64), "n": (more[keep] + length).astype(np.int32), "kind": kind[keep].astype(np.int32)})
+        return pa.table({"anchor": h[keep].view(np.int64), "id": ids[keep], "mark": marks[keep], "start": start[keep].astype(np.int64), "n": (more[keep].astype(np.int64) + length).astype(np.int32), "kind": kind[keep].astype(np.int32)})
 
     cuts = stored(texts.mapInArrow(cut, "bucket long, id long, mark long, start long, n int, frags binary"), "fragments")
     settled = stored(cuts.filter("bucket IS NOT NULL").select("bucket", "frags").groupBy("bucket").applyInArrow(settle, f"anchor long, {place}, kind int"), "settled")
@@ -367,8 +369,10 @@ def judge(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, hot: int
 
     Every byte goes that a string of ``length`` bytes covers which also begins
     earlier: in a document with a smaller id (null last), or in the same before.
-    Strings are judged on the input. Null texts count as empty; texts shorter
-    than ``length`` keep all. Rows with the same id and text are one document and
+    Strings are judged on the input. ``length`` may be any number from 1 to 2^20 and
+    ``anchor`` from 1 to ``length``; others raise. Ids must cast to long; 2^63 - 1
+    stands for null. Null texts count as empty; texts shorter than ``length`` keep
+    all; long ones are read in chunks, whole. Rows with the same id and text are one document and
     get the same result; rows with the same id and different texts are ordered by
     a hash of the text. Other columns are not read; an empty table gives no rows.
     """

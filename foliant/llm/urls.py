@@ -38,7 +38,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     """Rows (id, host, path, rule, verdict) for each row of ``pages``.
 
     A rule is ``host/path/`` in lower-case host letters, its path ending in a
-    slash; of rules with the same text the least verdict holds. A rule fits its
+    slash; another, or a null, raises an error; of rules with the same text the least verdict holds. A rule fits its
     host and every subdomain where the path begins with the rule's; the longest
     rule wins, and URLs that none fits get ``default``. An empty path fits no
     rule, nor does an empty host. Repeated rows stay; other columns are not
@@ -49,9 +49,11 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     expressions never leave its task. More rules are joined by shuffle to the
     distinct expressions, so that a frequent host is no hot key.
     """
-    rules = rules.groupBy("rule").agg(F.min("verdict").alias("verdict")).filter(F.col("rule").like("%/"))
+    rules = rules.groupBy("rule").agg(F.min("verdict").alias("verdict"))
     slash = F.instr("rule", "/")
-    bound = rules.agg(F.count("*"), F.max(slash), F.max(F.length("rule") - slash), F.sum(F.octet_length("rule") + F.octet_length("verdict"))).first()
+    bound = rules.agg(F.count("*"), F.max(slash), F.max(F.length("rule") - slash), F.sum(F.octet_length("rule") + F.octet_length("verdict")), F.count_if(~F.coalesce(F.col("rule").like("%/"), F.lit(False)))).first()
+    if bound[4]:
+        raise ValueError(f"{bound[4]} rules do not end in a slash")
     count, longest_host, longest_path = bound[0], (bound[1] or 1) - 1, (bound[2] or 0) + 1
     digest = F.sha2("rule", 256)
     rules = rules.select("rule", "verdict", digest.alias("full"), F.substring(digest, 1, PREFIX).alias("short"))

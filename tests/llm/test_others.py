@@ -33,6 +33,9 @@ def test_url_parts_and_rules(spark):
         got = sorted(map(tuple, urls.judge(pages, urls.rule_table(spark, urls.RULES)).collect()), key=repr)
         assert got == want, most
     urls.BROADCAST_RULES = 20_000
+    for bad in ("net/es", "net", ""):
+        with pytest.raises(ValueError, match="slash"):
+            urls.judge(pages, urls.rule_table(spark, [*urls.RULES, (bad, "block")]))
     assert urls.judge(pages, urls.rule_table(spark, [])).filter("rule IS NOT NULL").count() == 0
     assert urls.judge(pages.limit(0), urls.rule_table(spark, urls.RULES)).count() == 0
 
@@ -176,3 +179,24 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, topk.top_k(df).collect())) == sorted(want)
     assert topk.top_k(df.limit(0)).count() == 0
     assert topk.top_k(df.filter("vec_id IN (20, 21)")).count() == 1
+
+
+def test_quality_score_by_hand(spark):
+    """The score from the parts: sizes with each dictionary, their normalised difference, and the logistic curve."""
+    import math
+
+    import zstandard
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    make = lambda content: zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_dict_id=False)
+    good, bad = make(model.good), make(model.bad)
+    for r in docs.limit(60).collect():
+        raw = (r.text or "").encode()
+        blocks = [raw[k : k + quality.BLOCK] for k in range(0, len(raw), quality.BLOCK)]
+        g, b = (sum(len(c.compress(x)) for x in blocks) for c in (good, bad))
+        diff = (b - g) / max(g + b, 1)
+        z = model.curve[0] + model.curve[1] * diff + model.curve[2] * diff * math.log1p(len(raw))
+        assert abs(got[r.doc_id] - 1 / (1 + math.exp(-z))) < 1e-9

@@ -24,3 +24,15 @@ def test_stages(spark, sf):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_every_stage_takes_odd_rows_and_empty_tables(spark, sf, odd_docs):
+    for docs in (odd_docs, odd_docs.limit(0)):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, sf)
+            rows = out.collect()
+            assert len(rows) <= 9 * 3 and ({"doc_id", "text"} <= set(out.columns)), name
+            assert k == 4 or out.columns == docs.columns, name
+            if docs is not odd_docs:
+                assert not rows
+        assert corpus_pipeline.drop_near_copies(spark, odd_docs, sf).filter("doc_id IN (1, 2)").count() == 1

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from foliant.llm import substrings
 
 
@@ -45,6 +47,25 @@ def test_all_paths_against_brute_force(spark):
             assert got == brute(rows, length), (hot, length)
 
 
+@pytest.mark.parametrize("length", [150, 300, 1000])
+def test_longer_strings_against_brute_force(spark, length):
+    r = random.Random(length)
+    word = lambda n: "".join(r.choice("abcdefgh é") for _ in range(n))
+    shared, other = word(3 * length), word(length + 7)
+    rows = [(1, word(200) + shared), (2, shared), (3, word(50) + shared[length // 2 :] + other), (4, other + shared[: length - 20] + word(length)), (5, "ab" * length), (6, word(length - 1)), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot in (20_000, 1):
+        got = sorted(map(tuple, substrings.judge(df, length=length, hot=hot).collect()), key=repr)
+        assert got == brute(rows, length) and sum(x[2] for x in got) > 4 * length
+
+
+def test_lengths_that_are_not_allowed(spark):
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for length, anchor in ((0, 1), (10, 11), (10, 0), (1 << 21, 40)):
+        with pytest.raises(ValueError, match="must hold"):
+            substrings.judge(df, length=length, anchor=anchor)
+
+
 def test_chunks_give_the_same_strings():
     import numpy as np
 
