@@ -7,20 +7,20 @@ from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from foliant.functions import text as T
-from foliant.operators import corpus, edits, evaluate
+from foliant.operators import claims, corpus, cuts, edits, evaluate
+from foliant.sources.shared import stored
 
 # Cues of the six heads.
 STRUCTURE = r"we\s+(?:propose|present|introduce|develop|evaluate|conduct)|methods?|methodology|experimental\s+setup|results?\s+(?:show|indicate|demonstrate)|in\s+this\s+(?:paper|work|study)|contributions?\s+(?:are|is)|dataset|benchmark|evaluation"
 NUMBER = r"n\s*=\s*\d+|p\s*[<≈=]\s*0?\.\d+|95\s*%\s*CI|\d+(?:\.\d+)?\s*%[A-Za-z0-9_]|±\s*\d|accuracy|f1|auc|bleu|rouge|iou"
 NOVELTY = r"to\s+the\s+best\s+of\s+our\s+knowledge|for\s+the\s+first\s+time|(?:a\s+)?novel\s+(?:approach|method|framework|algorithm|technique|model)|no\s+previous\s+(?:work|study)\s+has|fills?\s+an?\s+important\s+gap"
 NOVELTY_SHOWN = r"compared\s+(?:to|with|against)|unlike\s+(?:prior|previous|earlier)"
-GAIN = r"(?i)(?:^|[^A-Za-z0-9_])(?:outperforms?|improves?\s+upon)(?:[^A-Za-z0-9_].{0,39})?[^A-Za-z0-9_](?:by|with)\s+\d"
+GAIN = claims.GAIN
 VAGUE = r"(?:standard|conventional|usual)\s+(?:methods?|procedures?|protocols?)\s+(?:were|was)\s+(?:used|followed|applied)|(?:carefully|properly|thoroughly)\s+(?:performed|conducted)"
 CONCRETE = r"trained|fine[- ]tuned|optimized|implemented|sampled|annotated|hyperparameter|batch\s+size|learning\s+rate|epochs?|cross[- ]validation|ablation|baseline"
 CRAFT_MARK, CRAFT = r"\[\d+(?:\s*[,;-]\s*\d+)*\]", r"IEEE|MIMO|OFDM|SNR|BER|FPGA|SoC|beamforming|wireless|convolutional|transformer|neural\s+network"
@@ -40,13 +40,16 @@ def head_labels(text="text") -> Column:
     return F.array(structure, number, novelty, methods, ((points >= 3.5) & (novelty == 1)).cast("int"), craft)
 
 
+def seeded(seed: str, key: str) -> Column:
+    """A seeded order as a key for cuts: by MD5, then by the row's own key."""
+    return F.concat_ws(":", corpus.order(F.lit(seed), key), F.col(key).cast("string"))
+
+
 def quota(rows: DataFrame, want: dict[tuple, int], by: list[str], seed: str, key: str) -> DataFrame:
     """Of each bucket (values of ``by``) as many rows as ``want`` says, in a seeded order; buckets not named give none."""
-    wanted = F.create_map(*[x for k, n in want.items() for x in (F.lit(":".join(map(str, k))), F.lit(n))])
-    bucket = F.concat_ws(":", *[F.col(c).cast("string") for c in by])
-    rows = rows.withColumn("_want", F.coalesce(wanted[bucket], F.lit(0))).filter("_want > 0")
-    nth = F.row_number().over(W.partitionBy(*by).orderBy(corpus.order(F.lit(seed), key), key))
-    return rows.withColumn("_n", nth).filter(F.col("_n") <= F.col("_want")).drop("_n", "_want")
+    named = {":".join(str(x).lower() if isinstance(x, bool) else str(x) for x in k): n for k, n in want.items()}
+    bucketed = rows.withColumn("_bucket", F.concat_ws(":", *[F.col(c).cast("string") for c in by]))
+    return cuts.least(bucketed, named, "_bucket", seeded(seed, key)).drop("_bucket")
 
 
 def bucket_counts(rows: DataFrame, by: list[str]) -> dict[tuple, int]:
@@ -67,8 +70,7 @@ def balanced_with_hard(rows: DataFrame, positives: float = 0.7, negatives: float
         hard = min(n.get((y, True), 0), int(k * share))
         soft = min(n.get((y, False), 0), k - hard)
         want |= {(y, True): min(n.get((y, True), 0), k - soft), (y, False): soft}
-    text = {(y, str(h).lower()): v for (y, h), v in want.items()}
-    return quota(rows.withColumn("hard_", F.col("hard").cast("string")), text, ["label", "hard_"], seed, key).drop("hard_")
+    return quota(rows, want, ["label", "hard"], seed, key)
 
 
 def half_and_half(rows: DataFrame, head: str, size: int, seed: str = "6", key: str = "row_id") -> DataFrame:
@@ -80,15 +82,172 @@ def half_and_half(rows: DataFrame, head: str, size: int, seed: str = "6", key: s
 
 
 def capped_by(rows: DataFrame, caps: dict[str, int], by: str, seed: str, key: str) -> DataFrame:
-    """At most so many rows of each value of a column, in a seeded order; values without a cap keep all."""
-    most = F.create_map(*[F.lit(x) for kv in caps.items() for x in kv])[F.col(by)]
-    nth = F.row_number().over(W.partitionBy(by).orderBy(corpus.order(F.lit(seed), key), key))
-    return rows.withColumn("_n", nth).filter(most.isNull() | (F.col("_n") <= most)).drop("_n")
+    """At most so many rows of each value of a column, in a seeded order; values without a cap, and nulls, keep all."""
+    held = F.coalesce(F.col(by).isin(list(caps)), F.lit(False))
+    return cuts.least(rows.filter(held), caps, by, seeded(seed, key)).unionByName(rows.filter(~held))
 
 
 def seeded_cap(rows: DataFrame, most: int, seed: str, key: str) -> DataFrame:
     """``most`` rows in a seeded order, without replacement: the limit is the operator."""
-    return rows.orderBy(corpus.order(F.lit(seed), key), key).limit(most)
+    return cuts.least(rows, {"all": most}, None, seeded(seed, key))
+
+
+def hardest(rows: DataFrame, most: int, others: int, seed: str, key: str, hardness: str = "hardness", top: float = 1.25) -> DataFrame:
+    """The ``most`` rows of greatest hardness (0 to ``top``, ties to the smaller key) and ``others`` of the rest in a seeded order; ``pick`` says which."""
+    order = F.concat_ws(":", cuts.falling(F.col(hardness), top), F.lpad(F.col(key).cast("string"), 20, "0"))
+    kept = stored(rows.withColumn("_order", order), "hardness")
+    bound = cuts.nth_keys(kept, {"all": most}, None, "_order").get("all")
+    hard = F.lit(most > 0) if bound is None else F.col("_order") <= F.lit(bound)
+    rest = cuts.least(kept.filter(~hard), {"all": others}, None, seeded(seed, key))
+    return kept.filter(hard).withColumn("pick", F.lit("hard")).unionByName(rest.withColumn("pick", F.lit("random"))).drop("_order")
+
+
+# Sentences that a clause is set into, for each label; the second set is for evaluation alone.
+TEMPLATES = {
+    "novelty": [
+        "To the best of our knowledge, {clause}.", "For the first time, {clause}.", "We propose a novel approach whereby {clause}.", "This paper presents a novel method in which {clause}.", "No previous work has addressed the setting where {clause}.",
+        "Our unique contribution is that {clause}.", "We are the first to show that {clause}.",
+    ],
+    "numeric": [
+        "Accuracy increased significantly when {clause}.", "Performance improved substantially after {clause}.", "About half of the samples satisfied {clause}.", "Several patients showed that {clause}.", "A large number of cases indicated that {clause}.",
+        "The error rate was approximately high after {clause}.", "Results improved nearly 20% although the base rate is unspecified when {clause}.",
+    ],
+    "publication": [
+        "As shown in Figure 3, {clause}.", "Standard procedures were used while {clause}.", "The analysis was carefully performed and {clause}.", "Results were promising when {clause}.", "Further details are provided in the appendix; briefly, {clause}.",
+        "See Table 2. {clause}.", "Due to space constraints, we note that {clause}.", "The proposed method works well when {clause}.",
+    ],
+}
+UNSEEN_TEMPLATES = {
+    "novelty": [
+        "As far as we are aware, {clause}.", "This represents the first attempt in the literature where {clause}.", "Ours is an entirely new framework under which {clause}.", "Prior studies have never considered the scenario in which {clause}.",
+        "We break new ground by demonstrating that {clause}.", "The originality of this study lies in the fact that {clause}.", "Nothing comparable has appeared in earlier research showing that {clause}.",
+    ],
+    "numeric": [
+        "A considerable fraction of the trials revealed that {clause}.", "The gains were sizeable once {clause}.", "Roughly a third of participants reported that {clause}.", "Outcomes rose markedly whenever {clause}.", "In the vast majority of runs, {clause}.",
+        "Error dropped noticeably after {clause}.", "Close to ninety percent of subjects found that {clause}.",
+    ],
+    "publication": [
+        "The reader is referred to Table 4 for specifics; in short, {clause}.", "Conventional protocols were adopted throughout, and {clause}.", "Owing to page limits we defer the derivation, noting only that {clause}.", "Figure 7 depicts the outcome, namely that {clause}.",
+        "All measurements were rigorously carried out and {clause}.", "The findings were encouraging in that {clause}.", "Full particulars appear in the supplementary material; briefly, {clause}.",
+    ],
+}
+CLAUSE_WORDS, LEAST_WORDS, MOST_WORDS, ROUNDS = 28, 8, 65, 3
+
+
+def clause(sentence) -> Column:
+    """A sentence as a clause: without full stops at its end, its first letter small unless the word begins with capitals, 28 words at most."""
+    s = F.regexp_replace(F.trim(sentence), r"\.+$", "")
+    begin = F.substring(s, 1, 2)
+    s = F.when(F.upper(begin) == begin, s).otherwise(F.concat(F.lower(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.length(s))))
+    words = F.split(s, r"\s+")
+    return F.when(F.size(words) > CLAUSE_WORDS, F.array_join(F.slice(words, 1, CLAUSE_WORDS), " ")).otherwise(s)
+
+
+def fit_sentence(text: str = "text") -> Column:
+    """Of 8 to 65 words, one of them with three letters."""
+    return T.word_count(text).between(LEAST_WORDS, MOST_WORDS) & F.col(text).rlike("[A-Za-z]{3,}")
+
+
+def text_key(text: str = "text") -> Column:
+    return F.md5(F.lower(text))
+
+
+def open_sentences(sentences: DataFrame) -> DataFrame:
+    """(row_id, text, label, key): sentences without citation markers, fit for a corpus, weakly labelled; the first of equal texts."""
+    clean = F.trim(F.regexp_replace(F.regexp_replace("text", corpus.MARKED, ""), r"\s+", " "))
+    rows = sentences.select(F.concat_ws("-", "doc_id", "sentence_index").alias("row_id"), clean.alias("text")).filter(fit_sentence())
+    return corpus.first_of_each(rows.withColumn("key", text_key()), "key", "row_id").withColumn("label", corpus.weak_label())
+
+
+def synthesized(pool: DataFrame, seen: DataFrame, need: dict[str, int], templates: dict[str, list[str]], seed: str) -> DataFrame:
+    """(row_id, text, label, key): sentences made from the clauses of ``pool`` (row_id, text), exactly as many of each label as ``need`` says, if the pool is large enough.
+
+    Each sentence of the pool meets each label that lacks rows with up to three
+    templates, chosen by a hash. What is fit, is not among ``seen`` (key) and comes
+    first of equal texts is drawn in a seeded order. Only labels short of rows and
+    their templates, a table of a few rows, are literals of the plan.
+    """
+    short = {label: n for label, n in need.items() if n > 0}
+    if not short:
+        return pool.select("row_id", "text", F.lit("").alias("label"), F.lit("").alias("key")).limit(0)
+    tries = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*[F.lit(t) for t in templates[label]]).alias("t"), F.lit(r).alias("r")) for label in short for r in range(ROUNDS)])
+    each = pool.select("row_id", clause("text").alias("clause"), F.explode(tries).alias("x")).select("row_id", "clause", "x.*")
+    pick = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "label", "row_id")), 1, 8), 16, 10).cast("long") + F.col("r")) % F.size("t")
+    made = each.select(F.concat_ws("/", "label", "row_id", "r").alias("row_id"), "label", F.replace(F.get("t", pick.cast("int")), F.lit("{clause}"), F.col("clause")).alias("text"))
+    made = made.filter(fit_sentence()).withColumn("key", text_key())
+    fresh = corpus.first_of_each(made, "key", "row_id").join(seen.select("key").distinct().hint("merge"), "key", "left_anti")
+    return cuts.least(fresh, short, "label", seeded(seed, "row_id")).select("row_id", "text", "label", "key")
+
+
+def near_a_label() -> Column:
+    """Rows without a label whose numbers are precise, or whose novelty is shown."""
+    return (F.col("label") == "none") & (F.col("text").rlike(claims.PRECISE_NUMBER) | F.col("text").rlike(T.words_like(claims.NOVELTY_SHOWN)))
+
+
+def quality_corpus(rows: DataFrame, want: dict[str, int], hard: int, seed: str = "8") -> DataFrame:
+    """(row_id, text, label, key, origin): weakly labelled sentences drawn to a number for each label.
+
+    ``rows``: as from ``open_sentences``. Of the label ``none`` up to ``hard`` rows are
+    hard negatives, whose wording is near a label but proved; other labels that lack
+    rows are filled up from templates and clauses of ``none``.
+    """
+    rows = stored(rows.withColumn("hard", near_a_label()), "open")
+    have = bucket_counts(rows, ["label", "hard"])
+    n_hard = min(have.get(("none", True), 0), hard, want.get("none", 0))
+    natural = {(label, False): n for label, n in want.items() if label != "none"}
+    kept = quota(rows, {**natural, ("none", True): n_hard, ("none", False): want.get("none", 0) - n_hard}, ["label", "hard"], seed, "row_id")
+    need = {label: n - have.get((label, False), 0) for label, n in want.items() if label != "none"}
+    made = synthesized(rows.filter("label = 'none'"), rows, need, TEMPLATES, f"{seed}t")
+    named = kept.withColumn("origin", F.when(F.col("hard"), "hard_negative").otherwise("natural")).drop("hard")
+    return named.select("row_id", "text", "label", "key", "origin").unionByName(made.withColumn("origin", F.lit("template")))
+
+
+def hard_evaluation(rows: DataFrame, trained: DataFrame, natural: int, made: int, hard: int, none: int, seed: str = "14") -> DataFrame:
+    """(row_id, text, label, key, origin): sentences that ``trained`` (key) has not, templates that it was not made with, hard negatives and clean sentences, so many of each."""
+    fresh = rows.join(trained.select("key").distinct().hint("merge"), "key", "left_anti")
+    fresh = stored(fresh.withColumn("hard", near_a_label()), "fresh")
+    labels = list(UNSEEN_TEMPLATES)
+    kept = quota(fresh, {**{(c, False): natural for c in labels}, ("none", True): hard, ("none", False): none}, ["label", "hard"], seed, "row_id")
+    origin = F.when(F.col("hard"), "hard_negative").when(F.col("label") == "none", "natural_none").otherwise("natural")
+    new = synthesized(fresh.filter("label = 'none'"), fresh.select("key").unionByName(trained.select("key")), dict.fromkeys(labels, made), UNSEEN_TEMPLATES, f"{seed}t")
+    return kept.withColumn("origin", origin).select("row_id", "text", "label", "key", "origin").unionByName(new.withColumn("origin", F.lit("hard_synth")))
+
+
+# How a report's passage is put to a rewriter, and what is filled in.
+REPORT_FRAME = "similarity report flagged this passage (~{pct}% match; source: {src}). Restate in your own words; keep technical terms and any citation markers: "
+AI_FRAME = "AI writing report flagged this passage (high machine-like confidence). Revise for specificity, varied rhythm, and author voice; keep citation markers: "
+SHARES = [2, 3, 4, 5, 6, 8, 12]
+CUES = ["indexed publication", "internet source", "prior work in reference list", "unidentified repository match"]
+
+
+def drawn(seed: str, key: str, of: int) -> Column:
+    """A number below ``of`` by a hash of seed and key."""
+    return (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key))), 1, 8), 16, 10).cast("long") % of).cast("int")
+
+
+def unframed(text) -> Column:
+    """A passage without the frame of a report before it."""
+    t = T.col(text)
+    frame = t.rlike("^(?:similarity|AI writing) report flagged") & F.contains(t, F.lit(": "))
+    begins = F.regexp_replace(t, r"(?s)^similarity report flagged this passage \(~\d+% match; source: [^)]*\)\. [^:]*: |^AI writing report flagged this passage [^:]*: ", "")
+    return F.when(frame, begins).otherwise(t)
+
+
+def framed(rows: DataFrame, seed: str) -> DataFrame:
+    """Pairs (id, input, target, ...) as a similarity report or one of machine prose has them, chosen by a hash, as are share and source; short pairs give none."""
+    similar = F.replace(F.replace(F.lit(REPORT_FRAME), F.lit("{pct}"), F.get(F.array(*[F.lit(x) for x in SHARES]), drawn(f"{seed}p", "id", len(SHARES))).cast("string")), F.lit("{src}"), F.get(F.array(*[F.lit(x) for x in CUES]), drawn(f"{seed}s", "id", len(CUES))))
+    frame = F.when(drawn(f"{seed}t", "id", 2) == 0, similar).otherwise(F.lit(AI_FRAME))
+    long = (F.length("input") >= 40) & (F.length("target") >= 40)
+    return rows.filter(long).withColumns({"input": F.concat(frame, "input"), "id": F.concat("id", F.lit("/report"))})
+
+
+def pair_corpus(pairs: DataFrame, most: int, seed: str) -> DataFrame:
+    """(id, task, split, wrapped, input, target): pairs (pair_id, a, b) in both directions, the first of those whose input begins alike, at most so many of a task in a seeded order, split by hash; and each again in a report's frame."""
+    rows = corpus.pair_rows(pairs).withColumns({"id": F.concat_ws("/", "pair_id", "task"), "input": unframed("input")}).withColumn("key", corpus.key_prefix("input", 200))
+    rows = corpus.first_of_each(rows, "key", "id")
+    rows = quota(rows, {("forward",): most, ("backward",): most}, ["task"], seed, "id").withColumn("split", corpus.split_name("id"))
+    rows = rows.select("id", "task", "split", "input", "target")
+    return rows.withColumn("wrapped", F.lit(False)).unionByName(framed(rows, seed).withColumn("wrapped", F.lit(True)))
 
 
 def survival(before, after) -> Column:
@@ -125,18 +284,24 @@ def bleu(hypothesis: str, reference: str) -> float:
 
 
 def rouge_l(hypothesis: str, reference: str) -> float:
-    """F1 of the longest common subsequence of words."""
+    """F1 of the longest common subsequence of words.
+
+    Its length by bit vectors: a bit for each word of the reference, all of them
+    moved on at once for each word of the hypothesis.
+    """
     h, r = hypothesis.lower().split(), reference.lower().split()
     if not h or not r:
         return 0.0
-    row = [0] * (len(r) + 1)
-    for x in h:
-        left = 0
-        for j, y in enumerate(r, 1):
-            up = row[j]
-            row[j] = left + 1 if x == y else max(up, row[j - 1])
-            left = up
-    return 2 * row[-1] / (len(h) + len(r))
+    places: dict[str, int] = {}
+    for k, w in enumerate(r):
+        places[w] = places.get(w, 0) | 1 << k
+    every = (1 << len(r)) - 1
+    open_ = every
+    for w in h:
+        met = open_ & places.get(w, 0)
+        if met:
+            open_ = (open_ + met | open_ - met) & every
+    return 2 * (len(r) - open_.bit_count()) / (len(h) + len(r))
 
 
 @pandas_udf(DoubleType())
@@ -224,11 +389,6 @@ def locate_edits(changes: DataFrame, pages: DataFrame) -> DataFrame:
     return changes.select("doc_id", "edit_id").join(best.hint("merge"), ["doc_id", "edit_id"], "left").select("doc_id", "edit_id", F.col("b.page").alias("found_page"), F.col("b.size").alias("matched"))
 
 
-def tolerance(family) -> Column:
-    """By how much two values of a unit family must differ to conflict."""
-    return F.when(family == "count", 1.0).when(family == "ratio", 0.015).otherwise(1.0)
-
-
 def shown_value(value, family) -> Column:
     """A value with its unit, whole numbers without a fraction."""
     plain = F.regexp_replace(F.format_string("%.3f", value.cast("double")), r"\.?0+$", "")

@@ -39,6 +39,7 @@ NOVELTY = (
     r"|no\s+previous\s+(?:work|study|research)\s+has|fills?\s+an?\s+important\s+gap"
 )
 NOVELTY_SHOWN = r"compared\s+(?:to|with|against)|unlike\s+(?:prior|previous|earlier)"
+GAIN = r"(?i)(?:^|[^A-Za-z0-9_])(?:outperforms?|improves?\s+upon)(?:[^A-Za-z0-9_].{0,39})?[^A-Za-z0-9_](?:by|with)\s+\d"
 VAGUE_NUMBER = (
     r"(?:approximately|roughly|around|about|nearly|almost)\s+(?:\d|half|a\s+third|a\s+quarter)|(?:several|numerous|various|a\s+number\s+of|a\s+few)\s+(?:percent|patients?|samples?|subjects?|cases?)"
     r"|(?:significant(?:ly)?|substantial(?:ly)?)\s+(?:increase|decrease|improvement|reduction|difference|effect)"
@@ -80,7 +81,7 @@ def need_score(rows: DataFrame) -> DataFrame:
 def quality_score(rows: DataFrame) -> DataFrame:
     """Adds ``label`` (novelty without proof, weak reporting, vague numbers, in this order of precedence; null if none) and ``quality``, its score."""
     eligible = (F.col("section") != "References") & (F.length(F.trim("text")) >= 40)
-    novelty, vague, weak = has(NOVELTY) & ~has(NOVELTY_SHOWN), has(VAGUE_NUMBER) & ~F.col("text").rlike(PRECISE_NUMBER), has(WEAK_REPORT)
+    novelty, vague, weak = has(NOVELTY) & ~has(NOVELTY_SHOWN) & ~F.col("text").rlike(GAIN), has(VAGUE_NUMBER) & ~F.col("text").rlike(PRECISE_NUMBER), has(WEAK_REPORT)
     label = F.when(novelty, "novelty_issue").when(weak, "publication_issue").when(vague, "numerical_ambiguity")
     rows = rows.withColumn("label", F.when(eligible, label))
     base = F.when(F.col("label") == "novelty_issue", 0.82).when(F.col("label") == "publication_issue", 0.78).when(F.col("label") == "numerical_ambiguity", 0.76)

@@ -26,7 +26,7 @@ def text_baseline(rows: DataFrame, features: int = 1 << 14) -> DataFrame:
     return model.transform(rows).select("row_id", "split", "label", F.round(vector_to_array("probability")[1], 6).alias("score"))
 
 
-def finding_ranker(rows: DataFrame, columns: list[str], folds: int = 3) -> DataFrame:
+def finding_ranker(rows: DataFrame, columns: list[str], folds: int = 5) -> DataFrame:
     """(row_id, fold, label, score): gradient-boosted trees, each row scored by the model that did not see its fold; folds by hash of the id within a label."""
     fold = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.col("label").cast("string"), F.col("row_id").cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
     data = VectorAssembler(inputCols=columns, outputCol="features").transform(rows.withColumn("fold", fold)).select("row_id", "fold", F.col("label").cast("double").alias("label"), "features")

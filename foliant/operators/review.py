@@ -61,10 +61,18 @@ def inside_quotes(start, end, text: str = "full_text") -> Column:
     return (T.count(before, '[“"«]') > T.count(before, '[”"»]')) | (around.rlike('(?s)[“"].+[”"]') & (F.length(around) < end - start + 10))
 
 
-def cited_nearby(start, end, text: str = "full_text", window: int = 120) -> Column:
-    """A citation marker around the span."""
-    around = F.substring(text, F.greatest(start - window + 1, F.lit(1)), end - F.greatest(start - window, F.lit(0)) + window)
-    return around.rlike(parse.BRACKET) | around.rlike(parse.AUTHOR_YEAR)
+def cited_nearby(start, end, text: str = "full_text", citations: str = "_citations", words: int = 15, reach: int = 200) -> Column:
+    """Whether a citation lies within ``words`` words of the span, and some characters more: 5 before, 55 after.
+
+    The words are those of the ``reach`` characters on either side; joined by single
+    blanks, they say how far the neighbourhood goes.
+    """
+    words_of = lambda x: F.split(F.regexp_replace(x, r"^\s+|\s+$", ""), r"\s+")
+    before, after = words_of(F.substring(text, F.greatest(start - reach, F.lit(0)) + 1, F.least(start, F.lit(reach)))), words_of(F.substring(text, end + 1, F.lit(reach)))
+    size = lambda x: F.length(F.array_join(x, " "))
+    low = start - size(F.slice(before, F.greatest(F.size(before) - words, F.lit(0)) + 1, words)) - 5
+    high = end + size(F.slice(after, 1, words)) + 55
+    return T.let(F.struct(low.alias("low"), high.alias("high")), lambda r: F.exists(citations, lambda c: (c["start_offset"] >= r["low"]) & (c["end_offset"] <= r["high"])))
 
 
 def holds_any(text, phrases: list[str]) -> Column:
@@ -74,7 +82,7 @@ def holds_any(text, phrases: list[str]) -> Column:
 def categorize(aligned: DataFrame, docs: DataFrame, sections: DataFrame, matches: DataFrame, text: str = "full_text") -> DataFrame:
     """(doc_id, flag_id, category, informational): an ordered cascade over facts joined beforehand."""
     rows = parse.at_section(aligned.withColumn("start_offset", F.col("paper_start")), sections).drop("start_offset")
-    rows = rows.join(matches, ["doc_id", "flag_id"], "left").join(docs.select("doc_id", text).hint("merge"), "doc_id")
+    rows = rows.join(matches, ["doc_id", "flag_id"], "left").join(parse.with_citations(docs.select("doc_id", text), text).hint("merge"), "doc_id")
     norm, words = T.normalize_match("text"), T.word_count("text")
     start, end = F.col("paper_start"), F.col("paper_end")
     boiler = [p for p in METHODS_BOILERPLATE if p not in ("p < 0.05", "p<0.05", "mean ± standard", "mean +/- standard", "double-blind")] + ["double blind"]

@@ -63,6 +63,14 @@ def t4_first_requests(spark, sf_dir):
     return activity.first_requests(events(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE {E}, opens(request, ts) AS (SELECT request, min(ts) FROM e GROUP BY request UNION ALL SELECT o.request, min(e.ts) FROM opens o JOIN e ON e.request = o.request AND e.ts > o.ts + INTERVAL 6 HOUR GROUP BY o.request, o.ts),
+w AS (SELECT e.request, e.event_id, e.ts, max(o.ts) AS opened FROM e JOIN opens o ON o.request = e.request AND o.ts <= e.ts GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY request, opened ORDER BY ts, event_id) > 1 AS reused FROM w""")
+def t4_reuse_windows(spark, sf_dir):
+    """Which requests an earlier identical one answers, within six hours of the one that opened the window (T4)."""
+    return activity.reuse_windows(events(spark, sf_dir))
+
+
 def _marks(t: str) -> str:
     return f"list_concat(list_concat(regexp_extract_all({t}, {q(parse.BRACKET)}), regexp_extract_all({t}, {q(parse.AUTHOR_YEAR)})), regexp_extract_all({t}, {q(parse.YEAR_ALONE)}))"
 
@@ -81,11 +89,12 @@ def f11_lost_citations(spark, sf_dir):
     return m.withColumn("after", after).select("doc_id", F.size(edits.lost_markers("full_text", "after")).alias("n_lost"))
 
 
-_TOK = f"list_concat(list_concat(regexp_extract_all(a, '[A-Z]{{2,}}'), regexp_extract_all(a, '\\d+(?:\\.\\d+)?%?')), regexp_extract_all(a, {q(parse.BRACKET)}))"
+_TOK = "list_filter(list_transform(list_concat(" + ", ".join([*[f"regexp_extract_all(a, {q(p)}, {1 if '((' in p else 0})" for p in edits.PROTECTED], f"list_distinct({_marks('a')})"]) + "), lambda x: trim(x)), lambda x: x <> '')"
 
 
 @query(f"WITH {MANUSCRIPTS}, p AS (SELECT doc_id, full_text AS a, replace(full_text, '9', '') AS b FROM manuscripts), t AS (SELECT doc_id, b, unnest(list_distinct({_TOK})) AS x FROM p) SELECT doc_id, CAST(count(*) AS INTEGER) AS n_tokens, CAST(count(*) FILTER (NOT contains(b, x)) AS INTEGER) AS n_missing FROM t GROUP BY doc_id")
 def f12_missing_tokens(spark, sf_dir):
+    """Protected tokens of each kind, and those that a rewrite lost."""
     m = manuscripts(spark, sf_dir).withColumn("after", F.replace("full_text", F.lit("9"), F.lit("")))
     return m.select("doc_id", F.size(edits.protected_tokens("full_text")).alias("n_tokens"), F.size(edits.missing_tokens("full_text", "after")).alias("n_missing"))
 
@@ -103,6 +112,30 @@ def q5_apply_edits(spark, sf_dir):
     return out.select("doc_id", F.md5("revised").alias("revised_md5"), "applied", "skipped")
 
 
+def _edits(spark, sf_dir):
+    m = manuscripts(spark, sf_dir)
+    rows = claims.located(m)
+    changes = claims.quality(rows).join(rows.select("doc_id", "sentence_index", "start_offset", "end_offset").hint("merge"), ["doc_id", "sentence_index"])
+    return m, rows, changes.select("doc_id", F.col("sentence_index").alias("edit_id"), "start_offset", "end_offset", F.concat(F.lit("<"), "label", F.lit(">")).alias("replacement"))
+
+
+_MOVES = f"{LOCATED}, {QUALITY}, ed AS (SELECT doc_id, sentence_index AS edit_id, start_offset AS s, end_offset AS e, '<' || label || '>' AS r FROM quality JOIN located USING (doc_id, sentence_index)), mv AS (SELECT *, coalesce(sum(length(r) - (e - s)) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d FROM ed)"
+
+
+@query(f"WITH {_MOVES} SELECT doc_id, edit_id, s AS start_offset, e AS end_offset, CAST(s + d AS INTEGER) AS new_start, CAST(s + d + length(r) AS INTEGER) AS new_end, r AS replacement FROM mv")
+def q5_applied_spans(spark, sf_dir):
+    """Where each applied edit stands in the revised text."""
+    m, _, changes = _edits(spark, sf_dir)
+    return edits.applied_spans(m, changes)
+
+
+@query(f"WITH {_MOVES} SELECT l.doc_id, l.sentence_index, l.start_offset, l.end_offset, CASE WHEN t.s IS NULL THEN CAST(l.start_offset + coalesce((SELECT sum(length(r) - (e - s)) FROM ed WHERE ed.doc_id = l.doc_id AND ed.e <= l.start_offset), 0) AS INTEGER) END AS new_start, CASE WHEN t.s IS NULL THEN CAST(l.end_offset + coalesce((SELECT sum(length(r) - (e - s)) FROM ed WHERE ed.doc_id = l.doc_id AND ed.e <= l.start_offset), 0) AS INTEGER) END AS new_end FROM located l LEFT JOIN ed t ON t.doc_id = l.doc_id AND t.s = l.start_offset")
+def q5_mapped_sentences(spark, sf_dir):
+    """Every sentence's place in the revised text; null for those that an edit changed."""
+    m, rows, changes = _edits(spark, sf_dir)
+    return edits.mapped_spans(rows.select("doc_id", "sentence_index", "start_offset", "end_offset"), m, changes)
+
+
 @query(f"""WITH {LOCATED}, {QUALITY}, ed AS (SELECT doc_id, start_offset AS s, end_offset AS e FROM quality JOIN located USING (doc_id, sentence_index)),
 b AS (SELECT doc_id, 0 AS x FROM manuscripts UNION ALL SELECT doc_id, s FROM ed UNION ALL SELECT doc_id, e FROM ed), n AS (SELECT doc_id, x AS start_offset, coalesce(lead(x) OVER (PARTITION BY doc_id ORDER BY x), length(full_text)) AS end_offset FROM b JOIN manuscripts USING (doc_id))
 SELECT n.doc_id, CAST(start_offset AS INTEGER) AS start_offset, CAST(end_offset AS INTEGER) AS end_offset, ed.s IS NOT NULL AS marked FROM n LEFT JOIN ed ON ed.doc_id = n.doc_id AND ed.s = n.start_offset WHERE end_offset > start_offset""")

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import biblio, builds, claims, corpus, evaluate, numbers
+from foliant.operators import biblio, builds, claims, corpus, evaluate, numbers, parse
 from foliant.plans import biblio_queries
 from foliant.plans.activity_queries import _TOK
 from foliant.plans.claim_queries import LOCATED, NUMERIC
 from foliant.plans.corpus_queries import GRID, MEASURES, P, predictions
 from foliant.plans.finding_queries import WIDE, wide
-from foliant.plans.parse_queries import CUTS, FIELDS, MANUSCRIPTS, MATCH_SQL, REFERENCES, bodies, q, read
+from foliant.plans.parse_queries import CUTS, FIELDS, MANUSCRIPTS, MATCH_SQL, REFERENCES, SENTENCES, bodies, q, read
 from foliant.plans.readiness_queries import DELTAS, deltas
 from foliant.sources import loaders
+from foliant.sources.shared import stored
 from foliant.sources.manuscripts import manuscripts
 
 QUERIES: dict = {}
@@ -83,7 +84,7 @@ def l14_bucket_quotas(spark, sf_dir):
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY {_ORDER.format(s=9, k='doc_id')}, doc_id) AS n FROM documents) WHERE n <= 120")
 def l12_seeded_cap(spark, sf_dir):
-    """A training cap without replacement: the limit is the operator."""
+    """A training cap without replacement: the limit is the operator."""
     return builds.seeded_cap(read(spark, sf_dir, "documents"), 120, "9", "doc_id").select("doc_id")
 
 
@@ -227,48 +228,82 @@ def q17_evaluated_predictions(spark, sf_dir):
     return evaluate.confusion(p.filter("split = 'test'"), threshold=best).drop("tn").withColumn("threshold", F.lit(best))
 
 
-WEAK = rf"""weak AS (SELECT doc_id, chunk, doc_id || '-' || chunk AS row_id, text, CASE WHEN {_like(claims.NOVELTY)} AND NOT {_like(claims.NOVELTY_SHOWN)} THEN 'novelty' WHEN {_like(claims.WEAK_REPORT)} THEN 'publication' WHEN {_like(claims.VAGUE_NUMBER)} AND NOT regexp_matches(text, {q(claims.PRECISE_NUMBER)}) THEN 'numeric' ELSE 'none' END AS label FROM fchunks),
-once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(text[1:160]) ORDER BY row_id) AS n FROM weak) WHERE n = 1)"""
-FCHUNKS = CHUNKS.split(",\nheads AS")[0].replace("t='body'", "t='full_text'").replace("parts AS", "fparts AS").replace("FROM docs)", "FROM manuscripts)").replace("groups AS", "fgroups AS").replace("FROM parts)", "FROM fparts)").replace("chunks AS", "fchunks AS").replace("FROM groups", "FROM fgroups").replace("body, '([.!?])", "full_text, '([.!?])")
-QUALITY_WANT = {"none": 150, "novelty": 60, "publication": 60, "numeric": 60}
+#: Sentences as they are drawn from: cleaned, fit, the first of equal texts, labelled.
+OPEN = rf"""
+cleaned AS (SELECT doc_id || '-' || sentence_index AS row_id, trim(regexp_replace(regexp_replace(text, {q(corpus.MARKED)}, '', 'g'), '\s+', ' ', 'g')) AS text FROM sentences),
+fitted AS (SELECT *, md5(lower(text)) AS key FROM cleaned WHERE len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) BETWEEN {builds.LEAST_WORDS} AND {builds.MOST_WORDS} AND regexp_matches(text, '[A-Za-z]{{3,}}')),
+opened AS (
+  SELECT *, label = 'none' AND (regexp_matches(text, {q(claims.PRECISE_NUMBER)}) OR {_like(claims.NOVELTY_SHOWN)}) AS hard FROM (
+    SELECT row_id, text, key, CASE WHEN {_like(claims.NOVELTY)} AND NOT {_like(claims.NOVELTY_SHOWN)} AND NOT regexp_matches(text, {q(claims.GAIN)}) THEN 'novelty' WHEN {_like(claims.WEAK_REPORT)} THEN 'publication' WHEN {_like(claims.VAGUE_NUMBER)} AND NOT regexp_matches(text, {q(claims.PRECISE_NUMBER)}) THEN 'numeric' ELSE 'none' END AS label
+    FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY row_id) AS n FROM fitted) WHERE n = 1))"""
+
+
+def _made(name: str, pool: str, seen: str, templates: dict[str, list[str]], need: str, seed: str) -> str:
+    """Table expressions that end in ``name``: sentences from clauses and templates; ``need`` gives (label, n)."""
+    lists = "CASE label " + " ".join(f"WHEN {q(c)} THEN [{', '.join(map(q, t))}]" for c, t in templates.items()) + " END"
+    labels = ", ".join(f"({q(c)})" for c in templates)
+    return rf"""
+{name}c AS (SELECT row_id AS base, regexp_replace(trim(text), '\.+$', '') AS c FROM {pool}),
+{name}d AS (SELECT base, CASE WHEN len(w) > {builds.CLAUSE_WORDS} THEN array_to_string(w[1:{builds.CLAUSE_WORDS}], ' ') ELSE c END AS clause FROM (SELECT base, c, string_split_regex(c, '\s+') AS w FROM (SELECT base, CASE WHEN upper(c[1:2]) = c[1:2] THEN c ELSE lower(c[1:1]) || c[2:] END AS c FROM {name}c))),
+{name}e AS (SELECT label || '/' || base || '/' || r AS row_id, label, base, clause, r, {lists} AS t FROM {name}d, (VALUES {labels}) AS l(label), range({builds.ROUNDS}) AS rr(r)),
+{name}f AS (SELECT row_id, label, replace(t[(CAST('0x' || md5('{seed}:' || label || ':' || base)[1:8] AS BIGINT) + r) % len(t) + 1], '{{clause}}', clause) AS text FROM {name}e),
+{name}g AS (SELECT *, md5(lower(text)) AS key FROM {name}f WHERE label IN (SELECT label FROM {need} WHERE n > 0) AND len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) BETWEEN {builds.LEAST_WORDS} AND {builds.MOST_WORDS}),
+{name}h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY row_id) AS k FROM {name}g) WHERE k = 1 AND key NOT IN (SELECT key FROM {seen})),
+{name} AS (SELECT row_id, text, label, key FROM (SELECT h.*, n, row_number() OVER (PARTITION BY label ORDER BY md5('{seed}:' || h.row_id), h.row_id) AS place FROM {name}h h JOIN {need} USING (label)) WHERE place <= n)"""
+
+
+QUALITY_WANT, QUALITY_HARD = {"none": 150, "novelty": 60, "publication": 60, "numeric": 60}, 40
+_POSITIVE = [c for c in QUALITY_WANT if c != "none"]
+QUALITY_ROWS = rf"""{MANUSCRIPTS}, {SENTENCES}, {OPEN},
+hardcount AS (SELECT least(count(*) FILTER (hard), {QUALITY_HARD}) AS n FROM opened),
+qneed AS (SELECT label, greatest(0, want - coalesce(have, 0)) AS n FROM (VALUES {', '.join(f'({q(c)}, {QUALITY_WANT[c]})' for c in _POSITIVE)}) AS w(label, want) LEFT JOIN (SELECT label, count(*) AS have FROM opened GROUP BY label) USING (label)),
+nones AS (SELECT * FROM opened WHERE label = 'none'),
+{_made('qmade', 'nones', 'opened', builds.TEMPLATES, 'qneed', '8t')},
+qranked AS (SELECT *, row_number() OVER (PARTITION BY label, hard ORDER BY md5('8:' || row_id), row_id) AS place FROM opened),
+qkept AS (SELECT row_id, text, label, key, CASE WHEN hard THEN 'hard_negative' ELSE 'natural' END AS origin FROM qranked, hardcount WHERE place <= CASE WHEN hard THEN hardcount.n WHEN label = 'none' THEN {QUALITY_WANT['none']} - hardcount.n ELSE CASE label {' '.join(f'WHEN {q(c)} THEN {QUALITY_WANT[c]}' for c in _POSITIVE)} END END),
+quality_rows AS (SELECT * FROM qkept UNION ALL SELECT *, 'template' FROM qmade)"""
+
+
+def _quality_rows(spark, sf_dir):
+    rows = builds.open_sentences(parse.sentences(manuscripts(spark, sf_dir)))
+    return rows, builds.quality_corpus(rows, QUALITY_WANT, QUALITY_HARD)
+
+
+@query(f"WITH {QUALITY_ROWS} SELECT row_id, label, origin, md5(text) AS text_md5, CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'validation' ELSE 'test' END AS split FROM (SELECT *, CAST('0x' || md5(row_id)[1:8] AS BIGINT) % 100 AS b FROM quality_rows)")
+def q11_quality_corpus(spark, sf_dir):
+    """Weakly labelled sentences drawn to a number for each class, hard negatives among them, what is missing made from templates, split (Q11)."""
+    kept = _quality_rows(spark, sf_dir)[1]
+    return kept.select("row_id", "label", "origin", F.md5("text").alias("text_md5"), corpus.split_name("row_id").alias("split"))
 
 
-def _weak_rows(spark, sf_dir):
-    m = manuscripts(spark, sf_dir).select("doc_id", F.col("full_text").alias("body"))
-    rows = corpus.sentence_chunks(m).withColumns({"row_id": F.concat_ws("-", "doc_id", "chunk"), "label": corpus.weak_label(), "key": corpus.key_prefix("text", 160)})
-    return corpus.first_of_each(rows, "key", "row_id")
+EVAL = {"natural": 20, "made": 25, "hard": 30, "none": 60}
 
 
-@query(f"WITH {MANUSCRIPTS}, {FCHUNKS}, {WEAK}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_ORDER.format(s=8, k='row_id')}, row_id) AS k FROM once) SELECT row_id, label, CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'validation' ELSE 'test' END AS split FROM (SELECT *, CAST('0x' || md5(row_id)[1:8] AS BIGINT) % 100 AS b FROM r WHERE k <= CASE label {' '.join(f'WHEN {q(c)} THEN {n}' for c, n in QUALITY_WANT.items())} END)")
-def q11_quality_corpus(spark, sf_dir):
-    """Weakly labelled passages, deduplicated, drawn to a number for each class, split (Q11); templates are made by f22_clauses."""
-    kept = builds.quota(_weak_rows(spark, sf_dir), {(c,): n for c, n in QUALITY_WANT.items()}, ["label"], "8", "row_id")
-    return kept.select("row_id", "label", corpus.split_name("row_id").alias("split"))
+@query(rf"""WITH {QUALITY_ROWS}, fresh AS (SELECT * FROM opened WHERE key NOT IN (SELECT key FROM quality_rows)), freshnone AS (SELECT * FROM fresh WHERE label = 'none'), eseen AS (SELECT key FROM fresh UNION ALL SELECT key FROM quality_rows),
+eneed AS (SELECT * FROM (VALUES {', '.join(f"({q(c)}, {EVAL['made']})" for c in builds.UNSEEN_TEMPLATES)}) AS w(label, n)), {_made('emade', 'freshnone', 'eseen', builds.UNSEEN_TEMPLATES, 'eneed', '14t')},
+eranked AS (SELECT *, row_number() OVER (PARTITION BY label, hard ORDER BY md5('14:' || row_id), row_id) AS place FROM fresh)
+SELECT row_id, label, CASE WHEN hard THEN 'hard_negative' WHEN label = 'none' THEN 'natural_none' ELSE 'natural' END AS origin, md5(text) AS text_md5 FROM eranked WHERE place <= CASE WHEN hard THEN {EVAL['hard']} WHEN label = 'none' THEN {EVAL['none']} ELSE {EVAL['natural']} END
+UNION ALL SELECT row_id, label, 'hard_synth', md5(text) FROM emade""")
+def q12_hard_eval(spark, sf_dir):
+    """Sentences that the corpus of q11 has not seen (J25), templates that it doesn't know, hard negatives and clean sentences (Q12)."""
+    rows, kept = _quality_rows(spark, sf_dir)
+    out = builds.hard_evaluation(rows, stored(kept, "trained"), **EVAL)
+    return out.select("row_id", "label", "origin", F.md5("text").alias("text_md5"))
 
 
-@query(f"""WITH {MANUSCRIPTS}, {FCHUNKS}, {WEAK}, kept AS (SELECT row_id, text FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {_ORDER.format(s=8, k='row_id')}, row_id) AS k FROM once) WHERE k <= CASE label {' '.join(f'WHEN {q(c)} THEN {n}' for c, n in QUALITY_WANT.items())} END)
-SELECT row_id, label, CASE WHEN label = 'none' AND {_like(claims.NOVELTY + '|' + claims.VAGUE_NUMBER)} THEN 'hard_negative' WHEN label = 'none' THEN 'clean' ELSE 'natural' END AS origin FROM once WHERE lower(text) NOT IN (SELECT lower(text) FROM kept)
-UNION ALL SELECT 't' || row_id, 'novelty', 'template' FROM once WHERE label = 'none' AND lower(text) NOT IN (SELECT lower(text) FROM kept)""")
-def q12_hard_eval(spark, sf_dir):
-    """Texts that the corpus of q11 has not seen (J25), with cues as hard negatives, and templates that it doesn't know (Q12)."""
-    rows = _weak_rows(spark, sf_dir)
-    kept = builds.quota(rows, {(c,): n for c, n in QUALITY_WANT.items()}, ["label"], "8", "row_id")
-    fresh = corpus.unseen(rows, kept, F.lower("text"))
-    cue = F.col("text").rlike(T.words_like(claims.NOVELTY + "|" + claims.VAGUE_NUMBER))
-    origin = F.when((F.col("label") == "none") & cue, "hard_negative").when(F.col("label") == "none", "clean").otherwise("natural")
-    made = fresh.filter("label = 'none'").select(F.concat(F.lit("t"), "row_id").alias("row_id"), F.lit("novelty").alias("label"), F.lit("template").alias("origin"))
-    return fresh.select("row_id", "label", origin.alias("origin")).unionByName(made)
+#: Passages of a source and label at most (machine prose or not, here by the document's weak label).
+PASSAGE_CAPS = {f"{source}:{label}": 40 for source in (f"src{k}" for k in range(20)) for label in (0, 1)}
 
 
 @query()
 def q13_passage_corpus(spark, sf_dir):
-    """Packed passages (W5 c), valid ones, deduplicated, capped by source, carved 97 to 3, those of a held-out source apart and without leaks (Q13); packing has no SQL."""
+    """Packed passages (W5 c), valid ones, deduplicated, capped by source and label, carved 97 to 3, those of a held-out source apart and without leaks (Q13); packing has no SQL."""
     docs = read(spark, sf_dir, "documents").select("doc_id", T.normalize_layout("text").alias("body"), "source")
     rows = corpus.packed_passages(docs).join(docs.select("doc_id", "source").hint("merge"), "doc_id").filter(corpus.looks_valid())
-    rows = rows.withColumns({"row_id": F.concat_ws("-", "doc_id", "passage"), "key": corpus.key_prefix("text", 160)})
+    rows = rows.withColumns({"row_id": F.concat_ws("-", "doc_id", "passage"), "key": corpus.key_prefix("text", 160), "label": (F.crc32("text") % 2).cast("int")})
     apart = F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(5)) == 0
     train, held = rows.filter(~apart), rows.filter(apart)
-    train = corpus.first_of_each(train, "key", "row_id")
+    train = builds.capped_by(corpus.first_of_each(train, "key", "row_id").withColumn("cell", F.concat_ws(":", "source", "label")), PASSAGE_CAPS, "cell", "13", "row_id").drop("cell")
     out = corpus.unseen(corpus.first_of_each(held, "key", "row_id"), train, F.col("key"))
     named = train.withColumn("split", corpus.split_name("row_id", 97, 3)).unionByName(out.withColumn("split", F.lit("held_out")))
     return named.select("row_id", "source", "split", F.md5("text").alias("text_md5"))

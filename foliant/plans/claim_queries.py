@@ -44,7 +44,7 @@ needscored AS (
     array_to_string(list_filter([{LABELS}], lambda x: x IS NOT NULL)[1:2], ' and ') AS reason
   FROM located WHERE section <> 'References' AND length(trim(text)) >= 40 AND NOT cited AND NOT {has(claims.OWN_WORK)} AND {any_of(claims.ATTRIBUTION.values())}),
 need AS (SELECT doc_id, sentence_index, CAST(score AS DOUBLE) AS score, reason FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_offset) AS n FROM needscored WHERE score >= 0.78) WHERE n <= 20)"""
-_NOV, _WEAK, _VAGUE = f"({has(claims.NOVELTY)} AND NOT {has(claims.NOVELTY_SHOWN)})", has(claims.WEAK_REPORT), f"({has(claims.VAGUE_NUMBER)} AND NOT regexp_matches(text, {q(claims.PRECISE_NUMBER)}))"
+_NOV, _WEAK, _VAGUE = f"({has(claims.NOVELTY)} AND NOT {has(claims.NOVELTY_SHOWN)} AND NOT regexp_matches(text, {q(claims.GAIN)}))", has(claims.WEAK_REPORT), f"({has(claims.VAGUE_NUMBER)} AND NOT regexp_matches(text, {q(claims.PRECISE_NUMBER)}))"
 QUALITY = rf"""
 flagged AS (SELECT *, {_NOV} AS nov, {_WEAK} AS weak, {_VAGUE} AS vague FROM located WHERE section <> 'References' AND length(trim(text)) >= 40),
 labelled AS (SELECT *, CASE WHEN nov THEN 'novelty_issue' WHEN weak THEN 'publication_issue' WHEN vague THEN 'numerical_ambiguity' END AS label,

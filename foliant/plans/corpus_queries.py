@@ -172,7 +172,7 @@ def _has(p: str) -> str:
     return f"regexp_matches(text, {q(T.words_like(p))})"
 
 
-@query(f"WITH {MANUSCRIPTS}, {SENTENCES}, l AS (SELECT CASE WHEN {_has(claims.NOVELTY)} AND NOT {_has(claims.NOVELTY_SHOWN)} THEN 'novelty' WHEN {_has(claims.WEAK_REPORT)} THEN 'publication' WHEN {_has(claims.VAGUE_NUMBER)} AND NOT regexp_matches(text, {q(claims.PRECISE_NUMBER)}) THEN 'numeric' ELSE 'none' END AS label FROM sentences) SELECT label, count(*) AS n FROM l GROUP BY label")
+@query(f"WITH {MANUSCRIPTS}, {SENTENCES}, l AS (SELECT CASE WHEN {_has(claims.NOVELTY)} AND NOT {_has(claims.NOVELTY_SHOWN)} AND NOT regexp_matches(text, {q(claims.GAIN)}) THEN 'novelty' WHEN {_has(claims.WEAK_REPORT)} THEN 'publication' WHEN {_has(claims.VAGUE_NUMBER)} AND NOT regexp_matches(text, {q(claims.PRECISE_NUMBER)}) THEN 'numeric' ELSE 'none' END AS label FROM sentences) SELECT label, count(*) AS n FROM l GROUP BY label")
 def p43_weak_labels(spark, sf_dir):
     rows = parse.sentences(manuscripts(spark, sf_dir)).select(corpus.weak_label().alias("label"))
     return rows.groupBy("label").agg(F.count("*").alias("n"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import corpus, evaluate, models
+from foliant.operators import builds, corpus, evaluate, models
 from foliant.plans.corpus_queries import MEASURES, P, predictions
-from foliant.plans.parse_queries import read
+from foliant.plans.parse_queries import q, read
 from foliant.sources import loaders
+from foliant.sources.shared import shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -62,19 +65,35 @@ def s15_newest_first(spark, sf_dir):
     return rows.withColumn("position", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))).filter("position <= 3").select("user_id", "event_id", "position")
 
 
-@query(f"WITH {P}, n AS (SELECT min(c) AS k FROM (SELECT count(*) AS c FROM p GROUP BY label)) SELECT row_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('3:' || row_id)) AS r FROM p), n WHERE r <= k")
+@query(f"WITH {P}, n AS (SELECT min(c) AS k FROM (SELECT count(*) AS c FROM p GROUP BY label)) SELECT row_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('3:' || row_id), row_id) AS r FROM p), n WHERE r <= k")
 def l15_balanced_classes(spark, sf_dir):
     """As many rows of each label as the rarer one has, in a seeded order."""
     p = predictions(spark, sf_dir).select("row_id", "label")
-    least = p.groupBy("label").count().agg(F.min("count")).first()[0] or 0
-    return corpus.first_n(p, least, [corpus.order(F.lit("3"), "row_id")], "label").select("row_id", "label")
+    counts = builds.bucket_counts(p, ["label"])
+    return builds.quota(p, dict.fromkeys(counts, min(counts.values(), default=0)), ["label"], "3", "row_id").select("row_id", "label")
+
+
+_HARDNESS = "round(abs(score - label) + CASE WHEN label = 1 AND score < 0.9 THEN 0.25 ELSE 0 END, 6)"
 
 
-@query(f"WITH {P} SELECT row_id, round(abs(score - label) + CASE WHEN label = 1 AND score < 0.5 THEN 0.25 ELSE 0 END, 6) AS hardness FROM p ORDER BY hardness DESC, row_id LIMIT 50")
+@query(f"""WITH {P}, h AS (SELECT row_id, {_HARDNESS} AS hardness FROM p), r AS (SELECT *, row_number() OVER (ORDER BY hardness DESC, row_id) AS k FROM h), o AS (SELECT *, row_number() OVER (ORDER BY md5('21:' || row_id), row_id) AS j FROM r WHERE k > 50)
+SELECT row_id, hardness, 'hard' AS pick FROM r WHERE k <= 50 UNION ALL SELECT row_id, hardness, 'random' FROM o WHERE j <= 30""")
 def w9_hardest_rows(spark, sf_dir):
-    """The rows that a model gets most wrong: the limit is the operator."""
-    hard = F.round(F.abs(F.col("score") - F.col("label")) + F.when((F.col("label") == 1) & (F.col("score") < 0.5), 0.25).otherwise(0.0), 6)
-    return predictions(spark, sf_dir).select("row_id", hard.alias("hardness")).orderBy(F.desc("hardness"), "row_id").limit(50)
+    """The rows that a model gets most wrong, and some of the rest: the numbers are the operator."""
+    hard = F.round(F.abs(F.col("score") - F.col("label")) + F.when((F.col("label") == 1) & (F.col("score") < 0.9), 0.25).otherwise(0.0), 6)
+    return builds.hardest(predictions(spark, sf_dir).select("row_id", hard.alias("hardness")), 50, 30, "21", "row_id")
+
+
+@query("WITH s AS (SELECT CAST('0x' || md5(CAST(d.doc_id AS VARCHAR))[1:8] AS BIGINT) % 100 AS share, coalesce(CAST(quality AS VARCHAR), 'none') AS label FROM documents d LEFT JOIN labels USING (doc_id)), c AS (SELECT CASE WHEN share < 80 THEN 'train' WHEN share < 90 THEN 'validation' ELSE 'test' END AS split, label, count(*) AS n FROM s GROUP BY ALL) SELECT split, label, n AS n_read, n AS n_written FROM c")
+def s12_written_splits(spark, sf_dir):
+    """Splits written as JSON lines, read back, beside the counts that the write itself gave."""
+    rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels").hint("merge"), "doc_id", "left")
+    rows = rows.select("doc_id", "text", F.coalesce(F.col("quality").cast("string"), F.lit("none")).alias("label"), corpus.split_name("doc_id").alias("split"))
+    path = f"{shared_dir(spark)}/splits-{uuid.uuid4().hex}"
+    loaders.write_splits(rows, path, ["train", "validation", "test"], ["0", "1", "none"])
+    back = spark.read.schema("doc_id long, text string, label string, split string").json(f"{path}/rows").groupBy("split", "label").agg(F.count("*").alias("n_read"))
+    counts = spark.read.schema("split string, label string, n long").json(f"{path}/counts").filter("n > 0")
+    return back.join(counts.withColumnRenamed("n", "n_written").hint("merge"), ["split", "label"], "full")
 
 
 @query(f"""WITH {P}, h AS (SELECT 'quality' AS head, label, score FROM p UNION ALL SELECT 'toxic', CAST(toxic AS INTEGER), 1 - score FROM p JOIN labels ON row_id = doc_id WHERE toxic IS NOT NULL),
@@ -111,11 +130,24 @@ def f22_clauses(spark, sf_dir):
     return rows.select("doc_id", F.concat(F.lit("It has been reported that "), clause, F.lit(".")).alias("sentence"))
 
 
-@query("SELECT p.lang, format('Report: {} % match with {}.', 5 + doc_id % 40, CASE doc_id % 3 WHEN 0 THEN 'a journal' WHEN 1 THEN 'a web page' ELSE 'a student paper' END) AS frame, count(*) AS n FROM documents p GROUP BY ALL")
-def p45_report_frames(spark, sf_dir):
-    cue = F.element_at(F.array(F.lit("a journal"), F.lit("a web page"), F.lit("a student paper")), (F.col("doc_id") % 3 + 1).cast("int"))
-    frame = F.format_string("Report: %d %% match with %s.", 5 + F.col("doc_id") % 40, cue)
-    return read(spark, sf_dir, "documents").groupBy("lang", frame.alias("frame")).agg(F.count("*").alias("n"))
+PAIR_CAP = 400
+_WRAP = f"CASE WHEN CAST('0x' || md5('15t:' || id)[1:8] AS BIGINT) % 2 = 0 THEN replace(replace({q(builds.REPORT_FRAME)}, '{{pct}}', CAST({builds.SHARES}[CAST('0x' || md5('15p:' || id)[1:8] AS BIGINT) % {len(builds.SHARES)} + 1] AS VARCHAR)), '{{src}}', {builds.CUES}[CAST('0x' || md5('15s:' || id)[1:8] AS BIGINT) % {len(builds.CUES)} + 1]) ELSE {q(builds.AI_FRAME)} END || input"
+
+
+@query(rf"""WITH t AS (SELECT conv_id * 1000 + turn AS pair_id, text AS a, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations),
+c AS (SELECT pair_id, trim(regexp_replace(a, '\s+', ' ', 'g'))[1:900] AS a, trim(regexp_replace(b, '\s+', ' ', 'g'))[1:900] AS b FROM t), f AS (SELECT * FROM c WHERE length(a) >= 20 AND length(b) >= 20 AND lower(a) <> lower(b)),
+e AS (SELECT pair_id || '/forward' AS id, 'forward' AS task, a AS input, b AS target FROM f UNION ALL SELECT pair_id || '/backward', 'backward', b, a FROM f),
+d AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY lower(input[1:200]) ORDER BY id) AS n FROM e) WHERE n = 1),
+k AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY task ORDER BY md5('15:' || id), id) AS n FROM d) WHERE n <= {PAIR_CAP}), s AS (SELECT *, CAST('0x' || md5(id)[1:8] AS BIGINT) % 100 AS share FROM k),
+w AS (SELECT id, task, CASE WHEN share < 80 THEN 'train' WHEN share < 90 THEN 'validation' ELSE 'test' END AS split, input, target FROM s)
+SELECT id, task, split, FALSE AS wrapped, md5(input) AS input_md5, md5(target) AS target_md5 FROM w UNION ALL SELECT id || '/report', task, split, TRUE, md5({_WRAP}), md5(target) FROM w WHERE length(input) >= 40 AND length(target) >= 40""")
+def q15_pair_corpus(spark, sf_dir):
+    """Pairs filtered, in both directions, without those that begin alike, capped for each task, split, and framed as a report has them."""
+    from pyspark.sql import Window as W
+
+    t = read(spark, sf_dir, "conversations")
+    pairs = t.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.col("text").alias("a"), F.lead("text").over(W.partitionBy("conv_id").orderBy("turn")).alias("b"))
+    return builds.pair_corpus(pairs, PAIR_CAP, "15").select("id", "task", "split", "wrapped", F.md5("input").alias("input_md5"), F.md5("target").alias("target_md5"))
 
 
 @query()

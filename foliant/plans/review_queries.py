@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 from foliant.operators import claims, parse, review
 from foliant.plans.claim_queries import LOCATED, WORDS
-from foliant.plans.parse_queries import FIELDS, MAIN, MANUSCRIPTS, MATCH_SQL, REFERENCES, SENTENCES, _heads, q, read
+from foliant.plans.parse_queries import CITATIONS, FIELDS, MAIN, MANUSCRIPTS, MATCH_SQL, REFERENCES, SENTENCES, _heads, q, read
 from foliant.sources.manuscripts import manuscripts
 
 QUERIES: dict = {}
@@ -81,9 +81,9 @@ def _norm(c: str) -> str:
 
 
 SOURCES = rf"""
-named AS (SELECT doc_id, flag_id, source_title, {_norm('source_title')} AS x FROM flags WHERE source_title IS NOT NULL),
+flagtitles AS (SELECT doc_id, flag_id, source_title, {_norm('source_title')} AS x FROM flags WHERE source_title IS NOT NULL),
 have AS (SELECT doc_id, ref_index, year, {_norm('title')} AS y, lower(regexp_extract(authors[1], '^(\S+)', 1)) AS surname FROM fields WHERE title IS NOT NULL),
-titlepairs AS (SELECT DISTINCT source_title, x, y, year, surname FROM named JOIN have USING (doc_id) WHERE length(x) >= 8),
+titlepairs AS (SELECT DISTINCT source_title, x, y, year, surname FROM flagtitles JOIN have USING (doc_id) WHERE length(x) >= 8),
 grams AS (SELECT *, list_transform(range(1, length(x)), lambda i: x[i:i + 1]) AS gx, list_transform(range(1, length(y)), lambda i: y[i:i + 1]) AS gy FROM titlepairs),
 dices AS (SELECT *, 2.0 * coalesce(list_sum(list_transform(list_distinct(gx), lambda t: least(len(list_filter(gx, lambda v: v = t)), len(list_filter(gy, lambda v: v = t))))), 0) / (len(gx) + len(gy)) AS dice FROM grams),
 titlescores AS (
@@ -92,7 +92,7 @@ titlescores AS (
     + CASE WHEN length(surname) > 2 AND contains(x, surname) THEN 0.1 ELSE 0 END + CASE WHEN contains(source_title, year) THEN 0.08 ELSE 0 END), 9) AS ref_score FROM dices),
 sources AS (SELECT doc_id, flag_id, ref_index, CAST(ref_score AS DOUBLE) AS ref_score FROM (
   SELECT n.doc_id, n.flag_id, h.ref_index, ref_score, row_number() OVER (PARTITION BY n.doc_id, n.flag_id ORDER BY ref_score DESC, h.ref_index) AS k
-  FROM named n JOIN have h USING (doc_id) JOIN titlescores t ON t.source_title = n.source_title AND t.y = h.y AND t.year IS NOT DISTINCT FROM h.year AND t.surname IS NOT DISTINCT FROM h.surname WHERE ref_score >= 0.86) WHERE k = 1)"""
+  FROM flagtitles n JOIN have h USING (doc_id) JOIN titlescores t ON t.source_title = n.source_title AND t.y = h.y AND t.year IS NOT DISTINCT FROM h.year AND t.surname IS NOT DISTINCT FROM h.surname WHERE ref_score >= 0.86) WHERE k = 1)"""
 
 
 @query(f"WITH {MANUSCRIPTS}, {SENTENCES}, {FLAGS}, {REFERENCES}, {FIELDS}, {SOURCES} SELECT * FROM sources")
@@ -115,18 +115,19 @@ CASCADE = rf"""
 facts AS (
   SELECT e.*, coalesce(s.name, 'Other') AS section, ref_index, {_norm('text')} AS norm, {WORDS} AS words, full_text,
     substr(full_text, greatest(paper_start - 79, 1), least(paper_start, 80)) AS before, substr(full_text, greatest(paper_start - 1, 1), paper_end - greatest(paper_start - 2, 0) + 2) AS around,
-    substr(full_text, greatest(paper_start - 119, 1), paper_end - greatest(paper_start - 120, 0) + 120) AS near
+    string_split_regex(regexp_replace(substr(full_text, greatest(paper_start - 200, 0) + 1, least(paper_start, 200)), '^\s+|\s+$', '', 'g'), '\s+') AS wb, string_split_regex(regexp_replace(substr(full_text, paper_end + 1, 200), '^\s+|\s+$', '', 'g'), '\s+') AS wa
   FROM ends e JOIN manuscripts USING (doc_id) LEFT JOIN sections s ON s.doc_id = e.doc_id AND s.start_offset <= paper_start AND paper_start < s.end_offset LEFT JOIN sources r ON r.doc_id = e.doc_id AND r.flag_id = e.flag_id),
+nearby AS (SELECT DISTINCT f.doc_id, f.flag_id FROM facts f JOIN citations c ON c.doc_id = f.doc_id AND c.start_offset >= paper_start - length(array_to_string(wb[greatest(len(wb) - 15, 0) + 1:], ' ')) - 5 AND c.end_offset <= paper_end + length(array_to_string(wa[1:15], ' ')) + 55),
 cascade AS (SELECT doc_id, flag_id, paper_start, CASE
   WHEN paper_start < 0 OR score < 0.62 THEN 'review_manually' WHEN source_type = 'student_paper' THEN 'source_unidentifiable' WHEN section = 'References' THEN 'reference_entry'
   WHEN len(regexp_extract_all(before, '[“\x22«]')) > len(regexp_extract_all(before, '[”\x22»]')) OR (regexp_matches(around, '(?s)[“\x22].+[”\x22]') AND length(around) < paper_end - paper_start + 10) THEN 'properly_quoted'
   WHEN words < 8 OR {_any(review.COMMON_PHRASES)} THEN 'common_phrase' WHEN section = 'Methods' AND {_any(_BOILER)} THEN 'methods_boilerplate'
-  WHEN regexp_matches(near, {q(parse.BRACKET)}) OR regexp_matches(near, {q(parse.AUTHOR_YEAR)}) THEN 'already_cited' WHEN ref_index IS NOT NULL THEN 'missing_in_text_citation' WHEN match_pct < 2 THEN 'trivial_match'
+  WHEN (doc_id, flag_id) IN (SELECT (doc_id, flag_id) FROM nearby) THEN 'already_cited' WHEN ref_index IS NOT NULL THEN 'missing_in_text_citation' WHEN match_pct < 2 THEN 'trivial_match'
   WHEN source_type = 'unknown' AND source_url IS NULL AND source_title IS NULL THEN 'source_unidentifiable' WHEN words >= 24 AND match_pct >= 3 AND score >= 0.7 THEN 'needs_restatement'
   WHEN source_title IS NOT NULL OR source_url IS NOT NULL THEN 'needs_new_citation' ELSE 'review_manually' END AS category FROM facts)"""
 
 
-@query(f"WITH {MANUSCRIPTS}, {SENTENCES}, {_heads(True)}, {FLAGS}, {REFERENCES}, {FIELDS}, {SOURCES}, {CASCADE} SELECT doc_id, flag_id, category, category IN ('reference_entry', 'properly_quoted', 'common_phrase', 'methods_boilerplate', 'already_cited', 'trivial_match') OR (category = 'review_manually' AND paper_start < 0) AS informational FROM cascade")
+@query(f"WITH {MANUSCRIPTS}, {SENTENCES}, {_heads(True)}, {FLAGS}, {CITATIONS}, {REFERENCES}, {FIELDS}, {SOURCES}, {CASCADE} SELECT doc_id, flag_id, category, category IN ('reference_entry', 'properly_quoted', 'common_phrase', 'methods_boilerplate', 'already_cited', 'trivial_match') OR (category = 'review_manually' AND paper_start < 0) AS informational FROM cascade")
 def q2_review_similarity(spark, sf_dir):
     """Flags aligned, matched to references and sorted by the ordered cascade."""
     return _categorized(manuscripts(spark, sf_dir), flags(spark, sf_dir))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,9 +57,25 @@ def owned(projects: DataFrame, user) -> DataFrame:
     return projects.filter(F.col("user_id") == F.lit(user))
 
 
-def write_splits(rows: DataFrame, path: str, split: str = "split") -> None:
-    """JSON lines, a folder for each split."""
-    rows.write.mode("overwrite").partitionBy(split).json(path)
+def write_splits(rows: DataFrame, path: str, splits: list[str], labels: list[str], split: str = "split", label: str = "label") -> dict[tuple[str, str], int]:
+    """JSON lines under ``path``/rows, a folder for each split, and under ``path``/counts the rows of each split and label; gives these counts.
+
+    The rows are counted as they are written, by the write itself; no second pass.
+    The counts follow it, so a write that fails leaves none. What is in no named
+    split or label counts as ``other``.
+    """
+    pairs = [(s, y) for s in splits for y in labels]
+    at = {p: (F.col(split) == p[0]) & F.coalesce(F.col(label).cast("string") == p[1], F.lit(False)) for p in pairs}
+    seen = Observation(f"written-{uuid.uuid4().hex}")
+    metrics = [F.count_if(c).alias(f"n{k}") for k, c in enumerate(at.values())]
+    rows.observe(seen, F.count(F.lit(1)).alias("all"), *metrics).write.mode("overwrite").partitionBy(split).json(f"{path}/rows")
+    got = {p: seen.get[f"n{k}"] for k, p in enumerate(pairs)}
+    rest = seen.get["all"] - sum(got.values())
+    if rest:
+        got["other", "other"] = rest
+    spark = rows.sparkSession
+    spark.createDataFrame([(s, y, n) for (s, y), n in got.items()], "split string, label string, n long").coalesce(1).write.mode("overwrite").json(f"{path}/counts")
+    return got
 
 
 def append_history(rows: DataFrame, path: str, run_id: str) -> None:
