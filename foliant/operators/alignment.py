@@ -28,12 +28,20 @@ def normal(text: str) -> str:
 
 
 def _edit_ratio(a: str, b: str) -> float:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-    return 1 - row[-1] / max(len(a), len(b))
+    """One less the edit distance over the longer length; a column of the table of distances is two bit vectors, of where it rises and falls."""
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    every, top = (1 << len(a)) - 1, 1 << len(a) - 1
+    rises, falls, distance = every, 0, len(a)
+    for c in b:
+        same = places.get(c, 0) | falls
+        across = (((same & rises) + rises) ^ rises) | same
+        up, down = falls | ~(across | rises) & every, rises & across
+        distance += bool(up & top) - bool(down & top)
+        up, down = up << 1 | 1, down << 1
+        rises, falls = (down | ~(same | up)) & every, up & same & every
+    return 1 - distance / max(len(a), len(b))
 
 
 def likeness(a: str, b: str, floor: float = 0.0) -> float:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType
 
 from foliant.functions import text as T
 from foliant.operators import claims, corpus, cuts, edits, evaluate
@@ -329,42 +329,29 @@ def rewrite_report(rows: DataFrame, baseline: DataFrame, margin: float = -0.02)
     return out.withColumn("holds", holds)
 
 
-def _origins(text: str) -> tuple[str, list[int]]:
-    """A text normalised as for matching, and the place in it that each of its characters comes from."""
-    from foliant.operators.alignment import _PLAIN
-
-    out: list[tuple[str, int]] = []
-    gap = False
-    for k, raw in enumerate(text):
-        for c in raw.lower().translate(_PLAIN):
-            if c == "'" or ("a" <= c <= "z") or ("0" <= c <= "9"):
-                if gap and out:
-                    out.append((" ", k))
-                gap = False
-                out.append((c, k))
-            else:
-                gap = True
-    return "".join(c for c, _ in out), [k for _, k in out]
-
-
-def raw_range(text: str, passage: str) -> tuple[int, int]:
-    """Where a passage stands in a text if both are normalised, punctuation after it included; -1, -1 if it doesn't."""
-    from foliant.operators.alignment import normal
-
-    wanted = normal(passage)
-    plain, origin = _origins(text)
-    at = plain.find(wanted) if wanted else -1
-    if at < 0:
-        return -1, -1
-    end = origin[at + len(wanted) - 1] + 1
-    while end < len(text) and not text[end].isspace() and not normal(text[end]):
-        end += 1
-    return origin[at], max(origin[at] + 1, end)
-
-
-@pandas_udf(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
-def raw_ranges(text: pd.Series, passage: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([raw_range(t or "", p or "") for t, p in zip(text, passage, strict=True)], columns=["start", "end"])
+#: Characters that normalisation keeps, among them those that stand for two.
+KEPT, LIGATURES = "A-Za-z0-9'‘’“”ﬁﬂﬀ", {"ffi": "(?:ffi|ﬀi|fﬁ)", "ffl": "(?:ffl|ﬀl|fﬂ)", "ff": "(?:ff|ﬀ)", "fi": "(?:fi|ﬁ)", "fl": "(?:fl|ﬂ)"}
+
+
+def raw_pattern(passage) -> Column:
+    """A pattern that finds, in a raw text, what is the passage once both are normalised; what stands between words may be anything that normalisation takes away."""
+    p = T.normalize_match(passage)
+    marks = {k: chr(1 + i) for i, k in enumerate(LIGATURES)}
+    for k, mark in marks.items():
+        p = F.replace(p, F.lit(k), F.lit(mark))
+    p = F.replace(F.replace(p, F.lit("'"), F.lit("['‘’“”]")), F.lit(" "), F.lit(f"[^{KEPT}]+"))
+    for k, mark in marks.items():
+        p = F.replace(p, F.lit(mark), F.lit(LIGATURES[k]))
+    return F.concat(F.lit("(?i)"), p)
+
+
+def raw_ranges(rows: DataFrame, text: str, passage: str) -> DataFrame:
+    """Adds raw_start and raw_end: where a passage stands in a text if both are normalised, with the marks after it that are no letters, digits or blanks; -1, -1 if it doesn't."""
+    rows = rows.withColumn("_p", F.when(T.normalize_match(passage) != "", raw_pattern(passage)))
+    at = F.regexp_instr(text, F.col("_p"))
+    found = F.regexp_substr(text, F.concat("_p", F.lit(r"[^A-Za-z0-9\sﬁﬂﬀ]*")))
+    rows = rows.withColumn("raw_start", F.coalesce(at, F.lit(0)) - 1)
+    return rows.withColumn("raw_end", F.when(F.col("raw_start") >= 0, F.col("raw_start") + F.length(found)).otherwise(-1)).drop("_p")
 
 
 #: Prefixes of an edit's normalised text that are looked for where it is not there in full.

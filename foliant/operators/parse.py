@@ -97,7 +97,7 @@ def at_section(spans: DataFrame, secs: DataFrame, offset: str = "start_offset")
     """Adds ``section``: the section that holds the offset, ``Other`` if none; both tables meet by document."""
     s = secs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start_offset").alias("s"), F.col("end_offset").alias("e"), "name"))).alias("_sections"))
     inside = F.filter("_sections", lambda x: (x["s"] <= F.col(offset)) & (F.col(offset) < x["e"]))
-    return spans.join(s, "doc_id", "left").withColumn("section", F.coalesce(F.get(inside, F.lit(0))["name"], F.lit("Other"))).drop("_sections")
+    return spans.join(s.hint("merge"), "doc_id", "left").withColumn("section", F.coalesce(F.get(inside, F.lit(0))["name"], F.lit("Other"))).drop("_sections")
 
 
 def at_page(spans: DataFrame, page_chars: int = 3000, offset: str = "start_offset") -> DataFrame:

@@ -161,12 +161,25 @@ def a33_edit_tally(spark, sf_dir):
     return builds.locate_edits(_edits(spark, sf_dir), _pages(spark, sf_dir)).groupBy("doc_id").agg(F.count("found_page").alias("applied"), F.count_if(F.col("found_page").isNull()).alias("missed"))
 
 
-@query(f"WITH {MANUSCRIPTS} SELECT doc_id, CAST(instr(full_text, ' At the end') AS INTEGER) AS start_offset FROM manuscripts")
+def _raw_pattern(needle: str) -> str:
+    """As builds.raw_pattern, in SQL."""
+    p = needle
+    marks = {k: f"chr({1 + i})" for i, k in enumerate(builds.LIGATURES)}
+    for k, mark in marks.items():
+        p = f"replace({p}, '{k}', {mark})"
+    p = f"replace(replace({p}, chr(39), {q("['‘’“”]")}), ' ', {q(f'[^{builds.KEPT}]+')})"
+    for k, mark in marks.items():
+        p = f"replace({p}, {mark}, '{builds.LIGATURES[k]}')"
+    return f"'(?i)' || {p}"
+
+
+@query(rf"""WITH {WIDE}, ed AS (SELECT doc_id, finding_id AS edit_id, {_raw_pattern(MATCH_SQL)} AS pattern FROM wide WHERE status IN ('accepted', 'edited')),
+f AS (SELECT doc_id, edit_id, regexp_extract(full_text, '(?s)^(.*?)(?:' || pattern || ')', 1) AS head, regexp_extract(full_text, pattern || '[^A-Za-z0-9\sﬁﬂﬀ]*', 0) AS body FROM ed JOIN manuscripts USING (doc_id))
+SELECT doc_id, edit_id, CAST(CASE WHEN body = '' THEN -1 ELSE length(head) END AS INTEGER) AS raw_start, CAST(CASE WHEN body = '' THEN -1 ELSE length(head) + length(body) END AS INTEGER) AS raw_end FROM f""")
 def f4_raw_ranges(spark, sf_dir):
-    """Where a normalised sentence stands in the raw text (F4, X4): here one that every manuscript has once."""
-    m = manuscripts(spark, sf_dir)
-    found = builds.raw_ranges("full_text", F.regexp_extract("full_text", "(At the end n = [0-9]+ patients remained)", 1))
-    return m.select("doc_id", found["start"].alias("start_offset"))
+    """Where the text of each accepted edit stands in its document if both are normalised."""
+    rows = _edits(spark, sf_dir).join(manuscripts(spark, sf_dir).select("doc_id", "full_text").hint("merge"), "doc_id")
+    return builds.raw_ranges(rows, "full_text", "text").select("doc_id", "edit_id", "raw_start", "raw_end")
 
 
 @query(f"WITH {LOCATED}, {NUMERIC} SELECT doc_id, claim_start, regexp_replace(printf('%.3f', value), '\\.?0+$', '') || CASE WHEN family = 'percent' THEN '%' ELSE '' END AS shown, CAST(CASE WHEN family IN ('percent', 'count') THEN 1.0 WHEN family = 'ratio' THEN 0.015 WHEN family = 'temperature' THEN 0.5 WHEN family IN ('voltage', 'current') THEN greatest(0.05, 0.01 * greatest(abs(value), 1.0)) ELSE greatest(1.0, 0.05 * greatest(abs(value), 1.0)) END AS DOUBLE) AS tolerance FROM numeric")

@@ -17,6 +17,7 @@ from foliant.plans.activity_queries import _KEYS, _marks
 from foliant.plans.claim_queries import FEATURES, FINDINGS, WORDS, any_of, has
 from foliant.plans.parse_queries import q
 from foliant.sources.manuscripts import manuscripts
+from foliant.sources.shared import stored_once
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -35,7 +36,11 @@ def query(sql: str | None = None):
 
 
 def wide(spark, sf_dir):
-    """Findings with all that the queue needs, in one pass over the sentences."""
+    """Findings with all that the queue needs, in one pass over the sentences; written once for each application and folder."""
+    return stored_once(f"wide:{sf_dir}", lambda: _wide(spark, sf_dir), spark)
+
+
+def _wide(spark, sf_dir):
     rows = claims.located(manuscripts(spark, sf_dir))
     rows = rows.withColumns({"attributes": claims.any_of(claims.ATTRIBUTION.values()), "claims": claims.any_of(claims.CLAIM.values()), "own_work": claims.has(claims.OWN_WORK)})
     f = claims.prose_findings(rows, keep=("end_offset", "text", "section", "cited", "attributes", "claims", "own_work"))

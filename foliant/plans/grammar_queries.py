@@ -13,6 +13,7 @@ from foliant.operators import claims, gates, grammar
 from foliant.plans.claim_queries import LOCATED, any_of, has
 from foliant.plans.parse_queries import HITS, MANUSCRIPTS, SENTENCES, q
 from foliant.sources.manuscripts import manuscripts
+from foliant.sources.shared import stored_once
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -33,14 +34,18 @@ def query(sql: str | None = None):
     return add
 
 
+MATCH = "struct<start_offset:int,length:int,rule_id:string,category_id:string,category_name:string,message:string,replacements:array<string>>"
+
+
 def matches(docs):
-    out = None
-    for pattern, rule, category, name, message, size in RULES:
-        found = T.each(docs, T.hits("full_text", pattern), "doc_id", name="h")
-        offered = F.array(F.substring("h.text", 1, size)) if size else F.array().cast("array<string>")
-        rows = found.select("doc_id", F.col("h.start").alias("start_offset"), F.length("h.text").alias("length"), F.lit(rule).alias("rule_id"), F.lit(category).alias("category_id"), F.lit(name).alias("category_name"), F.lit(message).alias("message"), offered.alias("replacements"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Matches of all patterns: one array for a document, exploded once."""
+
+    def of(pattern, rule, category, name, message, size):
+        offered = lambda h: F.array(F.substring(h["text"], 1, size)) if size else F.array().cast("array<string>")
+        return F.transform(T.hits("full_text", pattern), lambda h: F.struct(h["start"].alias("start_offset"), F.length(h["text"]).alias("length"), F.lit(rule).alias("rule_id"), F.lit(category).alias("category_id"), F.lit(name).alias("category_name"), F.lit(message).alias("message"), offered(h).alias("replacements")))
+
+    every = F.concat(*[of(*r).cast(f"array<{MATCH}>") for r in RULES])
+    return T.each(docs, every, "doc_id").select("doc_id", "x.*")
 
 
 def _tests(c: str, patterns) -> str:
@@ -68,8 +73,13 @@ gmerged AS (SELECT b.doc_id, b.start_offset, b.end_offset, CAST(floor(b.start_of
 
 
 def reviewed(spark, sf_dir):
-    m = manuscripts(spark, sf_dir)
-    return grammar.review(matches(m), m)
+    """Findings of the grammar review, written once for each application and folder."""
+
+    def make():
+        m = manuscripts(spark, sf_dir)
+        return grammar.review(matches(m), m)
+
+    return stored_once(f"grammar:{sf_dir}", make, spark)
 
 
 @query(f"WITH {MATCHES} SELECT doc_id, start_offset, end_offset, CAST(floor(start_offset / 3000.0) + 1 AS INTEGER) AS page, text, explanation, replacement, rule_id, CAST(confidence AS DOUBLE) AS confidence, m_start AS match_start FROM gfound")

@@ -15,6 +15,7 @@ from foliant.plans.claim_queries import CONFLICTS, LOCATED, NUMERIC
 from foliant.plans.finding_queries import WIDE, wide
 from foliant.plans.parse_queries import MANUSCRIPTS, REFERENCES, _heads, q
 from foliant.sources.manuscripts import manuscripts
+from foliant.sources.shared import stored, stored_once
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -55,12 +56,15 @@ def found(spark, sf_dir):
 
 
 def boosts(spark, sf_dir):
-    p = F.create_map(*[x for k, h in enumerate(bars.HEADS) for x in (F.lit(h), (F.col("doc_id") * (k + 3) % 101) / 100.0)])
-    return bars.model_boosts(manuscripts(spark, sf_dir).filter("doc_id % 2 = 0").select("doc_id", p.alias("probs")))
+    """Boosts from probabilities of six heads, which a hash of each head and the whole text stands in for."""
+    share = lambda h: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(h), "body")), 1, 8), 16, 10).cast("long") % 101 / 100.0
+    p = F.create_map(*[x for h in bars.HEADS for x in (F.lit(h), share(h))])
+    return bars.model_boosts(manuscripts(spark, sf_dir).select("doc_id", p.alias("probs")))
 
 
 def facts(spark, sf_dir):
-    return bars.facts(papers(spark, sf_dir), found(spark, sf_dir), boosts(spark, sf_dir))
+    """Facts of every document, written once for each application and folder: all that is asked of readiness reads them."""
+    return stored_once(f"facts:{sf_dir}", lambda: bars.facts(stored(papers(spark, sf_dir), "papers"), found(spark, sf_dir), boosts(spark, sf_dir)), spark)
 
 
 def scored(spark, sf_dir):
@@ -71,7 +75,7 @@ def fields(rows):
     return review.fields_of(rows, review_queries.LEXICON)
 
 
-_P = {h: f"(doc_id * {k + 3} % 101 / 100.0)" for k, h in enumerate(bars.HEADS)}
+_P = {h: f"(CAST('0x' || md5('{h}:' || body)[1:8] AS BIGINT) % 101 / 100.0)" for h in bars.HEADS}
 _CRAFT = f"(({_P['structure_ok']} + {_P['numerical_clear']} + {_P['novelty_ok']} + {_P['methods_concrete']}) / 4)"
 
 
@@ -80,7 +84,7 @@ def _boost(x: str, b: int) -> str:
 
 
 BOOSTS = f"""boosts AS (SELECT doc_id, {_boost(f"({_P['selective_ready']} - 0.5) * 18 + ({_CRAFT} - 0.5) * 10", 12)} AS q1_boost, {_boost(f"({_P['selective_ready']} - 0.5) * 10 + ({_CRAFT} - 0.5) * 8", 10)} AS q2_boost,
-  {_boost(f"({_P['ieee_craft']} - 0.5) * 16 + ({_P['methods_concrete']} - 0.5) * 6 + ({_P['numerical_clear']} - 0.5) * 4", 12)} AS ieee_boost FROM documents WHERE doc_id % 2 = 0)"""
+  {_boost(f"({_P['ieee_craft']} - 0.5) * 16 + ({_P['methods_concrete']} - 0.5) * 6 + ({_P['numerical_clear']} - 0.5) * 4", 12)} AS ieee_boost FROM manuscripts)"""
 #: The texts with keywords and highlights take the place of the manuscripts in the expressions that follow.
 PAPERS = f"""papers AS (WITH {MANUSCRIPTS} SELECT doc_id, body, CASE WHEN doc_id % 4 = 1 THEN 'Keywords: yield, small samples; ' || array_to_string(list_transform(range(0, doc_id % 7 + 1), lambda i: 'term ' || i), ', ') || '.' || chr(10) ELSE '' END || CASE WHEN doc_id % 5 = 2 THEN chr(10) || 'Highlights: a new yield.' || chr(10) ELSE '' END || full_text AS full_text FROM manuscripts),
 manuscripts AS (SELECT * FROM papers)"""
@@ -136,7 +140,7 @@ def l7_breakdown_full(spark, sf_dir):
     return bars.breakdown(bars.with_factors(facts(spark, sf_dir)))
 
 
-@query(f"WITH {BOOSTS} SELECT * FROM boosts")
+@query(f"WITH {MANUSCRIPTS}, {BOOSTS} SELECT * FROM boosts")
 def a8_model_boosts(spark, sf_dir):
     return boosts(spark, sf_dir)
 

@@ -156,7 +156,6 @@ def test_measures_of_rewrites():
     assert builds.bleu("a b c d e", "a b c d e") == pytest.approx(1.0) and builds.bleu("a b c", "a b c") == 0 and builds.bleu("a b c d", "e f g h") == 0
     assert builds.bleu("a b c d e f", "a b c d x f") == pytest.approx((5 / 6 * 3 / 5 * 2 / 4 * 1 / 3) ** 0.25)
     assert builds.rouge_l("a b c d", "a c d") == pytest.approx(6 / 7) and builds.rouge_l("", "a") == 0
-    assert builds.raw_range('He said: “Well, it ﬁts,” and left.', "it fits") == (16, 23) and builds.raw_range("abc", "xyz") == (-1, -1)
 
 
 def test_csv_loaders(spark, tmp_path):
@@ -183,3 +182,50 @@ def test_short_passages(spark):
         assert sorted(map(tuple, overlap.contained(docs, items).collect())) == want
     finally:
         overlap.SHORT_PASSAGES = 500
+
+
+def _plain_range(text, passage):
+    """Character by character: each kept character with the place that it comes from."""
+    wanted, out, gap = alignment.normal(passage), [], False
+    for k, raw in enumerate(text):
+        for c in raw.lower().translate(alignment._PLAIN):
+            if c == "'" or "a" <= c <= "z" or "0" <= c <= "9":
+                if gap and out:
+                    out.append((" ", k))
+                gap = False
+                out.append((c, k))
+            else:
+                gap = True
+    at = "".join(c for c, _ in out).find(wanted) if wanted else -1
+    if at < 0:
+        return -1, -1
+    end = out[at + len(wanted) - 1][1] + 1
+    while end < len(text) and not text[end].isspace() and not (text[end].isascii() and text[end].isalnum()) and text[end] not in "ﬁﬂﬀ":
+        end += 1
+    return out[at][1], end
+
+
+def test_raw_ranges(spark):
+    r = random.Random(9)
+    pieces = ["it ﬁts", "off", "oﬀer", "eﬃcient", " - ", "— ", "‘well’", ", ", "“No”", " A1 ", "é", "x.", "\n", "fl ", "ﬂat", "don't", "?!"]
+    rows = [("He said: “Well, it ﬁts,” and left.", "it fits"), ("abc", "xyz"), ("abc", "—"), ("a-b a b", "A B"), ("stuff ﬁnal", "f final"), (None, "a"), ("a", None)]
+    for _ in range(300):
+        text = "".join(r.choice(pieces) for _ in range(12))
+        lo = r.randrange(len(text))
+        rows.append((text, text[lo : lo + r.randrange(1, 14)].swapcase().replace("—", " -")))
+    got = builds.raw_ranges(spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, t string, p string"), "t", "p").collect()
+    for x in got:
+        assert (x.raw_start, x.raw_end) == _plain_range(x.t or "", x.p or ""), x
+    assert (got[0].raw_start, got[0].raw_end) == (16, 24)
+
+
+def test_edit_distance_by_bits():
+    r = random.Random(10)
+    for _ in range(400):
+        a, b = ("".join(r.choice("abc ") for _ in range(r.randrange(1, 90))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        assert alignment._edit_ratio(a, b) == 1 - row[-1] / max(len(a), len(b))
