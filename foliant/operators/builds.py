@@ -329,25 +329,9 @@ def rewrite_report(rows: DataFrame, baseline: DataFrame, margin: float = -0.02)
     return out.withColumn("holds", holds)
 
 
-#: Characters that normalisation keeps, among them those that stand for two.
-KEPT, LIGATURES = "A-Za-z0-9'‘’“”ﬁﬂﬀ", {"ffi": "(?:ffi|ﬀi|fﬁ)", "ffl": "(?:ffl|ﬀl|fﬂ)", "ff": "(?:ff|ﬀ)", "fi": "(?:fi|ﬁ)", "fl": "(?:fl|ﬂ)"}
-
-
-def raw_pattern(passage) -> Column:
-    """A pattern that finds, in a raw text, what is the passage once both are normalised; what stands between words may be anything that normalisation takes away."""
-    p = T.normalize_match(passage)
-    marks = {k: chr(1 + i) for i, k in enumerate(LIGATURES)}
-    for k, mark in marks.items():
-        p = F.replace(p, F.lit(k), F.lit(mark))
-    p = F.replace(F.replace(p, F.lit("'"), F.lit("['‘’“”]")), F.lit(" "), F.lit(f"[^{KEPT}]+"))
-    for k, mark in marks.items():
-        p = F.replace(p, F.lit(mark), F.lit(LIGATURES[k]))
-    return F.concat(F.lit("(?i)"), p)
-
-
 def raw_ranges(rows: DataFrame, text: str, passage: str) -> DataFrame:
-    """Adds raw_start and raw_end: where a passage stands in a text if both are normalised, with the marks after it that are no letters, digits or blanks; -1, -1 if it doesn't."""
-    rows = rows.withColumn("_p", F.when(T.normalize_match(passage) != "", raw_pattern(passage)))
+    """Adds raw_start and raw_end: where a passage stands in a text if both are normalised, with the marks after it that are no letters, digits or blanks; -1, -1 if it doesn't. A passage that begins or ends within a ligature is not found there."""
+    rows = rows.withColumn("_p", F.when(T.normalize_match(passage) != "", T.raw_pattern(passage)))
     at = F.regexp_instr(text, F.col("_p"))
     found = F.regexp_substr(text, F.concat("_p", F.lit(r"[^A-Za-z0-9\sﬁﬂﬀ]*")))
     rows = rows.withColumn("raw_start", F.coalesce(at, F.lit(0)) - 1)

@@ -156,6 +156,7 @@ def citation_style(docs: DataFrame, text: str = "full_text") -> DataFrame:
 # What numbers an entry of a reference list.
 LISTED = {"bracket": r"\[\d{1,3}\]\s+[A-Z\"“]", "dot": r"(?:^|\s)\d{1,3}\.\s+[A-Z\"“]"}
 LEAST_ENTRY, LEAST_LOOSE = 10, 20
+VENUE = r"([A-Z][A-Za-z\s&:]+?)(?:,|\s+\d{4}|\s+vol)"
 
 
 def with_references(docs: DataFrame, text: str = "full_text") -> DataFrame:
@@ -205,14 +206,16 @@ def entry_authors(raw, year) -> Column:
 
 
 def reference_fields(refs: DataFrame) -> DataFrame:
-    """Adds authors (at most six), year, title (quoted, else what follows the year), doi to rows with ``raw``."""
+    """Adds authors (at most six), year, title (quoted, else what follows the year), venue (capitalised words after the title), doi to rows with ``raw``."""
     rows = refs.withColumn("year", entry_year(F.col("raw")))
     quoted = F.regexp_extract("raw", r"\"(.+?)\"", 1)
     after = F.regexp_replace(F.expr("substring(raw, instr(raw, year) + length(year))"), r"^[\s.,:;)\]}]+", "")
     plain = F.trim(F.regexp_extract(after, r"^([^.?]*)", 1))
     title = F.when(quoted != "", quoted).when((F.col("year") != "") & (F.length(plain) > 8), plain)
     doi = F.nullif(F.regexp_replace(F.regexp_extract("raw", r"(10\.\d{4,9}/[^\s\"<>]+)", 1), r"[.,;)]+$", ""), F.lit(""))
-    rows = rows.withColumn("title", title).withColumn("authors", F.slice(entry_authors(F.col("raw"), F.col("year")), 1, 6))
+    rows = rows.withColumn("title", title)
+    venue = F.trim(F.regexp_extract(F.expr("substring(raw, instr(raw, title) + length(title))"), VENUE, 1))
+    rows = rows.withColumn("venue", F.nullif(venue, F.lit(""))).withColumn("authors", F.slice(entry_authors(F.col("raw"), F.col("year")), 1, 6))
     return rows.withColumn("doi", doi).withColumn("year", F.nullif("year", F.lit("")))
 
 

@@ -22,16 +22,28 @@ METHODS_BOILERPLATE = [
 ]
 
 
+#: Normalised characters from which on a flag is looked for a second time.
+SECOND_TRY = 30
+
+
 def align(flags: DataFrame, docs: DataFrame, text: str = "full_text") -> DataFrame:
     """Adds paper_start, paper_end and score to flags (doc_id, flag_id, text, ...): where the document holds the flagged text, case aside, -1 and 0 where it doesn't.
 
-    Every flag stays. Flag and document meet by document id; a document comes in once.
+    What is not there as it stands is looked for a second time, if it has more than
+    30 characters once it is normalised: what stands between its words may then
+    differ. Every flag stays. Flag and document meet by document id; a document
+    comes in once.
     """
-    joined = flags.join(docs.select("doc_id", F.lower(text).alias("_t")).hint("merge"), "doc_id", "left")
-    at = F.when(F.length("text") >= 15, F.expr("instr(_t, lower(text))")).otherwise(F.lit(0))
-    joined = joined.withColumn("_at", F.coalesce(at, F.lit(0))).drop("_t")
-    found = F.col("_at") > 0
-    return joined.withColumns({"paper_start": F.when(found, F.col("_at") - 1).otherwise(-1), "paper_end": F.when(found, F.col("_at") - 1 + F.length("text")).otherwise(-1), "score": F.when(found, 1.0).otherwise(0.0)}).drop("_at")
+    joined = flags.join(docs.select("doc_id", F.col(text).alias("_t")).hint("merge"), "doc_id", "left")
+    long = F.length("text") >= 15
+    at = F.when(long, F.expr("instr(lower(_t), lower(text))")).otherwise(F.lit(0))
+    joined = joined.withColumn("_at", F.coalesce(at, F.lit(0)))
+    pattern = F.when((F.col("_at") == 0) & long & (F.length(T.normalize_match("text")) > SECOND_TRY), T.raw_pattern("text"))
+    joined = joined.withColumn("_p", pattern).withColumn("_again", F.when(F.col("_p").isNotNull(), F.regexp_instr("_t", F.col("_p"))).otherwise(0))
+    size = F.when(F.col("_again") > 0, F.length(F.regexp_substr("_t", F.col("_p")))).otherwise(F.length("text"))
+    place = F.greatest("_at", F.coalesce("_again", F.lit(0)))
+    found = place > 0
+    return joined.withColumns({"paper_start": F.when(found, place - 1).otherwise(-1), "paper_end": F.when(found, place - 1 + size).otherwise(-1), "score": F.when(found, 1.0).otherwise(0.0)}).drop("_t", "_at", "_p", "_again")
 
 
 def match_rate(aligned: DataFrame) -> DataFrame:
@@ -42,16 +54,19 @@ def match_rate(aligned: DataFrame) -> DataFrame:
 def references_of(flags: DataFrame, refs: DataFrame, threshold: float = 0.86) -> DataFrame:
     """(doc_id, flag_id, ref_index, ref_score): the reference most like a flag's source title, if enough; the first of equals.
 
-    Similarity of the normalised titles, with 0.1 for the first author's name and 0.08 for the year in the source title, 1 at most.
+    A reference is as like as the best of its title, its whole entry and its venue,
+    normalised, with 0.1 for the first author's name and 0.08 for the year in the
+    source title, 1 at most. A document's titles are compared once, however many
+    flags have them.
     """
-    title = T.normalize_match("source_title")
-    named = flags.filter(F.col("source_title").isNotNull()).select("doc_id", "flag_id", "source_title", title.alias("_a")).filter(F.length("_a") >= 8)
-    have = refs.filter(F.col("title").isNotNull()).select("doc_id", "ref_index", "year", T.normalize_match("title").alias("_b"), F.lower(F.regexp_extract(F.get("authors", F.lit(0)), r"^(\S+)", 1)).alias("_surname"))
+    named = flags.filter(F.col("source_title").isNotNull()).select("doc_id", "source_title").distinct().withColumn("_a", T.normalize_match("source_title")).filter(F.length("_a") >= 8)
+    each = T.each(refs, F.array("title", "raw", "venue"), "doc_id", "ref_index", "year", "authors", name="of")
+    have = each.select("doc_id", "ref_index", "year", T.normalize_match("of").alias("_b"), F.lower(F.regexp_extract(F.get("authors", F.lit(0)), r"^(\S+)", 1)).alias("_surname"))
     pairs = named.join(have.hint("merge"), "doc_id")
     bonus = F.when((F.length("_surname") > 2) & F.contains("_a", F.col("_surname")), 0.1).otherwise(0.0) + F.when(F.contains("source_title", F.col("year")), 0.08).otherwise(0.0)
     scored = pairs.withColumn("ref_score", F.round(F.least(F.lit(1.0), T.similarity("_a", "_b") + bonus), 9)).filter(F.col("ref_score") >= threshold)
-    best = F.row_number().over(W.partitionBy("doc_id", "flag_id").orderBy(F.desc("ref_score"), "ref_index"))
-    return scored.withColumn("_n", best).filter("_n = 1").select("doc_id", "flag_id", "ref_index", "ref_score")
+    best = scored.groupBy("doc_id", "source_title").agg(F.max(F.struct("ref_score", (-F.col("ref_index")).alias("r"))).alias("b"))
+    return flags.select("doc_id", "flag_id", "source_title").join(best.hint("merge"), ["doc_id", "source_title"]).select("doc_id", "flag_id", (-F.col("b.r")).alias("ref_index"), F.col("b.ref_score").alias("ref_score"))
 
 
 def inside_quotes(start, end, text: str = "full_text") -> Column:

@@ -9,7 +9,7 @@ from foliant.operators import biblio, builds, claims, corpus, evaluate, numbers,
 from foliant.plans import biblio_queries
 from foliant.plans.activity_queries import _TOK
 from foliant.plans.claim_queries import LOCATED, NUMERIC
-from foliant.plans.corpus_queries import GRID, MEASURES, P, predictions
+from foliant.plans.corpus_queries import GRID, MEASURES, NEEDROWS, P, predictions
 from foliant.plans.finding_queries import WIDE, wide
 from foliant.plans.parse_queries import CUTS, FIELDS, MANUSCRIPTS, MATCH_SQL, REFERENCES, SENTENCES, bodies, q, read
 from foliant.plans.readiness_queries import DELTAS, deltas
@@ -71,7 +71,8 @@ def q14_readiness_corpus(spark, sf_dir):
     return kept.select("row_id", "labels", corpus.split_name("row_id").alias("split"))
 
 
-_HARD = f"{P}, hp AS (SELECT row_id, label, abs(score - label) > 0.3 AS hard FROM p), hn AS (SELECT label, hard, count(*) AS n FROM hp GROUP BY ALL), hk AS (SELECT min(n) AS k FROM (SELECT sum(n) AS n FROM hn GROUP BY label))"
+_HARD_COUNTS = "hn AS (SELECT label, hard, count(*) AS n FROM hp GROUP BY ALL), hk AS (SELECT min(n) AS k FROM (SELECT sum(n) AS n FROM hn GROUP BY label))"
+_HARD = f"{P}, hp AS (SELECT row_id, label, abs(score - label) > 0.3 AS hard FROM p), {_HARD_COUNTS}"
 _SIDES = ", ".join(f"s{y} AS (SELECT CAST(floor(k * {s} + 0.0) AS BIGINT) AS goal, k, coalesce((SELECT n FROM hn WHERE label = {y} AND hard), 0) AS nh, coalesce((SELECT n FROM hn WHERE label = {y} AND NOT hard), 0) AS ns FROM hk), t{y} AS (SELECT least(ns, k - least(nh, goal)) AS soft, least(nh, k - least(ns, k - least(nh, goal))) AS hard FROM s{y})" for y, s in ((1, 0.7), (0, 0.55)))
 
 
@@ -82,6 +83,18 @@ def l14_bucket_quotas(spark, sf_dir):
     return builds.balanced_with_hard(rows)
 
 
+_NEED = f"{MANUSCRIPTS}, {SENTENCES}, {NEEDROWS}, hp AS (SELECT doc_id || '-' || sentence_index AS row_id, label, hard FROM needrows), {_HARD_COUNTS}"
+
+
+@query(f"WITH {_NEED}, {_SIDES}, r AS (SELECT *, row_number() OVER (PARTITION BY label, hard ORDER BY {_ORDER.format(s=5, k='row_id')}, row_id) AS n FROM hp), kept AS (SELECT row_id, label, r.hard FROM r, t1, t0 WHERE n <= CASE WHEN label = 1 THEN CASE WHEN r.hard THEN t1.hard ELSE t1.soft END ELSE CASE WHEN r.hard THEN t0.hard ELSE t0.soft END END) SELECT row_id, label, hard, CASE WHEN b < 80 THEN 'train' WHEN b < 90 THEN 'validation' ELSE 'test' END AS split FROM (SELECT *, CAST('0x' || md5(row_id)[1:8] AS BIGINT) % 100 AS b FROM kept)")
+def q10_balanced_corpus(spark, sf_dir):
+    """Sentences labelled by their marker, equal classes with shares of hard rows, split (Q10); the build stops if a marker is left in a text."""
+    rows = stored(corpus.citation_need_rows(parse.sentences(manuscripts(spark, sf_dir))).withColumn("row_id", F.concat_ws("-", "doc_id", "sentence_index")), "need")
+    if corpus.leaked(rows).first()[0]:
+        raise ValueError("a citation marker is left in the cleaned texts")
+    return builds.balanced_with_hard(rows).select("row_id", "label", "hard", corpus.split_name("row_id").alias("split"))
+
+
 @query(f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY {_ORDER.format(s=9, k='doc_id')}, doc_id) AS n FROM documents) WHERE n <= 120")
 def l12_seeded_cap(spark, sf_dir):
     """A training cap without replacement: the limit is the operator."""
@@ -164,12 +177,12 @@ def a33_edit_tally(spark, sf_dir):
 def _raw_pattern(needle: str) -> str:
     """As builds.raw_pattern, in SQL."""
     p = needle
-    marks = {k: f"chr({1 + i})" for i, k in enumerate(builds.LIGATURES)}
+    marks = {k: f"chr({1 + i})" for i, k in enumerate(T.LIGATURES)}
     for k, mark in marks.items():
         p = f"replace({p}, '{k}', {mark})"
-    p = f"replace(replace({p}, chr(39), {q("['‘’“”]")}), ' ', {q(f'[^{builds.KEPT}]+')})"
+    p = f"replace(replace({p}, chr(39), {q("['‘’“”]")}), ' ', {q(f'[^{T.KEPT}]+')})"
     for k, mark in marks.items():
-        p = f"replace({p}, {mark}, '{builds.LIGATURES[k]}')"
+        p = f"replace({p}, {mark}, '{T.LIGATURES[k]}')"
     return f"'(?i)' || {p}"
 
 

@@ -88,11 +88,12 @@ years AS (SELECT *, nullif(regexp_extract(raw, {_YEAR}, 1), '') AS year, nullif(
 afters AS (
   SELECT *, trim(regexp_extract(regexp_replace(substr(raw, instr(raw, coalesce(year, '')) + length(coalesce(year, ''))), '^[\\s.,:;)\\]}}]+', ''), '^([^.?]*)', 1)) AS plain,
     CASE WHEN year IS NULL THEN raw[1:80] ELSE regexp_replace(raw[1:instr(raw, year) - 1], '^(?:\\[\\d+\\]|\\d+\\.)\\s*', '') END AS head FROM years),
+titled_ AS (SELECT *, coalesce(quoted, CASE WHEN year IS NOT NULL AND length(plain) > 8 THEN plain END) AS title FROM afters),
 fields AS (
-  SELECT doc_id, ref_index, raw, start_offset, year, coalesce(quoted, CASE WHEN year IS NOT NULL AND length(plain) > 8 THEN plain END) AS title,
+  SELECT doc_id, ref_index, raw, start_offset, year, title, nullif(trim(regexp_extract(substr(raw, instr(raw, title) + length(title)), {q(parse.VENUE)}, 1)), '') AS venue,
     list_filter(list_transform(string_split_regex(head, ',|&|;| and '), lambda x: trim(x)), lambda a: length(a) > 1 AND length(a) < 60 AND regexp_matches(a, '[A-Za-z]'))[1:6] AS authors,
     nullif(regexp_replace(regexp_extract(raw, '(10\\.\\d{{4,9}}/[^\\s\\x22<>]+)', 1), '[.,;)]+$', ''), '') AS doi
-  FROM afters)"""
+  FROM titled_)"""
 
 
 @query(f"WITH {MANUSCRIPTS} SELECT doc_id, CAST(length(body) AS INTEGER) AS n_chars, md5(body) AS body_md5, CAST(ceil(length(full_text) / 3000.0) AS BIGINT) AS page_count, md5(full_text) AS full_md5 FROM manuscripts")
@@ -170,10 +171,10 @@ def p5_references(spark, sf_dir):
     return parse.references(manuscripts(spark, sf_dir))
 
 
-@query(f"WITH {MANUSCRIPTS}, {REFERENCES}, {FIELDS} SELECT doc_id, ref_index, authors, year, title, doi FROM fields")
+@query(f"WITH {MANUSCRIPTS}, {REFERENCES}, {FIELDS} SELECT doc_id, ref_index, authors, year, title, venue, doi FROM fields")
 def p6_reference_fields(spark, sf_dir):
     """Fields of a reference (P6), with its DOI."""
-    return parse.reference_fields(parse.references(manuscripts(spark, sf_dir))).select("doc_id", "ref_index", "authors", "year", "title", "doi")
+    return parse.reference_fields(parse.references(manuscripts(spark, sf_dir))).select("doc_id", "ref_index", "authors", "year", "title", "venue", "doi")
 
 
 MAIN = f"mains AS (SELECT doc_id, CASE WHEN regexp_matches(full_text, {_REF}) THEN regexp_extract(full_text, {_REF}, 1) ELSE full_text END AS full_text FROM manuscripts)"
@@ -223,7 +224,7 @@ def q1_citations(spark, sf_dir):
     return _table(spark, sf_dir, "citations")
 
 
-@query(f"WITH {MANUSCRIPTS}, {REFERENCES}, {FIELDS} SELECT doc_id, ref_index, raw, start_offset, authors, year, title, doi FROM fields")
+@query(f"WITH {MANUSCRIPTS}, {REFERENCES}, {FIELDS} SELECT doc_id, ref_index, raw, start_offset, authors, year, title, venue, doi FROM fields")
 def q1_references(spark, sf_dir):
     return parse.reference_fields(_table(spark, sf_dir, "references"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
@@ -76,13 +78,33 @@ def a1_match_rate_whole(spark, sf_dir):
     return review.match_rate(review.align(flags(spark, sf_dir, whole=True), manuscripts(spark, sf_dir)))
 
 
+def _respelt(spark, sf_dir):
+    """Every sentence as a flag, with other marks between its words and other capitals in two of three."""
+    f = flags(spark, sf_dir, whole=True).select("doc_id", "flag_id", "text")
+    other = F.translate(F.regexp_replace("text", "[ ,.;:-]+", " — "), string.ascii_lowercase, string.ascii_uppercase)
+    return f.withColumn("text", F.when(F.col("flag_id") % 3 > 0, other).otherwise(F.col("text")))
+
+
+_PATTERN = "'(?i)' || replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(n, 'ffi', chr(1)), 'ffl', chr(2)), 'ff', chr(3)), 'fi', chr(4)), 'fl', chr(5)), chr(39), {quotes}), ' ', {gap}), chr(1), '{ffi}'), chr(2), '{ffl}'), chr(3), '{ff}'), chr(4), '{fi}'), chr(5), '{fl}')".format(quotes=q("['‘’“”]"), gap=q(f"[^{T.KEPT}]+"), **T.LIGATURES)
+
+
+@query(rf"""WITH {MANUSCRIPTS}, {SENTENCES}, f AS (SELECT doc_id, sentence_index AS flag_id, CASE WHEN sentence_index % 3 > 0 THEN translate(regexp_replace(text, '[ ,.;:-]+', ' — ', 'g'), '{string.ascii_lowercase}', '{string.ascii_uppercase}') ELSE text END AS text FROM sentences),
+e AS (SELECT f.*, full_text, CASE WHEN length(text) >= 15 THEN instr(lower(full_text), lower(text)) ELSE 0 END AS at_, {MATCH_SQL} AS n FROM f JOIN manuscripts USING (doc_id)),
+p AS (SELECT *, CASE WHEN at_ = 0 AND length(text) >= 15 AND length(n) > {review.SECOND_TRY} THEN {_PATTERN} END AS pattern FROM e),
+b AS (SELECT *, regexp_extract(full_text, '(?s)^(.*?)(?:' || pattern || ')', 1) AS head, regexp_extract(full_text, pattern, 0) AS body FROM p)
+SELECT doc_id, flag_id, CAST(CASE WHEN at_ > 0 THEN at_ - 1 WHEN body <> '' THEN length(head) ELSE -1 END AS INTEGER) AS paper_start, CAST(CASE WHEN at_ > 0 THEN at_ - 1 + length(text) WHEN body <> '' THEN length(head) + length(body) ELSE -1 END AS INTEGER) AS paper_end, CAST(CASE WHEN at_ > 0 OR body <> '' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score FROM b""")
+def j3_normalised_flags(spark, sf_dir):
+    """Flags whose marks and capitals differ from the document's, found by the second try."""
+    return review.align(_respelt(spark, sf_dir), manuscripts(spark, sf_dir)).select("doc_id", "flag_id", "paper_start", "paper_end", "score")
+
+
 def _norm(c: str) -> str:
     return MATCH_SQL.replace("lower(text)", f"lower({c})")
 
 
 SOURCES = rf"""
 flagtitles AS (SELECT doc_id, flag_id, source_title, {_norm('source_title')} AS x FROM flags WHERE source_title IS NOT NULL),
-have AS (SELECT doc_id, ref_index, year, {_norm('title')} AS y, lower(regexp_extract(authors[1], '^(\S+)', 1)) AS surname FROM fields WHERE title IS NOT NULL),
+haves AS (SELECT doc_id, ref_index, year, authors, unnest([title, raw, venue]) AS of_ FROM fields), have AS (SELECT doc_id, ref_index, year, {_norm('of_')} AS y, lower(regexp_extract(authors[1], '^(\S+)', 1)) AS surname FROM haves WHERE of_ IS NOT NULL),
 titlepairs AS (SELECT DISTINCT source_title, x, y, year, surname FROM flagtitles JOIN have USING (doc_id) WHERE length(x) >= 8),
 grams AS (SELECT *, list_transform(range(1, length(x)), lambda i: x[i:i + 1]) AS gx, list_transform(range(1, length(y)), lambda i: y[i:i + 1]) AS gy FROM titlepairs),
 dices AS (SELECT *, 2.0 * coalesce(list_sum(list_transform(list_distinct(gx), lambda t: least(len(list_filter(gx, lambda v: v = t)), len(list_filter(gy, lambda v: v = t))))), 0) / (len(gx) + len(gy)) AS dice FROM grams),
