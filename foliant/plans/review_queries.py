@@ -88,7 +88,8 @@ def _respelt(spark, sf_dir):
 _PATTERN = "'(?i)' || replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(n, 'ffi', chr(1)), 'ffl', chr(2)), 'ff', chr(3)), 'fi', chr(4)), 'fl', chr(5)), chr(39), {quotes}), ' ', {gap}), chr(1), '{ffi}'), chr(2), '{ffl}'), chr(3), '{ff}'), chr(4), '{fi}'), chr(5), '{fl}')".format(quotes=q("['‘’“”]"), gap=q(f"[^{T.KEPT}]+"), **T.LIGATURES)
 
 
-@query(rf"""WITH {MANUSCRIPTS}, {SENTENCES}, f AS (SELECT doc_id, sentence_index AS flag_id, CASE WHEN sentence_index % 3 > 0 THEN translate(regexp_replace(text, '[ ,.;:-]+', ' — ', 'g'), '{string.ascii_lowercase}', '{string.ascii_uppercase}') ELSE text END AS text FROM sentences),
+@query(rf"""WITH {MANUSCRIPTS}, {SENTENCES}, f0 AS (SELECT doc_id, sentence_index, CASE WHEN sentence_index % 11 = 7 THEN 'zz ' || text ELSE text END AS text FROM sentences),
+f AS (SELECT doc_id, sentence_index AS flag_id, CASE WHEN sentence_index % 3 > 0 THEN translate(regexp_replace(text, '[ ,.;:-]+', ' — ', 'g'), '{string.ascii_lowercase}', '{string.ascii_uppercase}') ELSE text END AS text FROM f0),
 e AS (SELECT f.*, full_text, CASE WHEN length(text) >= 15 THEN instr(lower(full_text), lower(text)) ELSE 0 END AS at_, {MATCH_SQL} AS n FROM f JOIN manuscripts USING (doc_id)),
 p AS (SELECT *, CASE WHEN at_ = 0 AND length(text) >= 15 AND length(n) > {review.SECOND_TRY} THEN {_PATTERN} END AS pattern FROM e),
 b AS (SELECT *, regexp_extract(full_text, '(?s)^(.*?)(?:' || pattern || ')', 1) AS head, regexp_extract(full_text, pattern, 0) AS body FROM p)
