@@ -52,6 +52,17 @@ def missing_tokens(before, after) -> Column:
     return F.filter(protected_tokens(before), lambda x: ~F.contains(T.col(after), x))
 
 
+def apart(spans, kind) -> Column:
+    """Of an array of spans (s, e, ...) by place those that begin before no kept one ends; ``kind`` is the array's type.
+
+    Most arrays have no overlap; only where there is one are they taken one after the other.
+    """
+    clear = lambda x: F.forall(F.sequence(F.lit(1), F.size(x) - 1), lambda k: F.get(x, k)["s"] >= F.get(x, k - 1)["e"])
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("kept"))
+    step = lambda acc, x: F.when(x["s"] >= acc["at"], F.struct(x["e"].alias("at"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc)
+    return T.let(spans, lambda x: F.when(F.size(x) < 2, x).when(clear(x), x).otherwise(F.aggregate(x, none, step)["kept"]))
+
+
 def with_applied(docs: DataFrame, edits: DataFrame, text: str = "full_text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, t, n, applied): the edits (doc_id, start_offset, end_offset, replacement) that apply to each document, as an array (s, e, r, the columns ``keep``) by place, and how many there are.
 
@@ -64,12 +75,7 @@ def with_applied(docs: DataFrame, edits: DataFrame, text: str = "full_text", kee
     rows = docs.select("doc_id", F.col(text).alias("t")).join(listed.hint("merge"), "doc_id", "left").withColumn("edits", F.coalesce("edits", F.array().cast(kind)))
     n = F.length("t")
     fit = F.filter("edits", lambda x: x["r"].isNotNull() & (x["s"] >= 0) & (x["e"] > x["s"]) & (x["e"] <= n))
-    # most edits overlap none: only where one does is there a choice to make, one after the other
-    clear = lambda x: F.forall(F.sequence(F.lit(1), F.size(x) - 1), lambda k: F.get(x, k)["s"] >= F.get(x, k - 1)["e"])
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("kept"))
-    step = lambda acc, x: F.when(x["s"] >= acc["at"], F.struct(x["e"].alias("at"), F.array_append(acc["kept"], x).alias("kept"))).otherwise(acc)
-    applied = T.let(fit, lambda x: F.when(F.size(x) < 2, x).when(clear(x), x).otherwise(F.aggregate(x, none, step)["kept"]))
-    return rows.select("doc_id", "t", F.size("edits").alias("n"), applied.alias("applied"))
+    return rows.select("doc_id", "t", F.size("edits").alias("n"), apart(fit, kind).alias("applied"))
 
 
 def apply_edits(docs: DataFrame, edits: DataFrame, text: str = "full_text") -> DataFrame:
@@ -108,6 +114,26 @@ def mapped_spans(spans: DataFrame, docs: DataFrame, edits: DataFrame, text: str
     return out.withColumns({"new_start": F.col("start_offset") + F.col("_by"), "new_end": F.col("end_offset") + F.col("_by")}).drop("_by", "_steps")
 
 
+def highlights(spans: DataFrame, docs: DataFrame, text: str = "full_text", id_col: str = "finding_id") -> DataFrame:
+    """(doc_id, start_offset, end_offset, finding_id): each document cut into highlighted spans and the stretches between, which have no id.
+
+    Spans (doc_id, start_offset, end_offset, finding_id) are taken by place, the longer
+    of those that begin together first (then by id), if they overlap none taken
+    before; what is out of bounds or empty is left out.
+    """
+    item = F.struct(F.col("start_offset").alias("s"), (-F.col("end_offset")).alias("k"), F.col(id_col).alias("id"), F.col("end_offset").alias("e"))
+    listed = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("m"))
+    kind = listed.schema["m"].dataType
+    rows = docs.select("doc_id", F.length(text).alias("n")).join(listed.hint("merge"), "doc_id", "left")
+    fit = F.filter(F.coalesce("m", F.array().cast(kind)), lambda x: (x["s"] >= 0) & (x["e"] > x["s"]) & (x["e"] <= F.col("n")))
+    rows = rows.withColumn("c", apart(fit, kind))
+    one = lambda s, e, i: F.struct(s.cast("int").alias("start_offset"), e.cast("int").alias("end_offset"), i.cast("string").alias(id_col))
+    before = lambda i: F.when(i > 0, F.get("c", i - 1)["e"]).otherwise(0)
+    marked = F.flatten(F.transform("c", lambda x, i: F.array(one(before(i), x["s"], F.lit(None)), one(x["s"], x["e"], x["id"]))))
+    last = F.array(one(F.when(F.size("c") > 0, F.element_at("c", -1)["e"]).otherwise(0), F.col("n"), F.lit(None)))
+    return T.each(rows, F.concat(marked, last), "doc_id").select("doc_id", "x.*").filter("end_offset > start_offset")
+
+
 def gaps(spans: DataFrame, docs: DataFrame, text: str = "full_text") -> DataFrame:
     """(doc_id, start_offset, end_offset, marked): a document cut into marked spans and the stretches between; overlapping spans are one."""
     from pyspark.sql import Window as W

@@ -151,7 +151,7 @@ def statements(docs: DataFrame, text: str = "full_text") -> DataFrame:
     """(doc_id, statement, status): ok, missing, not_needed or check for each required statement.
 
     What a study involves is read from its methods (the whole text where it has no
-    such section), data and code from the whole text. Consent is needed only
+    such section), data and code from the whole text. There is a row for consent only
     where there are human subjects.
     """
     rows = parse.with_sections(docs.select("doc_id", text), True, text)
@@ -161,7 +161,7 @@ def statements(docs: DataFrame, text: str = "full_text") -> DataFrame:
     human, animal, data = F.col("_m").rlike(T.words_like(NEEDS["human"])), F.col("_m").rlike(T.words_like(NEEDS["animal"])), has(NEEDS["data"]) | has(NEEDS["code"])
     status = {
         "ethics": F.when(has(PRESENT["ethics"]), "ok").when(human | animal, "missing").otherwise("not_needed"),
-        "consent": F.when(has(PRESENT["consent"]), "ok").when(human, "missing").otherwise("not_needed"),
+        "consent": F.when(human, F.when(has(PRESENT["consent"]), "ok").otherwise("missing")),
         "data": F.when(has(PRESENT["data"]), "ok").when(data, "missing").otherwise("check"),
         "conflict": F.when(has(PRESENT["conflict"]), "ok").otherwise("missing"),
         "funding": F.when(has(PRESENT["funding"]), "ok").otherwise("check"),

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import claims, gates, grammar
+from foliant.operators import claims, edits, gates, grammar
 from foliant.plans.claim_queries import LOCATED, any_of, has
+from foliant.plans.finding_queries import WIDE, wide
 from foliant.plans.parse_queries import HITS, MANUSCRIPTS, SENTENCES, q
 from foliant.sources.manuscripts import manuscripts
 from foliant.sources.shared import stored_once
@@ -161,3 +162,16 @@ def p27_passages_gate(spark, sf_dir):
 
 
 QUERIES["p27_passages_gate"] = p27_passages_gate
+
+
+@query(f"""WITH {MATCHES}, wspans AS (WITH {WIDE} SELECT doc_id, start_offset, end_offset, finding_id FROM wide), spans AS (SELECT doc_id, start_offset AS s, end_offset AS e, finding_id AS id FROM wspans UNION ALL SELECT doc_id, start_offset, end_offset, 'g:' || start_offset FROM gmerged),
+ok AS (SELECT sp.*, row_number() OVER (PARTITION BY sp.doc_id ORDER BY s, e DESC, id) AS k FROM spans sp JOIN manuscripts USING (doc_id) WHERE s >= 0 AND e > s AND e <= length(full_text)),
+picked AS (SELECT doc_id, unnest(kept) AS k FROM (SELECT doc_id, list_reduce(list_prepend({{'stop': CAST(0 AS BIGINT), 'kept': CAST([] AS BIGINT[])}}, list({{'stop': CAST(e AS BIGINT), 'kept': [CAST(s AS BIGINT), CAST(k AS BIGINT)]}} ORDER BY k)), lambda a, b: CASE WHEN b.kept[1] >= a.stop THEN {{'stop': b.stop, 'kept': list_append(a.kept, b.kept[2])}} ELSE a END).kept AS kept FROM ok GROUP BY doc_id)),
+chosen AS (SELECT ok.* FROM ok JOIN picked USING (doc_id, k)), n AS (SELECT doc_id, length(full_text) AS n FROM manuscripts), lagged AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS prior FROM chosen)
+SELECT doc_id, CAST(s AS INTEGER) AS start_offset, CAST(e AS INTEGER) AS end_offset, id AS finding_id FROM chosen UNION ALL SELECT doc_id, CAST(prior AS INTEGER), CAST(s AS INTEGER), NULL FROM lagged WHERE s > prior
+UNION ALL SELECT n.doc_id, CAST(coalesce(m, 0) AS INTEGER), CAST(n AS INTEGER), NULL FROM n LEFT JOIN (SELECT doc_id, max(e) AS m FROM chosen GROUP BY doc_id) USING (doc_id) WHERE n > coalesce(m, 0)""")
+def w6_highlights(spark, sf_dir):
+    """Findings on sentences and of the grammar review as highlights that don't overlap, and the text between (W6 b, W8)."""
+    rows = wide(spark, sf_dir).select("doc_id", "start_offset", "end_offset", "finding_id")
+    found = grammar.merged(reviewed(spark, sf_dir)).select("doc_id", "start_offset", "end_offset", F.concat(F.lit("g:"), F.col("start_offset").cast("string")).alias("finding_id"))
+    return edits.highlights(rows.unionByName(found), manuscripts(spark, sf_dir))

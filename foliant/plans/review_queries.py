@@ -186,7 +186,7 @@ def _has(p: str, c: str = "full_text") -> str:
 
 _STATES = {
     "ethics": f"CASE WHEN {_has(review.PRESENT['ethics'])} THEN 'ok' WHEN {_has(review.NEEDS['human'], 'methods')} OR {_has(review.NEEDS['animal'], 'methods')} THEN 'missing' ELSE 'not_needed' END",
-    "consent": f"CASE WHEN {_has(review.PRESENT['consent'])} THEN 'ok' WHEN {_has(review.NEEDS['human'], 'methods')} THEN 'missing' ELSE 'not_needed' END",
+    "consent": f"CASE WHEN {_has(review.NEEDS['human'], 'methods')} THEN CASE WHEN {_has(review.PRESENT['consent'])} THEN 'ok' ELSE 'missing' END END",
     "data": f"CASE WHEN {_has(review.PRESENT['data'])} THEN 'ok' WHEN {_has(review.NEEDS['data'])} OR {_has(review.NEEDS['code'])} THEN 'missing' ELSE 'check' END",
     "conflict": f"CASE WHEN {_has(review.PRESENT['conflict'])} THEN 'ok' ELSE 'missing' END",
     "funding": f"CASE WHEN {_has(review.PRESENT['funding'])} THEN 'ok' ELSE 'check' END",

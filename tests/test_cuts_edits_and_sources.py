@@ -119,6 +119,24 @@ def test_many_random_edits(spark):
         assert got[d] == out + t[at:]
 
 
+def test_highlights(spark):
+    r = random.Random(8)
+    docs = [(d, "x" * 60) for d in range(20)] + [(50, ""), (51, "y" * 9)]
+    spans = [(d, s, s + r.randrange(0, 12), f"f{k:02}") for d in range(20) for k in range(10) for s in [r.randrange(-3, 58)]]
+    got = {}
+    for x in edits.highlights(spark.createDataFrame(spans, "doc_id long, start_offset int, end_offset int, finding_id string"), spark.createDataFrame(docs, "doc_id long, full_text string")).collect():
+        got.setdefault(x.doc_id, []).append((x.start_offset, x.end_offset, x.finding_id))
+    assert got[51] == [(0, 9, None)] and 50 not in got
+    for d in range(20):
+        want, at = [], 0
+        for _, s, e, i in sorted([x for x in spans if x[0] == d and 0 <= x[1] < x[2] <= 60], key=lambda x: (x[1], -x[2], x[3])):
+            if s >= at:
+                want += [(at, s, None)] * (s > at) + [(s, e, i)]
+                at = e
+        want += [(at, 60, None)] * (at < 60)
+        assert sorted(got[d]) == want
+
+
 def test_protected_tokens(spark):
     text = "The α-phase of gan and SiO2 (AB12/x) by NASA at 3.5 × 10 -3 and 12% [1, 2] (Smith et al., 2015)."
     df = spark.createDataFrame([(text, "The phase of gan at 12%")], "a string, b string")
