@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.operators import parse
 
 # Names of metrics and what they stand for.
 METRICS = {
@@ -54,7 +55,8 @@ def _hits_of(text: str, kind: str, order: int) -> Column:
         value, name = T.number(raw), F.regexp_replace(F.lower(part(NAME)), r"\s+", " ")
         volts = F.lower(part(UNIT)).endswith("v")
         name = {"size": F.lit("sample size"), "temperature": F.lit("temperature"), "electric": F.when(name != "", name).when(volts, "voltage").otherwise("current")}.get(kind, name)
-        metric = F.coalesce(F.create_map(*[F.lit(x) for kv in METRICS.items() for x in kv])[name], F.regexp_replace(name, " ", "_"))
+        known = lambda: F.coalesce(F.create_map(*[F.lit(x) for kv in METRICS.items() for x in kv])[name], F.regexp_replace(name, " ", "_"))
+        metric = F.lit("sample_size") if kind == "size" else name if kind in ("temperature", "electric") else known()
         percent = at.rlike("[%％]$")
         family = {"size": F.lit("count"), "metric": F.when(percent | (value > 1.5), "percent").otherwise("ratio"), "share": F.lit("percent"), "temperature": F.lit("temperature"), "electric": F.when(volts, "voltage").otherwise("current"), "setting": F.lit("generic")}[kind]
         unit = {"size": F.lit("n"), "metric": F.when(percent, "%").otherwise(""), "share": F.lit("%"), "temperature": F.upper(part(UNIT))}.get(kind, part(UNIT))
@@ -90,10 +92,15 @@ def qualifiers(around) -> Column:
 _FIELDS = ("doc_id", "sentence_index", "section", "page", "start_offset", "end_offset", "claim_start", "claim_end", "metric", "family", "value", "raw", "unit", "qualifiers", "text")
 
 
+def candidates(docs: DataFrame, text: str = "full_text") -> DataFrame:
+    """The sentences that may hold a claim: those with a digit."""
+    return parse.sentences_with(docs, "[0-9]", text)
+
+
 def numeric_claims(rows: DataFrame) -> DataFrame:
     """Rows of numeric claims in sentences: (doc_id, sentence_index, section, page, start_offset, end_offset, claim_start, claim_end, metric, family, value, raw, unit, qualifiers, text).
 
-    ``rows``: located sentences. The sentence goes along as ``text``. All kinds of
+    ``rows``: located sentences, or ``candidates``. The sentence goes along as ``text``. All kinds of
     claim of a sentence are found in one array, which is exploded once.
     """
     kept = rows.filter((F.col("section") != "References") & (F.length(F.trim("text")) >= LEAST_CHARS) & F.col("text").rlike("[0-9]"))

@@ -86,6 +86,17 @@ def located_sentences(docs: DataFrame, window: int, text: str = "full_text") ->
     return at_page(each.withColumn("section", F.coalesce(F.get(inside, F.lit(0))["name"], F.lit("Other"))).drop("_sections"))
 
 
+def sentences_with(docs: DataFrame, pattern: str, text: str = "full_text") -> DataFrame:
+    """Sentences that a pattern is found in, with section and page; others are dropped before the arrays are exploded."""
+    rows = with_sections(docs.select("doc_id", text), True, text).withColumn("_p", T.sentence_pieces(text)).withColumn("_at", T.starts("_p"))
+    pairs = F.zip_with("_p", "_at", lambda x, s: F.struct(x.alias("x"), s.alias("s")))
+    numbered = F.filter(F.transform(pairs, lambda y, i: F.struct(i.alias("sentence_index"), y["x"].alias("x"), y["s"].alias("start_offset"))), lambda y: y["x"].rlike(pattern))
+    each = T.each(rows, numbered, "doc_id", "_sections", name="y").select("doc_id", "_sections", "y.sentence_index", F.rtrim("y.x").alias("text"), "y.start_offset")
+    inside = F.filter("_sections", lambda x: (x["start_offset"] <= F.col("start_offset")) & (F.col("start_offset") < x["end_offset"]))
+    each = each.withColumns({"end_offset": F.col("start_offset") + F.length("text"), "section": F.coalesce(F.get(inside, F.lit(0))["name"], F.lit("Other"))})
+    return at_page(each.drop("_sections"))
+
+
 def sentences(docs: DataFrame, text: str = "full_text") -> DataFrame:
     """Rows (doc_id, sentence_index, text, start_offset, end_offset), found without a shuffle."""
     pieces = docs.select("doc_id", T.sentence_pieces(text).alias("p"))
@@ -262,6 +273,7 @@ def parsed(docs: DataFrame, page_chars: int = 3000, text: str = "full_text") ->
     rows = rows.withColumn("_p", T.sentence_pieces(text)).withColumn("_starts", T.starts("_p"))
     within = lambda s: F.coalesce(F.get(F.filter("_sections", lambda x: (x["start_offset"] <= s) & (s < x["end_offset"])), F.lit(0))["name"], F.lit("Other"))
     whole = F.transform(F.zip_with("_p", "_starts", lambda x, s: F.struct(F.rtrim(x).alias("t"), s.alias("s"))), lambda y, i: F.struct(i.alias("sentence_index"), y["t"].alias("text"), y["s"].alias("start_offset"), (y["s"] + F.length(y["t"])).alias("end_offset"), (F.floor(y["s"] / page_chars) + 1).cast("int").alias("page"), within(y["s"]).alias("section")))
-    pages = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / page_chars).cast("int"), F.lit(1)) - 1), lambda k: F.struct((k + 1).alias("page"), (k * page_chars).alias("start_offset"), F.least((k + 1) * page_chars, F.length(text)).alias("end_offset")))
+    size = F.coalesce(F.length(text), F.lit(0))  # a null text is one empty page
+    pages = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(size / page_chars).cast("int"), F.lit(1)) - 1), lambda k: F.struct((k + 1).alias("page"), (k * page_chars).alias("start_offset"), F.least((k + 1) * page_chars, size).alias("end_offset")))
     sections = F.filter("_sections", lambda x: (x["end_offset"] > x["start_offset"]) | (x["name"] == "Other"))
     return rows.select("doc_id", F.struct(*style_counts(text)).alias("style_counts"), pages.alias("pages"), sections.alias("sections"), F.filter(whole, lambda x: x["text"] != "").alias("sentences"), F.col("_citations").alias("citations"), F.col("_references").alias("references"))

@@ -97,7 +97,7 @@ def holds_any(text, phrases: list[str]) -> Column:
 def categorize(aligned: DataFrame, docs: DataFrame, sections: DataFrame, matches: DataFrame, text: str = "full_text") -> DataFrame:
     """(doc_id, flag_id, category, informational): an ordered cascade over facts joined beforehand."""
     rows = parse.at_section(aligned.withColumn("start_offset", F.col("paper_start")), sections).drop("start_offset")
-    rows = rows.join(matches, ["doc_id", "flag_id"], "left").join(parse.with_citations(docs.select("doc_id", text), text).hint("merge"), "doc_id")
+    rows = rows.join(matches.hint("merge"), ["doc_id", "flag_id"], "left").join(parse.with_citations(docs.select("doc_id", text), text).hint("merge"), "doc_id")
     norm, words = T.normalize_match("text"), T.word_count("text")
     start, end = F.col("paper_start"), F.col("paper_end")
     boiler = [p for p in METHODS_BOILERPLATE if p not in ("p < 0.05", "p<0.05", "mean ± standard", "mean +/- standard", "double-blind")] + ["double blind"]
@@ -177,7 +177,7 @@ def hygiene(refs: DataFrame, year: int) -> DataFrame:
         F.count("*").alias("total"), F.count("year").alias("with_year"), F.count("doi").alias("with_doi"), F.count_if(age > 10).alias("older_than_10"), F.count_if(age <= 5).alias("recent_5"), F.count_if(F.col("raw").rlike(T.words_like(VENUE_CAUTION))).alias("cautions")
     )
     same = refs.filter(F.length("title") >= 15).groupBy("doc_id", T.normalize_match("title").alias("k")).agg(F.count("*").alias("n")).filter("n > 1").groupBy("doc_id").agg(F.sum("n").alias("duplicates"))
-    return counts.join(same, "doc_id", "left").withColumn("duplicates", F.coalesce("duplicates", F.lit(0).cast("long")))
+    return counts.join(same.hint("merge"), "doc_id", "left").withColumn("duplicates", F.coalesce("duplicates", F.lit(0).cast("long")))
 
 
 def hygiene_issues(facts: DataFrame) -> DataFrame:

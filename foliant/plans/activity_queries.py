@@ -105,10 +105,8 @@ f AS (SELECT doc_id, string_agg(substr(full_text, prior + 1, s - prior) || r, ''
 SELECT doc_id, md5(coalesce(head, '') || substr(full_text, coalesce(e, 0) + 1)) AS revised_md5, CAST(coalesce(n, 0) AS INTEGER) AS applied, 0 AS skipped FROM manuscripts LEFT JOIN f USING (doc_id)""")
 def q5_apply_edits(spark, sf_dir):
     """Each flagged sentence replaced by its label."""
-    m = manuscripts(spark, sf_dir)
-    rows = claims.located(m)
-    changes = claims.quality(rows).join(rows.select("doc_id", "sentence_index", "start_offset", "end_offset"), ["doc_id", "sentence_index"])
-    out = edits.apply_edits(m, changes.select("doc_id", "start_offset", "end_offset", F.concat(F.lit("<"), "label", F.lit(">")).alias("replacement")))
+    m, _, changes = _edits(spark, sf_dir)
+    out = edits.apply_edits(m, changes)
     return out.select("doc_id", F.md5("revised").alias("revised_md5"), "applied", "skipped")
 
 
@@ -142,5 +140,5 @@ SELECT n.doc_id, CAST(start_offset AS INTEGER) AS start_offset, CAST(end_offset
 def w8_segments(spark, sf_dir):
     m = manuscripts(spark, sf_dir)
     rows = claims.located(m)
-    spans = claims.quality(rows).join(rows.select("doc_id", "sentence_index", "start_offset", "end_offset"), ["doc_id", "sentence_index"])
+    spans = claims.quality(rows).join(rows.select("doc_id", "sentence_index", "start_offset", "end_offset").hint("merge"), ["doc_id", "sentence_index"])
     return edits.gaps(spans, m)

@@ -198,7 +198,7 @@ def f4_raw_ranges(spark, sf_dir):
 @query(f"WITH {LOCATED}, {NUMERIC} SELECT doc_id, claim_start, regexp_replace(printf('%.3f', value), '\\.?0+$', '') || CASE WHEN family = 'percent' THEN '%' ELSE '' END AS shown, CAST(CASE WHEN family IN ('percent', 'count') THEN 1.0 WHEN family = 'ratio' THEN 0.015 WHEN family = 'temperature' THEN 0.5 WHEN family IN ('voltage', 'current') THEN greatest(0.05, 0.01 * greatest(abs(value), 1.0)) ELSE greatest(1.0, 0.05 * greatest(abs(value), 1.0)) END AS DOUBLE) AS tolerance FROM numeric")
 def f14_shown_values(spark, sf_dir):
     """Values with their units (F14) and the tolerance of their family (F16)."""
-    rows = numbers.numeric_claims(claims.located(manuscripts(spark, sf_dir)))
+    rows = numbers.numeric_claims(numbers.candidates(manuscripts(spark, sf_dir)))
     return rows.select("doc_id", "claim_start", builds.shown_value(F.col("value"), F.col("family")).alias("shown"), numbers.tolerance(F.col("value"), F.col("value"), F.col("family")).alias("tolerance"))
 
 

@@ -131,18 +131,18 @@ def p26_formulaic_prose(spark, sf_dir):
 @query(f"WITH {LOCATED}, {NUMERIC} SELECT * EXCLUDE (text) FROM numeric")
 def p31_numeric_claims(spark, sf_dir):
     """Claims of all six kinds without overlaps."""
-    return numbers.numeric_claims(claims.located(manuscripts(spark, sf_dir))).drop("text")
+    return numbers.numeric_claims(numbers.candidates(manuscripts(spark, sf_dir))).drop("text")
 
 
 @query(f"WITH {LOCATED}, {NUMERIC}, {CONFLICTS} SELECT * EXCLUDE (position) FROM conflicts")
 def j15_numeric_conflicts(spark, sf_dir):
-    return numbers.numeric_conflicts(numbers.numeric_claims(claims.located(manuscripts(spark, sf_dir)))).drop("position")
+    return numbers.numeric_conflicts(numbers.numeric_claims(numbers.candidates(manuscripts(spark, sf_dir)))).drop("position")
 
 
 @query(f"WITH {LOCATED}, {NUMERIC}, {CONFLICTS} SELECT doc_id, metric, a_start, b_start, position FROM conflicts")
 def l3_conflict_order(spark, sf_dir):
     """Conflicts across pages first, then by place."""
-    return numbers.numeric_conflicts(numbers.numeric_claims(claims.located(manuscripts(spark, sf_dir)))).select("doc_id", "metric", "a_start", "b_start", "position")
+    return numbers.numeric_conflicts(numbers.numeric_claims(numbers.candidates(manuscripts(spark, sf_dir)))).select("doc_id", "metric", "a_start", "b_start", "position")
 
 
 def _findings(spark, sf_dir):

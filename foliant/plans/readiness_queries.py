@@ -51,7 +51,7 @@ def found(spark, sf_dir):
     m = manuscripts(spark, sf_dir)
     columns = ("doc_id", "kind", "category", "status", "is_informational")
     made = lambda df, kind, category: df.select("doc_id", F.lit(kind).alias("kind"), F.lit(category).alias("category"), F.lit("open").alias("status"), F.lit(False).alias("is_informational"))
-    conflicts = numbers.numeric_conflicts(numbers.numeric_claims(claims.located(m)))
+    conflicts = numbers.numeric_conflicts(numbers.numeric_claims(numbers.candidates(m)))
     return wide(spark, sf_dir).select(*columns).unionByName(made(grammar.merged(grammar_queries.reviewed(spark, sf_dir)), "grammar", "grammar_error")).unionByName(made(conflicts, "manuscript_quality", "numerical_inconsistency"))
 
 

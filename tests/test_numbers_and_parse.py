@@ -111,3 +111,28 @@ def test_integrity(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, full_text string")
     got = sorted((r.doc_id, r.kind, r.key) for r in parse.integrity(docs).collect())
     assert got == [(0, "broken_citation", 7), (0, "broken_citation", 7), (0, "orphan_ref", 2), (0, "orphan_ref", 3), (1, "orphan_ref", 1), (1, "orphan_ref", 3)]
+
+
+def test_tables_are_written_once(spark):
+    from foliant.sources.shared import shared_dir, stored_once
+
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    one, two, other = (stored_once(k, make, spark) for k in ("test:a", "test:a", "test:b"))
+    assert len(made) == 2 and one.inputFiles() == two.inputFiles() != other.inputFiles() and two.count() == 3
+    assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_parsed_arrays_are_the_tables(spark):
+    docs = spark.createDataFrame([(1, "Abstract We did it [1]. It was so. References [1] Smith J (2015) A study of small things. [2] Jones K (2018) Another study."), (2, "No heading here. None."), (3, ""), (4, None)], "doc_id long, full_text string")
+    rows = parse.parsed(docs)
+    of = lambda name: sorted((r.doc_id, *r.x) for r in T.each(rows, name, "doc_id").collect())
+    assert [(d, t) for d, _, t, *_ in of("sentences")] == [(r.doc_id, r.text) for r in parse.sentences(docs).orderBy("doc_id", "sentence_index").collect()]
+    assert of("references") == sorted(map(tuple, parse.references(docs).collect()))
+    assert of("sections") == sorted(map(tuple, parse.sections(docs).collect()))
+    assert [(d, s, e) for d, s, e, *_ in of("citations")] == sorted((r.doc_id, r.start_offset, r.end_offset) for r in parse.citations(docs).collect())
+    assert [(d, s, e) for d, _, s, e in of("pages") if d != 1] == [(2, 0, 22), (3, 0, 0), (4, 0, 0)]
