@@ -61,16 +61,47 @@ def normalize_match(text) -> Column:
 KEPT, LIGATURES = "A-Za-z0-9'‘’“”ﬁﬂﬀ", {"ffi": "(?:ffi|ﬀi|fﬁ)", "ffl": "(?:ffl|ﬀl|fﬂ)", "ff": "(?:ff|ﬀ)", "fi": "(?:fi|ﬁ)", "fl": "(?:fl|ﬂ)"}
 
 
-def raw_pattern(passage) -> Column:
-    """A pattern that finds, in a raw text, what is the passage once both are normalised; what stands between words may be anything that normalisation takes away."""
-    p = normalize_match(passage)
-    marks = {k: chr(1 + i) for i, k in enumerate(LIGATURES)}
-    for k, mark in marks.items():
-        p = F.replace(p, F.lit(k), F.lit(mark))
-    p = F.replace(F.replace(p, F.lit("'"), F.lit("['‘’“”]")), F.lit(" "), F.lit(f"[^{KEPT}]+"))
-    for k, mark in marks.items():
-        p = F.replace(p, F.lit(mark), F.lit(LIGATURES[k]))
-    return F.concat(F.lit("(?i)"), p)
+def match_index(text) -> Column:
+    """What places in a normalised text are looked up with: struct of the text as it is (t), normalised (n), and the places of its words (w), runs of characters that normalisation keeps."""
+    words = transform_hits(text, f"[{KEPT}]+")
+    return F.struct(col(text).alias("t"), normalize_match(text).alias("n"), words.alias("w"))
+
+
+def transform_hits(text, pattern: str) -> Column:
+    return F.transform(hits(text, pattern), lambda h: F.struct(h["start"].alias("s"), (h["start"] + F.length(h["text"])).alias("e")))
+
+
+def raw_place(index, passage) -> Column:
+    """(s, e): where a passage stands in a text, given its ``match_index``, if both are normalised; null if it doesn't.
+
+    Words stand in the normalised text in the order of the raw one, one blank between
+    them; so the blanks before a place count the words before it, and what follows
+    the last blank is its place within the word. A ligature is one raw character.
+    """
+
+    def raw(i, before):
+        word = F.get(i["w"], F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit(""))))
+        within = F.length(F.substring_index(before, " ", -1))
+        spelt = F.substring(i["t"], word["s"] + 1, word["e"] - word["s"])
+        long = lambda r: F.length(normalize_ligatures(F.substring(spelt, F.lit(1), r)))
+        moved = F.get(F.filter(F.sequence(F.lit(1), F.length(spelt)), lambda r: long(r) > within), F.lit(0)) - 1
+        return word["s"] + F.when(spelt.rlike("[ﬁﬂﬀ]"), moved).otherwise(within)
+
+    wanted = normalize_match(passage)
+
+    def found(x):
+        i, n = x["i"], x["n"]
+        at = F.instr(i["n"], n)
+        return F.when((n != "") & (at > 0), F.struct(raw(i, F.substring(i["n"], F.lit(1), at - 1)).alias("s"), (raw(i, F.substring(i["n"], F.lit(1), at + F.length(n) - 2)) + 1).alias("e")))
+
+    return let(F.struct(col(index).alias("i"), wanted.alias("n")), found)
+
+
+def normalize_ligatures(text) -> Column:
+    t = col(text)
+    for a, b in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return t
 
 
 def cut(text, *places: tuple[str, str, str]) -> Column:

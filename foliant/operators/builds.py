@@ -329,13 +329,11 @@ def rewrite_report(rows: DataFrame, baseline: DataFrame, margin: float = -0.02)
     return out.withColumn("holds", holds)
 
 
-def raw_ranges(rows: DataFrame, text: str, passage: str) -> DataFrame:
-    """Adds raw_start and raw_end: where a passage stands in a text if both are normalised, with the marks after it that are no letters, digits or blanks; -1, -1 if it doesn't. A passage that begins or ends within a ligature is not found there."""
-    rows = rows.withColumn("_p", F.when(T.normalize_match(passage) != "", T.raw_pattern(passage)))
-    at = F.regexp_instr(text, F.col("_p"))
-    found = F.regexp_substr(text, F.concat("_p", F.lit(r"[^A-Za-z0-9\sﬁﬂﬀ]*")))
-    rows = rows.withColumn("raw_start", F.coalesce(at, F.lit(0)) - 1)
-    return rows.withColumn("raw_end", F.when(F.col("raw_start") >= 0, F.col("raw_start") + F.length(found)).otherwise(-1)).drop("_p")
+def raw_ranges(rows: DataFrame, index: str, passage: str) -> DataFrame:
+    """Adds raw_start and raw_end: where a passage stands in a text, given its ``functions.text.match_index``, if both are normalised, with the marks after it that are no letters, digits or blanks; -1, -1 if it doesn't."""
+    rows = rows.withColumn("_r", T.raw_place(index, passage))
+    after = F.regexp_extract(F.substring(F.col(f"{index}.t"), F.col("_r.e") + 1, F.length(F.col(f"{index}.t"))), r"^[^A-Za-z0-9\sﬁﬂﬀ]*", 0)
+    return rows.withColumns({"raw_start": F.coalesce("_r.s", F.lit(-1)), "raw_end": F.when(F.col("_r").isNotNull(), F.col("_r.e") + F.length(after)).otherwise(-1)}).drop("_r")
 
 
 #: Prefixes of an edit's normalised text that are looked for where it is not there in full.

@@ -34,16 +34,14 @@ def align(flags: DataFrame, docs: DataFrame, text: str = "full_text") -> DataFra
     differ. Every flag stays. Flag and document meet by document id; a document
     comes in once.
     """
-    joined = flags.join(docs.select("doc_id", F.col(text).alias("_t")).hint("merge"), "doc_id", "left")
+    joined = flags.join(docs.select("doc_id", F.lower(text).alias("_l"), T.match_index(text).alias("_i")).hint("merge"), "doc_id", "left")
     long = F.length("text") >= 15
-    at = F.when(long, F.expr("instr(lower(_t), lower(text))")).otherwise(F.lit(0))
+    at = F.when(long, F.expr("instr(_l, lower(text))")).otherwise(F.lit(0))
     joined = joined.withColumn("_at", F.coalesce(at, F.lit(0)))
-    pattern = F.when((F.col("_at") == 0) & long & (F.length(T.normalize_match("text")) > SECOND_TRY), T.raw_pattern("text"))
-    joined = joined.withColumn("_p", pattern).withColumn("_again", F.when(F.col("_p").isNotNull(), F.regexp_instr("_t", F.col("_p"))).otherwise(0))
-    size = F.when(F.col("_again") > 0, F.length(F.regexp_substr("_t", F.col("_p")))).otherwise(F.length("text"))
-    place = F.greatest("_at", F.coalesce("_again", F.lit(0)))
-    found = place > 0
-    return joined.withColumns({"paper_start": F.when(found, place - 1).otherwise(-1), "paper_end": F.when(found, place - 1 + size).otherwise(-1), "score": F.when(found, 1.0).otherwise(0.0)}).drop("_t", "_at", "_p", "_again")
+    again = F.when((F.col("_at") == 0) & long & (F.length(T.normalize_match("text")) > SECOND_TRY), T.raw_place("_i", "text"))
+    joined = joined.withColumn("_r", again).withColumn("_s", F.when(F.col("_at") > 0, F.col("_at") - 1).otherwise(F.coalesce("_r.s", F.lit(-1))))
+    end = F.when(F.col("_at") > 0, F.col("_at") - 1 + F.length("text")).otherwise(F.coalesce("_r.e", F.lit(-1)))
+    return joined.withColumns({"paper_start": F.col("_s"), "paper_end": end, "score": F.when(F.col("_s") >= 0, 1.0).otherwise(0.0)}).drop("_i", "_l", "_at", "_r", "_s")
 
 
 def match_rate(aligned: DataFrame) -> DataFrame:

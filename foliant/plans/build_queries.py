@@ -175,7 +175,7 @@ def a33_edit_tally(spark, sf_dir):
 
 
 def _raw_pattern(needle: str) -> str:
-    """As builds.raw_pattern, in SQL."""
+    """A pattern for what a normalised needle looks like in a raw text."""
     p = needle
     marks = {k: f"chr({1 + i})" for i, k in enumerate(T.LIGATURES)}
     for k, mark in marks.items():
@@ -191,8 +191,8 @@ f AS (SELECT doc_id, edit_id, regexp_extract(full_text, '(?s)^(.*?)(?:' || patte
 SELECT doc_id, edit_id, CAST(CASE WHEN body = '' THEN -1 ELSE length(head) END AS INTEGER) AS raw_start, CAST(CASE WHEN body = '' THEN -1 ELSE length(head) + length(body) END AS INTEGER) AS raw_end FROM f""")
 def f4_raw_ranges(spark, sf_dir):
     """Where the text of each accepted edit stands in its document if both are normalised."""
-    rows = _edits(spark, sf_dir).join(manuscripts(spark, sf_dir).select("doc_id", "full_text").hint("merge"), "doc_id")
-    return builds.raw_ranges(rows, "full_text", "text").select("doc_id", "edit_id", "raw_start", "raw_end")
+    rows = _edits(spark, sf_dir).join(manuscripts(spark, sf_dir).select("doc_id", T.match_index("full_text").alias("index")).hint("merge"), "doc_id")
+    return builds.raw_ranges(rows, "index", "text").select("doc_id", "edit_id", "raw_start", "raw_end")
 
 
 @query(f"WITH {LOCATED}, {NUMERIC} SELECT doc_id, claim_start, regexp_replace(printf('%.3f', value), '\\.?0+$', '') || CASE WHEN family = 'percent' THEN '%' ELSE '' END AS shown, CAST(CASE WHEN family IN ('percent', 'count') THEN 1.0 WHEN family = 'ratio' THEN 0.015 WHEN family = 'temperature' THEN 0.5 WHEN family IN ('voltage', 'current') THEN greatest(0.05, 0.01 * greatest(abs(value), 1.0)) ELSE greatest(1.0, 0.05 * greatest(abs(value), 1.0)) END AS DOUBLE) AS tolerance FROM numeric")

@@ -1,7 +1,6 @@
 """Alignment against brute force, folds against plain loops, golden cases of grammar review and gates."""
 
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -214,12 +213,11 @@ def test_raw_ranges(spark):
         text = "".join(r.choice(pieces) for _ in range(12))
         lo = r.randrange(len(text))
         rows.append((text, text[lo : lo + r.randrange(1, 14)].swapcase().replace("—", " -")))
-    got = builds.raw_ranges(spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, t string, p string"), "t", "p").collect()
+    rows.append((" ".join(f"w{k}," for k in range(30_000)), " ".join(f"W{k}" for k in range(100, 29_000))))
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, t string, p string").withColumn("index", T.match_index("t"))
+    got = builds.raw_ranges(df, "index", "p").orderBy("i").collect()
     for x in got:
-        wanted = alignment.normal(x.p or "")
-        if x.i > 7 and (wanted[:1] in ("f", "i", "l") or wanted[-1:] == "f") and re.search("[ﬁﬂﬀ]", x.t):
-            continue  # may begin or end within a ligature
-        assert (x.raw_start, x.raw_end) == _plain_range(x.t or "", x.p or ""), x
+        assert (x.raw_start, x.raw_end) == _plain_range(x.t or "", x.p or ""), (x.i, x.raw_start)
     assert (got[0].raw_start, got[0].raw_end) == (16, 24)
 
 
