@@ -35,4 +35,5 @@ def test_every_stage_takes_odd_rows_and_empty_tables(spark, sf, odd_docs):
             assert k == 4 or out.columns == docs.columns, name
             if docs is not odd_docs:
                 assert not rows
-        assert corpus_pipeline.drop_near_copies(spark, odd_docs, sf).filter("doc_id IN (1, 2)").count() == 1
+    # of copies the least id stays, with all rows that it has
+    assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, odd_docs, sf).filter("doc_id IN (1, 2)").collect()] == [1, 1]
