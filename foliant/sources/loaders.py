@@ -68,7 +68,14 @@ def write_splits(rows: DataFrame, path: str, splits: list[str], labels: list[str
     at = {p: (F.col(split) == p[0]) & F.coalesce(F.col(label).cast("string") == p[1], F.lit(False)) for p in pairs}
     seen = Observation(f"written-{uuid.uuid4().hex}")
     metrics = [F.count_if(c).alias(f"n{k}") for k, c in enumerate(at.values())]
-    rows.observe(seen, F.count(F.lit(1)).alias("all"), *metrics).write.mode("overwrite").partitionBy(split).json(f"{path}/rows")
+    # a session that has observed can't be serialised any more, which plans of Spark ML need; so another session observes
+    view = f"written_{uuid.uuid4().hex}"
+    rows.createGlobalTempView(view)
+    try:
+        same = rows.sparkSession.newSession().table(f"global_temp.{view}")
+        same.observe(seen, F.count(F.lit(1)).alias("all"), *metrics).write.mode("overwrite").partitionBy(split).json(f"{path}/rows")
+    finally:
+        rows.sparkSession.catalog.dropGlobalTempView(view)
     got = {p: seen.get[f"n{k}"] for k, p in enumerate(pairs)}
     rest = seen.get["all"] - sum(got.values())
     if rest:

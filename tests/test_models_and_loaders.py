@@ -8,9 +8,14 @@ def test_text_baseline_ranks_held_out_rows(spark):
     assert evaluate.roc_auc(scored).first().auc > 0.9
 
 
+def test_models_are_fitted_after_counted_writes(spark, sf, tmp_path):
+    loaders.write_splits(spark.createDataFrame([("train", "1", "a")], "split string, label string, text string"), f"{tmp_path}/x", ["train"], ["1"])
+    assert loader_queries.q18_text_baseline(spark, sf).count() > 0
+
+
 def test_ranker_scores_every_row_once(spark):
     rows = loader_queries.q19_finding_ranker(spark, "/root/testdata/sf0.01").cache()
-    assert rows.count() == rows.select("row_id").distinct().count() and rows.select("fold").distinct().count() == 3
+    assert rows.count() == rows.select("row_id").distinct().count() and rows.select("fold").distinct().count() == 5
     assert evaluate.roc_auc(rows).first().auc > 0.7
 
 
