@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators import parse
-from foliant.operators.review import inside_quotes
+from foliant.operators.review import quoted
 
 # What is a technical token or a name and no mistake, categories that are about spelling, and those that are dropped.
 ACRONYM = r"^[A-Z][A-Z0-9-]{1,9}$"
@@ -51,31 +51,39 @@ def review(matches: DataFrame, docs: DataFrame, text: str = "full_text") -> Data
     up to three letters and of words that recur in the document. What is no
     spelling is shown with its whole sentence, if that has at most 320 characters;
     then no replacement stands. A document meets its matches once; sentences and
-    recurring words come from its own row.
+    recurring words come from its own row, in which places are found by halving
+    and texts are cut from slices, so that the work grows with its matches and not
+    with their number times its length.
     """
     m = F.struct("start_offset", "length", "rule_id", "category_id", "category_name", "message", "replacements")
     rows = matches.groupBy("doc_id").agg(F.array_sort(F.collect_list(m)).alias("m")).join(docs.select("doc_id", text).hint("merge"), "doc_id")
-    rows = rows.withColumn("_w", F.sort_array(F.split(F.lower(text), "[^a-z0-9_]+"))).withColumn("_p", T.sentence_pieces(text)).withColumn("_at", T.starts("_p"))
-    rows = rows.withColumn("_often", F.array_distinct(F.filter("_w", lambda x, i: (i > 0) & (x == F.get("_w", i - 1)))))
-    rows = rows.withColumn("_s", F.zip_with("_p", "_at", lambda x, s: F.struct(s.alias("s"), (s + F.length(F.rtrim(x))).alias("e"))))
+    pieces, words = T.sentence_pieces(text), F.sort_array(F.split(F.lower(text), "[^a-z0-9_]+"))
+    of = F.struct(F.length(text).alias("n"), T.slices(text).alias("slices"), words.alias("w"), pieces.alias("p"))
 
-    def one(x):
+    def one(d, at, x):
         start, end = x["start_offset"], x["start_offset"] + x["length"]
-        flagged = F.substring(text, start + 1, x["length"])
-        token = F.trim(flagged)
-        spelling = x["category_id"].isin(SPELLING) | x["rule_id"].rlike("(?i)MORFOLOGIK")
-        noise = spelling & ((F.length(token) <= 3) | F.array_contains("_often", F.lower(token)))
-        keep = (x["length"] > 0) & (start >= 0) & (end <= F.length(text)) & ~inside_quotes(start, end, text) & ~technical(token) & ~name_noise(token) & ~noise & ~x["category_id"].isin(DROPPED)
-        sentence = F.get(F.filter("_s", lambda s: (s["s"] <= start) & (end <= s["e"])), F.lit(0))
-        size = sentence["e"] - sentence["s"]
-        wide = ~spelling & sentence.isNotNull() & (size > x["length"]) & (size <= MOST_EXPANDED)
-        return F.when(keep, F.struct(
-            F.when(wide, sentence["s"]).otherwise(start).alias("start_offset"), F.when(wide, sentence["e"]).otherwise(end).alias("end_offset"), F.when(wide, F.substring(text, sentence["s"] + 1, size)).otherwise(flagged).alias("text"),
-            F.concat(x["category_name"], F.lit(": "), x["message"]).alias("explanation"), F.when(~wide, F.get(x["replacements"], F.lit(0))).alias("replacement"), x["rule_id"].alias("rule_id"), F.lit(CONFIDENCE).alias("confidence"), start.alias("match_start"),
-        ))
-
-    found = T.each(rows, F.transform("m", one), "doc_id").select("doc_id", "x.*")
-    return parse.at_page(found)
+        sentence = lambda i: F.struct(F.get(at, i).alias("s"), F.rtrim(F.get(d["p"], i)).alias("t"))
+        flagged = lambda t: F.struct(t.alias("t"), T.rank(d["w"], F.lower(F.trim(t))).alias("r"))
+        # two of a word's places in the sorted words
+        often = lambda f: F.coalesce((F.get(d["w"], f["r"] - 2) == F.lower(F.trim(f["t"]))), F.lit(False))
+        return F.struct(
+            x.alias("m"), T.between(d["slices"], F.greatest(start - 80, F.lit(0)), start).alias("before"), T.between(d["slices"], F.greatest(start - 2, F.lit(0)), end + 2).alias("around"),
+            T.let(flagged(T.between(d["slices"], start, end)), lambda f: F.struct(f["t"].alias("t"), often(f).alias("often"))).alias("flagged"), T.let(T.rank(at, start) - 1, sentence).alias("sentence"),
+        )
+
+    inside = lambda d: F.filter("m", lambda x: (x["length"] > 0) & (x["start_offset"] >= 0) & (x["start_offset"] + x["length"] <= d["n"]))
+    found = T.let(of, lambda d: T.let(T.starts(d["p"]), lambda at: F.transform(inside(d), lambda x: one(d, at, x))))
+    each = T.each(rows, found, "doc_id").select("doc_id", "x.m.*", "x.before", "x.around", F.col("x.flagged.t").alias("flagged"), F.col("x.flagged.often").alias("often"), F.col("x.sentence.s").alias("_s"), F.col("x.sentence.t").alias("sentence"))
+    start, end, token, size = F.col("start_offset"), F.col("start_offset") + F.col("length"), F.trim("flagged"), F.length("sentence")
+    spelling = F.col("category_id").isin(SPELLING) | F.col("rule_id").rlike("(?i)MORFOLOGIK")
+    noise = spelling & ((F.length(token) <= 3) | F.col("often"))
+    kept = each.filter(~F.col("category_id").isin(DROPPED) & ~noise & ~quoted("before", F.col("around"), F.col("length")) & ~technical(token) & ~name_noise(token))
+    wide = ~spelling & F.coalesce((F.col("_s") <= start) & (end <= F.col("_s") + size) & (size > F.col("length")) & (size <= MOST_EXPANDED), F.lit(False))
+    kept = kept.withColumn("_wide", wide)
+    return parse.at_page(kept.select(
+        "doc_id", F.when(F.col("_wide"), F.col("_s")).otherwise(start).alias("start_offset"), F.when(F.col("_wide"), F.col("_s") + size).otherwise(end).alias("end_offset"), F.when(F.col("_wide"), F.col("sentence")).otherwise(F.col("flagged")).alias("text"),
+        F.concat("category_name", F.lit(": "), "message").alias("explanation"), F.when(~F.col("_wide"), F.get("replacements", F.lit(0))).alias("replacement"), "rule_id", F.lit(CONFIDENCE).alias("confidence"), start.alias("match_start"),
+    ))
 
 
 def merged(found: DataFrame) -> DataFrame:
@@ -100,11 +108,16 @@ def decided(found: DataFrame, decisions: DataFrame, reviewed: int = REVIEWED) ->
 
 def enclosing(spans: DataFrame, docs: DataFrame, text: str = "full_text") -> DataFrame:
     """Adds sentence_index to spans (doc_id, start_offset, end_offset): the first sentence that holds a span, null if none does."""
-    p = docs.select("doc_id", T.sentence_pieces(text).alias("_p")).withColumn("_at", T.starts("_p"))
-    s = F.filter(F.zip_with("_p", "_at", lambda x, s: F.struct(s.alias("s"), (s + F.length(F.rtrim(x))).alias("e"), F.rtrim(x).alias("t"))), lambda x: F.lit(True))
-    held = p.select("doc_id", F.transform(s, lambda x, i: F.struct(x["s"].alias("s"), x["e"].alias("e"), i.alias("i"), (x["t"] != "").alias("ok"))).alias("_s"))
-    inside = F.filter("_s", lambda x: x["ok"] & (x["s"] <= F.col("start_offset")) & (F.col("end_offset") <= x["e"]))
-    return spans.join(held.hint("merge"), "doc_id").withColumn("sentence_index", F.get(inside, F.lit(0))["i"]).drop("_s")
+    keep = [c for c in spans.columns if c != "doc_id"]
+    listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct(*keep)).alias("m")).join(docs.select("doc_id", text).hint("merge"), "doc_id")
+
+    def index(p, at, x):
+        # the last sentence that begins at the span's start or before; an empty span may end the one before it
+        holds = lambda i: (F.length(F.rtrim(F.get(p, i))) > 0) & (x["end_offset"] <= F.get(at, i) + F.length(F.rtrim(F.get(p, i))))
+        return T.let(T.rank(at, x["start_offset"]) - 1, lambda i: F.when(holds(i - 1), i - 1).when(holds(i), i))
+
+    found = T.let(T.sentence_pieces(text), lambda p: T.let(T.starts(p), lambda at: F.transform("m", lambda x: F.struct(x.alias("m"), index(p, at, x).alias("i")))))
+    return T.each(listed, found, "doc_id").select("doc_id", "x.m.*", F.col("x.i").alias("sentence_index"))
 
 
 def chunks(docs: DataFrame, target: int = CHUNK, text: str = "full_text") -> DataFrame:

@@ -231,3 +231,26 @@ def test_edit_distance_by_bits():
             for j, y in enumerate(b, 1):
                 before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
         assert alignment._edit_ratio(a, b) == 1 - row[-1] / max(len(a), len(b))
+
+
+def test_grammar_review_cuts_from_slices_and_finds_places_by_halving(spark):
+    """In a long text a match costs no count of its characters; matches, sentences and recurring words are those of a plain reading."""
+    text = " ".join(f"Sentence {k} – was tested {'uniquely' if k == 7 else 'again'} and the wonderfulness of é it." for k in range(60))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, full_text string")
+    words = ["was tested", "wonderfulness", "uniquely"]
+    at = [(w, k) for w in words for k in range(len(text)) if text.startswith(w, k)][:150]
+    rows = [(1, k, len(w), "PASSIVE" if w == words[0] else "MORFOLOGIK_RULE", "GRAMMAR" if w == words[0] else "TYPOS", "n", "m", ["x"]) for w, k in at]
+    matches = spark.createDataFrame([*rows, (1, len(text) - 3, 9, "PASSIVE", "GRAMMAR", "n", "m", ["x"])], "doc_id long, start_offset int, length int, rule_id string, category_id string, category_name string, message string, replacements array<string>")
+    found = grammar.review(matches, docs)
+    assert "substring(full_text" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.match_start, r.text, r.start_offset, r.end_offset) for r in found.collect()}
+    sentences = text.replace(". S", ".|S").split("|")
+    starts = [sum(len(x) + 1 for x in sentences[:k]) for k in range(len(sentences))]
+    want = set()
+    for w, k in at:
+        i = max(j for j, s in enumerate(starts) if s <= k)
+        if w == words[0]:
+            want.add((k, sentences[i], starts[i], starts[i] + len(sentences[i])))
+        elif w == words[2]:
+            want.add((k, w, k, k + len(w)))
+    assert got == want and len(want) == 61
