@@ -105,3 +105,14 @@ def test_callouts_and_statements(spark):
     assert got == {("figure", 2, 3, (2,)), ("table", 1, 4, (1, 2, 3))}
     status = {r.statement: r.status for r in review.statements(df).collect()}
     assert status["ethics"] == "missing" and "consent" not in status
+
+
+def test_cues_are_searched_as_one_pattern(spark):
+    """One search for all cues finds what a search for each would."""
+    texts = ["Studies have shown it.", "It was widely shown", "as described in [3], better than", "prior reports", "priors reports", "is wellknown", "about 5", "5 % of all", "", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for cues in (claims.ATTRIBUTION, claims.CLAIM):
+        together = rows.select("text", claims.any_of(cues.values()).alias("x"))
+        assert together._jdf.queryExecution().analyzed().toString().count("RLIKE") == 1
+        apart = rows.select("text", F.greatest(*[claims.has(p) for p in cues.values()]).alias("x"))
+        assert together.collect() == apart.collect()
