@@ -251,9 +251,18 @@ def pair_corpus(pairs: DataFrame, most: int, seed: str) -> DataFrame:
 
 
 def survival(before, after) -> Column:
-    """The share of protected tokens that a rewrite keeps; 1 where there are none."""
-    n = F.size(edits.protected_tokens(before))
-    return F.when(n == 0, 1.0).otherwise(1.0 - F.size(edits.missing_tokens(before, after)) / n)
+    """The share of protected tokens that a rewrite keeps; 1 where there are none. The tokens are looked for once."""
+    lost = lambda tokens: F.size(F.filter(tokens, lambda x: ~F.contains(T.col(after), x)))
+    return T.let(edits.protected_tokens(before), lambda tokens: F.when(F.size(tokens) == 0, 1.0).otherwise(1.0 - lost(tokens) / F.size(tokens)))
+
+
+def surviving(rows: DataFrame, before: str, after: str, least: float) -> DataFrame:
+    """Rows with ``kept``, the share of protected tokens that a rewrite keeps, if that is enough.
+
+    A share comes as a row of its own array: a filter on it stays above, and the planner neither
+    works it out a second time nor moves it ahead of the dealing out of rows to the cores.
+    """
+    return T.each(rows, F.array(F.round(survival(before, after), 6)), *rows.columns, name="kept").filter(F.col("kept") >= least)
 
 
 def class_thresholds(rows: DataFrame, classes: list[str], grid: list[float], target: float = 0.9) -> DataFrame:

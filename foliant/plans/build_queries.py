@@ -147,7 +147,7 @@ def q16_entity_safe_pairs(spark, sf_dir):
     m = manuscripts(spark, sf_dir)
     plain = F.replace("full_text", F.lit("n = "), F.lit("N: "))
     rows = m.withColumn("b", F.when(F.col("doc_id") % 4 == 0, F.regexp_replace(plain, "[0-9]", "")).otherwise(plain))
-    kept = rows.withColumn("kept", F.round(builds.survival("full_text", "b"), 6)).filter("kept >= 0.85")
+    kept = builds.surviving(rows, "full_text", "b", 0.85)
     return kept.select("doc_id", "kept", F.md5(F.substring("full_text", 1, 900)).alias("input_md5"), F.md5(F.substring("b", 1, 900)).alias("target_md5"))
 
 

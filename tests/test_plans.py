@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from foliant.operators import biblio
+from foliant.functions import text as T
+from foliant.operators import biblio, builds
 
 
 def _filters(df) -> list[str]:
@@ -15,3 +16,20 @@ def test_pairs_of_titles_are_not_made_in_filters(spark):
     made = biblio.enriched(refs, snapshot)
     assert not [line for line in _filters(made) if "transform(" in line]
     assert made.filter("enriched").count() == 40
+
+
+def test_pairs_of_characters_are_made_once_for_a_likeness(spark):
+    rows = spark.createDataFrame([("a study of small things", "a study of smaller things"), ("aaaa", "aa"), ("ab", "ba"), ("x" * 150, "x" * 20 + "y" * 130), ("", "a"), ("a", "b")], "a string, b string")
+    plan = rows.select(T.dice("a", "b").alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("substring(") == 2
+    found = [r[0] for r in rows.select(F.round(T.dice("a", "b"), 6)).collect()]
+    assert found == [0.913043, 0.5, 0.0, 0.127517, 0.0, 0.0]
+    least = rows.select(T.similarity("a", "b").alias("s"), T.similarity("a", "b", 0.68).alias("t")).collect()
+    assert all(r["s"] == r["t"] or r["s"] < 0.68 and r["t"] == 0 for r in least)
+
+
+def test_surviving_tokens_are_looked_for_once(spark):
+    rows = spark.createDataFrame([(1, "GaN at 5 V", "GaN at V"), (2, "GaN at 5 V", "GaN at 5 V"), (3, "none", "")], "id int, a string, b string")
+    made = builds.surviving(rows, "a", "b", 0.85)
+    assert sorted((r["id"], r["kept"]) for r in made.collect()) == [(2, 1.0), (3, 1.0)]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("AlGaN") == 1
