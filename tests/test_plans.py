@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import biblio, builds
+from foliant.operators import biblio, builds, review
 
 
 def _filters(df) -> list[str]:
@@ -33,3 +33,14 @@ def test_surviving_tokens_are_looked_for_once(spark):
     made = builds.surviving(rows, "a", "b", 0.85)
     assert sorted((r["id"], r["kept"]) for r in made.collect()) == [(2, 1.0), (3, 1.0)]
     assert made._jdf.queryExecution().optimizedPlan().toString().count("AlGaN") == 1
+
+
+def test_places_are_searched_once_and_texts_are_not_copied_for_each_flag(spark):
+    docs = spark.createDataFrame([(1, "One ﬁne day, the ofﬁce — was shut; nobody came to the door at all. Two."), (2, None)], "doc_id long, full_text string")
+    flags = spark.createDataFrame([(1, 1, "fine day the office was shut nobody came to th"), (1, 2, "nobody came to the door"), (1, 3, "not there at all, not there at all, not there"), (2, 4, "nobody came to the door"), (3, 5, "nobody came to the door")], "doc_id long, flag_id int, text string")
+    made = review.align(flags, docs)
+    assert {r["flag_id"]: (r["paper_start"], r["paper_end"]) for r in made.collect()} == {1: (4, 52), 2: (35, 58), 3: (-1, -1), 4: (-1, -1), 5: (-1, -1)}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("instr(") == 1
+    joined = [line for line in plan.split("\n") if "Join " in line]
+    assert joined and plan.index("collect_list(") > plan.index(joined[0])  # flags are gathered before they meet the text
