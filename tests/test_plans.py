@@ -1,9 +1,10 @@
 """Plans do costly work once: not again in filters that the planner moves below joins and aggregates."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import biblio, builds, review
+from foliant.operators import alignment, biblio, builds, review
 
 
 def _filters(df) -> list[str]:
@@ -44,3 +45,12 @@ def test_places_are_searched_once_and_texts_are_not_copied_for_each_flag(spark):
     assert plan.count("instr(") == 1
     joined = [line for line in plan.split("\n") if "Join " in line]
     assert joined and plan.index("collect_list(") > plan.index(joined[0])  # flags are gathered before they meet the text
+
+
+def test_word_triples_normalise_a_text_once(spark):
+    rows = spark.createDataFrame([("One two, three four.",), ("One",)], "text string")
+    made = rows.select(alignment.grams("text").alias("g"))
+    assert [len(r["g"]) for r in made.collect()] == [2, 1]
+    # within a lambda the text would be normalised for each of the triples
+    assert "translate(" not in made._jdf.queryExecution().optimizedPlan().toString().split("lambdafunction", 1)[1].split("xxhash64", 1)[1]
+    assert alignment.likeness("abcd", "abcd" * 30, 0.99) == pytest.approx(0.85 + 0.15 * 4 / 120) and alignment.likeness("abcd", "abxd" + "y" * 90, 0.5) == 0
