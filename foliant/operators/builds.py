@@ -136,11 +136,10 @@ CLAUSE_WORDS, LEAST_WORDS, MOST_WORDS, ROUNDS = 28, 8, 65, 3
 
 def clause(sentence) -> Column:
     """A sentence as a clause: without full stops at its end, its first letter small unless the word begins with capitals, 28 words at most."""
-    s = F.regexp_replace(F.trim(sentence), r"\.+$", "")
-    begin = F.substring(s, 1, 2)
-    s = F.when(F.upper(begin) == begin, s).otherwise(F.concat(F.lower(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.length(s))))
-    words = F.split(s, r"\s+")
-    return F.when(F.size(words) > CLAUSE_WORDS, F.array_join(F.slice(words, 1, CLAUSE_WORDS), " ")).otherwise(s)
+    begin = lambda s: F.substring(s, 1, 2)
+    small = lambda s: F.when(F.upper(begin(s)) == begin(s), s).otherwise(F.concat(F.lower(F.substring(s, 1, 1)), F.substring(s, F.lit(2), F.length(s))))
+    first = lambda s: T.let(F.split(s, r"\s+"), lambda w: F.when(F.size(w) > CLAUSE_WORDS, F.array_join(F.slice(w, 1, CLAUSE_WORDS), " ")).otherwise(s))
+    return T.let(T.let(F.regexp_replace(F.trim(sentence), r"\.+$", ""), small), first)
 
 
 def fit_sentence(text: str = "text") -> Column:
@@ -156,7 +155,8 @@ def open_sentences(sentences: DataFrame) -> DataFrame:
     """(row_id, text, label, key): sentences without citation markers, fit for a corpus, weakly labelled; the first of equal texts."""
     clean = F.trim(F.regexp_replace(F.regexp_replace("text", corpus.MARKED, ""), r"\s+", " "))
     rows = sentences.select(F.concat_ws("-", "doc_id", "sentence_index").alias("row_id"), clean.alias("text")).filter(fit_sentence())
-    return corpus.first_of_each(rows.withColumn("key", text_key()), "key", "row_id").withColumn("label", corpus.weak_label())
+    keyed = stored(rows.withColumn("key", text_key()), "sentences")  # read twice, so documents are parsed once
+    return corpus.first_of_each(keyed, "key", "row_id").withColumn("label", corpus.weak_label())
 
 
 def synthesized(pool: DataFrame, seen: DataFrame, need: dict[str, int], templates: dict[str, list[str]], seed: str) -> DataFrame:
@@ -171,7 +171,8 @@ def synthesized(pool: DataFrame, seen: DataFrame, need: dict[str, int], template
     if not short:
         return pool.select("row_id", "text", F.lit("").alias("label"), F.lit("").alias("key")).limit(0)
     tries = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*[F.lit(t) for t in templates[label]]).alias("t"), F.lit(r).alias("r")) for label in short for r in range(ROUNDS)])
-    each = pool.select("row_id", clause("text").alias("clause"), F.explode(tries).alias("x")).select("row_id", "clause", "x.*")
+    clauses = stored(pool.select("row_id", clause("text").alias("clause")), "clauses")  # made once, not in each test of each sentence
+    each = clauses.select("row_id", "clause", F.explode(tries).alias("x")).select("row_id", "clause", "x.*")
     pick = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "label", "row_id")), 1, 8), 16, 10).cast("long") + F.col("r")) % F.size("t")
     made = each.select(F.concat_ws("/", "label", "row_id", "r").alias("row_id"), "label", F.replace(F.get("t", pick.cast("int")), F.lit("{clause}"), F.col("clause")).alias("text"))
     made = made.filter(fit_sentence()).withColumn("key", text_key())

@@ -54,3 +54,18 @@ def test_word_triples_normalise_a_text_once(spark):
     # within a lambda the text would be normalised for each of the triples
     assert "translate(" not in made._jdf.queryExecution().optimizedPlan().toString().split("lambdafunction", 1)[1].split("xxhash64", 1)[1]
     assert alignment.likeness("abcd", "abcd" * 30, 0.99) == pytest.approx(0.85 + 0.15 * 4 / 120) and alignment.likeness("abcd", "abxd" + "y" * 90, 0.5) == 0
+
+
+def test_clauses_are_not_made_again_in_filters(spark):
+    pool = spark.createDataFrame([("1", "The yield of the third device was lower than all of the others."), ("2", "DNA was found.")], "row_id string, text string")
+    assert [r[0] for r in pool.select(builds.clause("text")).collect()] == ["the yield of the third device was lower than all of the others", "DNA was found"]
+    made = builds.synthesized(pool, pool.select(F.lit("none").alias("key")), {"novelty": 2}, builds.TEMPLATES, "1")
+    assert made.count() == 2
+    clauses = []
+    keep = builds.stored
+    try:
+        builds.stored = lambda df, name: clauses.append(name) or keep(df, name)
+        builds.synthesized(pool, pool.select(F.lit("none").alias("key")), {"novelty": 2}, builds.TEMPLATES, "1")
+    finally:
+        builds.stored = keep
+    assert clauses == ["clauses"]
