@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import alignment, biblio, builds, review
+from foliant.operators import alignment, biblio, builds, claims, grammar, numbers, parse, review
+from foliant.plans import grammar_queries
 
 
 def _filters(df) -> list[str]:
@@ -69,3 +70,48 @@ def test_clauses_are_not_made_again_in_filters(spark):
     finally:
         builds.stored = keep
     assert clauses == ["clauses"]
+
+
+ODD = [
+    "", " ", "Abstract", "Abstract ", "abstract one. Two", "Abstract A. Abstract B", "Results and discussion here. Results follow", "x. Results and discussion y", "x: 1. Methods y. 12 Results z", "x.  Methods y", "x. 1.  Methods y", "x! 123 Methods y", "Methodology x? Methods y",
+    "x. Abstract Introduction y. Introduction z", "x.\nReferences\n[1] A", "ü. Summary 𝒜. Conclusions é. Concluding  remarks x", "1. Methods 2. Methods 3. Results .", "x. Results", "a. 1. Results and discussion b: Discussion c", None,
+]
+
+
+def test_headings_of_all_sections_are_looked_for_in_one_search(spark):
+    rows = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, full_text string")
+    made = parse.with_sections(rows)
+    plain = [F.when(F.col("full_text").rlike(parse.heading(n, True)), F.struct(F.length(F.regexp_extract("full_text", parse.heading(n, True), 1)).alias("s"), F.lit(k).alias("k"), F.lit(n).alias("n"))) for k, n in enumerate(parse.SECTIONS)]
+    expected = rows.select("doc_id", F.array_sort(F.filter(F.array(*plain), lambda x: x.isNotNull())).alias("a"))
+    want = {r["doc_id"]: [(x["n"], x["s"]) for x in r["a"]] for r in expected.collect()}
+    assert {r["doc_id"]: [(x["name"], x["start_offset"]) for x in r["_sections"] if x["name"] != "Other"] for r in made.collect()} == want
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") <= 3  # one search of the text and one of its beginning, not two for each section
+
+
+def test_sentences_without_a_cue_are_dropped_before_they_are_rows(spark):
+    texts = ["Previous studies have shown that this effect is widely known in many fields of research today. Nothing is here at all, nor there.", "It was roughly 5 samples in all of the places that we saw. MOREOVER, it might possibly perhaps be so, and seemingly it is a thing of the past for all of us in the end of days.", "", "so", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, full_text string")
+    key = lambda df: sorted(map(str, df.collect()))
+    assert claims.located(docs, claims.CUE).count() == 3 < claims.located(docs).count()
+    found = key(claims.prose_findings(claims.located(docs)))
+    assert len(found) == 3 and key(claims.prose_findings(claims.located(docs, claims.CUE))) == found
+
+
+def test_sentences_with_mere_digits_are_no_candidates_for_claims(spark):
+    docs = spark.createDataFrame([(1, "It was 1984 there. An accuracy of 91% was seen. It fell by 5 % accuracy (N=40). Heated to 300 K. Flat 12.")], "doc_id long, full_text string")
+    assert numbers.candidates(docs).count() == 3
+    assert numbers.numeric_claims(numbers.candidates(docs)).count() == numbers.numeric_claims(parse.sentences_with(docs, "[0-9]")).count() == 4
+
+
+def test_figures_and_tables_are_called_out_in_one_reading(spark):
+    docs = spark.createDataFrame([(1, "FIGURE 1 and Fig. 3 give it, Table II too. Tab. 4.\xa0figure 3"), (2, None)], "doc_id long, full_text string")
+    made = review.callouts(docs)
+    assert sorted((r["kind"], r["count"], r["missing"]) for r in made.collect()) == [("figure", 2, [2]), ("table", 2, [1, 3])]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_technical_tokens_go_before_matches_are_rows(spark):
+    docs = spark.createDataFrame([(1, "The sample was heated and DNA was shown at 5 sccm; misspelledwords stand here and misspelledwords there, oncemisspelled.")], "doc_id long, full_text string")
+    made = grammar.review(grammar_queries.matches(docs), docs)
+    assert sorted((r["rule_id"], r["text"][:14]) for r in made.collect()) == [("BE", "The sample was"), ("BE", "The sample was"), ("MORFOLOGIK_RULE", "oncemisspelled"), ("PASSIVE", "The sample was")]
+    assert not [line for line in _filters(made) if "sccm" in line]
