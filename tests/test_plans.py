@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators import alignment, biblio, builds, claims, grammar, numbers, parse, review
-from foliant.plans import grammar_queries
+from foliant.plans import grammar_queries, readiness_queries
 
 
 def _filters(df) -> list[str]:
@@ -115,3 +115,10 @@ def test_technical_tokens_go_before_matches_are_rows(spark):
     made = grammar.review(grammar_queries.matches(docs), docs)
     assert sorted((r["rule_id"], r["text"][:14]) for r in made.collect()) == [("BE", "The sample was"), ("BE", "The sample was"), ("MORFOLOGIK_RULE", "oncemisspelled"), ("PASSIVE", "The sample was")]
     assert not [line for line in _filters(made) if "sccm" in line]
+
+
+def test_submission_checks_read_the_texts_once(spark, sf):
+    rows = readiness_queries.checked(spark, sf)
+    plan = readiness_queries.deltas(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "full_text" not in plan and "callout_gaps" in rows.columns and rows.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert {r[0] for r in review.statements(readiness_queries.papers(spark, sf), ("data",)).select("statement").distinct().collect()} == {"data"}
