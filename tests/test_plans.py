@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import alignment, biblio, builds, claims, grammar, numbers, parse, review
+from foliant.operators import alignment, biblio, builds, claims, corpus, grammar, numbers, parse, review
 from foliant.plans import grammar_queries, readiness_queries
 
 
@@ -122,3 +122,10 @@ def test_submission_checks_read_the_texts_once(spark, sf):
     plan = readiness_queries.deltas(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "full_text" not in plan and "callout_gaps" in rows.columns and rows.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert {r[0] for r in review.statements(readiness_queries.papers(spark, sf), ("data",)).select("statement").distinct().collect()} == {"data"}
+
+
+def test_sentences_are_not_made_in_a_filter_for_chunks(spark):
+    docs = spark.createDataFrame([(1, "A first sentence that is long enough for all. " * 4), (2, ""), (3, None), (4, " ")], "doc_id long, body string")
+    made = corpus.sentence_chunks(docs)
+    assert [(r["doc_id"], r["chunk"]) for r in made.collect()] == [(1, 0)]
+    assert not [line for line in _filters(made) if "split(" in line]
