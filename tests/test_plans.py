@@ -129,3 +129,46 @@ def test_sentences_are_not_made_in_a_filter_for_chunks(spark):
     made = corpus.sentence_chunks(docs)
     assert [(r["doc_id"], r["chunk"]) for r in made.collect()] == [(1, 0)]
     assert not [line for line in _filters(made) if "split(" in line]
+
+
+def test_cues_are_grouped_by_their_first_letters(spark):
+    patterns = [*claims.ATTRIBUTION.values(), claims.NOVELTY, claims.VAGUE_NUMBER, claims.WEAK_REPORT, claims.FORMULAIC, claims.HEDGES]
+    plain = rf"(?:^|\W)(?i:{'|'.join(patterns)})"
+    texts = ["Previous  studies went on", "the STUDIES have shown", "xmany reports", "a novel method", "Novel approach", "about half of it", "a number of cases", "various\npatients", "in today's world", "it is possible", "ſtudies shown", "may or may  not", "", "none", "As seen in Fig. 3", "results was promising", "(perhaps)", "2moreover"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(F.col("t").rlike(claims.CUE).alias("a"), F.col("t").rlike(plain).alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] and any(r["a"] for r in got) and not all(r["a"] for r in got)
+    assert "(?=[sS])" in claims.CUE
+    with pytest.raises(ValueError):
+        T.cue(r"(?:word|\d+) more")
+
+
+def test_texts_are_normalised_in_few_searches(spark):
+    texts = ["a-\nb-\nc", "  x\x0b", "one\n\n two\tthree  four ", "x", "", None, "\n", "é –\n ü", "a\r\n b\f", "It’s “ﬁne” — o_k, 𝒜 b'c\x0b d"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    old = F.col("t")
+    for pattern, by in ((r"([A-Za-z0-9_])-\n([A-Za-z0-9_])", "$1$2"), (r"\n+", " "), ("[ \t ]{2,}|[\t ]", " "), ("^[\\s ]+|[\\s ]+$", "")):
+        old = F.regexp_replace(old, pattern, by)
+    match = F.lower("t")
+    for a, b in (*zip("‘’“”–—", "''''--", strict=True), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff")):
+        match = F.replace(match, F.lit(a), F.lit(b))
+    match = F.trim(F.regexp_replace(F.regexp_replace(match, r"[^\w\s']|_", " "), r"\s{2,}|[^\S ]", " "))
+    for new, was, searches in ((T.normalize_layout("t"), old, 2), (T.normalize_match("t"), match, 1)):
+        made = rows.select(new.alias("n"), was.alias("w"))
+        assert [r["n"] for r in made.collect()] == [r["w"] for r in made.collect()]
+        assert rows.select(new.alias("n"))._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == searches
+
+
+def test_texts_without_matches_are_not_split(spark):
+    rows = spark.createDataFrame([("no mark",), ("[1] and [2]",), ("",), (None,)], "t string").select(T.hits("t", r"\[\d\]").alias("h"))
+    assert [None if r["h"] is None else [(x["start"], x["text"]) for x in r["h"]] for r in rows.collect()] == [[], [(0, "[1]"), (8, "[2]")], [], None]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN (size(" in plan.split("split(")[0]
+
+
+def test_the_list_of_references_is_looked_for_once_in_a_parse(spark):
+    docs = spark.createDataFrame([(1, "Abstract It is so [1]. References [1] Smith J (2015) A study of things, 12. [2] Jones K (2018) Another study, 7."), (2, None), (3, "References")], "doc_id long, full_text string")
+    made = parse.parsed(docs)
+    assert {r["doc_id"]: (len(r["references"]), r["style_counts"]["numbered"]) for r in made.collect()} == {1: (2, 2), 2: (0, None), 3: (0, 0)}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?s)^((?:.*?") + plan.count("(?s)^(?:(?:.*?") == 1
