@@ -72,9 +72,9 @@ def with_applied(docs: DataFrame, edits: DataFrame, text: str = "full_text", kee
     e = F.struct(F.col("start_offset").alias("s"), F.col("end_offset").alias("e"), F.col("replacement").alias("r"), *keep)
     listed = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(e)).alias("edits"))
     kind = listed.schema["edits"].dataType
-    rows = docs.select("doc_id", F.col(text).alias("t")).join(listed.hint("merge"), "doc_id", "left").withColumn("edits", F.coalesce("edits", F.array().cast(kind)))
-    n = F.length("t")
-    fit = F.filter("edits", lambda x: x["r"].isNotNull() & (x["s"] >= 0) & (x["e"] > x["s"]) & (x["e"] <= n))
+    # lengths are taken first, so that texts that nobody asks for are not shuffled
+    rows = docs.select("doc_id", F.col(text).alias("t"), F.length(text).alias("chars")).join(listed.hint("merge"), "doc_id", "left").withColumn("edits", F.coalesce("edits", F.array().cast(kind)))
+    fit = F.filter("edits", lambda x: x["r"].isNotNull() & (x["s"] >= 0) & (x["e"] > x["s"]) & (x["e"] <= F.col("chars")))
     return rows.select("doc_id", "t", F.size("edits").alias("n"), apart(fit, kind).alias("applied"))
 
 

@@ -105,16 +105,15 @@ f AS (SELECT doc_id, string_agg(substr(full_text, prior + 1, s - prior) || r, ''
 SELECT doc_id, md5(coalesce(head, '') || substr(full_text, coalesce(e, 0) + 1)) AS revised_md5, CAST(coalesce(n, 0) AS INTEGER) AS applied, 0 AS skipped FROM manuscripts LEFT JOIN f USING (doc_id)""")
 def q5_apply_edits(spark, sf_dir):
     """Each flagged sentence replaced by its label."""
-    m, _, changes = _edits(spark, sf_dir)
+    m, changes = _edits(spark, sf_dir)
     out = edits.apply_edits(m, changes)
     return out.select("doc_id", F.md5("revised").alias("revised_md5"), "applied", "skipped")
 
 
 def _edits(spark, sf_dir):
     m = manuscripts(spark, sf_dir)
-    rows = claims.located(m)
-    changes = claims.quality(rows).join(rows.select("doc_id", "sentence_index", "start_offset", "end_offset").hint("merge"), ["doc_id", "sentence_index"])
-    return m, rows, changes.select("doc_id", F.col("sentence_index").alias("edit_id"), "start_offset", "end_offset", F.concat(F.lit("<"), "label", F.lit(">")).alias("replacement"))
+    changes = claims.quality(claims.located(m, claims.QUALITY_CUE), keep=("start_offset", "end_offset"))
+    return m, changes.select("doc_id", F.col("sentence_index").alias("edit_id"), "start_offset", "end_offset", F.concat(F.lit("<"), "label", F.lit(">")).alias("replacement"))
 
 
 _MOVES = f"{LOCATED}, {QUALITY}, ed AS (SELECT doc_id, sentence_index AS edit_id, start_offset AS s, end_offset AS e, '<' || label || '>' AS r FROM quality JOIN located USING (doc_id, sentence_index)), mv AS (SELECT *, coalesce(sum(length(r) - (e - s)) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS d FROM ed)"
@@ -123,15 +122,15 @@ _MOVES = f"{LOCATED}, {QUALITY}, ed AS (SELECT doc_id, sentence_index AS edit_id
 @query(f"WITH {_MOVES} SELECT doc_id, edit_id, s AS start_offset, e AS end_offset, CAST(s + d AS INTEGER) AS new_start, CAST(s + d + length(r) AS INTEGER) AS new_end, r AS replacement FROM mv")
 def q5_applied_spans(spark, sf_dir):
     """Where each applied edit stands in the revised text."""
-    m, _, changes = _edits(spark, sf_dir)
+    m, changes = _edits(spark, sf_dir)
     return edits.applied_spans(m, changes)
 
 
 @query(f"WITH {_MOVES} SELECT l.doc_id, l.sentence_index, l.start_offset, l.end_offset, CASE WHEN t.s IS NULL THEN CAST(l.start_offset + coalesce((SELECT sum(length(r) - (e - s)) FROM ed WHERE ed.doc_id = l.doc_id AND ed.e <= l.start_offset), 0) AS INTEGER) END AS new_start, CASE WHEN t.s IS NULL THEN CAST(l.end_offset + coalesce((SELECT sum(length(r) - (e - s)) FROM ed WHERE ed.doc_id = l.doc_id AND ed.e <= l.start_offset), 0) AS INTEGER) END AS new_end FROM located l LEFT JOIN ed t ON t.doc_id = l.doc_id AND t.s = l.start_offset")
 def q5_mapped_sentences(spark, sf_dir):
     """Every sentence's place in the revised text; null for those that an edit changed."""
-    m, rows, changes = _edits(spark, sf_dir)
-    return edits.mapped_spans(rows.select("doc_id", "sentence_index", "start_offset", "end_offset"), m, changes)
+    m, changes = _edits(spark, sf_dir)
+    return edits.mapped_spans(parse.sentences(m).select("doc_id", "sentence_index", "start_offset", "end_offset"), m, changes)
 
 
 @query(f"""WITH {LOCATED}, {QUALITY}, ed AS (SELECT doc_id, start_offset AS s, end_offset AS e FROM quality JOIN located USING (doc_id, sentence_index)),
@@ -139,6 +138,4 @@ b AS (SELECT doc_id, 0 AS x FROM manuscripts UNION ALL SELECT doc_id, s FROM ed
 SELECT n.doc_id, CAST(start_offset AS INTEGER) AS start_offset, CAST(end_offset AS INTEGER) AS end_offset, ed.s IS NOT NULL AS marked FROM n LEFT JOIN ed ON ed.doc_id = n.doc_id AND ed.s = n.start_offset WHERE end_offset > start_offset""")
 def w8_segments(spark, sf_dir):
     m = manuscripts(spark, sf_dir)
-    rows = claims.located(m)
-    spans = claims.quality(rows).join(rows.select("doc_id", "sentence_index", "start_offset", "end_offset").hint("merge"), ["doc_id", "sentence_index"])
-    return edits.gaps(spans, m)
+    return edits.gaps(claims.quality(claims.located(m, claims.QUALITY_CUE), keep=("start_offset", "end_offset")), m)

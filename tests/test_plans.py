@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as T
 from foliant.operators import alignment, biblio, builds, claims, corpus, grammar, numbers, parse, review
-from foliant.plans import grammar_queries, readiness_queries
+from foliant.plans import activity_queries, grammar_queries, readiness_queries
 
 
 def _filters(df) -> list[str]:
@@ -172,3 +172,11 @@ def test_the_list_of_references_is_looked_for_once_in_a_parse(spark):
     assert {r["doc_id"]: (len(r["references"]), r["style_counts"]["numbered"]) for r in made.collect()} == {1: (2, 2), 2: (0, None), 3: (0, 0)}
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?s)^((?:.*?") + plan.count("(?s)^(?:(?:.*?") == 1
+
+
+def test_edited_sentences_are_located_once(spark, sf):
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation ")
+    assert scans(activity_queries.w8_segments(spark, sf)) == 2
+    assert scans(activity_queries.q5_mapped_sentences(spark, sf)) == 3
+    joins = activity_queries.q5_mapped_sentences(spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("Join ")
+    assert "length(" in joins[-1]  # lengths are taken before the join, texts are not shuffled
