@@ -358,8 +358,10 @@ def locate_edits(changes: DataFrame, pages: DataFrame) -> DataFrame:
     """
     near = F.array(*[F.struct((F.col("page") + d).alias("page"), F.lit(k).alias("turn")) for k, d in enumerate((0, -1, 1))])
     wanted = T.each(changes.select("doc_id", "edit_id", "page", T.normalize_match("text").alias("needle")), near, "doc_id", "edit_id", "needle").select("doc_id", "edit_id", "needle", "x.page", "x.turn")
-    held = pages.select("doc_id", "page", T.normalize_match("text").alias("hay"))
-    pairs = wanted.join(held.hint("merge"), ["doc_id", "page"])
+    asked = wanted.groupBy("doc_id", "page").agg(F.collect_list(F.struct("edit_id", "needle", "turn")).alias("asked"))
+    # a page is normalised once it is known that an edit is looked up on it
+    held = pages.join(asked.hint("merge"), ["doc_id", "page"]).select("doc_id", "page", "asked", T.normalize_match("text").alias("hay"))
+    pairs = T.each(held, "asked", "doc_id", "page", "hay").select("doc_id", "page", "hay", "x.*")
     n = F.length("needle")
     size = F.when(F.contains("hay", F.col("needle")) & (n > 0), n)
     for p in PREFIXES:

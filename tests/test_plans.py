@@ -180,3 +180,12 @@ def test_edited_sentences_are_located_once(spark, sf):
     assert scans(activity_queries.q5_mapped_sentences(spark, sf)) == 3
     joins = activity_queries.q5_mapped_sentences(spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("Join ")
     assert "length(" in joins[-1]  # lengths are taken before the join, texts are not shuffled
+
+
+def test_pages_are_normalised_where_an_edit_is_looked_up(spark):
+    pages = spark.createDataFrame([(1, 1, "One ﬁne day."), (1, 2, "It was shut."), (2, 1, "Nobody came."), (1, 9, "It was shut.")], "doc_id long, page int, text string")
+    changes = spark.createDataFrame([(1, "a", 1, "It was  SHUT"), (1, "b", 1, "fine day"), (1, "c", 2, "none"), (3, "d", 1, "One")], "doc_id long, edit_id string, page int, text string")
+    made = builds.locate_edits(changes, pages)
+    assert {r["edit_id"]: (r["found_page"], r["matched"]) for r in made.collect()} == {"a": (2, 11), "b": (1, 8), "c": (None, None), "d": (None, None)}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("hay#") < plan.index("Join Inner") and "lower(text" in plan[plan.index("hay#") : plan.index("Join Inner")]
