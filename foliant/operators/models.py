@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.operators.corpus import split_name
+from foliant.sources.shared import stored
 
 
 def text_baseline(rows: DataFrame, features: int = 1 << 14) -> DataFrame:
@@ -27,7 +28,11 @@ def text_baseline(rows: DataFrame, features: int = 1 << 14) -> DataFrame:
 
 
 def finding_ranker(rows: DataFrame, columns: list[str], folds: int = 5) -> DataFrame:
-    """(row_id, fold, label, score): gradient-boosted trees, each row scored by the model that did not see its fold; folds by hash of the id within a label."""
+    """(row_id, fold, label, score): gradient-boosted trees, each row scored by the model that did not see its fold; folds by hash of the id within a label.
+
+    Each fold's model reads the rows many times, so their columns are written once.
+    """
+    rows = stored(rows.select("row_id", "label", *columns), "ranked")
     fold = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.col("label").cast("string"), F.col("row_id").cast("string"))), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
     data = VectorAssembler(inputCols=columns, outputCol="features").transform(rows.withColumn("fold", fold)).select("row_id", "fold", F.col("label").cast("double").alias("label"), "features")
     out = None

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
-from foliant.operators import alignment, biblio, builds, claims, corpus, grammar, numbers, parse, review
+from foliant.operators import alignment, biblio, builds, claims, corpus, grammar, models, numbers, parse, review
 from foliant.plans import activity_queries, grammar_queries, readiness_queries
 
 
@@ -189,3 +189,14 @@ def test_pages_are_normalised_where_an_edit_is_looked_up(spark):
     assert {r["edit_id"]: (r["found_page"], r["matched"]) for r in made.collect()} == {"a": (2, 11), "b": (1, 8), "c": (None, None), "d": (None, None)}
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("hay#") < plan.index("Join Inner") and "lower(text" in plan[plan.index("hay#") : plan.index("Join Inner")]
+
+
+def test_rows_to_rank_are_written_once(spark):
+    rows = spark.range(60).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 7 + F.col("id") % 2 * 3).cast("double").alias("f"))
+    kept, keep = [], models.stored
+    try:
+        models.stored = lambda df, name: kept.append(name) or keep(df, name)
+        made = models.finding_ranker(rows, ["f"], folds=2)
+    finally:
+        models.stored = keep
+    assert kept == ["ranked"] and made.count() == 60
