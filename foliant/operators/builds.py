@@ -45,11 +45,11 @@ def seeded(seed: str, key: str) -> Column:
     return F.concat_ws(":", corpus.order(F.lit(seed), key), F.col(key).cast("string"))
 
 
-def quota(rows: DataFrame, want: dict[tuple, int], by: list[str], seed: str, key: str) -> DataFrame:
-    """Of each bucket (values of ``by``) as many rows as ``want`` says, in a seeded order; buckets not named give none."""
+def quota(rows: DataFrame, want: dict[tuple, int], by: list[str], seed: str, key: str, written: bool = False) -> DataFrame:
+    """Of each bucket (values of ``by``) as many rows as ``want`` says, in a seeded order; buckets not named give none. ``written``: see ``cuts.least``."""
     named = {":".join(str(x).lower() if isinstance(x, bool) else str(x) for x in k): n for k, n in want.items()}
     bucketed = rows.withColumn("_bucket", F.concat_ws(":", *[F.col(c).cast("string") for c in by]))
-    return cuts.least(bucketed, named, "_bucket", seeded(seed, key)).drop("_bucket")
+    return cuts.least(bucketed, named, "_bucket", seeded(seed, key), written).drop("_bucket")
 
 
 def bucket_counts(rows: DataFrame, by: list[str]) -> dict[tuple, int]:
@@ -152,11 +152,46 @@ def text_key(text: str = "text") -> Column:
 
 
 def open_sentences(sentences: DataFrame) -> DataFrame:
-    """(row_id, text, label, key): sentences without citation markers, fit for a corpus, weakly labelled; the first of equal texts."""
+    """(row_id, text, label, hard, key): sentences without citation markers, fit for a corpus, weakly labelled; the first of equal texts.
+
+    Texts are shuffled once, to meet their equals, and written once; keys are made as
+    they are read, as they are no shorter when packed.
+    """
     clean = F.trim(F.regexp_replace(F.regexp_replace("text", corpus.MARKED, ""), r"\s+", " "))
-    rows = sentences.select(F.concat_ws("-", "doc_id", "sentence_index").alias("row_id"), clean.alias("text")).filter(fit_sentence())
-    keyed = stored(rows.withColumn("key", text_key()), "sentences")  # read twice, so documents are parsed once
-    return corpus.first_of_each(keyed, "key", "row_id").withColumn("label", corpus.weak_label())
+    rows = T.each(sentences, F.array(clean), F.concat_ws("-", "doc_id", "sentence_index").alias("row_id"), name="text").filter(fit_sentence())
+    # half the bytes of its digits
+    firsts = rows.groupBy(F.unhex(text_key()).alias("key")).agg(F.min(F.struct("row_id", "text")).alias("f")).select("f.*")
+    kept = stored(firsts.withColumn("label", corpus.weak_label()).withColumn("hard", near_a_label()), "sentences")
+    return kept.withColumn("key", F.coalesce(text_key(), F.lit("")))
+
+
+#: Rows that may be sent to every task, and how many are drawn for each that is wanted, so that enough of them are fresh.
+FEW, DRAWN = 20_000, 20
+
+
+def _sent(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, n at most, for a join with many: to every task if they are few, else by a sort of both."""
+    return F.broadcast(rows) if n <= FEW else rows.hint("merge")
+
+
+def _named(pool: DataFrame, labels: list[str], *keep) -> DataFrame:
+    """(row_id, base, label, r, and the columns ``keep``): each row of the pool with each label and each round."""
+    tries = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(r).alias("r")) for label in labels for r in range(ROUNDS)])
+    each = pool.select(F.col("row_id").alias("base"), *keep, F.explode(tries).alias("x")).select("*", "x.*").drop("x")
+    return each.withColumn("row_id", F.concat_ws("/", "label", "base", "r"))
+
+
+def _made(pool: DataFrame, templates: dict[str, list[str]], seed: str) -> DataFrame:
+    """(row_id, label, text, mark): the clause of each sentence of the pool in up to three templates of each label, chosen by a hash; ``mark`` is a short hash of the text, case aside."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "label", "base")), 1, 8), 16, 10).cast("long") + F.col("r")
+    template = F.lit(None).cast("string")
+    for label, ts in templates.items():
+        template = F.when(F.col("label") == label, F.get(F.array(*[F.lit(t) for t in ts]), (drawn % len(ts)).cast("int"))).otherwise(template)
+    # an expression beside an explode is made for each of its rows, so the clause comes before
+    rows = _named(pool.select("row_id", clause("text").alias("clause")), list(templates), "clause")
+    # each text comes as a row of its own array, so that no test of a join makes it again
+    made = T.each(rows, F.array(F.replace(template, F.lit("{clause}"), F.col("clause"))), "row_id", "label", name="text")
+    return made.withColumn("mark", F.xxhash64(F.lower("text")))
 
 
 def synthesized(pool: DataFrame, seen: DataFrame, need: dict[str, int], templates: dict[str, list[str]], seed: str) -> DataFrame:
@@ -164,25 +199,42 @@ def synthesized(pool: DataFrame, seen: DataFrame, need: dict[str, int], template
 
     Each sentence of the pool meets each label that lacks rows with up to three
     templates, chosen by a hash. What is fit, is not among ``seen`` (key) and comes
-    first of equal texts is drawn in a seeded order. Only labels short of rows and
-    their templates, a table of a few rows, are literals of the plan.
+    first of equal texts is drawn in a seeded order. The beginning of that order is
+    drawn first, with all that has the same texts; where too little of it is fresh,
+    more is, and all in the end: what is made is neither shuffled nor written
+    otherwise. The pool is read a few times, so it should be a written table. Only
+    labels short of rows and their templates, a table of a few rows, are literals of
+    the plan.
     """
     short = {label: n for label, n in need.items() if n > 0}
     if not short:
         return pool.select("row_id", "text", F.lit("").alias("label"), F.lit("").alias("key")).limit(0)
-    tries = F.array(*[F.struct(F.lit(label).alias("label"), F.array(*[F.lit(t) for t in templates[label]]).alias("t"), F.lit(r).alias("r")) for label in short for r in range(ROUNDS)])
-    clauses = stored(pool.select("row_id", clause("text").alias("clause")), "clauses")  # made once, not in each test of each sentence
-    each = clauses.select("row_id", "clause", F.explode(tries).alias("x")).select("row_id", "clause", "x.*")
-    pick = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "label", "row_id")), 1, 8), 16, 10).cast("long") + F.col("r")) % F.size("t")
-    made = each.select(F.concat_ws("/", "label", "row_id", "r").alias("row_id"), "label", F.replace(F.get("t", pick.cast("int")), F.lit("{clause}"), F.col("clause")).alias("text"))
-    made = made.filter(fit_sentence()).withColumn("key", text_key())
-    fresh = corpus.first_of_each(made, "key", "row_id").join(seen.select("key").distinct().hint("merge"), "key", "left_anti")
-    return cuts.least(fresh, short, "label", seeded(seed, "row_id")).select("row_id", "text", "label", "key")
+    templates = {label: templates[label] for label in short}
+    each = pool.count() * ROUNDS
+    share = DRAWN * max(short.values()) / max(each, 1)
+    while True:
+        whole = share >= 1
+        begins = F.lit(True) if whole else corpus.order(F.lit(seed), "row_id") < F.lit(f"{int(share * 16**8):08x}")
+        n = each * len(short) * min(1, 2 * share)
+        made = _made(pool, templates, seed)
+        if not whole:
+            bases = _named(pool, list(short), "text").filter(begins).select(F.col("base").alias("row_id"), "text").distinct()
+            marks = _made(bases, templates, seed).filter(begins).select("mark").distinct()
+            made = made.join(_sent(marks, n), "mark", "left_semi")
+        made = stored(made.filter(fit_sentence()).drop("mark"), "clauses").withColumn("key", F.coalesce(text_key(), F.lit("")))
+        fresh = corpus.first_of_each(made, "key", "row_id").filter(begins)
+        known = seen.select("key").join(_sent(fresh.select("key"), n), "key", "left_semi").distinct()
+        fresh = fresh.join(known.hint("merge"), "key", "left_anti").select("row_id", "text", "label", "key")
+        out = cuts.least(fresh, short, "label", seeded(seed, "row_id"))
+        have = {} if whole else bucket_counts(out, ["label"])
+        if whole or all(have.get((label,), 0) >= k for label, k in short.items()):
+            return out
+        share *= 16
 
 
 def near_a_label() -> Column:
     """Rows without a label whose numbers are precise, or whose novelty is shown."""
-    return (F.col("label") == "none") & (F.col("text").rlike(claims.PRECISE_NUMBER) | F.col("text").rlike(T.words_like(claims.NOVELTY_SHOWN)))
+    return (F.col("label") == "none") & (F.col("text").rlike(claims.PRECISE_NUMBER) | F.col("text").rlike(T.words_at(claims.NOVELTY_SHOWN)))
 
 
 def quality_corpus(rows: DataFrame, want: dict[str, int], hard: int, seed: str = "8") -> DataFrame:
@@ -192,11 +244,10 @@ def quality_corpus(rows: DataFrame, want: dict[str, int], hard: int, seed: str =
     hard negatives, whose wording is near a label but proved; other labels that lack
     rows are filled up from templates and clauses of ``none``.
     """
-    rows = stored(rows.withColumn("hard", near_a_label()), "open")
     have = bucket_counts(rows, ["label", "hard"])
     n_hard = min(have.get(("none", True), 0), hard, want.get("none", 0))
     natural = {(label, False): n for label, n in want.items() if label != "none"}
-    kept = quota(rows, {**natural, ("none", True): n_hard, ("none", False): want.get("none", 0) - n_hard}, ["label", "hard"], seed, "row_id")
+    kept = quota(rows, {**natural, ("none", True): n_hard, ("none", False): want.get("none", 0) - n_hard}, ["label", "hard"], seed, "row_id", written=True)
     need = {label: n - have.get((label, False), 0) for label, n in want.items() if label != "none"}
     made = synthesized(rows.filter("label = 'none'"), rows, need, TEMPLATES, f"{seed}t")
     named = kept.withColumn("origin", F.when(F.col("hard"), "hard_negative").otherwise("natural")).drop("hard")

@@ -56,9 +56,10 @@ def packed_passages(docs: DataFrame, target: int = 550, least: int = 180, most:
 
 def weak_label(text: str = "text") -> Column:
     """One of four labels by wording: novelty without proof, weak reporting, vague numbers, none."""
-    like = lambda p: F.col(text).rlike(T.words_like(p))
+    like = lambda p: F.col(text).rlike(T.words_at(p))
     novelty, vague = like(claims.NOVELTY) & ~like(claims.NOVELTY_SHOWN) & ~F.col(text).rlike(claims.GAIN), like(claims.VAGUE_NUMBER) & ~F.col(text).rlike(claims.PRECISE_NUMBER)
-    return F.when(novelty, "novelty").when(like(claims.WEAK_REPORT), "publication").when(vague, "numeric").otherwise("none")
+    # every label has one of these cues, which are looked for first
+    return F.when(~F.col(text).rlike(claims.QUALITY_CUE), "none").when(novelty, "novelty").when(like(claims.WEAK_REPORT), "publication").when(vague, "numeric").otherwise("none")
 
 
 MARKED = f"(?:{parse.BRACKET}|{parse.AUTHOR_YEAR})"

@@ -57,14 +57,15 @@ def nth_keys(rows: DataFrame, want: dict, by: str | None, key: str) -> dict:
     return out
 
 
-def least(rows: DataFrame, want: dict, by: str | None, key: Column) -> DataFrame:
+def least(rows: DataFrame, want: dict, by: str | None, key: Column, written: bool = False) -> DataFrame:
     """Of each value of ``by`` named in ``want`` (of all rows, named "all", if ``by`` is None) the rows of least ``key``, as many as wanted or all there are.
 
     The key is a string that begins with hexadecimal digits and is different for
-    each row. Rows are written once with their key; nothing but a filter reads them
-    after the boundaries are known, so no task holds the rows of a value.
+    each row. Rows are written once with their key, or, where they are cheap to read
+    again (``written``), get it in each pass; nothing but a filter reads them after
+    the boundaries are known, so no task holds the rows of a value.
     """
-    kept = stored(rows.withColumn("_key", key), "keyed")
+    kept = rows.withColumn("_key", key) if written else stored(rows.withColumn("_key", key), "keyed")
     bounds = nth_keys(kept, want, by, "_key")
     value = F.col(by).cast("string") if by else F.lit("all")
     tests = [(value == F.lit(v)) & (F.lit(True) if b is None else F.col("_key") <= F.lit(b)) for v, b in bounds.items()]

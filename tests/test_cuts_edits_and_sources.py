@@ -174,3 +174,30 @@ def test_rouge_by_bits():
     assert builds.rouge_l(long, long) == 1.0
 
 
+
+
+def test_made_sentences_are_drawn_as_from_all_that_could_be_made(spark):
+    """What is drawn first is as if all had been made, texts that come twice and seen ones left out; little is written of a large pool."""
+    from foliant.operators import corpus
+
+    texts = [f"The yield {k // 3} of the third device was lower than that of the others{'.' * (k % 3)}" for k in range(5000)]
+    pool = builds.stored(spark.createDataFrame([(f"{k}-1", t) for k, t in enumerate(texts)], "row_id string, text string"), "pool")
+    every = builds._made(pool, {"numeric": builds.TEMPLATES["numeric"]}, "1").withColumn("key", builds.text_key())
+    seen = every.filter(F.crc32("text") % 3 == 0).select("key")
+    fresh = corpus.first_of_each(every, "key", "row_id").filter(F.crc32("text") % 3 > 0).withColumn("_k", builds.seeded("1", "row_id"))
+    want = [r["row_id"] for r in fresh.orderBy("_k").limit(40).collect()]
+    written, keep = [], builds.stored
+    try:
+        builds.stored = lambda df, name: written.append(out := keep(df, name)) or out
+        made = builds.synthesized(pool, seen, {"numeric": 40, "novelty": 0}, builds.TEMPLATES, "1").collect()
+    finally:
+        builds.stored = keep
+    assert sorted(r["row_id"] for r in made) == sorted(want) and len(want) == 40
+    assert written[0].count() < 4000 < every.count() == 15000
+    # a share that is too small is drawn again
+    few, builds.DRAWN = builds.DRAWN, 1
+    try:
+        again = builds.synthesized(pool, seen, {"numeric": 40}, builds.TEMPLATES, "1").collect()
+    finally:
+        builds.DRAWN = few
+    assert sorted(r["row_id"] for r in again) == sorted(want)
