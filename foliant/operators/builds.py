@@ -256,12 +256,11 @@ def quality_corpus(rows: DataFrame, want: dict[str, int], hard: int, seed: str =
 
 def hard_evaluation(rows: DataFrame, trained: DataFrame, natural: int, made: int, hard: int, none: int, seed: str = "14") -> DataFrame:
     """(row_id, text, label, key, origin): sentences that ``trained`` (key) has not, templates that it was not made with, hard negatives and clean sentences, so many of each."""
-    fresh = rows.join(trained.select("key").distinct().hint("merge"), "key", "left_anti")
-    fresh = stored(fresh.withColumn("hard", near_a_label()), "fresh")
+    fresh = rows.join(_sent(trained.select("key").distinct(), trained.count()), "key", "left_anti")
     labels = list(UNSEEN_TEMPLATES)
-    kept = quota(fresh, {**{(c, False): natural for c in labels}, ("none", True): hard, ("none", False): none}, ["label", "hard"], seed, "row_id")
+    kept = quota(fresh, {**{(c, False): natural for c in labels}, ("none", True): hard, ("none", False): none}, ["label", "hard"], seed, "row_id", written=True)
     origin = F.when(F.col("hard"), "hard_negative").when(F.col("label") == "none", "natural_none").otherwise("natural")
-    new = synthesized(fresh.filter("label = 'none'"), fresh.select("key").unionByName(trained.select("key")), dict.fromkeys(labels, made), UNSEEN_TEMPLATES, f"{seed}t")
+    new = synthesized(fresh.filter("label = 'none'"), rows.select("key").unionByName(trained.select("key")), dict.fromkeys(labels, made), UNSEEN_TEMPLATES, f"{seed}t")
     return kept.withColumn("origin", origin).select("row_id", "text", "label", "key", "origin").unionByName(new.withColumn("origin", F.lit("hard_synth")))
 
 
