@@ -200,3 +200,15 @@ def test_rows_to_rank_are_written_once(spark):
     finally:
         models.stored = keep
     assert kept == ["ranked"] and made.count() == 60
+
+
+def test_surroundings_of_flags_are_cut_from_slices_once_for_each_document(spark):
+    pad = "Some plain words stand here without any meaning at all. " * 12
+    text = pad + 'He said "the yield of the device was far above what was known" then. The second yield of the device was far above what was seen before [3] in it. ' + pad + "The third yield of the device was far above what was ever seen. " + pad
+    docs = spark.createDataFrame([(1, text), (2, "No flag is here.")], "doc_id long, full_text string")
+    spans = ["the yield of the device was far above what was known", "The second yield of the device was far above what was seen", "The third yield of the device was far above what was ever seen.", "this is not there at all in any of the texts", None]
+    flags = spark.createDataFrame([(1, k, t, 3.0, None, "unknown", "u") for k, t in enumerate(spans)], "doc_id long, flag_id int, text string, match_pct double, source_title string, source_type string, source_url string")
+    none = spark.createDataFrame([], "doc_id long, flag_id int, ref_index int, ref_score double")
+    made = review.categorize(review.align(flags, docs), docs, parse.sections(docs), none)
+    assert {r["flag_id"]: r["category"] for r in made.collect()} == {0: "properly_quoted", 1: "already_cited", 2: "needs_new_citation", 3: "review_manually", 4: "review_manually"}
+    assert "substring(full_text" not in made._jdf.queryExecution().optimizedPlan().toString()
