@@ -212,3 +212,15 @@ def test_surroundings_of_flags_are_cut_from_slices_once_for_each_document(spark)
     made = review.categorize(review.align(flags, docs), docs, parse.sections(docs), none)
     assert {r["flag_id"]: r["category"] for r in made.collect()} == {0: "properly_quoted", 1: "already_cited", 2: "needs_new_citation", 3: "review_manually", 4: "review_manually"}
     assert "substring(full_text" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_likeness_is_sought_within_a_document_s_row(spark):
+    """No row for each word triple; a window that lies within a passage is not missed for its few pairs of characters."""
+    docs = spark.createDataFrame([(1, "The yield of the second device was lower than all of the others. It was so in each of the years."), (2, None)], "doc_id long, full_text string")
+    flags = spark.createDataFrame([(1, 1, "The yield of the other device was lower than all of the others."), (1, 2, "Nothing of this stands there, in no way."), (2, 3, "Nothing of this stands there, in no way.")], "doc_id long, flag_id int, text string")
+    made = alignment.align(flags, docs)
+    assert {r["flag_id"]: (r["paper_start"], r["paper_end"]) for r in made.collect()} == {1: (0, 64), 2: (-1, -1), 3: (-1, -1)}
+    assert "xxhash64" not in made._jdf.queryExecution().optimizedPlan().toString()
+    text, passage = "-- ,, abcdefghij klmnopqrst uvwxyz abcdefg ,, --", "zz abcdefghij klmnopqrst uvwxyz abcdefg"
+    start, end, score = alignment.best_span(passage, text, [], 0.985)
+    assert alignment.normal(text[start:end]) == passage[3:] and score == pytest.approx(0.85 + 0.15 * 36 / 39)
